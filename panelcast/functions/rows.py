@@ -25,3 +25,13 @@ def row_argmin(columns: Sequence[str]) -> Column:
 def strict(aggregate: Column, value: Column) -> Column:
     """The aggregate, or NULL if any input was NULL."""
     return F.when(F.count(value) == F.count(F.lit(1)), aggregate)
+
+
+def round_scaled(x: Column, digits: int) -> Column:
+    """Round the scaled value, then scale back.
+
+    The built-in rounds the shortest decimal form instead, which differs from most
+    SQL engines where a double lies next to a tie.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(x * scale) / scale

@@ -78,7 +78,9 @@ def exact_quantiles(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
     )
     position = (F.col("total") - 1) * F.col("want.prob")
-    side = F.explode(F.array(F.floor(position), F.ceil(position)))
+    side = F.explode(
+        F.array(F.floor(position).cast("bigint"), F.ceil(position).cast("bigint"))
+    )
     ranks = (
         coarse.withColumn("want", wanted)
         .select(
@@ -89,7 +91,7 @@ def exact_quantiles(
             (position - F.floor(position)).alias("frac"),
             (F.col("upto") - F.col("n")).alias("before"),
             "upto",
-            side.cast("bigint").alias("rank"),
+            side.alias("rank"),
         )
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
         .select(*group, "c1", "i", "prob", "frac", (F.col("rank") - F.col("before")).alias("rank"))

@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.spec import WEEKLY
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(moments: pd.Series, cross: pd.Series) -> pd.Series:
     b = np.stack(cross.to_numpy()).astype(float)
     a = np.stack(moments.to_numpy()).astype(float).reshape(len(b), b.shape[1], b.shape[1])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import week_start
+from panelcast.functions.rows import round_scaled
 from panelcast.sources.tables import read_star
 
 # Size unit carried by each part type (fixed values).
@@ -91,6 +92,7 @@ def transactions(spark: SparkSession, sf_dir: str, store_level: str = "region")
     display = 100 * F.col("tax") > 480 * lines
     tpr = (F.col("discount") > 5 * lines) & ~feature & ~display
     spend = F.col("amount").cast("double")
+    price = F.try_divide(spend, F.col("quantity"))
     return cells.select(
         "week",
         "store_id",
@@ -99,8 +101,8 @@ def transactions(spark: SparkSession, sf_dir: str, store_level: str = "region")
         "visits",
         "hhs",
         spend.alias("spend"),
-        F.round(F.try_divide(spend, F.col("quantity")), 4).alias("price"),
-        F.round(F.try_divide(spend, F.col("quantity")) * 1.1, 4).alias("base_price"),
+        round_scaled(price, 4).alias("price"),
+        round_scaled(price * 1.1, 4).alias("base_price"),
         feature.cast("int").alias("feature"),
         display.cast("int").alias("display"),
         tpr.cast("int").alias("tpr_only"),

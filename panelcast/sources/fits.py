@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from panelcast.operators.fit import FIT_COLUMNS
+from panelcast.sources.schemas import columns
 from panelcast.sources.tables import read_parquet, write_table
 from panelcast.spec import WEEKLY, PanelSpec
 
@@ -16,4 +16,4 @@ def write_fits(fits: DataFrame, path: str) -> None:
 
 def read_fits(spark: SparkSession, path: str, spec: PanelSpec = WEEKLY) -> DataFrame:
     keys = ", ".join(f"{k} string" for k in spec.keys)
-    return read_parquet(spark, path, StructType.fromDDL(f"{keys}, {FIT_COLUMNS}"))
+    return read_parquet(spark, path, columns(f"{keys}, {FIT_COLUMNS}"))

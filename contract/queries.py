@@ -23,8 +23,9 @@ from panelcast.operators import (
     score,
     smooth,
 )
-from panelcast.plans import dashboard, prepare, training, validation
+from panelcast.plans import dashboard, training, validation
 from panelcast.sources import derive, tables
+from panelcast.sources.checkpoints import cut
 from panelcast.spec import FLAGS, MEASURES, WEEKLY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -585,8 +586,10 @@ def q_forecast_stl(spark, sf):
 
 
 def _sample(spark, sf):
-    inputs = prepare.model_inputs(weekly(spark, sf), derive.products(spark, sf))
-    return inputs.sample_train, inputs.sample_val
+    """Both halves of the imputed sample; the imputation runs once."""
+    gaps = panel.count_missing(weekly(spark, sf))
+    picked = sampling.sample_series(gaps, derive.products(spark, sf))
+    return panel.calendar_split(cut(impute.impute(sampling.sampled_rows(picked, gaps))))
 
 
 def q_validation_aicc(spark, sf):
@@ -603,7 +606,7 @@ def q_validation_rmse(spark, sf):
 def q_validation_leaderboard(spark, sf):
     train, val = _sample(spark, sf)
     finalists = {m: fit.VALIDATION_MODELS[m] for m in validation.FINALISTS}
-    wide = validation.rmse_table(fit.fit_models(train, finalists), val)
+    wide = cut(validation.rmse_table(fit.fit_models(train, finalists), val))
     return score.rmse_leaderboard(wide, validation.FINALISTS)
 
 

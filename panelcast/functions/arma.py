@@ -1,10 +1,14 @@
 """Regression with ARMA errors for a block of series at once.
 
-Runs inside the tasks of the grouped fit. Time is a loop, series are vector
-lanes; shorter series are padded in front with NaN. Orders are chosen by AICc
-over a fixed grid, started by Hannan and Rissanen's regression and refined by
-Gauss-Newton on the conditional sum of squares. A missing response contributes
-no innovation and is carried at its prediction.
+Runs inside the tasks of the grouped fit. Time is a loop; series and candidate
+orders are vector lanes, and shorter series are padded in front with NaN. Orders
+are chosen by AICc over a fixed grid, started by Hannan and Rissanen's regression
+and refined by Gauss-Newton on the conditional sum of squares. A missing response
+contributes no innovation and is carried at its prediction.
+
+Shapes: steps x series, steps x series x regressors, and orders x series x
+parameters, where parameters are regressors, two AR terms, two MA terms. Terms
+outside an order stay zero.
 """
 
 from __future__ import annotations
@@ -12,9 +16,12 @@ from __future__ import annotations
 import numpy as np
 
 MAX_ORDER = 2
-ORDERS = [(p, q) for p in range(MAX_ORDER + 1) for q in range(MAX_ORDER + 1)]
+ORDERS = np.array([(p, q) for p in range(MAX_ORDER + 1) for q in range(MAX_ORDER + 1)])
 LONG_AR = 5
+SWEEPS = 10
+STEPS = (1.0, 0.5, 0.125)
 KPSS_5_PERCENT = 0.463  # level-stationarity critical value (fixed)
+EDGE = 0.995
 
 
 def _solve(a, b):
@@ -23,98 +30,103 @@ def _solve(a, b):
 
 
 def _ols(x, y, use):
+    """Coefficients of y on x over the rows in use, per series."""
     xw = np.where(use[..., None], x, 0.0).transpose(1, 0, 2)
     yw = np.where(use, y, 0.0).T
     xt = xw.transpose(0, 2, 1)
     return _solve(xt @ xw, (xt @ yw[..., None])[..., 0])
 
 
-def _admissible(c):
-    """Inside the stationarity region; pass minus theta for invertibility."""
-    edge = 0.995
-    if c.shape[1] == 0:
-        return np.ones(len(c), bool)
-    if c.shape[1] == 1:
-        return np.abs(c[:, 0]) < edge
-    return (np.abs(c[:, 1]) < edge) & (c[:, 1] + np.abs(c[:, 0]) < edge)
+def _admissible(par, k):
+    """Stationary and invertible: both pairs inside the second-order triangle."""
+    ar, ma = par[..., k : k + 2], -par[..., k + 2 :]
+    inside = [(abs(c[..., 1]) < EDGE) & (c[..., 1] + abs(c[..., 0]) < EDGE) for c in (ar, ma)]
+    return inside[0] & inside[1]
 
 
-def _filter(w, x, seen, live, par, p, q, jacobian=False):
+def _term_mask():
+    """orders x 4: which of the AR and MA terms an order has."""
+    lag = np.arange(MAX_ORDER)
+    return np.hstack([lag < ORDERS[:, :1], lag < ORDERS[:, 1:]])
+
+
+def _filter(w, x, seen, live, par, jacobian=False):
     """Innovations, regression errors and, on request, d innovation / d parameter."""
-    steps, lanes, k = x.shape
-    phi, theta = par[:, k : k + p], par[:, k + p :]
-    reg = w - np.einsum("tsk,sk->ts", x, par[:, :k])
-    n, e = np.zeros((steps + 2, lanes)), np.zeros((steps + 2, lanes))
-    width = par.shape[1] if jacobian else 0
-    dn, de = np.zeros((steps + 2, lanes, width)), np.zeros((steps + 2, lanes, width))
+    steps, _, k = x.shape
+    orders, lanes, width = par.shape
+    effect = x.transpose(1, 0, 2) @ par[..., :k].transpose(1, 2, 0)
+    reg = w[:, None, :] - effect.transpose(1, 2, 0)
+    f1, f2, t1, t2 = (par[..., k + i] for i in range(4))
+    n, e = np.zeros((steps + 2, orders, lanes)), np.zeros((steps + 2, orders, lanes))
+    de = np.zeros((steps if jacobian else 0, orders, lanes, width))
+    dn1 = dn2 = de1 = de2 = np.zeros((orders, lanes, width))
     for t in range(steps):
-        pred = np.zeros(lanes)
-        for i in range(p):
-            pred += phi[:, i] * n[t + 1 - i]
-        for j in range(q):
-            pred += theta[:, j] * e[t + 1 - j]
+        n1, n2, e1, e2 = n[t + 1], n[t], e[t + 1], e[t]
+        pred = f1 * n1 + f2 * n2 + t1 * e1 + t2 * e2
         n[t + 2] = np.where(seen[t], reg[t], pred)
         e[t + 2] = np.where(live[t], reg[t] - pred, 0.0)
         if jacobian:
-            dp = np.zeros((lanes, width))
-            for i in range(p):
-                dp += phi[:, i : i + 1] * dn[t + 1 - i]
-                dp[:, k + i] += n[t + 1 - i]
-            for j in range(q):
-                dp += theta[:, j : j + 1] * de[t + 1 - j]
-                dp[:, k + p + j] += e[t + 1 - j]
-            dn[t + 2] = dp
-            dn[t + 2, seen[t]] = 0.0
-            dn[t + 2, seen[t], :k] = -x[t, seen[t]]
-            de[t + 2] = np.where(live[t][:, None], dn[t + 2] - dp, 0.0)
-    return e[2:], n[2:], de[2:]
-
-
-def _start(n, seen, p, q):
+            dp = f1[..., None] * dn1
+            dp += f2[..., None] * dn2
+            dp += t1[..., None] * de1
+            dp += t2[..., None] * de2
+            for i, lagged in enumerate((n1, n2, e1, e2)):
+                dp[..., k + i] += lagged
+            own = np.zeros_like(dp)
+            own[..., :k] = -x[t]
+            dn = np.where(seen[t][:, None], own, dp)
+            de[t] = np.where(live[t][:, None], dn - dp, 0.0)
+            dn1, dn2, de1, de2 = dn, dn1, de[t], de1
+    return e[2:], n[2:], de
+
+
+def _start(n, seen, terms):
     """Regression on own lags and on the lagged residuals of a long autoregression."""
 
     def lags(a, m):
         return np.stack([np.vstack([np.zeros((i, a.shape[1])), a[:-i]]) for i in range(1, m + 1)], -1)
 
     filled = np.where(seen, n, 0.0)
-    own = lags(filled, LONG_AR)
-    use = seen & (lags(seen.astype(float), LONG_AR).min(-1) > 0)
+    own = lags(filled, min(LONG_AR, len(n) - 1))
+    use = seen & (lags(seen.astype(float), own.shape[-1]).min(-1) > 0)
     resid = np.where(use, filled - np.einsum("tsk,sk->ts", own, _ols(own, filled, use)), 0.0)
-    parts = ([own[..., :p]] if p else []) + ([lags(resid, MAX_ORDER)[..., :q]] if q else [])
-    coef = _ols(np.concatenate(parts, -1), filled, use)
-    good = _admissible(coef[:, :p]) & _admissible(-coef[:, p:])
-    return np.where(good[:, None], coef, 0.0)
+    both = np.concatenate([lags(filled, MAX_ORDER), lags(resid, MAX_ORDER)], -1)
+    coef = np.stack([_ols(both * mask, filled, use) * mask for mask in terms])
+    return np.where(_admissible(coef, 0)[..., None], coef, 0.0)
 
 
-def _fit_order(w, x, seen, live, beta, p, q, sweeps=8):
-    par = np.hstack([beta, np.zeros((len(beta), p + q))])
-    if p + q:
-        n = w - np.einsum("tsk,sk->ts", x, beta)
-        par[:, beta.shape[1] :] = _start(n, seen, p, q)
+def _refine(w, x, seen, live, beta, terms):
+    """Gauss-Newton for all orders together; a step is kept only where it lowers the sum."""
     k = beta.shape[1]
-    e, _, de = _filter(w, x, seen, live, par, p, q, True)
+    orders = len(terms)
+    active = np.concatenate([np.ones((orders, 1, k)), terms[:, None, :]], -1)
+    noise = w - np.einsum("tsk,sk->ts", x, beta)
+    par = np.concatenate(
+        [np.broadcast_to(beta, (orders, *beta.shape)), _start(noise, seen, terms)], -1
+    )
+    e, _, de = _filter(w, x, seen, live, par, True)
     css = (e**2).sum(0)
-    for _ in range(sweeps):
-        jac = de.transpose(1, 0, 2)
-        grad = (jac.transpose(0, 2, 1) @ e.T[..., None])[..., 0]
-        step = _solve(jac.transpose(0, 2, 1) @ jac, grad)
-        best, best_css = par.copy(), css.copy()
-        open_ = np.ones(len(par), bool)
-        for scale in (1.0, 0.5, 0.125):
-            trial = np.where(open_[:, None], par - scale * step, best)
-            ok = _admissible(trial[:, k : k + p]) & _admissible(-trial[:, k + p :])
-            te = _filter(w, x, seen, live, np.where(ok[:, None], trial, par), p, q)[0]
-            tcss = (te**2).sum(0)
-            better = open_ & ok & (tcss < best_css)
-            best[better], best_css[better] = trial[better], tcss[better]
-            open_ &= ~better
-            if not open_.any():
-                break
-        gain = css - best_css
-        par, css = best, best_css
-        if not (gain > 1e-7 * (css + 1e-12)).any():
+    for _ in range(SWEEPS):
+        jac = de.transpose(1, 2, 0, 3) * active[:, :, None, :]
+        grad = (jac.swapaxes(-1, -2) @ e.transpose(1, 2, 0)[..., None])[..., 0]
+        step = _solve(jac.swapaxes(-1, -2) @ jac, grad)
+        trials = np.concatenate([par - scale * step for scale in STEPS])
+        ok = _admissible(trials, k)
+        trials = np.where(ok[..., None], trials, np.tile(par, (len(STEPS), 1, 1)))
+        sums = (_filter(w, x, seen, live, trials)[0] ** 2).sum(0)
+        sums = np.where(ok, sums, np.inf).reshape(len(STEPS), orders, -1)
+        pick = sums.argmin(0)
+        low = np.take_along_axis(sums, pick[None], 0)[0]
+        chosen = np.take_along_axis(
+            trials.reshape(len(STEPS), *par.shape), pick[None, ..., None], 0
+        )[0]
+        better = low < css
+        worth = better & (css - low > 1e-6 * css + 1e-12)
+        par = np.where(better[..., None], chosen, par)
+        css = np.where(better, low, css)
+        if not worth.any():
             break
-        e, _, de = _filter(w, x, seen, live, par, p, q, True)
+        e, _, de = _filter(w, x, seen, live, par, True)
     return par, css
 
 
@@ -132,7 +144,7 @@ def _kpss(n, seen):
 def fit_block(y, x, fixed_d=None):
     """Fit every column of `y` (steps x series, NaN = missing) on `x` (steps x series x k).
 
-    Returns arrays per series: ok, orders, const, beta, phi, theta, tails, level,
+    Returns arrays per series: ok, n_obs, order, d, const, beta, phi, theta, tails, level,
     sigma2, aicc, and per step: fitted, innov, filled - all on the scale of `y`.
     """
     steps, lanes, k = x.shape
@@ -166,27 +178,21 @@ def fit_block(y, x, fixed_d=None):
     n_eff = live.sum(0)
     rank = moves.sum(1) + (1 - d)
 
-    beta0 = _ols(wx, w, seen)
-    best_aicc = np.full(lanes, np.inf)
-    best = np.zeros((lanes, k + 1 + 2 * MAX_ORDER))
-    order = np.zeros((lanes, 2), int)
-    best_css = np.zeros(lanes)
-    for p, q in ORDERS:
-        par, css = _fit_order(w, wx, seen, live, beta0, p, q)
-        params = rank + p + q + 1
-        room = n_eff - params - 1
-        var = np.maximum(css / np.maximum(n_eff, 1), 1e-12)
-        aicc = n_eff * (np.log(2 * np.pi * var) + 1) + 2 * params
-        aicc = aicc + 2 * params * (params + 1) / np.maximum(room, 1)
-        take = (room > 0) & np.isfinite(aicc) & (aicc < best_aicc - 1e-9)
-        wide = np.zeros_like(best)
-        wide[:, : k + 1 + p] = par[:, : k + 1 + p]
-        wide[:, k + 1 + MAX_ORDER : k + 1 + MAX_ORDER + q] = par[:, k + 1 + p :]
-        best[take], order[take] = wide[take], (p, q)
-        best_aicc[take], best_css[take] = aicc[take], css[take]
+    par, css = _refine(w, wx, seen, live, _ols(wx, w, seen), _term_mask())
+    params = rank + ORDERS.sum(1)[:, None] + 1
+    room = n_eff - params - 1
+    var = np.maximum(css / np.maximum(n_eff, 1), 1e-12)
+    aicc = n_eff * (np.log(2 * np.pi * var) + 1) + 2 * params
+    aicc = aicc + 2 * params * (params + 1) / np.maximum(room, 1)
+    # Equal scores go to the smaller order.
+    aicc = np.where(room > 0, aicc + 1e-9 * ORDERS.sum(1)[:, None], np.inf)
+    lane = np.arange(lanes)
+    win = aicc.argmin(0)
+    best_aicc, best_css, best = aicc[win, lane], css[win, lane], par[win, lane]
+    order = ORDERS[win]
 
     ok = np.isfinite(best_aicc)
-    e, n, _ = _filter(w, wx, seen, live, best, MAX_ORDER, MAX_ORDER)
+    e, n, _ = (a[:, 0] if a.ndim == 3 else a for a in _filter(w, wx, seen, live, best[None]))
     fit_x = np.einsum("tsk,sk->ts", design, best[:, : k + 1])
     filled = np.empty((steps, lanes))
     filled[0] = np.where(known[0], flat_y[0], np.where(diff, 0.0, n[0] + fit_x[0]))
@@ -213,5 +219,5 @@ def fit_block(y, x, fixed_d=None):
         "aicc": best_aicc,
         "fitted": np.where(live, flat_y - e, np.nan),
         "innov": np.where(live, e, np.nan),
-        "filled": filled,
+        "filled": np.where(np.isnan(y), filled, y),
     }

@@ -47,7 +47,7 @@ PLAIN = {"arima": ModelSpec()}
 TRAINING_FALLBACK = (ModelSpec(uses=PROMOTION), ModelSpec())
 
 # Series fitted together, as vector lanes.
-BLOCK = 128
+BLOCK = 64
 
 FIT_COLUMNS = (
     "model string, status string, n_obs int, p int, d int, q int, const double,"

@@ -1,10 +1,11 @@
 """Exact quantiles over any number of rows.
 
 The built-in exact percentile holds every distinct value of a group in one task.
-Here a group is narrowed instead: values map to integers in the same order,
-counts per leading bits find the cell holding the wanted rank, and only that
-cell is looked at more finely. Every pass is a counted grouping that combines
-map-side, and a group has at most 2^22 cells per pass.
+Here the input is reduced once to counted values, spread by value. A group is
+then narrowed: values map to integers in the same order, counts per leading bits
+find the cell holding the wanted rank, and only that cell is looked at more
+finely. Each pass combines map-side, and a group has at most 2^22 cells per pass.
+The passes read the same shuffle of counted values, so the input runs once.
 """
 
 from __future__ import annotations
@@ -21,24 +22,21 @@ _COARSE, _MIDDLE = 44, 22
 
 
 def ordered_long(x: Column) -> Column:
-    """A double as a BIGINT of the same order: exponent, then mantissa, then sign."""
+    """A double as a BIGINT that never reverses the order: exponent, mantissa, sign.
+
+    Where log2 rounds across a power of two, the clipped mantissa lands on that
+    power, so neighbours may share an image but never cross. Zero shares the cell
+    of the denormals.
+    """
     a = F.abs(x)
-    guess = F.greatest(
-        F.least(F.coalesce(F.floor(F.log2(a)).cast("int"), F.lit(_MIN_EXP)), F.lit(_MAX_EXP)),
-        F.lit(_MIN_EXP),
-    )
-    # log2 may round across a power of two; both neighbours are compared exactly.
-    low = F.pow(F.lit(2.0), guess)
-    exp = (
-        F.when((a >= low * 2) & (guess < _MAX_EXP), guess + 1)
-        .when((a < low) & (guess > _MIN_EXP), guess - 1)
-        .otherwise(guess)
+    exp = F.least(
+        F.greatest(F.coalesce(F.floor(F.log2(a)), F.lit(_MIN_EXP)), F.lit(_MIN_EXP)),
+        F.lit(_MAX_EXP),
     )
-    fraction = F.least(a / F.pow(F.lit(2.0), exp) - 1, F.lit(1.0))
-    image = (exp - _MIN_EXP + 1).cast("bigint") * F.lit(2**_MANTISSA) + F.floor(
-        fraction * F.lit(float(2**_MANTISSA))
-    ).cast("bigint")
-    return F.when(x < 0, -image).otherwise(image)
+    scale = F.lit(float(2**_MANTISSA))
+    mantissa = F.least(F.greatest(a / F.pow(F.lit(2.0), exp), F.lit(1.0)), F.lit(2.0))
+    image = (exp - _MIN_EXP) * F.lit(2**_MANTISSA) + ((mantissa - 1) * scale).cast("bigint")
+    return image * F.signum(x).cast("bigint")
 
 
 def exact_quantiles(
@@ -64,12 +62,14 @@ def exact_quantiles(
         df.select(*by, cells.alias("cell"))
         .select(*by, "cell.column", "cell.x")
         .where(F.col("x").isNotNull() & ~F.isnan("x"))
+        .groupBy(*group, "x")
+        .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("bits", ordered_long(F.col("x")))
     )
 
     # Pass 1: count coarse cells, and place every wanted rank in one of them.
     coarse = values.groupBy(*group, F.shiftright("bits", _COARSE).alias("c1")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.sum("n").alias("n")
     )
     running = F.sum("n").over(Window.partitionBy(*group).orderBy("c1"))
     total = F.sum("n").over(Window.partitionBy(*group))
@@ -78,73 +78,75 @@ def exact_quantiles(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
     )
     position = (F.col("total") - 1) * F.col("want.prob")
-    side = F.explode(
-        F.array(F.floor(position).cast("bigint"), F.ceil(position).cast("bigint"))
+    ends = F.explode(
+        F.array(
+            F.struct(F.lit("lo").alias("end"), F.floor(position).cast("bigint").alias("rank")),
+            F.struct(F.lit("hi").alias("end"), F.ceil(position).cast("bigint").alias("rank")),
+        )
     )
     ranks = (
         coarse.withColumn("want", wanted)
+        .withColumn("at", ends)
+        .withColumns({"rank": F.col("at.rank"), "before": F.col("upto") - F.col("n")})
+        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
         .select(
             *group,
             "c1",
-            "want.prob",
+            "at.end",
+            F.col("want.prob").alias("prob"),
             F.col("want.i").alias("i"),
             (position - F.floor(position)).alias("frac"),
-            (F.col("upto") - F.col("n")).alias("before"),
-            "upto",
-            side.alias("rank"),
+            (F.col("rank") - F.col("before")).alias("rank"),
         )
-        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
-        .select(*group, "c1", "i", "prob", "frac", (F.col("rank") - F.col("before")).alias("rank"))
     )
 
     # Pass 2 and 3: the same inside the cells that hold a wanted rank.
-    middle_key = F.shiftright("bits", _MIDDLE).alias("c2")
-    ranks = _narrow(values, ranks, [*group, "c1"], middle_key, "c2", group, "c1", _COARSE)
-    ranks = _narrow(values, ranks, [*group, "c2"], F.col("x"), "x", group, "c2", _MIDDLE)
+    middle = F.shiftright("bits", _MIDDLE).alias("c2")
+    ranks = _narrow(values, ranks, group, ("c1", _COARSE), "c2", middle, bool(by))
+    ranks = _narrow(values, ranks, group, ("c2", _MIDDLE), "x", F.col("x"), bool(by))
 
     lo, hi = F.min("x"), F.max("x")
-    return ranks.groupBy(*group, "i", "prob").agg(
-        (lo + (hi - lo) * F.max("frac")).alias("value")
-    ).select(*group, "prob", "value")
+    return (
+        ranks.groupBy(*group, "i", "prob")
+        .agg((lo + (hi - lo) * F.max("frac")).alias("value"))
+        .select(*group, "prob", "value")
+    )
 
 
 def _narrow(
     values: DataFrame,
     ranks: DataFrame,
-    cell: list[str],
-    finer: Column,
-    finer_name: str,
     group: list[str],
-    within: str,
-    shift: int,
+    cell: tuple[str, int],
+    finer_name: str,
+    finer: Column,
+    grouped: bool,
 ) -> DataFrame:
-    """Count `finer` cells inside the wanted ones and move each rank into its own."""
-    wanted = ranks.select(*cell).distinct()
-    keyed = values.withColumn(within, F.shiftright("bits", shift))
-    counts = (
-        _null_safe_join(keyed, wanted, cell, "left_semi")
-        .groupBy(*cell, finer)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.partitionBy(*cell).orderBy(finer_name)))
-    )
-    hit = (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))
-    placed = _null_safe_join(counts, ranks, cell, "inner").where(hit)
-    return placed.select(
-        *group,
-        finer_name,
-        "i",
-        "prob",
-        "frac",
-        (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"),
-    )
-
+    """Count finer cells inside the one each rank lies in, and move the rank into its own.
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    condition = F.lit(True)
+    Without groups the ranks are two per column and quantile, so they are
+    broadcast; with groups their number is open, and Spark decides.
+    """
+    name, shift = cell
+    on = [*group, name]
+    wanted = ranks.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = F.lit(True)
     for c in on:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    inside = values.withColumn(name, F.shiftright("bits", shift)).join(
+        wanted if grouped else F.broadcast(wanted), same
+    )
+    one_rank = [*group, "i", "end", "prob", "frac", "rank"]
+    counted = inside.groupBy(*one_rank, finer).agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group, "i", "end").orderBy(finer_name))
+    before = F.col("upto") - F.col("n")
+    return (
+        counted.withColumn("upto", upto)
+        .where((F.col("rank") >= before) & (F.col("rank") < F.col("upto")))
+        .select(
+            *group, finer_name, "i", "end", "prob", "frac", (F.col("rank") - before).alias("rank")
+        )
+    )
 
 
 def quantiles_wide(

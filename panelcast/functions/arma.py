@@ -51,33 +51,38 @@ def _term_mask():
 
 
 def _filter(w, x, seen, live, par, jacobian=False):
-    """Innovations, regression errors and, on request, d innovation / d parameter."""
+    """Innovations, regression errors and, on request, d innovation / d parameter.
+
+    The derivative is steps x parameters x orders x series: the long axis last.
+    """
     steps, _, k = x.shape
     orders, lanes, width = par.shape
     effect = x.transpose(1, 0, 2) @ par[..., :k].transpose(1, 2, 0)
     reg = w[:, None, :] - effect.transpose(1, 2, 0)
-    f1, f2, t1, t2 = (par[..., k + i] for i in range(4))
+    f1, f2, t1, t2 = (np.ascontiguousarray(par[..., k + i]) for i in range(4))
     n, e = np.zeros((steps + 2, orders, lanes)), np.zeros((steps + 2, orders, lanes))
-    de = np.zeros((steps if jacobian else 0, orders, lanes, width))
-    dn1 = dn2 = de1 = de2 = np.zeros((orders, lanes, width))
+    if jacobian:
+        back = -x.transpose(0, 2, 1)[:, :, None, :]
+        own = np.zeros((width, orders, lanes))
+        de = np.zeros((steps, width, orders, lanes))
+        dn1 = dn2 = de1 = de2 = np.zeros((width, orders, lanes))
     for t in range(steps):
         n1, n2, e1, e2 = n[t + 1], n[t], e[t + 1], e[t]
         pred = f1 * n1 + f2 * n2 + t1 * e1 + t2 * e2
         n[t + 2] = np.where(seen[t], reg[t], pred)
         e[t + 2] = np.where(live[t], reg[t] - pred, 0.0)
         if jacobian:
-            dp = f1[..., None] * dn1
-            dp += f2[..., None] * dn2
-            dp += t1[..., None] * de1
-            dp += t2[..., None] * de2
+            dp = f1 * dn1
+            dp += f2 * dn2
+            dp += t1 * de1
+            dp += t2 * de2
             for i, lagged in enumerate((n1, n2, e1, e2)):
-                dp[..., k + i] += lagged
-            own = np.zeros_like(dp)
-            own[..., :k] = -x[t]
-            dn = np.where(seen[t][:, None], own, dp)
-            de[t] = np.where(live[t][:, None], dn - dp, 0.0)
+                dp[k + i] += lagged
+            own[:k] = back[t]
+            dn = np.where(seen[t], own, dp)
+            np.multiply(dn - dp, live[t], out=de[t])
             dn1, dn2, de1, de2 = dn, dn1, de[t], de1
-    return e[2:], n[2:], de
+    return e[2:], n[2:], de if jacobian else None
 
 
 def _start(n, seen, terms):
@@ -107,9 +112,9 @@ def _refine(w, x, seen, live, beta, terms):
     e, _, de = _filter(w, x, seen, live, par, True)
     css = (e**2).sum(0)
     for _ in range(SWEEPS):
-        jac = de.transpose(1, 2, 0, 3) * active[:, :, None, :]
-        grad = (jac.swapaxes(-1, -2) @ e.transpose(1, 2, 0)[..., None])[..., 0]
-        step = _solve(jac.swapaxes(-1, -2) @ jac, grad)
+        jac = np.ascontiguousarray(de.transpose(2, 3, 1, 0))
+        grad = (jac @ e.transpose(1, 2, 0)[..., None])[..., 0] * active
+        step = _solve(jac @ jac.swapaxes(-1, -2) * active[..., None] * active[..., None, :], grad)
         trials = np.concatenate([par - scale * step for scale in STEPS])
         ok = _admissible(trials, k)
         trials = np.where(ok[..., None], trials, np.tile(par, (len(STEPS), 1, 1)))
@@ -141,6 +146,11 @@ def _kpss(n, seen):
     return (np.cumsum(z, 0) ** 2).sum(0) / count / np.maximum(var, 1e-12)
 
 
+def lanes_within(budget, steps, k):
+    """Series whose derivatives stay within `budget` bytes."""
+    return max(1, budget // (8 * steps * len(ORDERS) * (k + 1 + 2 * MAX_ORDER)))
+
+
 def fit_block(y, x, fixed_d=None):
     """Fit every column of `y` (steps x series, NaN = missing) on `x` (steps x series x k).
 
@@ -192,7 +202,7 @@ def fit_block(y, x, fixed_d=None):
     order = ORDERS[win]
 
     ok = np.isfinite(best_aicc)
-    e, n, _ = (a[:, 0] if a.ndim == 3 else a for a in _filter(w, wx, seen, live, best[None]))
+    e, n = (a[:, 0] for a in _filter(w, wx, seen, live, best[None])[:2])
     fit_x = np.einsum("tsk,sk->ts", design, best[:, : k + 1])
     filled = np.empty((steps, lanes))
     filled[0] = np.where(known[0], flat_y[0], np.where(diff, 0.0, n[0] + fit_x[0]))

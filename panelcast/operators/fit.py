@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelcast.functions import arma, decompose
 from panelcast.functions.intervals import square_bound
 from panelcast.operators.features import fill_flags, fourier_features, lag_features
-from panelcast.spec import FLAGS, WEEKLY, PanelSpec, by_series
+from panelcast.spec import FLAGS, WEEKLY, PanelSpec, fit_tasks
 
 LAGS = tuple(f"lag_{f}" for f in FLAGS)
 FOURIER = tuple(f"{t}{i}" for i in range(1, 7) for t in ("s", "c"))
@@ -46,8 +46,8 @@ VALIDATION_MODELS = {
 PLAIN = {"arima": ModelSpec()}
 TRAINING_FALLBACK = (ModelSpec(uses=PROMOTION), ModelSpec())
 
-# Series fitted together, as vector lanes.
-BLOCK = 64
+# Bytes the largest intermediate of a block of series may take in a Python worker.
+BLOCK_BYTES = 64 * 2**20
 
 FIT_COLUMNS = (
     "model string, status string, n_obs int, p int, d int, q int, const double,"
@@ -80,8 +80,11 @@ def series_rows(
     """One row per series: first and last week, units and regressors as arrays over time.
 
     The panel is unique per week, so an array is as long as the calendar at most.
+    Windows and arrays share one exchange by key. The finished rows are then dealt
+    out evenly: adaptive execution merges that exchange by bytes, while fits cost
+    time per series, some hundred times what moving the row costs.
     """
-    featured = design_matrix(by_series(panel, spec, tasks), design, spec)
+    featured = design_matrix(panel, design, spec)
     point = F.struct(
         F.col(spec.index).alias("t"),
         F.col("units").cast("double").alias("y"),
@@ -99,6 +102,7 @@ def series_rows(
             F.transform("s", lambda p: p["y"]).alias("units"),
             F.flatten(F.transform("s", lambda p: p["x"])).alias("x"),
         )
+        .repartition(tasks or fit_tasks(panel.sparkSession))
     )
 
 
@@ -225,13 +229,17 @@ def _run(
 ) -> DataFrame:
     keys = spec.key_list
     columns = list(design)
+    regressors = max(len(m.uses) for _, options, _ in plan for m in options)
     key_ddl = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrices: dict[int, tuple] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                block = batch.slice(at, BLOCK)
+            steps = int(np.diff(batch.column("units").offsets.to_numpy()).max(initial=1))
+            most = arma.lanes_within(BLOCK_BYTES, steps, regressors)
+            cuts = np.linspace(0, batch.num_rows, -(-batch.num_rows // most) + 1).astype(int)
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                block = batch.slice(start, end - start)
                 yield from _fit_rows(block, plan, columns, keys, interpolate, matrices)
 
     return rows.mapInArrow(run, f"{key_ddl}, {FIT_COLUMNS}")

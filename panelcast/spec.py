@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FLAGS = ("feature", "display", "tpr_only")
@@ -45,17 +45,14 @@ class PanelSpec:
 WEEKLY = PanelSpec()
 
 
-def by_series(df: DataFrame, spec: PanelSpec = WEEKLY, tasks: int | None = None) -> DataFrame:
-    """Hash-partition by series with a fixed task count.
+def fit_tasks(spark: SparkSession) -> int:
+    """Tasks for work that costs time per series rather than per byte."""
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism,
+    )
 
-    Adaptive execution would merge a small panel into one task, which serialises
-    the model fits; an explicit count is kept, and the windows and groupings
-    that follow reuse this exchange.
-    """
-    if tasks is None:
-        spark = df.sparkSession
-        tasks = max(
-            int(spark.conf.get("spark.sql.shuffle.partitions")),
-            spark.sparkContext.defaultParallelism,
-        )
-    return df.repartition(tasks, *spec.keys)
+
+def by_series(df: DataFrame, spec: PanelSpec = WEEKLY, tasks: int | None = None) -> DataFrame:
+    """Hash-partition by series; the windows and groupings that follow reuse the exchange."""
+    return df.repartition(tasks or fit_tasks(df.sparkSession), *spec.keys)

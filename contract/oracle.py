@@ -146,7 +146,7 @@ def _aicc(x: str) -> str:
     n = f"regr_count({y}, {x})"
     return (
         f"CASE WHEN {n} > 12 AND {sse} > 0.001 THEN"
-        f" {n} * ln({sse} / {n}) + 6 + 24.0 / ({n} - 4) END"
+        f" round({n} * ln({sse} / {n}) + 6 + 24.0 / ({n} - 4), 6) END"
     )
 
 
@@ -191,6 +191,18 @@ dist AS (
   FROM {rows} r JOIN levels USING ({K}))"""
 
 
+# Fixed smoothing fit: level y, slope 0.05 damped by 0.9, a season repeating every four
+# weeks, error variance growing with alpha 0.3 and slope gain 0.1.
+SMOOTH_DIST = f"""
+reach AS (SELECT * FROM (VALUES (1, 0.9), (2, 1.71), (3, 2.439), (4, 3.0951)) AS t(h, reach)),
+smooth_dist AS (
+  SELECT {K}, 'stl' AS model, h, CAST(last_week + 7 * h AS DATE) AS week,
+         y + 0.05 * reach + ((h - 1) % 4) * 0.1 AS mu,
+         sqrt(0.25 * (1 + coalesce((SELECT sum(pow(0.3 + 0.1 * e.reach, 2)) FROM reach e
+                                    WHERE e.h < reach.h), 0))) AS sigma
+  FROM levels CROSS JOIN reach)"""
+
+
 SCENARIO_ROWS = f"""
 cases AS (SELECT * FROM (VALUES (0, 0, 0, 1), (1, 0, 0, 2), (0, 1, 0, 3), (0, 0, 1, 4),
             (1, 1, 0, 5)) AS t(feature, display, tpr_only, fc_ind)),
@@ -283,7 +295,8 @@ def _counts(strict: bool) -> str:
 
 def _longer(source: str, columns: dict[str, str], digits: int) -> str:
     return " UNION ALL ".join(
-        f"SELECT week, category, '{n}' AS col, round(CAST({e} AS DOUBLE), {digits}) AS value"
+        f"SELECT week, category, '{n}' AS col,"
+        f" round(round(CAST({e} AS DOUBLE), 8), {digits}) AS value"
         f" FROM {source}"
         for n, e in columns.items()
     )
@@ -342,6 +355,24 @@ fold AS (
 final AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY {K}, alpha ORDER BY i DESC) = 1)"""
 
 
+def _ols_flags() -> str:
+    """Each slope is that of y on what the other two regressors leave of its own."""
+    part = f"OVER (PARTITION BY {K})"
+    first, second, slopes = [], [], []
+    for x, (u, v) in {"f": ("d", "t"), "d": ("f", "t"), "t": ("f", "d")}.items():
+        first.append(f"{v} - regr_slope({v}, {u}) {part} * {u} AS {x}_v")
+        second.append(
+            f"{x} - regr_slope({x}, {u}) {part} * {u} - regr_slope({x}, {x}_v) {part} * {x}_v"
+            f" AS {x}_rest"
+        )
+        slopes.append(f"regr_slope(y, {x}_rest) AS b_{x}, avg({x}) AS {x}_mean")
+    return f"""
+left_over AS (SELECT *, {', '.join(first)} FROM base),
+own AS (SELECT *, {', '.join(second)} FROM left_over),
+solved AS (SELECT {K}, count(*) AS n_obs, avg(y) AS y_mean, {', '.join(slopes)}
+           FROM own GROUP BY {K})"""
+
+
 def _fourier() -> str:
     angle = "2.0 * pi() * {k} * (date_diff('day', DATE '1970-01-05', week) / 7) / 52.18"
     terms = []
@@ -471,7 +502,7 @@ ORACLE: dict[str, str] = {
     ),
     "category_weekly": _q(
         CATEGORY,
-        "SELECT week, category, round(units, 2) AS units, visits, round(base_price, 2) AS"
+        "SELECT week, category, round(units, 2) AS units, visits, round(round(base_price, 8), 2) AS"
         " base_price, feature, display, tpr_only FROM weekly",
     ),
     "column_summary": _q(PANEL, _column_summary()),
@@ -484,7 +515,8 @@ ORACLE: dict[str, str] = {
     "price_range": _q(
         PANEL,
         """SELECT upc_id, round(min(price), 4) AS min, round(max(price), 4) AS max,
-  round(avg(price), 4) AS mean, round(stddev_samp(price), 4) AS sd FROM panel GROUP BY upc_id""",
+  round(round(avg(price), 8), 4) AS mean,
+  round(round(stddev_samp(price), 8), 4) AS sd FROM panel GROUP BY upc_id""",
     ),
     "outlier_flags": _q(PANEL + "," + _fences("panel"), "SELECT * FROM flags"),
     "outlier_counts": _q(PANEL + "," + _fences("panel"), _counts(False)),
@@ -537,14 +569,34 @@ test_rows AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY week DESC) AS back,
                count(*) OVER (PARTITION BY {K}) AS size FROM filled)
   WHERE back <= 4 AND size > 4 WINDOW w AS (PARTITION BY {K} ORDER BY week)),"""
-        + _fixed_dist("test_rows"),
-        f"SELECT {K}, model, week, {_r('mu, sigma')} FROM dist",
+        + _fixed_dist("test_rows")
+        + ","
+        + SMOOTH_DIST,
+        f"""SELECT {K}, model, week, {_r('mu, sigma')} FROM dist
+  UNION ALL SELECT {K}, model, week, {_r('mu, sigma')} FROM smooth_dist""",
     ),
     "scenarios_fixed_fits": _q(
         FIXED + "," + SCENARIO_ROWS + "," + _fixed_dist("rows_"),
         f"""SELECT {K}, model, fc_ind, week, feature, display, tpr_only, {_r(BANDS)}
   FROM (SELECT *, {_bands()} FROM dist)""",
     ),
+    "forecast_ahead_smoothing": _q(
+        FIXED + "," + SMOOTH_DIST,
+        f"""SELECT {K}, model, week, {_r(BANDS)}
+  FROM (SELECT *, {_bands()} FROM smooth_dist)""",
+    ),
+    "ols_flags": _q(
+        PANEL
+        + f""",
+base AS (SELECT {K}, sqrt(units) AS y, feature AS f, display AS d, tpr_only AS t FROM panel),"""
+        + _ols_flags(),
+        f"""SELECT {K}, n_obs, round(y_mean - b_f * f_mean - b_d * d_mean - b_t * t_mean, 4)
+    AS intercept, round(b_f, 4) AS b_feature, round(b_d, 4) AS b_display,
+    round(b_t, 4) AS b_tpr_only FROM solved""",
+    ),
+    "missingness_by_span": _q(
+        RATIO, f"SELECT {K}, n_na, round(missingness, 6) AS missingness FROM ratio"
+    ),
     "rmse_by_series_model": _q(SCORED, f"SELECT {K}, {_r('arima, stl')} FROM wide"),
     "rmse_strict": _q(SCORED, f"SELECT {K}, model, round(strict_rmse, 4) AS rmse FROM rmse"),
     "rmse_leaderboard": _q(

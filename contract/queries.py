@@ -34,11 +34,21 @@ SCORED = ["arima_base", "arima_lagged", "arima_seasonal", "arima_seasonal_lagged
 NUMBERS = ("units", "visits", "base_price")
 
 
-def rounded(df: DataFrame, digits: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded for comparison across engines."""
+def rounded(
+    df: DataFrame, digits: int = 4, skip: tuple[str, ...] = (), snap: bool = False
+) -> DataFrame:
+    """Doubles rounded for comparison across engines.
+
+    A mean of prices often ends in an exact 5; `snap` first rounds off the noise of
+    the summation order, so that such ties fall the same way everywhere.
+    """
+
+    def number(name: str):
+        return round_scaled(round_scaled(F.col(name), 8) if snap else F.col(name), digits)
+
     return df.select(
         *[
-            round_scaled(F.col(f.name), digits).alias(f.name)
+            number(f.name).alias(f.name)
             if isinstance(f.dataType, T.DoubleType) and f.name not in skip
             else F.col(f.name)
             for f in df.schema.fields
@@ -128,7 +138,8 @@ def standin_scores(spark: SparkSession, sf: str) -> DataFrame:
         )
         k = F.lit(3.0)
         value = n * F.ln(sse / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-        return F.when((n > 12) & (sse > 0.001), value)
+        # Rounded, so that equal fits tie on every engine and the first model wins.
+        return F.when((n > 12) & (sse > 0.001), F.round(value, 6))
 
     return rows.groupBy(*KEYS).agg(*[aicc(x).alias(m) for m, x in regressors.items()])
 
@@ -181,10 +192,22 @@ def standin_fits(spark: SparkSession, sf: str) -> DataFrame:
             level=level,
         )
     )
-    nothing = {
-        c: F.lit(None).cast("double") for c in ("alpha", "slope_gain", "damping", "slope")
-    } | {"season": F.lit(None).cast("array<double>")}
-    return stationary.unionByName(walk).withColumns(nothing).drop("l", "mean")
+    season = F.transform(F.sequence(F.lit(0), F.lit(51)), lambda i: (i % 4) * F.lit(0.1))
+    smoothing = state.select(
+        *KEYS,
+        "last_week",
+        F.lit("ok").alias("status"),
+        F.lit("stl").alias("model"),
+        F.col("l.y").alias("level"),
+        F.lit(0.25).alias("sigma2"),
+        F.lit(0.3).alias("alpha"),
+        F.lit(0.1).alias("slope_gain"),
+        F.lit(0.9).alias("damping"),
+        F.lit(0.05).alias("slope"),
+        season.alias("season"),
+    )
+    arima = stationary.unionByName(walk).drop("l", "mean")
+    return arima.unionByName(smoothing, allowMissingColumns=True)
 
 
 # Cleaning ---------------------------------------------------------------------------------
@@ -235,6 +258,10 @@ def q_missingness(spark, sf):
     return rounded(panel.missing_ratio(panel.count_missing(weekly(spark, sf))), 6)
 
 
+def q_missingness_by_span(spark, sf):
+    return rounded(panel.missing_ratio_by_span(weekly(spark, sf)), 6)
+
+
 def q_series_min_obs(spark, sf):
     return panel.keep_long_series(weekly(spark, sf))
 
@@ -244,14 +271,15 @@ def q_filter_series(spark, sf):
 
 
 def q_sample_series(spark, sf):
-    gaps = panel.count_missing(weekly(spark, sf))
-    return rounded(sampling.sample_series(gaps, derive.products(spark, sf)), 6)
+    ratio = panel.missing_ratio(panel.count_missing(weekly(spark, sf)))
+    return rounded(sampling.sample_series(ratio, derive.products(spark, sf)), 6)
 
 
 def q_sampled_transactions(spark, sf):
-    gaps = panel.count_missing(weekly(spark, sf))
-    picked = sampling.sample_series(gaps, derive.products(spark, sf))
-    return rounded(sampling.sampled_rows(picked, gaps), 6)
+    rows = weekly(spark, sf)
+    ratio = panel.missing_ratio_by_span(rows)
+    picked = sampling.sample_series(ratio, derive.products(spark, sf))
+    return rounded(sampling.sampled_rows(picked, rows), 6)
 
 
 def q_incomplete_series(spark, sf):
@@ -318,7 +346,7 @@ def q_transactions_products(spark, sf):
 
 
 def q_category_weekly(spark, sf):
-    return rounded(category_weeks(spark, sf), 2)
+    return rounded(category_weeks(spark, sf), 2, snap=True)
 
 
 def q_column_summary(spark, sf):
@@ -338,7 +366,7 @@ def q_date_summary(spark, sf):
 
 
 def q_price_range(spark, sf):
-    return rounded(profile.price_range(weekly(spark, sf)))
+    return rounded(profile.price_range(weekly(spark, sf)), snap=True)
 
 
 def q_outlier_flags(spark, sf):
@@ -354,15 +382,15 @@ def q_outlier_counts_strict(spark, sf):
 
 
 def q_product_long(spark, sf):
-    return rounded(rollup.product_long(category_weeks(spark, sf)), 2)
+    return rounded(rollup.product_long(category_weeks(spark, sf)), 2, snap=True)
 
 
 def q_promo_long(spark, sf):
-    return rounded(rollup.promotion_long(category_weeks(spark, sf)))
+    return rounded(rollup.promotion_long(category_weeks(spark, sf)), snap=True)
 
 
 def q_promo_long_one_category(spark, sf):
-    return rounded(rollup.promotion_long(category_weeks(spark, sf), "CAT1"))
+    return rounded(rollup.promotion_long(category_weeks(spark, sf), "CAT1"), snap=True)
 
 
 def q_pair_corr(spark, sf):
@@ -419,14 +447,19 @@ def q_interval_bounds(spark, sf):
     return rounded(standin_forecasts(spark, sf))
 
 
+def q_forecast_ahead_smoothing(spark, sf):
+    fits = standin_fits(spark, sf).where(F.col("model") == "stl")
+    return rounded(forecast.forecast_next(fits, 4).drop(*FLAGS))
+
+
 def q_forecast_fixed_fits(spark, sf):
     _, test = panel.holdout_split(filled(spark, sf))
     return rounded(forecast.forecast(standin_fits(spark, sf), test, 4).drop(*FLAGS))
 
 
 def q_scenarios_fixed_fits(spark, sf):
-    rows = panel.drop_last_rows(filled(spark, sf), 4)
-    return rounded(forecast.forecast_scenarios(standin_fits(spark, sf), rows))
+    fits = standin_fits(spark, sf).where(F.col("model") != "stl")
+    return rounded(forecast.forecast_scenarios(fits))
 
 
 # Scores and views -------------------------------------------------------------------------
@@ -514,16 +547,15 @@ def q_series_rmse(spark, sf):
 
 def q_scenario_lookup(spark, sf):
     rows = panel.drop_last_rows(filled(spark, sf), 4)
-    scenarios = forecast.forecast_scenarios(
-        standin_fits(spark, sf).where(F.col("model") == "arima"), rows
-    )
+    fits = standin_fits(spark, sf).where(F.col("model") == "arima")
+    scenarios = forecast.forecast_scenarios(fits)
     stl = standin_forecasts(spark, sf).where(F.col("model") == "stl")
     return rounded(dashboard.scenario_view(rows, scenarios, stl, feature=1, display=1))
 
 
 def q_scenario_lookup_invalid(spark, sf):
     rows = panel.drop_last_rows(filled(spark, sf), 4)
-    scenarios = forecast.forecast_scenarios(standin_fits(spark, sf), rows)
+    scenarios = forecast.forecast_scenarios(standin_fits(spark, sf))
     stl = standin_forecasts(spark, sf).where(F.col("model") == "stl")
     return rounded(dashboard.scenario_view(rows, scenarios, stl, feature=1, tpr_only=1))
 
@@ -574,22 +606,21 @@ def q_forecast_holdout(spark, sf):
 
 
 def q_forecast_scenarios(spark, sf):
-    rows = filled(spark, sf)
-    fits = fit.train_models(rows).where(F.col("model") == "arima")
-    return forecast.forecast_scenarios(fits, rows)
+    fits = fit.train_models(filled(spark, sf)).where(F.col("model") == "arima")
+    return forecast.forecast_scenarios(fits)
 
 
 def q_forecast_stl(spark, sf):
-    rows = filled(spark, sf)
-    fits = fit.train_models(rows).where(F.col("model") == "stl")
-    return forecast.forecast_next(fits, rows).drop(*FLAGS)
+    fits = fit.train_models(filled(spark, sf)).where(F.col("model") == "stl")
+    return forecast.forecast_next(fits).drop(*FLAGS)
 
 
 def _sample(spark, sf):
     """Both halves of the imputed sample; the imputation runs once."""
-    gaps = panel.count_missing(weekly(spark, sf))
-    picked = sampling.sample_series(gaps, derive.products(spark, sf))
-    return panel.calendar_split(cut(impute.impute(sampling.sampled_rows(picked, gaps))))
+    rows = weekly(spark, sf)
+    ratio = panel.missing_ratio_by_span(rows)
+    picked = sampling.sample_series(ratio, derive.products(spark, sf))
+    return panel.calendar_split(cut(impute.impute(sampling.sampled_rows(picked, rows))))
 
 
 def q_validation_aicc(spark, sf):

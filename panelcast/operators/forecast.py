@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import fourier
@@ -16,7 +16,6 @@ from panelcast.functions.decompose import PERIOD
 from panelcast.functions.intervals import back_transform
 from panelcast.operators.features import SCENARIOS, add_scenarios, fill_flags
 from panelcast.operators.fit import FOURIER, LAGS, PROMOTION, fitted_only
-from panelcast.operators.panel import future_rows
 from panelcast.spec import FLAGS, WEEKLY, PanelSpec
 
 
@@ -103,26 +102,9 @@ def smoothing_path(horizon: int, period: int = PERIOD) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(horizon)), point)
 
 
-def forecast(
-    fits: DataFrame,
-    future: DataFrame,
-    horizon: int,
-    design: Sequence[str] = PROMOTION,
-    extra: Sequence[str] = (),
-    spec: PanelSpec = WEEKLY,
-) -> DataFrame:
-    """Mean and standard deviation (square-root scale) for every future row and model.
-
-    A lagged flag reads the previous future row; at the first one, the last
-    observed flag kept in the fit. `extra` columns (a scenario number) separate
-    several futures of one series and are carried through. Rows more than
-    `horizon` steps past the fit get NULL.
-    """
-    flags = fill_flags(future.select(*spec.row_id, *FLAGS, *extra))
-    order = Window.partitionBy(*spec.keys, *extra).orderBy(spec.index)
-    rows = flags.withColumns({f"_prev_{f}": F.lag(f, 1).over(order) for f in FLAGS})
-
-    state = fitted_only(fits).select(
+def _state(fits: DataFrame, horizon: int, spec: PanelSpec) -> DataFrame:
+    """What a forecast needs of each fit, with the error process rolled forward."""
+    return fitted_only(fits).select(
         *spec.keys,
         "model",
         "last_week",
@@ -133,31 +115,73 @@ def forecast(
         .otherwise(arma_path(horizon))
         .alias("path"),
     )
-    joined = rows.join(state, on=spec.key_list, how="inner")
 
-    seasonal = fourier(F.col(spec.index))
+
+def _distribution(h: Column, previous: dict[str, Column], design: Sequence[str], week: str) -> dict:
+    """mu and sigma of a row that holds a fit's state and the flags of its week.
+
+    `previous` gives last week's flag, NULL at the first step, where the last
+    observed flag kept in the fit stands in.
+    """
+    seasonal = fourier(F.col(week))
     regressors = []
     for name in design:
         if name in LAGS:
             flag = name.removeprefix("lag_")
             last = F.get("x_last", F.lit(design.index(flag)))
-            regressors.append(F.coalesce(F.col(f"_prev_{flag}").cast("double"), last))
+            regressors.append(F.coalesce(previous[flag].cast("double"), last))
         elif name in FOURIER:
             regressors.append(seasonal[name])
         else:
             regressors.append(F.col(name).cast("double"))
     x = F.array(*regressors) if regressors else F.array().cast("array<double>")
     effect = F.coalesce(_sum(F.zip_with("beta", x, lambda b, v: b * v)), F.lit(0.0))
-    h = (F.datediff(spec.index, "last_week") / spec.step_days).cast("int")
     point = F.try_element_at("path", h)
-    return joined.withColumn("_p", point).select(
-        *spec.keys,
-        "model",
-        *extra,
-        spec.index,
-        *FLAGS,
-        (F.col("_p.mu") + F.coalesce("const", F.lit(0.0)) + effect).alias("mu"),
-        F.col("_p.sd").alias("sigma"),
+    return {
+        "mu": point["mu"] + F.coalesce("const", F.lit(0.0)) + effect,
+        "sigma": point["sd"],
+    }
+
+
+def forecast(
+    fits: DataFrame,
+    future: DataFrame,
+    horizon: int,
+    design: Sequence[str] = PROMOTION,
+    spec: PanelSpec = WEEKLY,
+) -> DataFrame:
+    """Mean and standard deviation (square-root scale) for given future rows and their flags.
+
+    Rows more than `horizon` steps past the fit get NULL.
+    """
+    flags = fill_flags(future.select(*spec.row_id, *FLAGS))
+    rows = flags.withColumns({f"_prev_{f}": F.lag(f, 1).over(spec.in_order()) for f in FLAGS})
+    joined = rows.join(_state(fits, horizon, spec), on=spec.key_list, how="inner")
+    h = (F.datediff(spec.index, "last_week") / spec.step_days).cast("int")
+    previous = {f: F.col(f"_prev_{f}") for f in FLAGS}
+    return joined.withColumns(_distribution(h, previous, design, spec.index)).select(
+        *spec.keys, "model", spec.index, *FLAGS, "mu", "sigma"
+    )
+
+
+def forecast_ahead(
+    fits: DataFrame,
+    n: int,
+    scenarios: Sequence[tuple[int, ...]],
+    design: Sequence[str] = PROMOTION,
+    spec: PanelSpec = WEEKLY,
+) -> DataFrame:
+    """The same for the next `n` steps under each scenario, held over all of them.
+
+    Every row comes from its fit alone: no history, no join, no shuffle.
+    """
+    steps = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    rows = add_scenarios(_state(fits, n, spec).withColumn("h", steps), scenarios).withColumn(
+        spec.index, F.date_add("last_week", F.col("h") * spec.step_days)
+    )
+    previous = {f: F.when(F.col("h") > 1, F.col(f)) for f in FLAGS}
+    return rows.withColumns(_distribution(F.col("h"), previous, design, spec.index)).select(
+        *spec.keys, "model", "fc_ind", spec.index, *FLAGS, "mu", "sigma"
     )
 
 
@@ -168,25 +192,19 @@ def add_intervals(forecasts: DataFrame) -> DataFrame:
 
 
 def forecast_next(
-    fits: DataFrame,
-    panel: DataFrame,
-    n: int = 2,
-    design: Sequence[str] = PROMOTION,
-    spec: PanelSpec = WEEKLY,
+    fits: DataFrame, n: int = 2, design: Sequence[str] = PROMOTION, spec: PanelSpec = WEEKLY
 ) -> DataFrame:
     """The next `n` weeks without promotions."""
-    future = future_rows(panel, n, spec).withColumns({f: F.lit(0) for f in FLAGS})
-    return add_intervals(forecast(fits, future, n, design, (), spec))
+    ahead = forecast_ahead(fits, n, SCENARIOS[:1], design, spec)
+    return add_intervals(ahead).drop("fc_ind")
 
 
 def forecast_scenarios(
     fits: DataFrame,
-    panel: DataFrame,
     n: int = 2,
     scenarios: Sequence[tuple[int, ...]] = SCENARIOS,
     design: Sequence[str] = PROMOTION,
     spec: PanelSpec = WEEKLY,
 ) -> DataFrame:
     """The next `n` weeks under every promotion scenario, numbered in `fc_ind`."""
-    future = add_scenarios(future_rows(panel, n, spec), scenarios)
-    return add_intervals(forecast(fits, future, n, design, ("fc_ind",), spec))
+    return add_intervals(forecast_ahead(fits, n, scenarios, design, spec))

@@ -76,6 +76,19 @@ def missing_ratio(df: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
     )
 
 
+def missing_ratio_by_span(
+    df: DataFrame, value: str = "units", spec: PanelSpec = WEEKLY
+) -> DataFrame:
+    """The same from the unfilled panel: the span of a series tells how many steps it has.
+
+    One grouped aggregate; nothing is filled to be counted.
+    """
+    span = F.datediff(F.max(spec.index), F.min(spec.index))
+    steps = (span / spec.step_days).cast("bigint") + 1
+    n_na = steps - F.count(value)
+    return df.groupBy(*spec.keys).agg(n_na.alias("n_na"), (n_na / steps).alias("missingness"))
+
+
 def keep_long_series(df: DataFrame, more_than: int = 12, spec: PanelSpec = WEEKLY) -> DataFrame:
     """Series with more than `more_than` observed rows. Run before gap filling."""
     return (

@@ -1,4 +1,4 @@
-"""Least squares per group from sums of products."""
+"""Least squares per group from covariances."""
 
 from __future__ import annotations
 
@@ -26,27 +26,38 @@ def least_squares(
 ) -> DataFrame:
     """Intercept and slopes of `y` on `xs` per group, over rows where all are known.
 
-    Rows are reduced to sums of products, which combine map-side, so a group may
-    be of any size; only the small solve per group leaves the JVM.
+    Rows are reduced to covariances, which combine map-side, so a group may be of
+    any size; only the small solve per group leaves the JVM. A regressor that does
+    not move in a group has slope 0 there.
     """
-    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
+    columns = [F.col(c).cast("double") for c in xs]
+    target = F.col(y).cast("double")
     known = df.where(F.col(y).isNotNull())
     for c in xs:
         known = known.where(F.col(c).isNotNull())
-    k = len(terms)
-    target = F.col(y).cast("double")
+    k = len(columns)
     sums = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_obs"),
-        *[F.sum(terms[i] * terms[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)],
-        *[F.sum(terms[i] * target).alias(f"c{i}") for i in range(k)],
+        F.avg(target).alias("y_mean"),
+        *[F.avg(c).alias(f"mean{i}") for i, c in enumerate(columns)],
+        *[
+            F.covar_pop(columns[i], columns[j]).alias(f"m{i}_{j}")
+            for i in range(k)
+            for j in range(i, k)
+        ],
+        *[F.covar_pop(c, target).alias(f"c{i}") for i, c in enumerate(columns)],
     )
     moments = F.array(*[f"m{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)])
-    coef = _solve(moments, F.array(*[f"c{i}" for i in range(k)]))
-    return sums.select(*by, "n_obs", coef.alias("coef")).select(
+    slopes = _solve(moments, F.array(*[f"c{i}" for i in range(k)])).alias("slopes")
+    means = [f"mean{i}" for i in range(k)]
+    intercept = F.col("y_mean")
+    for i, m in enumerate(means):
+        intercept = intercept - F.col("slopes")[i] * F.col(m)
+    return sums.select(*by, "n_obs", "y_mean", *means, slopes).select(
         *by,
         "n_obs",
-        F.col("coef")[0].alias("intercept"),
-        *[F.col("coef")[i + 1].alias(f"b_{c}") for i, c in enumerate(xs)],
+        intercept.alias("intercept"),
+        *[F.col("slopes")[i].alias(f"b_{c}") for i, c in enumerate(xs)],
     )
 
 

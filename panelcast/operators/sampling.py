@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.panel import missing_ratio
+from panelcast.operators.panel import count_missing
 from panelcast.spec import WEEKLY, PanelSpec
 
 
 def sample_series(
-    with_missing: DataFrame,
+    ratio: DataFrame,
     products: DataFrame,
     below: float = 0.25,
     seed: int = 42,
@@ -18,16 +18,14 @@ def sample_series(
 ) -> DataFrame:
     """Pick a series per (store, category) among those missing less than `below`.
 
-    The draw orders series by a seeded hash of their keys, so it repeats on any
-    cluster. It is a minimum, which combines map-side: a cell holding most of
-    the series is never gathered.
+    `ratio` has one row per series with its `missingness`. The draw orders series
+    by a seeded hash of their keys, so it repeats on any cluster. It is a minimum,
+    which combines map-side: a cell holding most of the series is never gathered.
     """
     store, upc = spec.keys
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(store), F.col(upc)))
-    series = (
-        missing_ratio(with_missing, spec)
-        .where(F.col("missingness") < below)
-        .join(products.select(upc, "category"), upc, "left")
+    series = ratio.where(F.col("missingness") < below).join(
+        products.select(upc, "category"), upc, "left"
     )
     return (
         series.groupBy(store, "category")
@@ -37,6 +35,8 @@ def sample_series(
 
 
 def sampled_rows(
-    samples: DataFrame, with_missing: DataFrame, spec: PanelSpec = WEEKLY
+    samples: DataFrame, transactions: DataFrame, spec: PanelSpec = WEEKLY
 ) -> DataFrame:
-    return samples.join(with_missing, on=spec.key_list, how="inner")
+    """The gap-filled rows of the picked series. Others are left out before filling."""
+    picked = transactions.join(samples.select(*spec.keys), spec.key_list, "left_semi")
+    return samples.join(count_missing(picked, spec=spec), on=spec.key_list, how="inner")

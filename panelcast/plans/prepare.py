@@ -10,10 +10,10 @@ from panelcast.operators.clean import convert_sizes, format_transactions, merge_
 from panelcast.operators.impute import impute
 from panelcast.operators.panel import (
     calendar_split,
-    count_missing,
     filter_series,
     full_panel,
     holdout_split,
+    missing_ratio_by_span,
 )
 from panelcast.operators.sampling import sample_series, sampled_rows
 from panelcast.sources.tables import clean_names, rename_keys, write_panel, write_table
@@ -59,8 +59,9 @@ def model_inputs(
     holdout: int = 4,
 ) -> ModelInputs:
     """The imputed validation sample with its calendar split, and the full holdout split."""
-    gaps = count_missing(transactions, spec=spec)
-    sample = sampled_rows(sample_series(gaps, products, below, seed, spec), gaps, spec)
+    ratio = missing_ratio_by_span(transactions, spec=spec)
+    picked = sample_series(ratio, products, below, seed, spec)
+    sample = sampled_rows(picked, transactions, spec)
     sample_train, sample_val = calendar_split(impute(sample, spec), spec=spec)
     train, test = holdout_split(filter_series(transactions, min_obs, spec), holdout, spec)
     return ModelInputs(sample_train, sample_val, train, test)
@@ -71,8 +72,8 @@ def write_model_inputs(
 ) -> None:
     """Write the five model tables. Each split is read back from one written panel, so
     gap filling and imputation run once."""
-    gaps = count_missing(transactions)
-    sample = sampled_rows(sample_series(gaps, products), gaps)
+    picked = sample_series(missing_ratio_by_span(transactions), products)
+    sample = sampled_rows(picked, transactions)
     write_panel(impute(sample), f"{out}/sample.parquet")
     sample_train, sample_val = calendar_split(spark.read.parquet(f"{out}/sample.parquet"))
     write_panel(sample_train, f"{out}/sample_train.parquet")

@@ -39,14 +39,16 @@ def write_training(spark: SparkSession, train: DataFrame, test: DataFrame, out:
     write_table(residuals(fits), f"{out}/residuals.parquet")
 
 
-def write_forecasts(spark: SparkSession, train: DataFrame, test: DataFrame, out: str) -> None:
-    """Forecast tables from the written fits: holdout, seasonal and scenario."""
+def write_forecasts(spark: SparkSession, test: DataFrame, out: str) -> None:
+    """Forecast tables from the written fits: holdout, seasonal and scenario.
+
+    Only the holdout needs rows beside the fits; the others start from the fit table.
+    """
     fit_train = read_fits(spark, f"{out}/fit_train.parquet")
     write_table(holdout_forecast(fit_train, test), f"{out}/fc_train.parquet")
 
     fits = read_fits(spark, f"{out}/fit.parquet")
-    panel = full_panel(train, test)
-    seasonal = forecast_next(fits.where(F.col("model") == "stl"), panel)
+    seasonal = forecast_next(fits.where(F.col("model") == "stl"))
     write_table(seasonal.drop("feature", "display", "tpr_only"), f"{out}/fc_stl.parquet")
-    scenarios = forecast_scenarios(fits.where(F.col("model") == "arima"), panel)
+    scenarios = forecast_scenarios(fits.where(F.col("model") == "arima"))
     write_table(scenarios, f"{out}/fc_arima.parquet")

@@ -43,7 +43,7 @@ def rmse_table(
 ) -> DataFrame:
     """RMSE of the finalists on the held-out month, one column per model."""
     kept = fits.where(F.col("model").isin(*FINALISTS))
-    fc = add_intervals(forecast(kept, sample_val, horizon, SEASONAL, (), spec))
+    fc = add_intervals(forecast(kept, sample_val, horizon, SEASONAL, spec))
     return models_wide(rmse(with_actuals(fc, sample_val, spec)), "rmse", FINALISTS, spec.key_list)
 
 

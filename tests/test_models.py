@@ -145,7 +145,7 @@ def test_interval_coverage_and_order(promo):
 
 def test_scenarios_move_by_the_effects(promo, promo_fits):
     arima = promo_fits.where("model = 'arima'")
-    fc = forecast.forecast_scenarios(arima, promo)
+    fc = forecast.forecast_scenarios(arima)
     assert fc.count() == 60 * 5 * 2
     by = {r.fc_ind: r.m for r in fc.groupBy("fc_ind").agg(F.avg(F.sqrt("p_units")).alias("m")).collect()}
     assert by[2] - by[1] == pytest.approx(1.5, abs=0.1)
@@ -156,7 +156,7 @@ def test_first_future_week_reads_the_last_flag(spark, promo):
     """Two panels differing only in the last observed flag differ by the lag effect."""
     fits = fit.train_models(promo).where("model = 'arima'").limit(1).cache()
     flipped = fits.withColumn("x_last", F.transform("x_last", lambda v: 1 - v))
-    a, b = (forecast.forecast(f, forecast.add_scenarios(panel.future_rows(promo, 2)), 2, extra=("fc_ind",)) for f in (fits, flipped))
+    a, b = (forecast.forecast_ahead(f, 2, forecast.SCENARIOS) for f in (fits, flipped))
     pairs = a.join(b.select(*KEYS, "week", "fc_ind", F.col("mu").alias("mu2")), [*KEYS, "week", "fc_ind"])
     moved = pairs.withColumn("gap", F.round(F.abs(F.col("mu") - F.col("mu2")), 9)).groupBy("week").agg(F.max("gap").alias("g")).orderBy("week").collect()
     assert moved[0].g > 0 and moved[1].g == 0

@@ -125,14 +125,14 @@ def test_scenarios_multiply_future_rows(spark):
 
 
 def test_sample_is_one_series_per_cell_and_repeats(spark, small):
-    gaps = panel.count_missing(derive.transactions(spark, small))
+    ratio = panel.missing_ratio_by_span(derive.transactions(spark, small))
     products = derive.products(spark, small)
-    first = sampling.sample_series(gaps, products)
-    again = sampling.sample_series(gaps.repartition(3), products.repartition(2))
+    first = sampling.sample_series(ratio, products)
+    again = sampling.sample_series(ratio.repartition(3), products.repartition(2))
     rows = sorted(map(tuple, first.collect()))
     assert len(rows) == 12 and rows == sorted(map(tuple, again.collect()))
     assert len({(r[0], r[2]) for r in rows}) == 12
-    other = sampling.sample_series(gaps, products, seed=7)
+    other = sampling.sample_series(ratio, products, seed=7)
     assert sorted(map(tuple, other.collect())) != rows
 
 

@@ -64,7 +64,7 @@ def test_model_inputs(spark, out):
 def test_training_and_forecasts(spark, out):
     train, test = (spark.read.parquet(f"{out}/{n}.parquet") for n in ("train", "test"))
     training.write_training(spark, train, test, out)
-    training.write_forecasts(spark, train, test, out)
+    training.write_forecasts(spark, test, out)
     holdout = spark.read.parquet(f"{out}/fc_train.parquet")
     scenarios = spark.read.parquet(f"{out}/fc_arima.parquet")
     seasonal = spark.read.parquet(f"{out}/fc_stl.parquet")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelcast.functions import arma, decompose
 from panelcast.functions.intervals import square_bound
 from panelcast.operators.features import fill_flags, fourier_features, lag_features
-from panelcast.spec import FLAGS, WEEKLY, PanelSpec, fit_tasks
+from panelcast.spec import FLAGS, WEEKLY, PanelSpec, deal_series
 
 LAGS = tuple(f"lag_{f}" for f in FLAGS)
 FOURIER = tuple(f"{t}{i}" for i in range(1, 7) for t in ("s", "c"))
@@ -81,8 +81,7 @@ def series_rows(
 
     The panel is unique per week, so an array is as long as the calendar at most.
     Windows and arrays share one exchange by key. The finished rows are then dealt
-    out evenly: adaptive execution merges that exchange by bytes, while fits cost
-    time per series, some hundred times what moving the row costs.
+    out evenly: fits cost time per series, far more than moving the row.
     """
     featured = design_matrix(panel, design, spec)
     point = F.struct(
@@ -92,7 +91,7 @@ def series_rows(
         if design
         else F.array().cast("array<double>").alias("x"),
     )
-    return (
+    rows = (
         featured.groupBy(*spec.keys)
         .agg(F.array_sort(F.collect_list(point)).alias("s"))
         .select(
@@ -102,8 +101,8 @@ def series_rows(
             F.transform("s", lambda p: p["y"]).alias("units"),
             F.flatten(F.transform("s", lambda p: p["x"])).alias("x"),
         )
-        .repartition(tasks or fit_tasks(panel.sparkSession))
     )
+    return deal_series(rows, tasks)
 
 
 def fit_models(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.rows import row_argmin, row_mean, strict
 from panelcast.operators.quantiles import exact_quantiles
-from panelcast.spec import WEEKLY, PanelSpec
+from panelcast.spec import WEEKLY, PanelSpec, deal_series
 
 
 def with_actuals(forecasts: DataFrame, actuals: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
@@ -96,7 +96,7 @@ def acf(
         F.array_sort(F.collect_list(F.struct(F.col(index).alias("t"), F.col(value).cast("double").alias("x")))).alias("s"),
         F.avg(F.col(value).cast("double")).alias("mean"),
     )
-    centred = rows.select(
+    centred = deal_series(rows).select(
         *by,
         F.transform("s", lambda p: F.coalesce(p["x"] - F.col("mean"), F.lit(0.0))).alias("z"),
     ).withColumn("power", F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))

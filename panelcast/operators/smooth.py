@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.spec import WEEKLY, PanelSpec
+from panelcast.spec import WEEKLY, PanelSpec, deal_series
 
 ALPHA_GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
@@ -16,7 +16,7 @@ def _ordered(df: DataFrame, value: str, spec: PanelSpec) -> DataFrame:
     point = F.struct(F.col(spec.index).alias("t"), F.col(value).cast("double").alias("y"))
     known = df.where(F.col(value).isNotNull())
     rows = known.groupBy(*spec.keys).agg(F.array_sort(F.collect_list(point)).alias("s"))
-    return rows.select(*spec.keys, F.transform("s", lambda p: p["y"]).alias("y"))
+    return deal_series(rows.select(*spec.keys, F.transform("s", lambda p: p["y"]).alias("y")))
 
 
 def _smooth(alpha: Column) -> Column:

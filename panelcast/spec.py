@@ -53,6 +53,15 @@ def fit_tasks(spark: SparkSession) -> int:
     )
 
 
+def deal_series(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Spread one-row-per-series arrays evenly before costly work on each.
+
+    Adaptive execution sizes partitions by bytes and would put a small panel's
+    series in one task.
+    """
+    return df.repartition(tasks or fit_tasks(df.sparkSession))
+
+
 def by_series(df: DataFrame, spec: PanelSpec = WEEKLY, tasks: int | None = None) -> DataFrame:
     """Hash-partition by series; the windows and groupings that follow reuse the exchange."""
     return df.repartition(tasks or fit_tasks(df.sparkSession), *spec.keys)

@@ -3,8 +3,9 @@
 Runs inside the tasks of the grouped fit. Time is a loop; series and candidate
 orders are vector lanes, and shorter series are padded in front with NaN. Orders
 are chosen by AICc over a fixed grid, started by Hannan and Rissanen's regression
-and refined by Gauss-Newton on the conditional sum of squares. A missing response
-contributes no innovation and is carried at its prediction.
+and refined by Gauss-Newton on the conditional sum of squares. While fitting, a
+missing response contributes no innovation and is carried at its prediction; the
+filled series then interpolates it from both sides.
 
 Shapes: steps x series, steps x series x regressors, and orders x series x
 parameters, where parameters are regressors, two AR terms, two MA terms. Terms
@@ -146,6 +147,38 @@ def _kpss(n, seen):
     return (np.cumsum(z, 0) ** 2).sum(0) / count / np.maximum(var, 1e-12)
 
 
+def interpolate(noise, known, terms, d):
+    """Missing values of one ARIMA series that make its innovations smallest.
+
+    Innovations are linear in the missing values, so both neighbours of a gap count;
+    past the last known value this is the forecast. Steps before the first known
+    value take the mean, or that value if the series was differenced.
+    """
+    begin, lag = int(known.argmax()), np.flatnonzero(terms[:MAX_ORDER])
+    n, gaps = noise[begin:].copy(), np.flatnonzero(~known[begin:])
+    lead = np.full(begin, n[0] if d else 0.0)
+    if not len(gaps):
+        return np.concatenate([lead, n])
+    ar = np.concatenate([[1.0], -terms[:MAX_ORDER]])
+    ar = np.convolve(ar, [1.0, -1.0]) if d else ar
+    first = (int(lag.max()) + 1 if len(lag) else 0) + int(d)
+    n[gaps] = 0.0
+    # Column 0 is the known part, the others are one unit in each gap.
+    parts = np.zeros((len(n), len(gaps) + 1))
+    parts[:, 0], parts[gaps, np.arange(1, len(gaps) + 1)] = n, 1.0
+    e = np.zeros_like(parts)
+    for i, c in enumerate(ar):
+        e[i:] += c * parts[: len(parts) - i]
+    e[:first] = 0.0
+    t1, t2 = terms[MAX_ORDER:]
+    if t1 or t2:
+        for t in range(1, len(e)):
+            e[t] -= t1 * e[t - 1] + (t2 * e[t - 2] if t > 1 else 0.0)
+    unit = e[:, 1:]
+    n[gaps] = _solve((unit.T @ unit)[None], -(unit.T @ e[:, 0])[None])[0]
+    return np.concatenate([lead, n])
+
+
 def lanes_within(budget, steps, k):
     """Series whose derivatives stay within `budget` bytes."""
     return max(1, budget // (8 * steps * len(ORDERS) * (k + 1 + 2 * MAX_ORDER)))
@@ -204,14 +237,10 @@ def fit_block(y, x, fixed_d=None):
     ok = np.isfinite(best_aicc)
     e, n = (a[:, 0] for a in _filter(w, wx, seen, live, best[None])[:2])
     fit_x = np.einsum("tsk,sk->ts", design, best[:, : k + 1])
-    filled = np.empty((steps, lanes))
-    filled[0] = np.where(known[0], flat_y[0], np.where(diff, 0.0, n[0] + fit_x[0]))
-    begun = known[0].copy()
-    for t in range(1, steps):
-        stride = filled[t - 1] + n[t] + fit_x[t] - fit_x[t - 1]
-        pred = np.where(diff, np.where(begun, stride, 0.0), n[t] + fit_x[t])
-        filled[t] = np.where(known[t], flat_y[t], pred)
-        begun |= known[t]
+    noise = flat_y - fit_x
+    for i in np.flatnonzero(ok & (known.sum(0) < steps)):
+        noise[:, i] = interpolate(noise[:, i], known[:, i], best[i, k + 1 :], d[i])
+    filled = noise + fit_x
     dof = np.maximum(n_eff - rank - order.sum(1), 1)
     return {
         "ok": ok,

@@ -13,9 +13,13 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is `spark.checkpoint.dir`. Only a local session without one gets a
     folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="panelcast-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -12,6 +12,9 @@ A null text counts as empty. Empty texts give only the begin and end ids and dec
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from collections import Counter
 from collections.abc import Iterable
 
 import ahocorasick
@@ -25,7 +28,7 @@ from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of each memo table; a full table is emptied, which costs time and changes nothing.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def read_model(path: str) -> dict:
@@ -52,6 +55,9 @@ def read_model(path: str) -> dict:
     }
 
 
+assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are packed as the machine holds them"
+
+
 class Memo(dict):
     """Values of a function by argument, emptied when full."""
 
@@ -68,28 +74,62 @@ class Memo(dict):
 class PieceCodec:
     def __init__(self, model: dict):
         pieces, kinds = model["pieces"], model["kinds"]
-        self.model = model
+        self.model, self.pieces = model, pieces
         self.ids = {p: i for i, p in enumerate(pieces) if kinds[i] == NORMAL}
+        if any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("each character of a piece must be a piece")
         self.score = {p: model["scores"][i] for p, i in self.ids.items()}
+        self.size = [len(p) for p in pieces]
+        # Merges in the order in which they are made; characters stand before all. Pieces whose score
+        # another piece has too are told apart by place alone, so their pairs are merged outright.
+        scores = sorted({self.score[p] for p in self.ids if len(p) > 1}, reverse=True)
+        order = {x: i + 1 for i, x in enumerate(scores)}
+        self.rank = [order[self.score[p]] if p in self.ids and len(p) > 1 else 0 for p in pieces]
+        shared = {r for r, n in Counter(self.rank).items() if n > 1 and r}
+        self.tied = [r in shared for r in self.rank]
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, i)
         if self.ids:
             self.automaton.make_automaton()
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == BYTE}
-        self.shorter, self.pair = Memo(self._shorter), Memo(self._pair_stays)
-        self.encoded = Memo(lambda part: np.array(self.encode_part(part), "<u4").tobytes())
-        # No piece spans a step from text to space or a line end: such places cut a text into independent parts.
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        line = "" if any("\n" in p for p in self.ids) else "\n"
-        self.parts = re.compile(f"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+".lstrip("|")) if not inner else None
+        self.known, self.most = set("".join(self.ids)), max(map(len, self.ids), default=1)
+        # The automaton's path through a text ends with a prefix of some piece; fit has the longest piece in it.
+        self.fit = Memo(lambda s: next(self.ids[s[:n]] for n in range(len(s), 0, -1) if s[:n] in self.ids))
+        self.shorter, self.pair, self.halves = Memo(self._shorter), Memo(self._pair_stays), Memo(self._halves)
+        self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes())
+        self.parts = self._part_pattern()
         self.surface = [self._surface(p, k) for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.is_control = np.array([k == CONTROL for k in kinds], bool)
 
+    def _part_pattern(self) -> re.Pattern | None:
+        """Cuts a text where no piece can span: before spaces, around line ends, and between letters or
+        digits and those marks that no piece joins to them. None if a piece has a space inside."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return None
+        letters = "0-9A-Za-z\u00c0-\u024f"
+        letter = re.compile(f"[{letters}]")
+        marks = {c for p in self.ids for c in p if c.isascii() and not letter.match(c)}
+        for p in self.ids:
+            for a, b in zip(p, p[1:], strict=False):
+                marks -= {a} if letter.match(b) else {b} if letter.match(a) else set()
+        kinds = re.escape("".join(sorted(marks))) or SPACE
+        line = "" if any("\n" in p for p in self.ids) else "\n"
+        ways = [
+            rf"{SPACE}*[{letters}]+(?=[{kinds}{SPACE}{line}]|\Z)",
+            rf"{SPACE}*[{kinds}]+(?=[{letters}{SPACE}{line}]|\Z)",
+            f"{SPACE}*[^{SPACE}{line}]+",
+            f"{SPACE}+",
+        ]
+        return re.compile("|".join(ways + [line] * bool(line)))
+
     def merge(self, text: str) -> list[str]:
         """Best-scored merge first, leftmost of equals: the definition, for short texts."""
-        parts = list(text)
+        return self._merge(text)[0]
+
+    def _merge(self, text: str) -> tuple[list[str], tuple[str, str]]:
+        parts, last = list(text), ("", "")
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -98,52 +138,85 @@ class PieceCodec:
                     best, at = score, i
             if best is None:
                 break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _pair_stays(self, pair: tuple[str, str]) -> bool:
-        first, second = pair
-        return self.merge(first + second) == ([first, second] if first else [second])
+        return parts, last
+
+    def _halves(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes a piece last; None if merging its text doesn't give it."""
+        parts, (a, b) = self._merge(self.pieces[piece])
+        return (self.ids[a], self.ids[b]) if len(parts) == 1 and a else (piece, piece) if len(parts) == 1 else None
+
+    def _pair_stays(self, key: int) -> bool:
+        """Whether merging the text of two adjacent pieces gives just these two.
+
+        The merges inside both are undone, the latest first; the pair stays if no merge across the
+        boundary would have come before the next one undone.
+        """
+        first, second = (key >> 32) - 1, key & 0xFFFFFFFF
+        if self.halves[second] is None or (first >= 0 and self.halves[first] is None):
+            return False
+        if first < 0:
+            return True
+        rank, pieces = self.rank, self.pieces
+        if self.tied[first] or self.tied[second]:
+            return self.merge(pieces[first] + pieces[second]) == [pieces[first], pieces[second]]
+        limit = len(pieces) + 1
+        while True:
+            across = self.ids.get(pieces[first] + pieces[second])
+            if across is not None and rank[across] < limit:
+                return False
+            if rank[first] > rank[second]:
+                limit, first = rank[first], self.halves[first][1]
+            elif rank[second]:
+                limit, second = rank[second] + 1, self.halves[second][0]
+            else:
+                return True
 
-    def _shorter(self, piece: str) -> str:
-        """The longest piece that begins this one, at last its first character; else ''."""
-        for n in range(len(piece) - 1, 0, -1):
-            if n == 1 or piece[:n] in self.ids:
-                return piece[:n]
-        return ""
+    def _shorter(self, piece: int) -> int:
+        """The longest piece that begins this one; -1 for a character."""
+        text = self.pieces[piece]
+        return next((self.ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ids), -1)
 
     def encode_part(self, text: str) -> list[int]:
-        """Ids of one part by longest matches and backtracking."""
+        """Ids of one part. Characters that are no pieces merge with nothing and part what is between."""
+        if self.known.issuperset(text):
+            return self.backtrack(text)
+        known, out, begin = self.known, [], 0
+        for at, c in enumerate(text):
+            if c not in known:
+                out += self.backtrack(text[begin:at])
+                out += [self.bytes_at[b] for b in c.encode()] if self.model["byte_fallback"] else [self.model["unk"]]
+                begin = at + 1
+        return out + self.backtrack(text[begin:])
+
+    def backtrack(self, text: str) -> list[int]:
+        """Ids of a text of known characters, by longest matches and steps back."""
         n = len(text)
-        longest = [1] * n
-        if self.ids:
-            for end, length in self.automaton.iter(text):  # ends ascend: the last for a start is its longest
-                longest[end - length + 1] = length
+        if not n:
+            return []
+        size, pair, shorter = self.size, self.pair, self.shorter
+        reach, fit, most = self.automaton.longest_prefix, self.fit, self.most
         open_at = bytearray(b"\x01") * (n + 1)
-        chosen: list[str] = []
-        at, piece = 0, text[: longest[0]] if n else ""
+        chosen: list[int] = []
+        at, last, i = 0, 0, fit[text[: reach(text[:most])]]  # last: the piece before plus one, in the upper bits
         while at < n:
-            last = chosen[-1] if chosen else ""
-            while piece and not (open_at[at + len(piece)] and self.pair[last, piece]):
-                piece = self.shorter[piece]
-            if piece:
-                chosen.append(piece)
-                at += len(piece)
-                piece = text[at : at + longest[at]] if at < n else ""
+            while i >= 0:
+                end = at + size[i]
+                if open_at[end] and pair[last | i]:
+                    break
+                i = shorter[i]
+            if i >= 0:
+                chosen.append(i)
+                at, last = end, (i + 1) << 32
+                if at < n:
+                    i = fit[text[at : at + reach(text[at : at + most])]]
             else:
                 open_at[at] = 0
-                piece = chosen.pop()
-                at -= len(piece)
-        out: list[int] = []
-        for p in chosen:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.model["byte_fallback"]:
-                out += [self.bytes_at[b] for b in p.encode()]
-            else:
-                out.append(self.model["unk"])
-        return out
+                i = chosen.pop()
+                at -= size[i]
+                last = (chosen[-1] + 1) << 32 if chosen else 0
+        return chosen
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers, with begin and end."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import host_rules, pieces, winnowing
+from panelcast.llm import fm_index, host_rules, pieces, suffix_array, winnowing
 from panelcast.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -37,6 +37,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fm_index.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.col("kept_sha").alias("kept_sha256"))
+
+
 @query
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(table(spark, sf_dir, "documents"))
@@ -44,6 +50,13 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+@query
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that repeat a passage of 50 words or more of a document with a smaller id."""
+    found = suffix_array.repeated_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed")
+
+
 @query
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -58,4 +58,33 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(l),
        sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN ids USING (r)"""
 
-ORACLE: dict[str, str] = {"op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING}
+
+
+def _repeats(window: int) -> str:
+    """r, i (place from 1) of the words that a window over them, started in a smaller document, removes."""
+    return f"""
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+win AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i:i+{window - 1}], ' ')) AS g
+  FROM (SELECT *, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
+least AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + {window})) AS i
+  FROM win JOIN least USING (g) WHERE first_id < doc_id)"""
+
+
+FM_INDEX = f"""
+WITH {_repeats(13)},
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+kept AS (
+  SELECT word.r, count(gone.i) AS n, string_agg(x, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS s
+  FROM word LEFT JOIN gone ON word.r = gone.r AND word.i = gone.i GROUP BY word.r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+SUFFIX_ARRAY = f"""
+WITH {_repeats(50)}
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) AS n_removed
+FROM gone JOIN d USING (r) GROUP BY r, doc_id, len(w)"""
+
+ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import fm_index, host_rules, pieces, suffix_array, winnowing
+from panelcast.llm import fm_index, host_rules, pieces, prefix_join, suffix_array, winnowing
 from panelcast.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -68,3 +68,8 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.linked(table(spark, sf_dir, "documents"))

@@ -87,4 +87,20 @@ WITH {_repeats(50)}
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) AS n_removed
 FROM gone JOIN d USING (r) GROUP BY r, doc_id, len(w)"""
 
-ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING}
+PREFIX_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i+4], ' ')) AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM common JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)),
+sym AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, b.v FROM reach r JOIN sym b ON r.v = b.u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(reach.v) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id, n"""
+
+ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING, "op10_prefix_join": PREFIX_JOIN}

@@ -256,3 +256,11 @@ def linked(docs: DataFrame) -> DataFrame:
     known = one.select("doc_id", "d.digest").join(reps, "digest").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(known, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that with the smallest id; rows with a null id stay."""
+    first = linked(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_doc")).distinct()
+    id_ = docs["doc_id"].cast("long")
+    stay = docs.join(first, id_ == F.col("_doc"), "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where(docs["doc_id"].isNull()))

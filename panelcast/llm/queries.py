@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import fm_index, host_rules, pieces, prefix_join, suffix_array, winnowing
+import corpus_pipeline
+from panelcast.llm import fm_index, host_rules, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
 from panelcast.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -70,6 +71,31 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic_crf.fit_labels(docs, table(spark, sf_dir, "labels"))
+    held = toxic_crf.held_out(F.col("doc_id")).alias("held_out")
+    return toxic_crf.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+URL_RULES = [
+    redirects.Rule("allow", "org", "/"),
+    redirects.Rule("block", "example.org", "/es/"),
+    redirects.Rule("block", "example.org", "/en/1"),
+    redirects.Rule("allow", "com", "/fr/"),
+    redirects.Rule("block", "com", "/de/"),
+]
+
+
+@query
+def op9_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirects.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.linked(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

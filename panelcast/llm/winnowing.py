@@ -80,7 +80,8 @@ def _hit_places(doc: Column, item: Column, shift: Column, window: int) -> Column
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (array<string>, sorted) and places (hit words) of every document."""
+    """doc_id, n_words, n_hit, item_ids (array<string>, sorted) and places (hit words) of every document, and
+    key, which row_key gives for its doc_id and text."""
     work = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
     bench = items.select(
         F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")
@@ -109,8 +110,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     out = base.select("doc_id", "key", "n_words").join(per_doc, "key", "left")
     return out.select(
         "doc_id",
+        "key",
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         F.coalesce("places", F.array().cast("array<int>")).alias("places"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without those that hold a window of an item; columns as they were."""
+    found = decontaminate(docs, items).where("n_hit > 0").select(F.col("key").alias("_key")).distinct()
+    return docs.join(found, row_key(docs["doc_id"], docs["text"]) == F.col("_key"), "left_anti")

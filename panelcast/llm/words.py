@@ -48,6 +48,10 @@ class Words:
     start: np.ndarray  # of each word in data, and the end of data
     first: np.ndarray  # word that begins each text, and the number of words
     hashes: np.ndarray
+    raw: np.ndarray  # bytes of the texts, one after another
+    ends: np.ndarray  # where each text begins in raw, and the end of raw
+    begin: np.ndarray  # of each word in raw
+    end: np.ndarray
 
     def body(self, a: int, b: int) -> bytes:
         """Words a to b (exclusive) joined by one space."""
@@ -65,8 +69,9 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         row = stop
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words [^\\x20\\x09-\\x0D]+ of a large_binary array without nulls; lower: A-Z to a-z."""
+def words_of(texts: pa.Array, lower: bool = False, word_byte: np.ndarray = _WORD_BYTE) -> Words:
+    """Words (runs of word_byte, else [^\\x20\\x09-\\x0D]+) of a large_binary array without nulls;
+    lower: A-Z to a-z."""
     ends = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, "uint8")[ends[0] : ends[-1]] if raw is not None else np.zeros(0, "uint8")
@@ -74,7 +79,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     n = len(data)
-    word = _WORD_BYTE[data]
+    word = word_byte[data]
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
     begin, end = word.copy(), word.copy()
@@ -91,7 +96,15 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     total = np.zeros(n + 1, "uint64")
     np.cumsum((data.astype("uint64") + np.uint64(1)) * up[:n], out=total[1:])
     hashes = mix((total[e] - total[s]) * down[s])
-    return Words(flat.tobytes(), start, np.searchsorted(s, ends), hashes)
+    return Words(flat.tobytes(), start, np.searchsorted(s, ends), hashes, data, ends, s, e)
+
+
+def piece_hashes(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of bytes first to last (exclusive) of w.raw."""
+    up, down = _power("byte", len(w.raw) + 1)
+    total = np.zeros(len(w.raw) + 1, "uint64")
+    np.cumsum((w.raw.astype("uint64") + np.uint64(1)) * up[: len(w.raw)], out=total[1:])
+    return mix((total[last] - total[first]) * down[first])
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -139,3 +152,7 @@ def unpack(data: bytes, width: int = 8) -> np.ndarray:
     out = np.zeros((planes.shape[1], 8), "uint8")
     out[:, :width] = planes.T
     return out.view("<u8").ravel()
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]

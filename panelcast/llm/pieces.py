@@ -27,8 +27,8 @@ from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of each memo table; a full table is emptied, which costs time and changes nothing.
-MEMO = 400_000
+#: Entries of a generation of each memo table; forgetting costs time and changes nothing.
+MEMO = 200_000
 
 
 def read_model(path: str) -> dict:
@@ -59,15 +59,19 @@ assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are packed a
 
 
 class Memo(dict):
-    """Values of a function by argument, emptied when full."""
+    """Values of a function by argument. Two generations: what is asked for again outlives a full table."""
 
     def __init__(self, function):
-        self.function = function
+        self.function, self.old = function, {}
 
     def __missing__(self, key):
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
 
@@ -99,6 +103,8 @@ class PieceCodec:
         self.shorter, self.pair, self.halves = Memo(self._shorter), Memo(self._pair_stays), Memo(self._halves)
         self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes())
         self.parts = self._part_pattern()
+        self.by_word = bool(self.parts and model["prefix"] and not any("\n" in p for p in self.ids))
+        self.words = Memo(lambda w: self._encode_parts(w if w[:1] == "\n" else SPACE + w))
         self.surface = [self._surface(p, k) for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.is_control = np.array([k == CONTROL for k in kinds], bool)
@@ -218,14 +224,19 @@ class PieceCodec:
                 last = (chosen[-1] + 1) << 32 if chosen else 0
         return chosen
 
+    def _encode_parts(self, text: str) -> bytes:
+        parts = self.parts.findall(text) if self.parts else [text] if text else []
+        return b"".join(map(self.encoded.__getitem__, parts))
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers, with begin and end."""
         text = text or ""
-        if text and self.model["prefix"]:
-            text = " " + text
-        text = text.replace(" ", SPACE)
-        parts = self.parts.findall(text) if self.parts else [text] if text else []
-        body = b"".join(map(self.encoded.__getitem__, parts))
+        if text and self.by_word and text[0] != " " and "  " not in text and SPACE not in text:
+            # Words between single spaces; a line end begins a word too, and only that word has no space before.
+            body = b"".join(map(self.words.__getitem__, text.replace("\n", " \n").split(" ")))
+        else:
+            text = (" " + text if text and self.model["prefix"] else text).replace(" ", SPACE)
+            body = self._encode_parts(text)
         bos, eos = (np.array([self.model[k]], "<u4").tobytes() for k in ("bos", "eos"))
         return bos + body + eos
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelcast.llm import fm_index, host_rules, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
+from panelcast.llm import fm_index, host_rules, main_text, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
 from panelcast.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -38,6 +38,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = main_text.main_text(pages, main_text.fit_pages(pages))
+    return pages.withColumn("text", text).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fm_index.dedup(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelcast.llm import fm_index, host_rules, main_text, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
+from panelcast.llm import fm_index, host_rules, main_text, masked_lm, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
 from panelcast.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -78,6 +78,12 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.train(docs)).drop("text")
+
+
 @query
 def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

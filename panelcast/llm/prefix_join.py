@@ -261,6 +261,5 @@ def linked(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, that with the smallest id; rows with a null id stay."""
     first = linked(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_doc")).distinct()
-    id_ = docs["doc_id"].cast("long")
-    stay = docs.join(first, id_ == F.col("_doc"), "left_semi").dropDuplicates(["doc_id"])
+    stay = docs.join(first, docs["doc_id"].cast("long") == first["_doc"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where(docs["doc_id"].isNull()))

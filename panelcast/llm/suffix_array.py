@@ -88,8 +88,10 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     """
     marks = keep(mark(docs, window, gram).where(F.size("spans") > 0))
     cut = repeats.cut_words(docs, marks).select(F.col("doc_id").alias("_doc"), "kept")
-    both = docs.join(cut, docs["doc_id"].cast("long") == F.col("_doc"), "left")
-    text = F.coalesce(F.col("kept"), docs["text"])
-    gone = F.col("kept").isNotNull() & ~F.col("kept").rlike("[^\\x20\\x09-\\x0D]")
-    new = {"text": text} | ({"n_chars": F.when(F.col("kept").isNull(), docs["n_chars"]).otherwise(F.length("kept"))} if "n_chars" in docs.columns else {})
+    kept = cut["kept"]
+    both = docs.join(cut, docs["doc_id"].cast("long") == cut["_doc"], "left")
+    gone = kept.isNotNull() & ~kept.rlike("[^\\x20\\x09-\\x0D]")
+    new = {"text": F.coalesce(kept, docs["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(kept.isNull(), docs["n_chars"]).otherwise(F.length(kept))
     return both.where(~gone).select(*[new.get(c, docs[c]).cast(t).alias(c) for c, t in docs.dtypes])

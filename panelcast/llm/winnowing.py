@@ -121,4 +121,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a window of an item; columns as they were."""
     found = decontaminate(docs, items).where("n_hit > 0").select(F.col("key").alias("_key")).distinct()
-    return docs.join(found, row_key(docs["doc_id"], docs["text"]) == F.col("_key"), "left_anti")
+    return docs.join(found, row_key(docs["doc_id"], docs["text"]) == found["_key"], "left_anti")

@@ -1,0 +1,246 @@
+"""Trained operators, URL filters and the pipeline on small tables."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from panelcast.llm import main_text, masked_lm, pieces, redirects, toxic_crf
+from panelcast.llm import words as W
+from panelcast.llm.trees import BoostedTrees
+from tests.llm import plain
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><script>var a='</p>';</script></head><body>"
+    "<nav class=menu><ul><li><a href='/a'>menu one</a></li><li><a href='/b'>menu two</a></li></ul></nav>"
+    "<div class='ad'>buy this now</div><article><h1>{h}</h1><p><b>{a}<br><p>{b} &amp; more&#33;</p></article>"
+    "<aside class='sidebar'><p>related things to read</p></aside><section id='comments'><p>I say {b}</p></section>"
+    "<footer>&copy; somebody</footer></body></html>"
+)
+
+
+def text(rng, n):
+    return " ".join(rng.choice(["ba", "ko", "ri", "nu"]) + rng.choice(["la", "me", "to"]) for _ in range(n)) + "."
+
+
+def pages(n=40):
+    rng = random.Random(4)
+    out = []
+    for k in range(n):
+        h, a, b = text(rng, 5), text(rng, 30), text(rng, 40)
+        out.append((k, f"http://x.example.net/{k}", PAGE.format(h=h, a=a, b=b), f"{h} {a} {b} & more!"))
+    return out
+
+
+def test_main_text(spark):
+    made = pages()
+    odd = [(100, None, None), (101, "u", ""), (102, "u", "<p>"), (102, "u", "<p>"), (103, "u", "<!-- never closed"), (104, "u", "<p class='x" + "y " * 20_000)]
+    df = spark.createDataFrame([r[:3] for r in made] + odd, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    model = main_text.fit_pages(df)
+    got = df.withColumn("text", main_text.main_text(df, model)).select("page_id", "text").collect()
+    want = {r[0]: r[3] for r in made}
+    right = sum(want[r["page_id"]] == r["text"] for r in got if r["page_id"] < 100)
+    assert right >= 38
+    assert all(r["text"] == "" for r in got if r["page_id"] >= 100) and len(got) == len(made) + len(odd)
+    none = df.limit(0)
+    assert none.withColumn("text", main_text.main_text(none, main_text.fit_pages(none))).count() == 0
+
+
+def test_main_text_of_unseen_layouts():
+    made = pages(60)
+    model = main_text.fit([r[2] for r in made[:40]])
+    rng, right = np.random.default_rng(8), 0
+    for _, _, html, _ in made[40:]:
+        _, main, rest = main_text._sampled(html)
+        marked = main_text.dress(rng, main, rest)
+        p = main_text.read_page(marked)
+        want = main_text.kept_text(p, np.array([p.gold[o] for o in p.owner], bool))
+        right += main_text.extract([marked.replace(' data-gold="1"', "")], model) == [want]
+    assert right >= 15
+
+
+def test_no_choice_contradicts_an_ancestor():
+    p = main_text.read_page("<div><section><p>a</p><p>b</p></section><section><p>c</p></section></div>")
+    _, chars = main_text.features(p)
+    keep = lambda *q: "".join(np.array(p.texts)[main_text.decode(p, np.array(q), chars)])
+    assert keep(0.5, 0.5, 0.9, 0.9, 0.4, 0.1, 0.2) == "ab"  # the weak no inside a sure yes follows it
+    assert keep(0.5, 0.5, 0.9, 0.9, 0.01, 0.1, 0.2) == "a"
+    assert keep(0.5, 0.5, 0.1, 0.1, 0.6, 0.1, 0.2) == ""
+
+
+def test_boosted_trees_learn_a_rule():
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
+    model = BoostedTrees(rounds=20).fit(x[:1500], y[:1500])
+    assert ((model.probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.97
+
+
+def toxic_rows(n=600):
+    rng = random.Random(6)
+    rows = []
+    for k in range(n):
+        w = text(rng, rng.randrange(20, 80)).split()
+        bad = k % 6 == 0
+        if bad:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["Xidiot,", "xscum", "xtrash!"]))
+        rows.append((k, " ".join(w), int(bad)))
+    return rows
+
+
+def test_toxicity(spark):
+    rows = toxic_rows()
+    docs = plain.table(spark, [(i, t, "s") for i, t, _ in rows] + [(None, None, None), (1000, "", None), (1000, "", None), (1001, "a " * 50_000, None)])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(5000, 1, 1), (None, 0, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxic_crf.fit_labels(docs, labels)
+    got = toxic_crf.score(docs, model)
+    scores = {r["doc_id"]: r for r in got.select("doc_id", "text", "score", "spans", toxic_crf.held_out(F.col("doc_id")).alias("out")).collect()}
+    assert got.count() == docs.count() and all(0 <= r["score"] <= 1 for r in scores.values())
+    held = [(scores[i]["score"] >= 0.5) == (y == 1) for i, _, y in rows if scores[i]["out"]]
+    assert len(held) > 80 and np.mean(held) > 0.97
+    spans = [scores[i]["text"][s["start"] : s["end"]].lower() for i, _, y in rows if y for s in scores[i]["spans"]]
+    assert spans and np.mean([s in ("xidiot", "xscum", "xtrash") for s in spans]) > 0.95
+    clean = toxic_crf.keep_clean(docs, labels)
+    assert clean.dtypes == docs.dtypes and clean.where("doc_id = 1000").count() == 2
+    assert toxic_crf.score(docs.limit(0), model).count() == 0
+    assert toxic_crf.score(docs, toxic_crf.fit_labels(docs, labels.limit(0))).where("score <> 0").count() == 0
+
+
+def test_labels_of_held_out_documents_are_not_learnt(spark):
+    rows = toxic_rows(120)
+    docs = plain.table(spark, [(i, t, "s") for i, t, _ in rows])
+    one = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    two = one.withColumn("toxic", F.when(toxic_crf.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxic_crf.fit_labels(docs, one), toxic_crf.fit_labels(docs, two)
+    assert np.array_equal(a["weights"], b["weights"]) and np.array_equal(a["curve"], b["curve"])
+
+
+def test_marginals_against_all_paths():
+    rng = np.random.default_rng(3)
+    emit, move = rng.normal(size=7), rng.normal(size=(2, 2))
+    cuts = np.array([0, 4, 5, 7])
+    tag, pairs = toxic_crf.marginals(emit, cuts, move)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        total, on, steps = 0.0, np.zeros(b - a), np.zeros((b - a, 4))
+        for bits in range(2 ** (b - a)):
+            s = [(bits >> k) & 1 for k in range(b - a)]
+            w = np.exp(sum(emit[a + k] * s[k] for k in range(b - a)) + sum(move[s[k - 1], s[k]] for k in range(1, b - a)))
+            total += w
+            on += w * np.array(s)
+            for k in range(1, b - a):
+                steps[k, 2 * s[k - 1] + s[k]] += w
+        assert np.allclose(tag[a:b], on / total)
+        assert np.allclose(pairs[a + 1 : b], steps[1:] / total)
+
+
+def test_language_model(spark):
+    rng = random.Random(9)
+    follow = {w: rng.sample(range(30), 2) for w in range(30)}
+    rows = []
+    for k in range(400):
+        w, line = rng.randrange(30), []
+        for _ in range(60):
+            line.append(f"t{w}")
+            w = rng.choice(follow[w])
+        rows.append((k, " ".join(line), "s"))
+    odd = [(900, None, "s"), (901, "", "s"), (902, "T1", "s"), (902, "T1", "s"), (None, "t2 t3", None)]
+    docs = plain.table(spark, rows + odd)
+    model = masked_lm.train(docs, rounds=3)
+    got = masked_lm.score(docs, model).select("doc_id", "text", "n_tokens", "log_likelihood", "perplexity").collect()
+    assert len(got) == len(rows) + len(odd)
+    by = {r["doc_id"]: r for r in got}
+    assert by[900]["log_likelihood"] == 0 and by[901]["perplexity"] is None and by[902]["n_tokens"] == 1
+    known = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400]
+    assert np.exp(-sum(r["log_likelihood"] for r in known) / sum(r["n_tokens"] for r in known)) < 15  # 30 words; two sides tell
+    # The score is the sum over places, each against all tokens it might have been.
+    w = W.words_of(next(iter(W.blocks(__import__("pyarrow").array([rows[0][1]]))))[1], lower=True)
+    ids = masked_lm.tokens(w.hashes, model)
+    line, at = masked_lm._padded(ids, w.first)
+    total = 0.0
+    for place in at:
+        every = []
+        for token in range(masked_lm.SIZE):
+            other = line.copy()
+            other[place] = token
+            every.append(masked_lm.log_probabilities(other, np.array([place]), model)[0])
+        assert np.isclose(np.exp(every).sum(), 1, atol=1e-4)
+        total += every[line[place]]
+    assert np.isclose(total, by[0]["log_likelihood"], rtol=1e-4)
+    assert masked_lm.score(docs.limit(0), masked_lm.train(docs.limit(0))).count() == 0
+
+
+RULES = [redirects.Rule("allow", "org", "/"), redirects.Rule("block", "bad.org", "/x/"), redirects.Rule("block", "net", "/ads")]
+
+
+def test_url_rules_and_aliases(spark):
+    link = lambda to: f'<html><head><link href="{to}" rel="canonical"></head></html>'
+    rows = [
+        (1, "https://A.Org/p?q#f", ""), (2, "http://sub.bad.org/x/1", ""), (3, "http://notbad.org/x/1", ""), (4, "http://k.net/ads2", None), (5, "http://k.net/", ""),
+        (6, None, link("http://k.net/ads")), (7, "no scheme", link("http://k.net/ads")), (8, "http://com/", link("http://k.net/ads/9")),
+        (9, "http://c1.com/", link("/c2")), (10, "http://c1.com/c2#z", '<meta http-equiv="Refresh" content="0; URL=\'http://c3.com/\'">'), (11, "http://c3.com/", link("http://k.net/ads")), (12, "http://c1.com/", ""),
+        (13, "http://d1.com/", link("http://k.net/ads3")), (14, "http://d2.com/", link("http://d1.com/")), (15, "http://ok.org/", link("http://d2.com/")),
+        (16, "http://loop.com/", link("http://loop.com/")), (17, "http://e.com", link("javascript:x")), (18, "http://e.com/a?x=//", "<link rel=canonical"),
+        (18, "http://e.com/a?x=//", "<link rel=canonical"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"node": F.lit("x"), "rule": F.lit(1), "component": F.lit(2)})
+    moved = spark.createDataFrame([("http://m1.com/", "http://m2.com/"), ("http://m2.com/", "http://bad.org/x/"), (None, "u")], "source string, target string")
+    more = df.union(spark.createDataFrame([(20, "http://m1.com/", None, "x", 1, 2)], df.schema))
+    got = {r["page_id"]: tuple(r)[1:] for r in redirects.judge(more, RULES, moved).collect()}
+    assert got[1] == ("a.org", "/p", "org/", "allow") and got[2][2:] == ("bad.org/x/", "block") and got[3][2:] == ("org/", "allow")
+    assert got[4][2:] == ("net/ads", "block") and got[5][2:] == (None, "allow")
+    assert got[6] == ("", "", None, "allow") == got[7]
+    assert got[8][2:] == (None, "block")
+    assert {got[k][3] for k in (9, 10, 11, 12)} == {"block"}  # along the chain
+    assert [got[k][3] for k in (13, 14, 15)] == ["allow"] * 3  # an allowed alias goes before a blocked one
+    assert {got[k][3] for k in (16, 17, 18)} == {"allow"} and got[20][3] == "block"
+    assert redirects.judge(more, RULES).count() == len(rows) + 1
+    assert redirects.judge(df.limit(0), RULES).count() == 0
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Stages on a small folder of tables with one planted case each."""
+    d = str(tmp_path_factory.mktemp("tables"))
+    rng = random.Random(12)
+    rows = [(i, t, "s") for i, t, _ in toxic_rows(400)]
+    base, passage, item = text(rng, 80), text(rng, 60), text(rng, 20)
+    rows += [(1000, base, "s"), (1001, base, "s"), (1002, base + " end", "s"), (1003, passage + " " + text(rng, 90), "s"), (1004, text(rng, 90) + " " + passage, "s"), (1005, text(rng, 50) + " " + item, "s")]
+    plain.table(spark, rows).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in toxic_rows(400)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs, out = spark.read.parquet(f"{d}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, d).write.parquet(f"{d}/{k}")
+        docs = out[name] = spark.read.parquet(f"{d}/{k}")
+    return d, rows, out
+
+
+def test_pipeline(spark, stages):
+    d, rows, out = stages
+    ids = [{r[0] for r in df.select("doc_id").collect()} for df in out.values()]
+    toxic = {i for i, _, y in toxic_rows(400) if y}
+    clean = {i for i, _, _ in rows} - toxic
+    assert len(clean - ids[0]) <= 3 and len(toxic & ids[0]) <= 5
+    assert ids[1] == ids[0] - {1001, 1002}
+    assert ids[2] == ids[1]
+    cut = {r["doc_id"]: len(plain.words(r["text"])) for r in out["suffix-array dedup"].where("doc_id in (1003, 1004)").collect()}
+    assert cut == {1003: 150, 1004: 90}
+    assert ids[3] == ids[2] - {1005} and ids[4] == ids[3]
+    final = {r["doc_id"]: r for r in out["SentencePiece encoding and decoding"].collect()}
+    codec = pieces.PieceCodec(pieces.read_model(__import__("public_tokenizers").path("piece_bpe_32k.model")))
+    for r in out["benchmark decontamination"].collect():
+        assert final[r["doc_id"]]["decoded_sha256"] == plain.sha(r["text"])
+        assert final[r["doc_id"]]["ids"] == np.frombuffer(codec.encode(r["text"]), "<i4").tolist()
+    whole = corpus_pipeline.run(spark, d).select("doc_id", "ids_sha256").collect()
+    assert {r["doc_id"]: r["ids_sha256"] for r in whole} == {i: r["ids_sha256"] for i, r in final.items()}
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    plain.table(spark, [], 1).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0

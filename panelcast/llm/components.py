@@ -22,8 +22,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    moved = down.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+    return moved.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v")
+
+
+#: Edges that one task writes.
+TASK_EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,11 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges to oneself and those with a null end count for nothing; repeated edges count once.
     """
-    now = keep(edges.select("u", "v").where("u <> v").distinct())
-    mark = None
-    while True:
-        now = keep(_small_star(_large_star(now)).distinct())
-        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == new:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = new
+    now = keep(edges.select("u", "v").where("u <> v"))
+    count = now.count()
+    while count:
+        # The number of edges never grows much: it tells how many tasks the next table needs.
+        now = keep(_small_star(_large_star(now)).distinct().coalesce(count // TASK_EDGES + 1))
+        count, nodes = now.agg(F.count("*"), F.count_distinct("u")).first()
+        if count == nodes and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break  # each node has one edge, to a node that has none
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

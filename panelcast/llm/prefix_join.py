@@ -36,7 +36,9 @@ from panelcast.llm.stage import keep
 
 SHINGLE, PERCENT = 5, 75
 #: Rounds of step 4 before step 5.
-ROUNDS = 2
+ROUNDS = 1
+#: Shingles that a task gathers before it sends them.
+SEND = 1 << 20
 #: Bytes of a shingle's hash that are sent.
 SENT_BYTES = 7
 
@@ -71,28 +73,36 @@ def _shared_shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def batch_of(kind: np.ndarray, **blobs: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs.values())], ["part", *blobs])
 
+    def send(sets: dict[bytes, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        token = np.concatenate([s for _, s in sets.values()])
+        doc = np.repeat(np.array([i for i, _ in sets.values()], "int64"), [len(s) for _, s in sets.values()])
+        sets.clear()
+        order = np.argsort(token, kind="stable")
+        token, doc = token[order], doc[order].view("uint64")
+        cuts = np.searchsorted(token, np.array([(p << width) // parts for p in range(1, parts)], "uint64"))
+        cuts = [0, *cuts.tolist(), len(token)]
+        full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+        return batch_of(
+            full,
+            tokens=[W.pack(token[cuts[p] : cuts[p + 1]], SENT_BYTES) for p in full],
+            docs=[W.pack(doc[cuts[p] : cuts[p + 1]]) for p in full],
+        )
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[bytes, tuple[int, np.ndarray]] = {}  # of equal sets only the smallest id can stand
+        waiting = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sets: dict[bytes, tuple[int, np.ndarray]] = {}  # of equal sets in a batch only the smallest id can stand
             for row, s in shingle_sets(batch.column(1)):
                 tag = hashlib.sha256(s.tobytes()).digest()[:16]
                 if len(s) and (tag not in sets or ids[row] < sets[tag][0]):
+                    waiting += 0 if tag in sets else len(s)
                     sets[tag] = (int(ids[row]), s)
-            if not sets:
-                continue
-            token = np.concatenate([s for _, s in sets.values()])
-            doc = np.repeat(np.array([i for i, _ in sets.values()], "int64"), [len(s) for _, s in sets.values()])
-            order = np.argsort(token, kind="stable")
-            token, doc = token[order], doc[order].view("uint64")
-            cuts = np.searchsorted(token, np.array([(p << width) // parts for p in range(1, parts)], "uint64"))
-            cuts = [0, *cuts.tolist(), len(token)]
-            full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-            yield batch_of(
-                full,
-                tokens=[W.pack(token[cuts[p] : cuts[p + 1]], SENT_BYTES) for p in full],
-                docs=[W.pack(doc[cuts[p] : cuts[p + 1]]) for p in full],
-            )
+                    if waiting >= SEND:
+                        yield send(sets)
+                        waiting = 0
+        if sets:
+            yield send(sets)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, list] = {}

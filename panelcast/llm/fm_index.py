@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import repeats
-from panelcast.llm.stage import keep
 
 WINDOW, GRAM = 13, 4
 
@@ -178,7 +177,7 @@ def mark(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha (of the kept words joined by one space) of every document."""
-    marks = keep(mark(docs, window, gram))
+    marks = mark(docs, window, gram)  # one plan with what follows: its exchange of texts is used twice
     cut = repeats.cut_words(docs, marks.where(F.col("copy_of").isNull())).drop("kept")
     both = marks.join(cut, ["doc_id", "tag"], "left")
     whole = F.col("copy_of").isNotNull()

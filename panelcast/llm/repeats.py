@@ -82,7 +82,7 @@ class Minimisers:
 
 
 def _shared_keys(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id and its minimisers that two documents or more have: keys (packed) and hot (a byte each)."""
+    """doc_id and its minimisers that two documents or more have: keys (sorted) and hot (a byte each)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +135,38 @@ def _shared_keys(docs: DataFrame, window: int, gram: int) -> DataFrame:
             _, at, count = np.unique(key, return_index=True, return_counts=True)
             many = np.repeat(count, count)
             key, doc, many = key[many > 1], doc[many > 1], many[many > 1]
-            order = np.argsort(doc, kind="stable")
-            key, doc, hot = key[order], doc[order], (many[order] > HOT).astype("uint8")
-            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, "int64")
-            ends = np.r_[starts[1:], len(doc)] if len(doc) else starts
-            for lo in range(0, len(starts), 20_000):
-                s, e = starts[lo : lo + 20_000], ends[lo : lo + 20_000]
+            hot = (many > HOT).astype("uint8")
+            home = (doc.view("int64") % parts).astype("int32")
+            order = np.argsort(home, kind="stable")
+            key, doc, hot = key[order], doc[order], hot[order]
+            cuts = np.searchsorted(home[order], np.arange(parts + 1))
+            full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(full, pa.int32()),
+                    pa.array([W.pack(key[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
+                    pa.array([W.pack(doc[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
+                    pa.array([hot[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary()),
+                ],
+                ["part", "keys", "docs", "hot"],
+            )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes: dict[int, list] = {}
+        for batch in batches:
+            for p, k, d, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                homes.setdefault(p, []).append((k, d, h))
+        for rows in homes.values():
+            key = np.concatenate([W.unpack(k) for k, _, _ in rows])
+            doc = np.concatenate([W.unpack(d) for _, d, _ in rows])
+            hot = np.concatenate([np.frombuffer(h, "uint8") for _, _, h in rows])
+            rows.clear()
+            order = np.lexsort((key, doc))
+            key, doc, hot = key[order], doc[order], hot[order]
+            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            ends = np.r_[starts[1:], len(doc)]
+            for lo in range(0, len(starts), 5000):
+                s, e = starts[lo : lo + 5000], ends[lo : lo + 5000]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc[s].view("int64")),
@@ -151,14 +177,15 @@ def _shared_keys(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 )
 
     asked = docs.mapInArrow(ask, "part int, keys binary, docs binary").repartition(parts, "part")
-    return asked.mapInArrow(answer, "doc_id long, keys binary, hot binary")
+    met = asked.mapInArrow(answer, "part int, keys binary, docs binary, hot binary").repartition(parts, "part")
+    return met.mapInArrow(gather, "doc_id long, keys binary, hot binary")
 
 
 SEGMENT = "key long, doc_id long, tag long, at int, n int, anchor int, body binary"
 
 
 def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Segments of shared minimisers; texts: doc_id, text, keys (array<binary>), hot (array<binary>)."""
+    """Segments of shared minimisers; texts: doc_id, text, keys, hot (as _shared_keys gives them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, int] = {}
@@ -173,10 +200,8 @@ def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     lo, hi = cuts[d], cuts[d + 1]
                     if lo == hi:
                         continue
-                    shared = np.frombuffer(b"".join(keys[row + d]), "uint64")
-                    hot = np.frombuffer(b"".join(hots[row + d]), "uint8").astype(bool)
-                    order = np.argsort(shared)
-                    shared, hot = shared[order], hot[order]
+                    shared = np.frombuffer(keys[row + d], "uint64")  # sorted
+                    hot = np.frombuffer(hots[row + d], "uint8").astype(bool)
                     spot = np.minimum(np.searchsorted(shared, m.key[lo:hi]), len(shared) - 1)
                     ok = shared[spot] == m.key[lo:hi]
                     doc, base = ids[row + d], int(w.first[d])
@@ -289,7 +314,6 @@ def mark_repeats(docs: DataFrame, window: int, gram: int, kernel: Kernel) -> Dat
     keys = _shared_keys(work.where(F.col("doc_id").isNotNull()), window, gram)
     first = classes.select(F.col("first_id").alias("doc_id")).distinct()
     keys = keys.join(first, "doc_id", "left_semi")
-    keys = keys.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"))
     texts = work.join(keys, "doc_id").select("doc_id", "text", "keys", "hot")
     marks = _marks(_segments(texts, window, gram), window, kernel)
     spans = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

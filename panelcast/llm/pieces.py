@@ -275,15 +275,12 @@ def _utf8(data: bytes) -> Iterable[str]:
             at += 1
 
 
-_codecs: dict[int, PieceCodec] = {}
-
-
 def _codec(shared: Broadcast) -> PieceCodec:
-    """One codec for each Python worker and model."""
+    """One codec for each Python worker: it stays with the broadcast value, and so do its memos from task to task."""
     model = shared.value
-    if id(model) not in _codecs:
-        _codecs[id(model)] = PieceCodec(model)
-    return _codecs[id(model)]
+    if "codec" not in model:
+        model["codec"] = PieceCodec(model)
+    return model["codec"]
 
 
 def _shared(spark: SparkSession, path: str) -> Broadcast:

@@ -405,15 +405,17 @@ SELECT {K}, week, 'HISTORY' AS line, round(units, 4) AS value, NULL::DOUBLE AS l
 FROM (SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY week DESC) > 4)
 QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY week DESC) <= 10"""
     if not valid:
-        return _q(ctes + standin, history)
+        whole = history.rsplit("QUALIFY", 1)[0]
+        why = "tpr_only excludes feature and display"
+        return _q(ctes + standin, f"SELECT *, '{why}' AS reason FROM ({whole})")
     line = f"p_units, {BANDS[9:]}"
     return _q(
         ctes + standin,
-        f"""{history}
+        f"""SELECT *, NULL::VARCHAR AS reason FROM ({history}
 UNION ALL SELECT {K}, week, 'ARIMA', {_r(line)} FROM
   (SELECT {K}, week, {_bands()} FROM dist
    WHERE model = 'arima' AND feature = 1 AND display = 1 AND tpr_only = 0)
-UNION ALL SELECT {K}, week, 'STL', {_r(line)} FROM fc WHERE model = 'stl'""",
+UNION ALL SELECT {K}, week, 'STL', {_r(line)} FROM fc WHERE model = 'stl')""",
     )
 
 
@@ -601,9 +603,7 @@ base AS (SELECT {K}, sqrt(units) AS y, feature AS f, display AS d, tpr_only AS t
     "rmse_strict": _q(SCORED, f"SELECT {K}, model, round(strict_rmse, 4) AS rmse FROM rmse"),
     "rmse_leaderboard": _q(
         SCORED + "," + _best("wide", ("arima", "stl"), "mean_rmse"),
-        """SELECT best_model, round(median(mean_rmse), 4) AS median_rmse, count(*) AS n_best_model,
-  concat_ws(' ', 'Median RMSE: ', CAST(round(median(mean_rmse), 2) AS VARCHAR))
-    AS median_rmse_text
+        """SELECT best_model, round(median(mean_rmse), 4) AS median_rmse, count(*) AS n_best_model
   FROM best GROUP BY best_model ORDER BY n_best_model DESC""",
     ),
     "best_model_per_series": _q(
@@ -612,8 +612,7 @@ base AS (SELECT {K}, sqrt(units) AS y, feature AS f, display AS d, tpr_only AS t
     ),
     "aicc_leaderboard": _q(
         SCORES + "," + _best("scores", MODELS, "mean_aicc"),
-        """SELECT best_model, round(avg(mean_aicc), 4) AS mean_aicc, count(*) AS n_best_model,
-  concat_ws(' ', 'Mean AICc: ', CAST(round(avg(mean_aicc), 2) AS VARCHAR)) AS mean_aicc_text
+        """SELECT best_model, round(avg(mean_aicc), 4) AS mean_aicc, count(*) AS n_best_model
   FROM best GROUP BY best_model""",
     ),
     "model_fallback": _q(
@@ -656,6 +655,16 @@ lagged AS (SELECT a.store_id, a.upc_id, a.model, a.i - b.i AS lag, sum(a.z * b.z
     "series_rmse": _q(
         SCORED, f'SELECT {K}, round(arima, 4) AS "ARIMA", round(stl, 4) AS "STL" FROM wide'
     ),
+    "residuals_fixed_fits": _q(
+        FILLED
+        + f""",
+known AS (SELECT {K}, week, units, sqrt(last_value(units IGNORE NULLS) OVER
+            (PARTITION BY {K} ORDER BY week ROWS UNBOUNDED PRECEDING)) AS root FROM filled),
+fits AS (SELECT *, lag(root) OVER (PARTITION BY {K} ORDER BY week) AS fit FROM known)""",
+        f"""SELECT {K}, 'walk' AS model, week, round(units, 4) AS units, round(pow(fit, 2), 4) AS fitted,
+  round(units - pow(fit, 2), 4) AS resid, round(sqrt(units) - fit, 4) AS innov FROM fits""",
+    ),
+    "aicc_fixed_fits": _q(SCORES, f"SELECT {K}, {_r(MODELS)} FROM scores"),
     "scenario_lookup": _scenario_view(True),
     "scenario_lookup_invalid": _scenario_view(False),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from panelcast.operators import (
 )
 from panelcast.plans import dashboard, training, validation
 from panelcast.sources import derive, tables
-from panelcast.sources.checkpoints import cut
+from panelcast.sources import checkpoints
 from panelcast.spec import FLAGS, MEASURES, WEEKLY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,12 @@ def raw_transactions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage; without a checkpoint folder in the session, in the warehouse."""
+    warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir")
+    return checkpoints.cut(df, f"{warehouse}/checkpoints")
+
+
 def standin_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     """Deterministic forecasts of the last four weeks, to exercise scoring and views.
 
@@ -161,6 +167,8 @@ def standin_fits(spark: SparkSession, sf: str) -> DataFrame:
     effect = flags[0] * 1.5 + flags[1] * 0.8 + flags[2] * 0.4
     shared = dict(
         status=F.lit("ok"),
+        kind=F.lit("arima"),
+        design=F.array(*[F.lit(c) for c in fit.PROMOTION]),
         beta=doubles(1.5, 0.8, 0.4, -0.5, 0.0, 0.0),
         x_last=x_last,
         sigma2=F.lit(0.25),
@@ -198,6 +206,7 @@ def standin_fits(spark: SparkSession, sf: str) -> DataFrame:
         "last_week",
         F.lit("ok").alias("status"),
         F.lit("stl").alias("model"),
+        F.lit("stl").alias("kind"),
         F.col("l.y").alias("level"),
         F.lit(0.25).alias("sigma2"),
         F.lit(0.3).alias("alpha"),
@@ -454,7 +463,7 @@ def q_forecast_ahead_smoothing(spark, sf):
 
 def q_forecast_fixed_fits(spark, sf):
     _, test = panel.holdout_split(filled(spark, sf))
-    return rounded(forecast.forecast(standin_fits(spark, sf), test, 4).drop(*FLAGS))
+    return rounded(forecast.forecast(standin_fits(spark, sf), test).drop(*FLAGS))
 
 
 def q_scenarios_fixed_fits(spark, sf):
@@ -560,6 +569,33 @@ def q_scenario_lookup_invalid(spark, sf):
     return rounded(dashboard.scenario_view(rows, scenarios, stl, feature=1, tpr_only=1))
 
 
+def q_residuals_fixed_fits(spark, sf):
+    """Residual rows of a fit table whose one-step fit is the last known root."""
+    rows = filled(spark, sf)
+    so_far = WEEKLY.in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = rows.withColumn("_root", F.sqrt(F.last("units", ignorenulls=True).over(so_far)))
+    known = known.withColumn("_fit", F.lag("_root", 1).over(WEEKLY.in_order()))
+    innov = F.sqrt("units") - F.col("_fit")
+    point = F.struct("week", "units", F.col("_fit").alias("fitted"), innov.alias("innov"))
+    fits = known.groupBy(*KEYS).agg(F.array_sort(F.collect_list(point)).alias("s")).select(
+        *KEYS,
+        F.lit("walk").alias("model"),
+        F.lit("ok").alias("status"),
+        F.element_at("s", 1)["week"].alias("first_week"),
+        F.element_at("s", -1)["week"].alias("last_week"),
+        *[F.transform("s", (lambda c: lambda p: p[c])(c)).alias(c) for c in ("units", "fitted", "innov")],
+    )
+    return rounded(fit.residuals(fits))
+
+
+def q_aicc_fixed_fits(spark, sf):
+    """The wide table of criteria, from a long fit table that holds another kind of model too."""
+    scores = standin_scores(spark, sf)
+    long = scores.unpivot(KEYS, list(SCORED), "model", "aicc").withColumn("kind", F.lit("arima"))
+    other = long.where(F.col("model") == SCORED[0]).withColumns({"kind": F.lit("stl"), "model": F.lit("stl")})
+    return rounded(validation.aicc_table(long.unionByName(other)))
+
+
 # Fitted models (no SQL form) --------------------------------------------------------------
 
 FIT_SUMMARY = [*KEYS, "model", "status", "n_obs", "p", "d", "q", "sigma2", "aicc"]

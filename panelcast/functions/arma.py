@@ -112,6 +112,7 @@ def _refine(w, x, seen, live, beta, terms):
     )
     e, _, de = _filter(w, x, seen, live, par, True)
     css = (e**2).sum(0)
+    going = np.ones(css.shape, bool)  # each series stops by its own progress
     for _ in range(SWEEPS):
         jac = np.ascontiguousarray(de.transpose(2, 3, 1, 0))
         grad = (jac @ e.transpose(1, 2, 0)[..., None])[..., 0] * active
@@ -126,11 +127,11 @@ def _refine(w, x, seen, live, beta, terms):
         chosen = np.take_along_axis(
             trials.reshape(len(STEPS), *par.shape), pick[None, ..., None], 0
         )[0]
-        better = low < css
-        worth = better & (css - low > 1e-6 * css + 1e-12)
+        better = going & (low < css)
+        going = better & (css - low > 1e-6 * css + 1e-12)
         par = np.where(better[..., None], chosen, par)
         css = np.where(better, low, css)
-        if not worth.any():
+        if not going.any():
             break
         e, _, de = _filter(w, x, seen, live, par, True)
     return par, css
@@ -140,10 +141,10 @@ def _kpss(n, seen):
     """Level-stationarity statistic per series, over the seen values."""
     count = np.maximum(seen.sum(0), 1)
     z = np.where(seen, n - np.where(seen, n, 0.0).sum(0) / count, 0.0)
-    lag = int(4 * (count.max() / 100) ** 0.25)
+    lag = (4 * (count / 100) ** 0.25).astype(int)  # of each series by its own length
     var = (z**2).sum(0)
-    for i in range(1, lag + 1):
-        var = var + 2 * (1 - i / (lag + 1)) * (z[i:] * z[:-i]).sum(0)
+    for i in range(1, int(lag.max(initial=0)) + 1):
+        var = var + np.where(i <= lag, 2 * (1 - i / (lag + 1)), 0.0) * (z[i:] * z[:-i]).sum(0)
     return (np.cumsum(z, 0) ** 2).sum(0) / count / np.maximum(var, 1e-12)
 
 

@@ -50,7 +50,7 @@ TRAINING_FALLBACK = (ModelSpec(uses=PROMOTION), ModelSpec())
 BLOCK_BYTES = 64 * 2**20
 
 FIT_COLUMNS = (
-    "model string, status string, n_obs int, p int, d int, q int, const double,"
+    "model string, kind string, design array<string>, status string, n_obs int, p int, d int, q int, const double,"
     " beta array<double>, phi array<double>, theta array<double>, n_tail array<double>,"
     " e_tail array<double>, level double, x_last array<double>, alpha double, slope_gain double,"
     " damping double, slope double, season array<double>, sigma2 double, aicc double,"
@@ -216,7 +216,7 @@ def interpolated(fits: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
 
 def information_criteria(fits: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
     """AICc of the ARIMA models, which share a likelihood; NULL where none was fitted."""
-    return fits.where(F.col("model").contains("arima")).select(*spec.keys, "model", "aicc")
+    return fits.where(F.col("kind") == "arima").select(*spec.keys, "model", "aicc")
 
 
 def _run(
@@ -239,7 +239,11 @@ def _run(
             cuts = np.linspace(0, batch.num_rows, -(-batch.num_rows // most) + 1).astype(int)
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
                 block = batch.slice(start, end - start)
-                yield from _fit_rows(block, plan, columns, keys, interpolate, matrices)
+                # Series of one length at a time: a fit must not depend on its neighbours.
+                lengths = np.diff(block.column("units").offsets.to_numpy())
+                for n in np.unique(lengths):
+                    alike = block.take(pa.array(np.flatnonzero(lengths == n)))
+                    yield from _fit_rows(alike, plan, columns, keys, interpolate, matrices)
 
     return rows.mapInArrow(run, f"{key_ddl}, {FIT_COLUMNS}")
 
@@ -269,30 +273,32 @@ def _fit_rows(block, plan, design, keys, interpolate, matrices) -> Iterator[pa.R
         else:
             rows = _stl_rows(source, lengths, alive, matrices)
             keep = alive
-        yield _fit_batch(block, name, rows, keep, keys)
+        yield _fit_batch(block, name, kind, design, rows, keep, keys)
 
 
 def _numbers(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
-def _fit_batch(block, name, rows, keep, keys) -> pa.RecordBatch:
+def _fit_batch(block, name, kind, design, rows, keep, keys) -> pa.RecordBatch:
     """The fit-table rows of one model; NaN becomes NULL."""
     at = pa.array(np.flatnonzero(keep))
     same = [*keys, "first_week", "last_week", "units"]
     fields = dict(zip(same, (block.column(c).take(at) for c in same), strict=True))
     kept = [r for r, k in zip(rows, keep, strict=True) if k]
     fields["model"] = pa.array([name] * len(kept), pa.string())
+    fields["kind"] = pa.array([kind] * len(kept), pa.string())
+    fields["design"] = pa.array([list(design)] * len(kept), pa.list_(pa.string()))
     for column in FIT_COLUMNS.split(", "):
-        field, kind = column.split()
+        field, dtype = column.split()
         if field in fields:
             continue
         values = [r.get(field) for r in kept]
-        if kind == "array<double>":
+        if dtype == "array<double>":
             lists = [None if v is None else pa.array(v, pa.float64(), from_pandas=True) for v in values]
             fields[field] = pa.array(lists, pa.list_(pa.float64()))
         else:
-            arrow = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[kind]
+            arrow = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[dtype]
             fields[field] = pa.array(values, arrow, from_pandas=True)
     order = [*keys, *[c.split()[0] for c in FIT_COLUMNS.split(", ")]]
     return pa.RecordBatch.from_arrays([fields[c] for c in order], order)

@@ -23,7 +23,7 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
 
 
-def arma_path(horizon: int) -> Column:
+def arma_path(horizon: Column | int) -> Column:
     """array<(mu, sd)> of the ARIMA error process, `horizon` steps past the fit.
 
     The standard deviation grows through the psi weights, summed when the series
@@ -68,11 +68,16 @@ def arma_path(horizon: int) -> Column:
             F.concat(s["path"], F.array(point)).alias("path"),
         )
 
-    steps = F.sequence(F.lit(1), F.lit(horizon))
-    return F.aggregate(steps, start, advance, lambda s: s["path"])
+    return F.aggregate(_steps(horizon), start, advance, lambda s: s["path"])
 
 
-def smoothing_path(horizon: int, period: int = PERIOD) -> Column:
+def _steps(horizon: Column | int) -> Column:
+    """1 to horizon; none if it is below 1."""
+    h = F.lit(horizon) if isinstance(horizon, int) else horizon
+    return F.when(h >= 1, F.sequence(F.lit(1), h)).otherwise(F.array().cast("array<int>"))
+
+
+def smoothing_path(horizon: Column | int, period: int = PERIOD) -> Column:
     """array<(mu, sd)> of level plus damped trend plus the last seasonal cycle, repeated."""
     damping = F.col("damping")
 
@@ -99,10 +104,10 @@ def smoothing_path(horizon: int, period: int = PERIOD) -> Column:
             F.sqrt(F.col("sigma2") * spread(h)).alias("sd"),
         )
 
-    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), point)
+    return F.transform(_steps(horizon), point)
 
 
-def _state(fits: DataFrame, horizon: int, spec: PanelSpec) -> DataFrame:
+def _state(fits: DataFrame, horizon: Column | int, spec: PanelSpec) -> DataFrame:
     """What a forecast needs of each fit, with the error process rolled forward."""
     return fitted_only(fits).select(
         *spec.keys,
@@ -110,9 +115,11 @@ def _state(fits: DataFrame, horizon: int, spec: PanelSpec) -> DataFrame:
         "last_week",
         "const",
         "beta",
+        "design",
         "x_last",
-        F.when(F.col("model").contains("stl"), smoothing_path(horizon))
-        .otherwise(arma_path(horizon))
+        F.when(F.col("kind") == "stl", smoothing_path(horizon))
+        .when(F.col("kind") == "arima", arma_path(horizon))
+        .otherwise(F.raise_error(F.concat(F.lit("no forecast of kind "), F.coalesce("kind", F.lit("NULL")))))
         .alias("path"),
     )
 
@@ -121,7 +128,8 @@ def _distribution(h: Column, previous: dict[str, Column], design: Sequence[str],
     """mu and sigma of a row that holds a fit's state and the flags of its week.
 
     `previous` gives last week's flag, NULL at the first step, where the last
-    observed flag kept in the fit stands in.
+    observed flag kept in the fit stands in. A fit with effects must have been made
+    with the same design.
     """
     seasonal = fourier(F.col(week))
     regressors = []
@@ -129,14 +137,24 @@ def _distribution(h: Column, previous: dict[str, Column], design: Sequence[str],
         if name in LAGS:
             flag = name.removeprefix("lag_")
             last = F.get("x_last", F.lit(design.index(flag)))
-            regressors.append(F.coalesce(previous[flag].cast("double"), last))
+            earlier = F.coalesce(previous[flag].cast("double"), F.lit(0.0))  # unknown flags are read as 0
+            regressors.append(F.when(h == 1, last).otherwise(earlier))
         elif name in FOURIER:
             regressors.append(seasonal[name])
         else:
             regressors.append(F.col(name).cast("double"))
     x = F.array(*regressors) if regressors else F.array().cast("array<double>")
-    effect = F.coalesce(_sum(F.zip_with("beta", x, lambda b, v: b * v)), F.lit(0.0))
-    point = F.try_element_at("path", h)
+    names = F.array(*[F.lit(n) for n in design]).cast("array<string>")
+    other = F.concat(
+        F.lit("the fit was made with other regressors: "),
+        F.coalesce(F.array_join("design", ", "), F.lit("unknown")),
+    )
+    effect = (
+        F.when(F.col("beta").isNull(), 0.0)
+        .when(~F.coalesce(F.col("design") == names, F.lit(False)), F.raise_error(other).cast("double"))
+        .otherwise(_sum(F.zip_with("beta", x, lambda b, v: b * v)))
+    )
+    point = F.get("path", h - 1)
     return {
         "mu": point["mu"] + F.coalesce("const", F.lit(0.0)) + effect,
         "sigma": point["sd"],
@@ -146,17 +164,22 @@ def _distribution(h: Column, previous: dict[str, Column], design: Sequence[str],
 def forecast(
     fits: DataFrame,
     future: DataFrame,
-    horizon: int,
     design: Sequence[str] = PROMOTION,
     spec: PanelSpec = WEEKLY,
 ) -> DataFrame:
     """Mean and standard deviation (square-root scale) for given future rows and their flags.
 
-    Rows more than `horizon` steps past the fit get NULL.
+    Each fit is rolled forward as far as the rows of its series go. Rows that don't lie
+    after the fit get NULL.
     """
     flags = fill_flags(future.select(*spec.row_id, *FLAGS))
-    rows = flags.withColumns({f"_prev_{f}": F.lag(f, 1).over(spec.in_order()) for f in FLAGS})
-    joined = rows.join(_state(fits, horizon, spec), on=spec.key_list, how="inner")
+    ordered = spec.in_order()
+    near = F.datediff(spec.index, F.lag(spec.index, 1).over(ordered)) == spec.step_days
+    rows = flags.withColumns({f"_prev_{f}": F.when(near, F.lag(f, 1).over(ordered)) for f in FLAGS})
+    ends = flags.groupBy(*spec.keys).agg(F.max(spec.index).alias("_until"))
+    ahead = (F.datediff("_until", "last_week") / spec.step_days).cast("int")
+    state = _state(fits.join(ends, on=spec.key_list, how="inner"), ahead, spec)
+    joined = rows.join(state, on=spec.key_list, how="inner")
     h = (F.datediff(spec.index, "last_week") / spec.step_days).cast("int")
     previous = {f: F.col(f"_prev_{f}") for f in FLAGS}
     return joined.withColumns(_distribution(h, previous, design, spec.index)).select(

@@ -19,12 +19,13 @@ def key_duplicates(df: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
 
 
 def declare_panel(df: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
-    """Index column first; the job fails on the first repeated (keys, index)."""
+    """Index column first; the job fails on the first repeated (keys, index), and on a NULL index."""
     repeated = F.lag(spec.index).over(spec.in_order()) == F.col(spec.index)
+    repeated = repeated | F.col(spec.index).isNull()
     message = F.concat_ws(
         " ",
-        F.lit("repeated row in panel:"),
-        *[F.col(c).cast("string") for c in spec.row_id],
+        F.lit("repeated row in panel, or one without an index:"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in spec.row_id],
     )
     checked = df.withColumn("_repeated", F.coalesce(repeated, F.lit(False))).where(
         F.when(F.col("_repeated"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
@@ -43,10 +44,12 @@ def fill_gaps(df: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
     """Turn missing steps between a series' first and last row into rows of NULL.
 
     Each row looks at the next one and emits itself plus the steps in between:
-    no calendar table and no self-join.
+    no calendar table and no self-join. A row without an index has no place in its
+    series: the job fails on it.
     """
     step = F.expr(f"interval {spec.step_days} days")
-    here = F.col(spec.index)
+    missing = F.raise_error(F.lit(f"a panel row has no {spec.index}")).cast("date")
+    here = F.coalesce(F.col(spec.index), missing)
     last_missing = F.date_sub("_next", spec.step_days)
     spread = df.withColumn("_next", F.lead(spec.index).over(spec.in_order())).withColumn(
         "_at", F.explode(F.sequence(here, F.coalesce(last_missing, here), step))

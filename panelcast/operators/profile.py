@@ -56,25 +56,30 @@ def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing, empty, distinct and length range of text columns."""
-    stats = {
-        "n_missing": lambda x: F.count_if(x.isNull()),
-        "complete_rate": lambda x: F.count(x) / F.count(F.lit(1)),
-        "n_empty": lambda x: F.count_if(x == ""),
-        "n_unique": lambda x: F.count_distinct(x),
-        "min_length": lambda x: F.min(F.length(x)),
-        "max_length": lambda x: F.max(F.length(x)),
-    }
-    return _long_stats(df, columns, stats)
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    return _value_counts(df, columns).groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        (F.coalesce(F.sum(known), F.lit(0)) / F.sum("n")).alias("complete_rate"),
+        F.coalesce(F.sum(F.when(F.col("value") == "", F.col("n"))), F.lit(0)).alias("n_empty"),
+        F.count("value").alias("n_unique"),
+        F.min(F.length("value")).alias("min_length"),
+        F.max(F.length("value")).alias("max_length"),
+    )
 
 
 def date_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    stats = {
-        "n_missing": lambda x: F.count_if(x.isNull()),
-        "n_unique": lambda x: F.count_distinct(x),
-        "min_date": F.min,
-        "max_date": F.max,
-    }
-    return _long_stats(df, columns, stats)
+    return _value_counts(df, columns).groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count("value").alias("n_unique"),
+        F.min("value").alias("min_date"),
+        F.max("value").alias("max_date"),
+    )
+
+
+def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n): values are counted map-side, so distinct counts need no expanded rows."""
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
+    return df.select(cell.alias("c")).groupBy("c.column", "c.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def price_range(df: DataFrame, by: str = "upc_id", value: str = "price") -> DataFrame:
@@ -234,17 +239,29 @@ def _flag_levels(
 
 
 def histogram(
-    df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50
+    df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50, few_groups: bool = True
 ) -> DataFrame:
     """Equal-width bins between each group's minimum and maximum; empty bins are not listed.
 
-    The maximum falls in the last bin; a group of one value has one bin.
+    The maximum falls in the last bin; a group of one value has one bin. The ends of
+    few groups (models, categories) enter as a one-row map, so that no group's rows
+    gather; those of many are joined.
     """
     x = F.col(value)
     known = df.where(x.isNotNull()).select(*by, x.cast("double").alias("_x"))
     ends = known.groupBy(*by).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    if by:
-        joined = known.join(ends, list(by))
+    if by and few_groups:
+        # One row: a map from group to ends. NULL is a group like any other.
+        entry = F.struct(F.struct(*by).alias("key"), F.struct("lo", "hi").alias("value"))
+        one = ends.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select("m").scalar()
+        found = known.withColumn("_m", one).withColumn("_e", F.element_at("_m", F.struct(*by)))
+        joined = found.select(*by, "_x", "_e.lo", "_e.hi")
+    elif by:
+        named = ends.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        joined = known.join(named, same).select(*by, "_x", "lo", "hi")
     else:
         one = ends.select(F.struct("lo", "hi").alias("e")).scalar()
         joined = known.withColumn("_e", one).select("_x", "_e.lo", "_e.hi")

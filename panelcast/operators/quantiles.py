@@ -1,11 +1,11 @@
 """Exact quantiles over any number of rows.
 
 The built-in exact percentile holds every distinct value of a group in one task.
-Here the input is reduced once to counted values, spread by value. A group is
-then narrowed: values map to integers in the same order, counts per leading bits
-find the cell holding the wanted rank, and only that cell is looked at more
-finely. Each pass combines map-side, and a group has at most 2^22 cells per pass.
-The passes read the same shuffle of counted values, so the input runs once.
+Here groups are narrowed: values map to integers in the same order, counts per
+leading bits find the cell holding the wanted rank, and only that cell is looked
+at more finely. Each of the three passes reads the input anew and combines
+map-side: counts of cells are shuffled, at most 2^22 of a group per pass, and
+never the values themselves.
 """
 
 from __future__ import annotations
@@ -62,9 +62,7 @@ def exact_quantiles(
         df.select(*by, cells.alias("cell"))
         .select(*by, "cell.column", "cell.x")
         .where(F.col("x").isNotNull() & ~F.isnan("x"))
-        .groupBy(*group, "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bits", ordered_long(F.col("x")))
+        .withColumns({"n": F.lit(1), "bits": ordered_long(F.col("x"))})
     )
 
     # Pass 1: count coarse cells, and place every wanted rank in one of them.

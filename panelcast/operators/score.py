@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.rows import row_argmin, row_mean, strict
@@ -52,9 +52,6 @@ def aicc_leaderboard(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     best = with_best_model(wide, models, "mean_aicc")
     return best.groupBy("best_model").agg(
         F.avg("mean_aicc").alias("mean_aicc"), F.count(F.lit(1)).alias("n_best_model")
-    ).withColumn(
-        "mean_aicc_text",
-        F.concat_ws(" ", F.lit("Mean AICc: "), F.round("mean_aicc", 2).cast("string")),
     )
 
 
@@ -71,10 +68,6 @@ def rmse_leaderboard(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     return (
         wins.join(median, F.col("best_model").eqNullSafe(F.col("_winner")), "left")
         .select("best_model", "median_rmse", "n_best_model")
-        .withColumn(
-            "median_rmse_text",
-            F.concat_ws(" ", F.lit("Median RMSE: "), F.round("median_rmse", 2).cast("string")),
-        )
         .orderBy(F.col("n_best_model").desc(), "best_model")
     )
 
@@ -101,11 +94,14 @@ def acf(
         F.transform("s", lambda p: F.coalesce(p["x"] - F.col("mean"), F.lit(0.0))).alias("z"),
     ).withColumn("power", F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))
     lags = F.sequence(F.lit(1), F.least(F.lit(lag_max), F.size("z") - 1))
-    lagged = centred.where(F.size("z") > 1).withColumn("lag", F.explode(lags))
     n = F.size("z")
-    head = F.slice("z", F.lit(1), n - F.col("lag"))
-    tail = F.slice("z", F.col("lag") + 1, n - F.col("lag"))
-    product = F.aggregate(
-        F.zip_with(head, tail, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
-    )
-    return lagged.select(*by, "lag", F.try_divide(product, F.col("power")).alias("acf"))
+
+    def at(lag: Column) -> Column:
+        head, tail = F.slice("z", F.lit(1), n - lag), F.slice("z", lag + 1, n - lag)
+        product = F.aggregate(
+            F.zip_with(head, tail, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
+        )
+        return F.struct(lag.alias("lag"), F.try_divide(product, F.col("power")).alias("acf"))
+
+    pairs = centred.where(n > 1).select(*by, F.transform(lags, at).alias("pairs"))
+    return pairs.select(*by, F.inline("pairs"))

@@ -89,11 +89,12 @@ def scenario_view(
 ) -> DataFrame:
     """Recent history with the chosen scenario's forecast beside the seasonal one.
 
-    An impossible combination leaves the history only.
+    An impossible combination gives the whole history, and why in `reason`.
     """
+    why = scenario_reason(feature, display, tpr_only)
+    if why:
+        return history_and_holdout(panel, None).withColumn("reason", F.lit(why))
     history = history_and_holdout(last_rows(panel, recent, spec), None)
-    if scenario_reason(feature, display, tpr_only):
-        return history
     chosen = fc_arima.where(
         (F.col("feature") == feature)
         & (F.col("display") == display)
@@ -110,7 +111,8 @@ def scenario_view(
         )
         for fc in (chosen, fc_stl)
     ]
-    return history.unionByName(lines[0]).unionByName(lines[1])
+    shown = history.unionByName(lines[0]).unionByName(lines[1])
+    return shown.withColumn("reason", F.lit(None).cast("string"))
 
 
 def residual_acf(residuals: DataFrame, lag_max: int = 55, spec: PanelSpec = WEEKLY) -> DataFrame:

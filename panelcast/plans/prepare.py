@@ -5,18 +5,28 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.operators.clean import convert_sizes, format_transactions, merge_repeated_stores
 from panelcast.operators.impute import impute
 from panelcast.operators.panel import (
     calendar_split,
     filter_series,
-    full_panel,
     holdout_split,
+    label_calendar_split,
+    label_holdout_split,
     missing_ratio_by_span,
 )
 from panelcast.operators.sampling import sample_series, sampled_rows
-from panelcast.sources.tables import clean_names, rename_keys, write_panel, write_table
+from panelcast.sources.schemas import columns
+from panelcast.sources.tables import (
+    clean_names,
+    read_parquet,
+    rename_keys,
+    write_panel,
+    write_table,
+)
 from panelcast.spec import WEEKLY, PanelSpec
 
 
@@ -67,23 +77,41 @@ def model_inputs(
     return ModelInputs(sample_train, sample_val, train, test)
 
 
+SPLITS = {"sample": ("train", "val"), "panel": ("train", "test")}
+
+
 def write_model_inputs(
-    spark: SparkSession, transactions: DataFrame, products: DataFrame, out: str
+    transactions: DataFrame,
+    products: DataFrame,
+    out: str,
+    spec: PanelSpec = WEEKLY,
+    seed: int = 42,
+    below: float = 0.25,
+    min_obs: int = 12,
+    holdout: int = 4,
 ) -> None:
-    """Write the five model tables. Each split is read back from one written panel, so
-    gap filling and imputation run once."""
-    picked = sample_series(missing_ratio_by_span(transactions), products)
-    sample = sampled_rows(picked, transactions)
-    write_panel(impute(sample), f"{out}/sample.parquet")
-    sample_train, sample_val = calendar_split(spark.read.parquet(f"{out}/sample.parquet"))
-    write_panel(sample_train, f"{out}/sample_train.parquet")
-    write_panel(sample_val, f"{out}/sample_val.parquet")
-
-    write_panel(filter_series(transactions), f"{out}/filled.parquet")
-    train, test = holdout_split(spark.read.parquet(f"{out}/filled.parquet"))
-    write_panel(train, f"{out}/train.parquet")
-    write_panel(test, f"{out}/test.parquet")
-    both = full_panel(
-        spark.read.parquet(f"{out}/train.parquet"), spark.read.parquet(f"{out}/test.parquet")
-    )
-    write_panel(both, f"{out}/transactions_final.parquet")
+    """Write the imputed sample and the filled panel, each once, with its split as folders.
+
+    `read_split` gives a half, `read_model_table` the whole.
+    """
+    ratio = missing_ratio_by_span(transactions, spec=spec)
+    picked = sample_series(ratio, products, below, seed, spec)
+    sample = label_calendar_split(impute(sampled_rows(picked, transactions, spec), spec), spec=spec)
+    write_panel(sample, f"{out}/sample.parquet", spec, split_by="split")
+    panel = label_holdout_split(filter_series(transactions, min_obs, spec), holdout, spec)
+    write_panel(panel, f"{out}/panel.parquet", spec, split_by="split")
+
+
+def read_model_table(spark: SparkSession, out: str, name: str, like: DataFrame) -> DataFrame:
+    """`sample` or `panel` as written, under the schema of the transactions they come from."""
+    extra = "category string, missingness double" if name == "sample" else ""
+    known = T.StructType([f for f in like.schema.fields if f.name != "split"])
+    more = [f for f in columns(f"{extra}, split string" if extra else "split string").fields if f.name not in known.names]
+    return read_parquet(spark, f"{out}/{name}.parquet", T.StructType([*known.fields, *more]))
+
+
+def read_split(spark: SparkSession, out: str, name: str, split: str, like: DataFrame) -> DataFrame:
+    """One half of `sample` (train, val) or `panel` (train, test): the scan opens its folder only."""
+    if split not in SPLITS[name]:
+        raise ValueError(f"{name} has the splits {SPLITS[name]}")
+    return read_model_table(spark, out, name, like).where(F.col("split") == split).drop("split")

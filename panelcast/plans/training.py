@@ -17,14 +17,10 @@ from panelcast.sources.fits import read_fits, write_fits
 from panelcast.sources.tables import write_table
 from panelcast.spec import WEEKLY, PanelSpec
 
-HOLDOUT = 4
 
-
-def holdout_forecast(
-    fits: DataFrame, test: DataFrame, horizon: int = HOLDOUT, spec: PanelSpec = WEEKLY
-) -> DataFrame:
-    """Both models on the held-out weeks, with the flags seen in them."""
-    out = add_intervals(forecast(fits, test, horizon, spec=spec))
+def holdout_forecast(fits: DataFrame, test: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
+    """Both models on the held-out weeks, however many, with the flags seen in them."""
+    out = add_intervals(forecast(fits, test, spec=spec))
     return out.select(*spec.keys, "model", spec.index, "p_units", "low80", "up80", "low95", "up95")
 
 

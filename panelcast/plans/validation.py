@@ -26,8 +26,6 @@ from panelcast.spec import WEEKLY, PanelSpec
 ARIMA_MODELS = tuple(m for m in VALIDATION_MODELS if "arima" in m)
 # The models kept after the comparison of information criteria.
 FINALISTS = ("arima_lagged", "stl")
-# The last calendar month spans at most this many weeks.
-HORIZON = 6
 
 
 def validation_fits(sample_train: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
@@ -38,12 +36,10 @@ def aicc_table(fits: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
     return models_wide(information_criteria(fits, spec), "aicc", ARIMA_MODELS, spec.key_list)
 
 
-def rmse_table(
-    fits: DataFrame, sample_val: DataFrame, horizon: int = HORIZON, spec: PanelSpec = WEEKLY
-) -> DataFrame:
+def rmse_table(fits: DataFrame, sample_val: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame:
     """RMSE of the finalists on the held-out month, one column per model."""
     kept = fits.where(F.col("model").isin(*FINALISTS))
-    fc = add_intervals(forecast(kept, sample_val, horizon, SEASONAL, spec))
+    fc = add_intervals(forecast(kept, sample_val, SEASONAL, spec))
     return models_wide(rmse(with_actuals(fc, sample_val, spec)), "rmse", FINALISTS, spec.key_list)
 
 

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once into the cluster's shared checkpoint folder and go on from there.
+def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Compute once into a folder that all executors share and go on from there.
 
-    The folder is `spark.checkpoint.dir`. Only a local session without one gets a
-    folder of its own.
+    The folder is the session's `spark.checkpoint.dir`, else the caller's; without
+    either the call fails, on one machine as on a cluster.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="panelcast-")
-        context.setCheckpointDir(folder)
+        place = spark.conf.get("spark.checkpoint.dir", None) or folder
+        if place is None:
+            raise ValueError("set spark.checkpoint.dir, or name a folder all executors share")
+        context.setCheckpointDir(place)
     return df.checkpoint()

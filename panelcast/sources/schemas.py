@@ -11,6 +11,7 @@ _TYPES = {
     "date": T.DateType(),
     "timestamp_ntz": T.TimestampNTZType(),
     "array<double>": T.ArrayType(T.DoubleType()),
+    "array<string>": T.ArrayType(T.StringType()),
 }
 
 

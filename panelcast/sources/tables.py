@@ -29,17 +29,22 @@ def read_landing_csv(
     """Read a landing file that opens with a title record and a header record.
 
     Line numbers mean nothing once a file is split, so both records are dropped
-    by what they hold: a title fills only the first cell, a header repeats the
-    column names. Everything else must cast to the schema, or the job fails.
+    by what they hold: a title fills only the first cell, with text that is no value
+    of the first column; a header repeats all column names. Everything else is a
+    record and must cast to the schema, or the job fails. A first column of text
+    can't tell a title from a record, so its title must be left out of the file.
     """
     names = schema.fieldNames()
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(text).option("sep", sep).csv(path)
-    is_title = F.lit(len(names) > 1)
+    first = schema.fields[0]
+    is_title = F.col(first.name).isNotNull() & F.col(first.name).try_cast(first.dataType).isNull()
     for n in names[1:]:
         is_title = is_title & F.col(n).isNull()
-    first = F.lower(F.regexp_replace(F.trim(F.col(names[0])), "[^A-Za-z0-9]+", "_"))
-    is_header = F.coalesce(first == names[0], F.lit(False))
+    is_header = F.lit(True)
+    for n in names:
+        cell = F.lower(F.regexp_replace(F.trim(F.col(n)), "[^A-Za-z0-9]+", "_"))
+        is_header = is_header & F.coalesce(cell == n, F.lit(False))
     return rows.where(~is_title & ~is_header).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     )
@@ -71,13 +76,18 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_panel(
-    df: DataFrame, path: str, spec: PanelSpec = WEEKLY, tasks: int | None = None
+    df: DataFrame,
+    path: str,
+    spec: PanelSpec = WEEKLY,
+    tasks: int | None = None,
+    split_by: str | None = None,
 ) -> None:
     """Write clustered by series and sorted inside files, so a lookup of one
-    series prunes to a few row groups."""
-    by_series(df, spec, tasks).sortWithinPartitions(*spec.row_id).write.mode("overwrite").parquet(
-        path
-    )
+    series prunes to a few row groups. With `split_by`, each of its few values has a
+    folder of its own."""
+    order = [split_by, *spec.row_id] if split_by else spec.row_id
+    writer = by_series(df, spec, tasks).sortWithinPartitions(*order).write.mode("overwrite")
+    (writer.partitionBy(split_by) if split_by else writer).parquet(path)
 
 
 def write_decimal_comma_csv(df: DataFrame, path: str) -> None:

@@ -74,3 +74,20 @@ def test_fit_table_round_trip(spark, tmp_path):
 def test_cut_keeps_rows(spark):
     df = spark.range(10).repartition(3)
     assert sorted(r.id for r in checkpoints.cut(df).collect()) == list(range(10))
+
+
+def test_landing_csv_keeps_sparse_records(spark, tmp_path):
+    """A title isn't a value of the first column; a record with only its key is."""
+    schema = schemas.columns("upc bigint, description string, product_size string")
+    (tmp_path / "p.csv").write_text("Products of the chain,,\nUPC,DESCRIPTION,PRODUCT_SIZE\n7,,\n8,UPC,1 OZ\n,x,\n")
+    got = tables.read_landing_csv(spark, str(tmp_path / "p.csv"), schema).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, None, None), (8, "UPC", "1 OZ"), (None, "x", None)], key=str)
+
+
+def test_cut_needs_a_folder(spark, tmp_path):
+    from panelcast.sources import checkpoints
+
+    if spark.sparkContext.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError):
+            checkpoints.cut(spark.range(3))
+    assert checkpoints.cut(spark.range(3), str(tmp_path)).count() == 3

@@ -74,7 +74,7 @@ def test_decomposition_finds_season_and_trend(spark):
     fits = fit.fit_models(df, {"stl": fit.VALIDATION_MODELS["stl"]}, ())
     assert fits.where("status = 'ok' and size(season) = 52").count() == 20
     fc = forecast.add_intervals(
-        forecast.forecast(fits, panel.future_rows(df, 26).withColumns({f: F.lit(0) for f in FLAGS}), 26, ())
+        forecast.forecast(fits, panel.future_rows(df, 26).withColumns({f: F.lit(0) for f in FLAGS}), ())
     ).toPandas()
     first = df.agg(F.min("week")).first()[0]
     t = np.array([(w - first).days // 7 for w in fc["week"]])
@@ -133,7 +133,7 @@ def test_least_squares_equals_numpy(spark, promo):
 
 def test_interval_coverage_and_order(promo):
     train, test = panel.holdout_split(promo, 8)
-    fc = forecast.add_intervals(forecast.forecast(fit.train_models(train), test, 8))
+    fc = forecast.add_intervals(forecast.forecast(fit.train_models(train), test))
     rows = score.with_actuals(fc.where("model = 'arima'"), promo).toPandas()
     assert len(rows) == 60 * 8
     inside80 = ((rows.units >= rows.low80) & (rows.units <= rows.up80)).mean()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import clean, features, impute, panel, sampling
 from panelcast.sources import derive
+import planted
 from planted import MONDAY, weeks
 
 SCHEMA = "week date, store_id string, upc_id string, units double"
@@ -150,3 +151,76 @@ def test_partitioning_does_not_change_the_panel(spark, tiny, parts):
     base = panel.label_holdout_split(panel.filter_series(tx))
     other = panel.label_holdout_split(panel.filter_series(tx.repartition(parts)))
     assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
+
+
+def test_rows_without_a_week_are_refused(spark):
+    df = spark.createDataFrame(
+        [(dt.date(2024, 1, 1), "1", "a", 1.0), (None, "1", "a", 2.0)],
+        "week date, store_id string, upc_id string, units double",
+    )
+    for refuse in (panel.declare_panel, panel.fill_gaps):
+        with pytest.raises(Exception, match="week|index"):
+            refuse(df).collect()
+
+
+def test_longer_holdouts_are_scored_to_their_end(spark):
+    from panelcast.operators import fit, score
+    from panelcast.plans import training
+
+    df = spark.createDataFrame(planted.ar1_promo(6, n=80))
+    train, test = panel.holdout_split(df, 8)
+    out = training.holdout_forecast(fit.train_models(train), test)
+    assert out.count() == 6 * 8 * 2 and out.where("p_units is null").count() == 0
+    assert score.with_actuals(out, df).where("units is not null").count() == 6 * 8 * 2
+
+
+def test_fits_do_not_depend_on_neighbours_or_tasks(spark):
+    """Series of several lengths, with gaps, give the same fits in any number of tasks."""
+    import pandas as pd
+
+    from panelcast.operators import fit
+
+    parts = []
+    for n in (30, 41, 60, 150):
+        part = planted.punch_gaps(planted.ar1_promo(5, n=n), 0.05)
+        part["upc_id"] = part["upc_id"] + f"_{n}"
+        parts.append(part)
+    df = panel.fill_gaps(spark.createDataFrame(pd.concat(parts)))
+    got = []
+    for tasks in (1, 4, 16):
+        rows = fit.train_models(df, tasks=tasks).select("store_id", "upc_id", "model", "p", "d", "q", "sigma2").collect()
+        got.append({(r[0], r[1], r[2]): (r[3], r[4], r[5], r[6] and round(r[6], 9)) for r in rows})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 40
+
+
+def test_forecasts_refuse_other_regressors_and_kinds(spark):
+    from pyspark.sql import functions as F
+
+    from panelcast.operators import fit, forecast
+    from panelcast.spec import FLAGS
+
+    df = spark.createDataFrame(planted.ar1_promo(3, n=60))
+    fits = fit.train_models(df)
+    with pytest.raises(Exception, match="other regressors"):
+        forecast.forecast_next(fits.where("model = 'arima'"), 2, FLAGS).collect()
+    with pytest.raises(Exception, match="no forecast of kind"):
+        forecast.forecast_next(fits.withColumn("kind", F.lit("odd"))).collect()
+    renamed = fits.where("model = 'stl'").withColumn("model", F.lit("decomp"))
+    assert forecast.forecast_next(renamed).where("p_units is null").count() == 0
+
+
+def test_lagged_flags_go_by_week(spark):
+    """A hole in the future rows: the flag before it isn't last week's."""
+    from pyspark.sql import functions as F
+
+    from panelcast.operators import fit, forecast
+
+    df = spark.createDataFrame(planted.ar1_promo(1, n=120, lag_effect=-0.5))
+    fits = fit.train_models(df).where("model = 'arima'")
+    future = panel.future_rows(df, 4).withColumns({"feature": F.lit(1), "display": F.lit(0), "tpr_only": F.lit(0)})
+    whole = {r.week: r.mu for r in forecast.forecast(fits, future).collect()}
+    part = {r.week: r.mu for r in forecast.forecast(fits, future.where("h <> 3")).collect()}
+    weeks = sorted(whole)
+    beta = fits.first().beta
+    assert part[weeks[1]] == pytest.approx(whole[weeks[1]])
+    assert part[weeks[3]] == pytest.approx(whole[weeks[3]] - beta[3])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import planted
-from panelcast.plans import dashboard, prepare, training, validation
+from panelcast.plans import batch, dashboard, prepare
 from panelcast.spec import FLAGS
 
 
@@ -34,16 +34,15 @@ def landed(spark):
 @pytest.fixture(scope="module")
 def out(spark, landed, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("out"))
-    prepare.write_clean(prepare.clean(*landed), path)
-    prepare.write_model_inputs(
-        spark,
-        spark.read.parquet(f"{path}/transactions.parquet"),
-        spark.read.parquet(f"{path}/products.parquet"),
-        path,
-    )
+    batch.train(spark, *landed, path)
     return path
 
 
+def half(spark, out, name, split):
+    like = spark.read.parquet(f"{out}/transactions.parquet")
+    return prepare.read_split(spark, out, name, split, like)
+
+
 def test_clean_tables(spark, out):
     store = spark.read.parquet(f"{out}/store.parquet")
     assert store.count() == 7
@@ -53,31 +52,31 @@ def test_clean_tables(spark, out):
 
 
 def test_model_inputs(spark, out):
-    read = lambda n: spark.read.parquet(f"{out}/{n}.parquet")
-    sample = read("sample_train").unionByName(read("sample_val"))
+    sample = half(spark, out, "sample", "train").unionByName(half(spark, out, "sample", "val"))
     assert sample.select("store_id", "upc_id").distinct().count() == 14
     assert sample.where("units is null").count() == 0
-    assert read("train").count() == 14 * 126 and read("test").count() == 14 * 4
-    assert read("transactions_final").count() == 14 * 130
+    train, test = (half(spark, out, "panel", s) for s in ("train", "test"))
+    assert train.count() == 14 * 126 and test.count() == 14 * 4
+    assert spark.read.parquet(f"{out}/panel.parquet").count() == 14 * 130
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
 
 
 def test_training_and_forecasts(spark, out):
-    train, test = (spark.read.parquet(f"{out}/{n}.parquet") for n in ("train", "test"))
-    training.write_training(spark, train, test, out)
-    training.write_forecasts(spark, test, out)
     holdout = spark.read.parquet(f"{out}/fc_train.parquet")
     scenarios = spark.read.parquet(f"{out}/fc_arima.parquet")
     seasonal = spark.read.parquet(f"{out}/fc_stl.parquet")
     assert (holdout.count(), scenarios.count(), seasonal.count()) == (14 * 4 * 2, 14 * 2 * 5, 14 * 2)
     for table in (holdout, scenarios, seasonal):
         assert table.where("p_units is null or low95 is null").count() == 0
-    final = spark.read.parquet(f"{out}/transactions_final.parquet")
+    final = spark.read.parquet(f"{out}/panel.parquet")
     wide = dashboard.holdout_rmse(final, holdout)
     assert wide.columns == ["store_id", "upc_id", "ARIMA", "STL"] and wide.count() == 14
     view = dashboard.scenario_view(final, scenarios, seasonal, display=1)
     assert view.groupBy("line").count().count() == 3
     only = dashboard.scenario_view(final, scenarios, seasonal, feature=1, tpr_only=1)
-    assert {r.line for r in only.select("line").distinct().collect()} == {"HISTORY"}
+    assert {(r.line, r.reason is None) for r in only.select("line", "reason").distinct().collect()} == {("HISTORY", False)}
+    assert only.count() == final.count()
     assert dashboard.scenario_reason(1, 0, 1) and dashboard.scenario_reason(1, 1, 0) is None
     residuals = spark.read.parquet(f"{out}/residuals.parquet")
     assert dashboard.residual_acf(residuals).count() == 14 * 2 * 55
@@ -87,9 +86,8 @@ def test_training_and_forecasts(spark, out):
     assert abs(first.agg(F.avg("acf")).first()[0]) < 0.1
 
 
-def test_validation(spark, out):
-    train, val = (spark.read.parquet(f"{out}/{n}.parquet") for n in ("sample_train", "sample_val"))
-    by_aicc, by_rmse = validation.write_validation(spark, train, val, out)
+def test_validation(spark, landed, tmp_path):
+    by_aicc, by_rmse = batch.validate(spark, *landed, str(tmp_path))
     assert by_aicc.agg(F.sum("n_best_model")).first()[0] == 14
     board = by_rmse.collect()
     assert sum(r.n_best_model for r in board) == 14
@@ -97,7 +95,7 @@ def test_validation(spark, out):
 
 
 def test_measure_choices(spark, out):
-    final = spark.read.parquet(f"{out}/transactions_final.parquet")
-    assert dashboard.measure_choices(final) == ["units", *FLAGS]
+    final = spark.read.parquet(f"{out}/panel.parquet")
+    assert dashboard.measure_choices(final.drop("split")) == ["units", *FLAGS]
     one = dashboard.series(final, "1", "1")
     assert one.count() == 130

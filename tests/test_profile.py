@@ -108,3 +108,11 @@ def test_acf_matches_numpy(spark):
     for k in range(1, 11):
         assert got["s", k] == pytest.approx((z[k:] * z[:-k]).sum() / (z**2).sum())
     assert got["flat", 1] is None and len(got) == 11
+
+
+def test_histogram_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)], "g string, x double")
+    for few in (True, False):
+        rows = profile.histogram(df, "x", ["g"], 2, few).collect()
+        assert sum(r.n for r in rows) == 4
+        assert {(r.g, r.bin, r.bin_end) for r in rows if r.g is None} == {(None, 1, 7.0), (None, 2, 9.0)}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.trees import BoostedTrees
 
-SAMPLE, DRESSINGS, TOGETHER = 96, 4, 64
+SAMPLE, DRESSINGS, TOGETHER = 96, 7, 64
 #: What leaving an element open costs, in log probability.
 OPEN_COST = 0.5
 _TOKEN = re.compile(
@@ -295,10 +295,15 @@ def dress(rng: np.random.Generator, blocks: list[str], snippets: list[str]) -> s
         return _element(rng, pick("div", "ul", "p"), "".join(f'<a href="#">{some()}</a> ' for _ in range(int(rng.integers(1, 5)))), pick("share", "social", "breadcrumb", "pagination", "tags", "meta"))
 
     others = [advert, notice, form, share, side]
+    if rng.random() < 0.3:  # a short text, or one of short blocks
+        blocks = [" ".join(b.split()[: int(rng.integers(1, 9))]) for b in blocks[: int(rng.integers(1, 8))]]
+    between = 0.06 if rng.random() < 0.6 else 0.25
     body = [_element(rng, pick("h1", "h1", "h2"), f'<span {GOLD}="1">{entities.escape(" ".join(blocks[0].split()[:12]))}</span>')]
     style = pick("p", "p", "p", "div", "mixed")
     for b in blocks:
-        tag = style if style != "mixed" else pick("p", "blockquote", "h2", "h3", "pre", "li", "td")
+        tag = style if style != "mixed" else pick("p", "p", "blockquote", "h2", "h3", "pre", "li", "td")
+        if tag in ("h2", "h3", "td", "li") and rng.random() < 0.7:
+            b = " ".join(b.split()[: int(rng.integers(1, 12))])
         inner = entities.escape(b)
         if rng.random() < 0.15:
             words = inner.split(" ")
@@ -306,11 +311,12 @@ def dress(rng: np.random.Generator, blocks: list[str], snippets: list[str]) -> s
             words[k] = f'<a href="/x">{words[k]}</a>'
             inner = " ".join(words)
         made = f'<{tag} {GOLD}="1">{inner}</{tag}>'
-        made = f"<ul>{made}</ul>" if tag == "li" else f"<table><tr>{made}</tr></table>" if tag == "td" else made
+        more = "".join(f'<{tag} {GOLD}="1">{entities.escape(" ".join(b.split()[: int(rng.integers(1, 10))]))}</{tag}>' for _ in range(int(rng.integers(0, 4))))
+        made = f"<ul>{made}{more}</ul>" if tag == "li" else f"<table><tr>{made}{more}</tr></table>" if tag == "td" else made
         body.append(made)
-        if rng.random() < 0.06:
+        if rng.random() < between:
             body.append(others[int(rng.integers(0, len(others)))]())
-    if rng.random() < 0.35:
+    if rng.random() < 0.4:
         body.append(comments())
     main = _element(rng, pick("article", "article", "main", "div", "div", "section"), "".join(body), maybe(pick("content", "post", "entry-content", "article-body", "story", "main-content", "post-content", "text", "hentry")))
     if rng.random() < 0.4:

@@ -8,7 +8,7 @@ BINS = 32
 
 
 class BoostedTrees:
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, ridge: float = 1.0):
+    def __init__(self, rounds: int = 150, depth: int = 4, rate: float = 0.2, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.ridge = rounds, depth, rate, ridge
         self.base = 0.0
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

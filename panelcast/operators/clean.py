@@ -10,6 +10,7 @@ from panelcast.functions.calendar import week_start
 from panelcast.operators.panel import declare_panel
 from panelcast.spec import WEEKLY, PanelSpec
 
+# The segment of merged stores (fixed value).
 MERGED_SEGMENT = "MAINSTREAM_UPSCALE"
 
 

@@ -36,6 +36,7 @@ class ModelSpec:
     d: int | None = None
 
 
+# The compared models and their regressors (fixed values).
 VALIDATION_MODELS = {
     "arima_base": ModelSpec(uses=FLAGS),
     "arima_lagged": ModelSpec(uses=PROMOTION),

@@ -181,7 +181,8 @@ def _shared_keys(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return met.mapInArrow(gather, "doc_id long, keys binary, hot binary")
 
 
-SEGMENT = "key long, doc_id long, tag long, at int, n int, anchor int, body binary"
+#: n windows from word `at` on; times: how often the segment follows itself, a word further each time.
+SEGMENT = "key long, doc_id long, tag long, at int, n int, anchor int, times int, body binary"
 
 
 def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -216,18 +217,22 @@ def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
                         a, n = int(at[b]), e - b
                         body = w.body(a, a + n - 1 + window)
                         k = _tag(body) if one[b] else int(key[b])
-                        out.append((k, doc, tag, a - base, n, int(least[b]) - a, body))
+                        last = out[-1] if out else None
+                        if last and n == 1 and last[7] == body and last[1:3] == (doc, tag) and last[3] + last[6] == a - base:
+                            out[-1] = (*last[:6], last[6] + 1, body)  # one word over and over
+                        else:
+                            out.append((k, doc, tag, a - base, n, int(least[b]) - a, 1, body))
                 for i, x in enumerate(out):
-                    before = sent.get(x[6])
+                    before = sent.get(x[7])
                     if before is not None and before < x[1]:
-                        out[i] = (x[2] ^ x[3], *x[1:6], None)
+                        out[i] = (x[2] ^ x[3], *x[1:7], None)
                     elif before is None or before > x[1]:
                         if len(sent) >= SENT:
                             sent.clear()
-                        sent[x[6]] = x[1]
+                        sent[x[7]] = x[1]
                 if out:
                     cols = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SEGMENT.split(", ")])
 
     return texts.mapInArrow(run, SEGMENT)
@@ -237,13 +242,13 @@ def _judge(rows: list[tuple], window: int, kernel: Kernel) -> list[tuple]:
     """(doc_id, tag, start, end) of marked runs of windows, as word ranges, of a shard's segments."""
     out, numbers = [], {}
     least: dict[tuple[int, bytes], int] = {}
-    for key, doc, _, _, _, _, body in rows:
+    for key, doc, _, _, _, _, _, body in rows:
         if body is not None:
             k = (key, body)
             least[k] = min(doc, least.get(k, doc))
     flat: list[int] = []
     starts, anchors, docs, index = [0], [], [], {}
-    for key, doc, _, _, _, anchor, body in rows:
+    for key, doc, _, _, _, anchor, _, body in rows:
         if body is None or (key, body) in index:
             continue
         index[key, body] = len(docs)
@@ -255,16 +260,16 @@ def _judge(rows: list[tuple], window: int, kernel: Kernel) -> list[tuple]:
         starts = np.array(starts)
         smallest = kernel(np.array(flat, "int64"), starts, np.array(anchors), np.array(docs, "int64"), window)
         offsets = np.r_[0, np.cumsum(np.diff(starts) - window + 1)]
-    for key, doc, tag, at, n, _, body in rows:
+    for key, doc, tag, at, n, _, times, body in rows:
         if body is None or least[key, body] < doc:
-            out.append((doc, tag, at, at + n - 1 + window))
+            out.append((doc, tag, at, at + n + times - 2 + window))
             continue
         o = offsets[index[key, body]]
         hit = np.flatnonzero(smallest[o : o + n] < doc)
         if len(hit):
             gap = np.flatnonzero(np.diff(hit) > 1)
             for a, b in zip(np.r_[hit[0], hit[gap + 1]].tolist(), np.r_[hit[gap], hit[-1]].tolist(), strict=True):
-                out.append((doc, tag, at + a, at + b + window))
+                out.append((doc, tag, at + a, at + b + times - 1 + window))
     return out
 
 
@@ -285,7 +290,7 @@ def _marks(segments: DataFrame, window: int, kernel: Kernel) -> DataFrame:
                     size = 0
                 rows.append(row)
                 last = row[0]
-                size += row[4] + window - 1 if row[6] is not None else 1
+                size += row[4] + window - 1 if row[7] is not None else 1
         if rows:
             yield flush()
 

@@ -49,6 +49,7 @@ def odd_documents(seed=1):
     rows += [(70 + k, text(rng.randrange(1, 200)), "c") for k in range(25)]
     rows += [(99, text(30_000) + " " + passage, "long"), (100, "a " * 300, "c"), (101, "a " * 300, "c")]
     rows += [(30, rows[19 + 0][1], "hot")] if rows[19][0] == 30 else []
+    rows += [(k, text(9) + " so" * (40 + k) + " " + text(9), "c") for k in range(110, 114)]  # one word over and over
     rows += [rows[8], rows[8]]
     return rows
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from panelcast.operators import fit, forecast, panel, rollup, sampling
+from panelcast.operators import fit, forecast, impute, panel, profile, rollup, sampling, score
 from panelcast.plans.explore import explore
 from panelcast.sources import derive, fits, schemas, tables
 from panelcast.sources.checkpoints import cut
@@ -52,11 +52,11 @@ def test_rollup_has_no_hint_and_reads_few_columns(spark, small, tx):
     assert "spend" not in text and "hhs" not in text
 
 
-def test_sampling_fills_only_the_sample(spark, small, tx):
+def test_sampling_fills_only_the_sample(spark, small, tx, tmp_path):
     picked = sampling.sample_series(
         panel.missing_ratio_by_span(tx), derive.products(spark, small)
     )
-    rows = sampling.sampled_rows(cut(picked), tx)
+    rows = sampling.sampled_rows(cut(picked, str(tmp_path)), tx)
     text = plan(rows)
     assert text.index("Generate explode") < text.index("LeftSemi")
     assert rows.select("store_id", "upc_id").distinct().count() == 12
@@ -76,3 +76,22 @@ def test_explore_gives_every_table(spark, small, tx):
     assert {"store_text", "products_text", "transactions_numeric", "transactions_date"} <= set(out)
     for name in ("store_numeric", "transactions_numeric", "outliers", "product_overview", "flag_crosstab"):
         assert out[name].count() > 0
+
+
+def test_profiles_expand_and_join_nothing(tx):
+    text = plan(profile.text_summary(tx, ["store_id", "upc_id"]))
+    assert "Expand" not in text and exchanges(profile.text_summary(tx, ["store_id", "upc_id"])) == 2
+    by_product = profile.histogram(tx, "units", ["store_id"])
+    assert "Join" not in plan(by_product)
+
+
+def test_autocorrelation_copies_no_arrays(tx):
+    text = plan(score.acf(panel.fill_gaps(tx), "units", ["store_id", "upc_id"]))
+    assert len(re.findall("Generate inline", text)) == 1 and "Generate explode(lag" not in text
+
+
+def test_imputation_counts_gaps_on_one_exchange_of_the_panel(tx):
+    """The panel is dealt by key for gap filling; counting, modelling and carrying forward need no other."""
+    out = impute.impute(panel.filter_series(tx), tasks=5)
+    text = plan(out)
+    assert "hashpartitioning(store_id" in text and "week#" not in " ".join(re.findall(r"hashpartitioning\([^)]*\)", text))

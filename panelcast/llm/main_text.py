@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.trees import BoostedTrees
+from panelcast.llm.words import Local
 
 SAMPLE, DRESSINGS, TOGETHER = 96, 7, 64
 #: What leaving an element open costs, in log probability.
@@ -81,7 +82,7 @@ class Page:
     texts: list[str]
 
 
-_attributes: dict[str, tuple[int, bool]] = {}
+_attributes: dict[str, tuple[int, bool]] = Local()
 
 
 def _names(attributes: str) -> tuple[int, bool]:

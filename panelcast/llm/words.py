@@ -15,7 +15,16 @@ _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype="uint8")
 _LOWER[65:91] += 32
 _ODD = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Local(dict):
+    """A cache that stays in its process: functions that are sent to tasks take it along empty."""
+
+    def __reduce__(self):
+        return (Local, ())
+
+
+_powers: dict[str, tuple[np.ndarray, np.ndarray]] = Local()
 
 
 def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,9 +5,10 @@ summed, bent by tanh, and give a class of tokens and the token in its class (two
 score is the sum of the log-probabilities of all its tokens, each given the others.
 
 Tokens are words with A-Z lowered: the most frequent words of the whole corpus, by a count over all
-documents, and SHARED slots for all others by their hash. Training goes ROUNDS times over all documents:
-every task starts from the same weights, learns a hash-chosen share of its positions (numpy, AdaGrad), and
-the weights are averaged over tasks by the number of positions, as a grouped sum. Only the model itself,
+documents, and SHARED slots for all others by their hash. Every position of every document is learnt once:
+training goes ROUNDS times over all documents, each round learns its own hash-chosen share of the positions, and the
+shares are disjoint and add up to all. In a round every task starts from the same weights and learns (numpy,
+AdaGrad), and the weights are averaged over tasks by the number of positions, as a grouped sum. Only the model itself,
 whose size is fixed, comes to the driver.
 
 Null and empty texts have no tokens: log-likelihood 0, perplexity null. Repeated rows score alike. An empty
@@ -29,7 +30,7 @@ from panelcast.llm import words as W
 FREQUENT, SHARED, CLASS = 768, 256, 32
 SIZE = FREQUENT + SHARED
 CLASSES = SIZE // CLASS
-WIDTH, SPAN, ROUNDS, MASKED_PERCENT, BATCH, RATE = 16, 4, 2, 15, 4096, 0.1
+WIDTH, SPAN, ROUNDS, BATCH, RATE = 16, 4, 2, 4096, 0.1
 PAD = SIZE  # stands before and after a text
 SHAPES = {"left": (SIZE + 1, WIDTH), "right": (SIZE + 1, WIDTH), "bend": (WIDTH,), "class_w": (CLASSES, WIDTH), "class_b": (CLASSES,), "word_w": (CLASSES, CLASS, WIDTH), "word_b": (CLASSES, CLASS)}
 
@@ -153,10 +154,13 @@ class Trainer:
                 back[rows] += q @ m["word_w"][c]
                 word_w[c], word_b[c] = q.T @ h[rows], q.sum(axis=0)
         back = back * (1 - h * h)
+        lo, hi = at[0] - SPAN, at[-1] + SPAN + 1
+        near, spread = line[lo:hi], np.zeros((hi - lo + 2 * SPAN, WIDTH), "float32")
+        spread[at - lo + SPAN] = back  # what each place of the line hears from the SPAN places on one side of it
         sides = {}
-        for name, sign in (("left", -1), ("right", 1)):
-            near = np.concatenate([line[at + sign * k] for k in range(1, SPAN + 1)])
-            sides[name] = np.stack([np.bincount(near, np.tile(back[:, d], SPAN), SIZE + 1) for d in range(WIDTH)], axis=1).astype("float32")
+        for name, sign in (("left", 1), ("right", -1)):
+            heard = sum(spread[SPAN + sign * k : SPAN + sign * k + hi - lo] for k in range(1, SPAN + 1)).T.copy()
+            sides[name] = np.stack([np.bincount(near, row, SIZE + 1) for row in heard], axis=1).astype("float32")
         self._move("class_w", p.T @ h)
         self._move("class_b", p.sum(axis=0))
         self._move("word_w", word_w)
@@ -166,9 +170,15 @@ class Trainer:
             self._move(name, slope)
 
 
+def share(w: W.Words, rounds: int) -> np.ndarray:
+    """The round, 0 to rounds - 1, in which each position is learnt; it depends on the text alone."""
+    place = np.arange(len(w.hashes)) - np.repeat(w.first[:-1], np.diff(w.first))
+    return W.mix(w.hashes ^ W.mix(place.astype("uint64"))) % np.uint64(rounds)
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
     model = start(docs)
-    spark = docs.sparkSession
+    spark, learnt = docs.sparkSession, 0
     for turn in range(rounds):
         shared: Broadcast = spark.sparkContext.broadcast(model)  # of fixed size
 
@@ -179,26 +189,26 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
                 for _, texts in W.blocks(batch.column(0)):
                     w = W.words_of(texts, lower=True)
                     line, at = _padded(tokens(w.hashes, model), w.first)
-                    place = np.arange(len(at)).astype("uint64") + np.uint64(turn << 40)
-                    chosen = at[W.mix(w.hashes ^ W.mix(place)) % np.uint64(100) < MASKED_PERCENT]
+                    chosen = at[share(w, rounds) == turn]
                     for lo in range(0, len(chosen), BATCH):
                         trainer.learn(line, chosen[lo : lo + BATCH])
                     seen += len(chosen)
             if seen:
                 flat = np.concatenate([trainer.m[k].ravel() for k in SHAPES]).astype("float64")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype="int32")), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "weighted", "seen"])
-
-        told = docs.select("text").mapInArrow(run, "i int, weighted double, seen double")
-        mean = told.groupBy("i").agg((F.sum("weighted") / F.sum("seen")).alias("value")).collect()  # the model's size
-        if mean:
-            flat = np.empty(len(mean))
-            flat[[r["i"] for r in mean]] = [r["value"] for r in mean]
-            at = 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype="int32")), pa.array(np.r_[1.0, flat] * seen, pa.float32())], ["i", "weighted"])
+
+        told = docs.select("text").mapInArrow(run, "i int, weighted float")  # -1: positions
+        sums = told.groupBy("i").agg(F.sum("weighted").alias("value")).toArrow()  # the model's size
+        if len(sums):
+            flat = np.empty(len(sums))
+            flat[sums["i"].to_numpy() + 1] = sums["value"].to_numpy()
+            learnt += int(flat[0])
+            flat, at = flat[1:] / flat[0], 0
             for k, s in SHAPES.items():
                 size = int(np.prod(s))
                 model = model | {k: flat[at : at + size].reshape(s).astype("float32")}
                 at += size
-    return model
+    return model | {"learnt": learnt}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

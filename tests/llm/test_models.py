@@ -172,6 +172,34 @@ def test_language_model(spark):
     assert masked_lm.score(docs.limit(0), masked_lm.train(docs.limit(0))).count() == 0
 
 
+def test_language_model_learns_every_position_once(spark):
+    texts = ["a", "b c", None, "", " ".join(f"w{k % 70}" for k in range(5000)), "a"]
+    docs = plain.table(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    for rounds in (1, 2, 3):
+        assert masked_lm.train(docs, rounds)["learnt"] == 5004
+    block = __import__("pyarrow").array([t or "" for t in texts], "large_binary")
+    alone, together = (W.words_of(x, lower=True) for x in (block.slice(4, 1), block))
+    assert masked_lm.share(together, 2)[3:5003].tolist() == masked_lm.share(alone, 2).tolist()  # whatever else is in the block
+
+
+def test_language_model_slopes():
+    """A step of the trainer goes against the slope of the mean log-probability."""
+    rng = np.random.default_rng(2)
+    model = {k: rng.normal(size=s).astype("float32") * 0.3 for k, s in masked_lm.SHAPES.items()}
+    line, at = masked_lm._padded(rng.integers(0, 6, 60).astype("int32"), np.array([0, 25, 60]))
+    at = at[::2]
+    slopes = {}
+    trainer = masked_lm.Trainer(model)
+    trainer._move = lambda name, slope: slopes.update({name: slope})
+    trainer.learn(line, at)
+    value = lambda m: masked_lm.log_probabilities(line, at, m).mean()
+    for name, spot in (("left", (3, 2)), ("right", (1, 5)), ("bend", (4,)), ("class_b", (0,)), ("word_w", (0, 2, 1))):
+        moved = [{k: v.astype("float64") for k, v in model.items()} for _ in range(2)]
+        moved[0][name][spot] += 1e-4
+        moved[1][name][spot] -= 1e-4
+        assert np.isclose(slopes[name][spot], -(value(moved[0]) - value(moved[1])) / 2e-4, rtol=1e-2, atol=1e-5), name
+
+
 RULES = [redirects.Rule("allow", "org", "/"), redirects.Rule("block", "bad.org", "/x/"), redirects.Rule("block", "net", "/ads")]
 
 

@@ -4,12 +4,17 @@ A small network predicts every token from the SPAN tokens before and after it: e
 summed, bent by tanh, and give a class of tokens and the token in its class (two softmaxes). A document's
 score is the sum of the log-probabilities of all its tokens, each given the others.
 
-Tokens are words with A-Z lowered: the most frequent words of the whole corpus, by a count over all
-documents, and SHARED slots for all others by their hash. Every position of every document is learnt once:
-training goes ROUNDS times over all documents, each round learns its own hash-chosen share of the positions, and the
-shares are disjoint and add up to all. In a round every task starts from the same weights and learns (numpy,
-AdaGrad), and the weights are averaged over tasks by the number of positions, as a grouped sum. Only the model itself,
-whose size is fixed, comes to the driver.
+Tokens are words with A-Z lowered. The network tells apart slots: the most frequent words of the whole corpus
+have one each, all others share the rest by their hash, and the number of slots grows with the square root of
+the vocabulary (SIZE at least). A word in a shared slot takes its share of the slot's words besides, by the
+counts of all words over all documents: log P(slot | neighbours) + log P(word | slot). A word that was not
+counted has the chance of one more occurrence of its slot. The counts stay a table; the words of each task's
+texts are sent to them, and what comes back is one sum for a text and range of hashes.
+
+Every position of every document is learnt once: training goes ROUNDS times over all documents, each round
+learns its own hash-chosen share of the positions, and the shares are disjoint and add up to all. In a round
+every task starts from the same weights and learns (numpy, AdaGrad), and the weights are averaged over tasks
+by the number of positions, as a grouped sum. Only the network comes to the driver.
 
 Null and empty texts have no tokens: log-likelihood 0, perplexity null. Repeated rows score alike. An empty
 table gives an empty result.
@@ -17,6 +22,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
+from panelcast.llm.stage import keep
 
 FREQUENT, SHARED, CLASS = 768, 256, 32
 SIZE = FREQUENT + SHARED
-CLASSES = SIZE // CLASS
 WIDTH, SPAN, ROUNDS, BATCH, RATE = 16, 4, 2, 4096, 0.1
-PAD = SIZE  # stands before and after a text
-SHAPES = {"left": (SIZE + 1, WIDTH), "right": (SIZE + 1, WIDTH), "bend": (WIDTH,), "class_w": (CLASSES, WIDTH), "class_b": (CLASSES,), "word_w": (CLASSES, CLASS, WIDTH), "word_b": (CLASSES, CLASS)}
+#: Texts that a task remembers as asked for; forgetting costs time and changes nothing.
+ASKED = 200_000
+
+
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    """The network over `side` classes of `side` slots; the slot after the last stands before and after a text."""
+    slots = side * side
+    return {"left": (slots + 1, WIDTH), "right": (slots + 1, WIDTH), "bend": (WIDTH,), "class_w": (side, WIDTH), "class_b": (side,), "word_w": (side, side, WIDTH), "word_b": (side, side)}
+
+
+SHAPES = shapes(CLASS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -50,28 +65,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def start(docs: DataFrame) -> dict:
-    """A model that knows the frequencies of tokens only."""
-    counts = word_counts(docs)
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()  # at most FREQUENT rows
-    frequent = np.array([r["word"] for r in top], "int64").view("uint64")
-    slot = F.pmod("word", F.lit(SHARED))
-    rest = counts.where(~F.col("word").isin([r["word"] for r in top]) if top else F.lit(True))
-    shared = {r["slot"]: r["n"] for r in rest.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect()}  # SHARED rows
-    n = np.full(SIZE, 0.5)
-    n[: len(top)] += [r["n"] for r in top]
-    for k, v in shared.items():
-        n[FREQUENT + k] += v
+    """A model that knows the frequencies of words and slots only."""
+    counts = keep(word_counts(docs))
+    side = max(CLASS, math.ceil((4 * counts.count()) ** 0.25))
+    slots = side * side
+    own = slots * FREQUENT // SIZE
+    top = counts.orderBy(F.desc("n"), "word").limit(own).toArrow()  # at most as many rows as slots
+    frequent = top["word"].to_numpy().view("uint64")
+    order = np.argsort(frequent)
+    model = {"words": frequent[order], "slots": order.astype("int32"), "side": side}
+
+    def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.bincount(tokens(batch.column(0).to_numpy().view("uint64"), model), batch.column(1).to_numpy(), slots)
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used].astype("int64"))], ["slot", "n"])
+
+    total = counts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # as many rows as slots
+    seen = np.zeros(slots)
+    seen[total["slot"].to_numpy()] = total["n"].to_numpy()
+    n = seen + 0.5
     rng = np.random.default_rng(5)
-    weights = {k: np.zeros(s, "float32") if k in ("bend", "class_b", "word_b") else (rng.standard_normal(s) * 0.1).astype("float32") for k, s in SHAPES.items()}
-    by_class = n.reshape(CLASSES, CLASS)
+    weights = {k: np.zeros(s, "float32") if k in ("bend", "class_b", "word_b") else (rng.standard_normal(s) * 0.1).astype("float32") for k, s in shapes(side).items()}
+    by_class = n.reshape(side, side)
     weights["class_b"] = np.log(by_class.sum(axis=1) / n.sum()).astype("float32")
     weights["word_b"] = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype("float32")
-    order = np.argsort(frequent)
-    return {"words": frequent[order], "slots": order.astype("int32"), **weights}
+    return model | weights | {"total": np.where(np.arange(slots) < own, 0, seen), "counts": counts}
+
+
+def _sent(docs: DataFrame, model: dict) -> Broadcast:
+    """The network for tasks: as many weights as slots ask for; the table of counts stays behind."""
+    return docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
 
 
 def tokens(hashes: np.ndarray, model: dict) -> np.ndarray:
-    out = (FREQUENT + (hashes.view("int64") % SHARED)).astype("int32")
+    slots = model["side"] ** 2
+    own = slots * FREQUENT // SIZE
+    out = (own + (hashes.view("int64") % (slots - own))).astype("int32")
     if len(model["words"]):
         spot = np.minimum(np.searchsorted(model["words"], hashes), len(model["words"]) - 1)
         known = model["words"][spot] == hashes
@@ -79,11 +109,11 @@ def tokens(hashes: np.ndarray, model: dict) -> np.ndarray:
     return out
 
 
-def _padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _padded(ids: np.ndarray, first: np.ndarray, pad: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """The texts with SPAN pads between and around them, and where each token stands there."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.arange(len(ids)) + SPAN * (text + 1)
-    out = np.full(len(ids) + SPAN * len(first), PAD, "int32")
+    out = np.full(len(ids) + SPAN * len(first), pad, "int32")
     out[at] = ids
     return out, at
 
@@ -93,9 +123,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _groups(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _groups(classes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(classes, kind="stable")
-    return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    return order, np.searchsorted(classes[order], np.arange(side + 1))
 
 
 def hidden(line: np.ndarray, at: np.ndarray, m: dict) -> np.ndarray:
@@ -108,20 +138,20 @@ def hidden(line: np.ndarray, at: np.ndarray, m: dict) -> np.ndarray:
 
 def log_probabilities(line: np.ndarray, at: np.ndarray, m: dict) -> np.ndarray:
     """Log-probability of the token at each place given its neighbours."""
-    out = np.empty(len(at))
+    out, side = np.empty(len(at)), len(m["class_b"])
     for lo in range(0, len(at), 1 << 15):
         some = at[lo : lo + (1 << 15)]
         h, goal = hidden(line, some, m), line[some]
         z = h @ m["class_w"].T + m["class_b"]
         z -= z.max(axis=1, keepdims=True)
-        value = z[np.arange(len(some)), goal // CLASS] - np.log(np.exp(z).sum(axis=1))
-        order, cuts = _groups(goal // CLASS)
-        for c in range(CLASSES):
+        value = z[np.arange(len(some)), goal // side] - np.log(np.exp(z).sum(axis=1))
+        order, cuts = _groups(goal // side, side)
+        for c in range(side):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
                 z = h[rows] @ m["word_w"][c].T + m["word_b"][c]
                 z -= z.max(axis=1, keepdims=True)
-                value[rows] += z[np.arange(len(rows)), goal[rows] % CLASS] - np.log(np.exp(z).sum(axis=1))
+                value[rows] += z[np.arange(len(rows)), goal[rows] % side] - np.log(np.exp(z).sum(axis=1))
         out[lo : lo + len(some)] = value
     return out
 
@@ -129,27 +159,27 @@ def log_probabilities(line: np.ndarray, at: np.ndarray, m: dict) -> np.ndarray:
 class Trainer:
     def __init__(self, model: dict):
         self.m = {k: model[k].copy() for k in SHAPES}
-        self.gain = {k: np.full(s, 1e-4, "float32") for k, s in SHAPES.items()}
+        self.gain = {k: np.full(v.shape, 1e-4, "float32") for k, v in self.m.items()}
 
     def _move(self, name: str, slope: np.ndarray) -> None:
         self.gain[name] += slope * slope
         self.m[name] -= RATE * slope / np.sqrt(self.gain[name])
 
     def learn(self, line: np.ndarray, at: np.ndarray) -> None:
-        m, n = self.m, len(at)
+        m, n, side = self.m, len(at), len(self.m["class_b"])
         h, goal = hidden(line, at, m), line[at]
-        classes = goal // CLASS
+        classes = goal // side
         p = _softmax(h @ m["class_w"].T + m["class_b"])
         p[np.arange(n), classes] -= 1
         p /= n
         back = p @ m["class_w"]
-        word_w, word_b = np.zeros(SHAPES["word_w"], "float32"), np.zeros(SHAPES["word_b"], "float32")
-        order, cuts = _groups(classes)
-        for c in range(CLASSES):
+        word_w, word_b = np.zeros_like(m["word_w"]), np.zeros_like(m["word_b"])
+        order, cuts = _groups(classes, side)
+        for c in range(side):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
                 q = _softmax(h[rows] @ m["word_w"][c].T + m["word_b"][c])
-                q[np.arange(len(rows)), goal[rows] % CLASS] -= 1
+                q[np.arange(len(rows)), goal[rows] % side] -= 1
                 q /= n
                 back[rows] += q @ m["word_w"][c]
                 word_w[c], word_b[c] = q.T @ h[rows], q.sum(axis=0)
@@ -160,7 +190,7 @@ class Trainer:
         sides = {}
         for name, sign in (("left", 1), ("right", -1)):
             heard = sum(spread[SPAN + sign * k : SPAN + sign * k + hi - lo] for k in range(1, SPAN + 1)).T.copy()
-            sides[name] = np.stack([np.bincount(near, row, SIZE + 1) for row in heard], axis=1).astype("float32")
+            sides[name] = np.stack([np.bincount(near, row, side * side + 1) for row in heard], axis=1).astype("float32")
         self._move("class_w", p.T @ h)
         self._move("class_b", p.sum(axis=0))
         self._move("word_w", word_w)
@@ -178,9 +208,9 @@ def share(w: W.Words, rounds: int) -> np.ndarray:
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
     model = start(docs)
-    spark, learnt = docs.sparkSession, 0
+    learnt = 0
     for turn in range(rounds):
-        shared: Broadcast = spark.sparkContext.broadcast(model)  # of fixed size
+        shared: Broadcast = _sent(docs, model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             model = shared.value
@@ -188,7 +218,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
             for batch in batches:
                 for _, texts in W.blocks(batch.column(0)):
                     w = W.words_of(texts, lower=True)
-                    line, at = _padded(tokens(w.hashes, model), w.first)
+                    line, at = _padded(tokens(w.hashes, model), w.first, model["side"] ** 2)
                     chosen = at[share(w, rounds) == turn]
                     for lo in range(0, len(chosen), BATCH):
                         trainer.learn(line, chosen[lo : lo + BATCH])
@@ -204,27 +234,137 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
             flat[sums["i"].to_numpy() + 1] = sums["value"].to_numpy()
             learnt += int(flat[0])
             flat, at = flat[1:] / flat[0], 0
-            for k, s in SHAPES.items():
+            for k, s in shapes(model["side"]).items():
                 size = int(np.prod(s))
                 model = model | {k: flat[at : at + size].reshape(s).astype("float32")}
                 at += size
     return model | {"learnt": learnt}
 
 
+def _cut(words: np.ndarray, parts: int) -> list[int]:
+    """Where each of `parts` ranges of hashes begins in sorted words, and the end."""
+    edges = (np.arange(1, parts, dtype=object) * ((1 << 64) // parts)).astype("uint64")
+    return [0, *np.searchsorted(words, edges).tolist(), len(words)]
+
+
+BLOBS = "part int, asks int, words binary, number binary, text binary, keys binary"
+
+
+def _blobs(words: np.ndarray, number: np.ndarray, text: np.ndarray | None, keys: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """Sorted words with a number each, and with the text each is asked for, a row for each range of hashes."""
+    cuts, rows = _cut(words, parts), []
+    for p in range(parts):
+        a, b = cuts[p], cuts[p + 1]
+        if b > a and text is None:
+            rows.append((p, 0, W.pack(words[a:b]), W.pack(number[a:b]), None, None))
+        elif b > a:
+            used, at = np.unique(text[a:b], return_inverse=True)
+            rows.append((p, 1, W.pack(words[a:b]), W.pack(number[a:b], 4), W.pack(at, 4), keys[used].tobytes()))
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in BLOBS.split(", ")])
+
+
+def word_shares(docs: DataFrame, model: dict) -> DataFrame:
+    """key (hash of a text) and mean (of the logarithm of the counts of its words in shared slots, each
+    occurrence for itself) of all texts that have such words."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = _sent(docs, model)
+    own = model["side"] ** 2 * FREQUENT // SIZE
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = batch.column(0).to_numpy().view("uint64"), batch.column(1).to_numpy()
+            order = np.argsort(word)
+            yield _blobs(word[order], n[order], None, None, parts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: set[int] = set()
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            word, text = [], []
+            for row, texts in W.blocks(batch.column(1)):
+                w = W.words_of(texts, lower=True)
+                new = np.zeros(len(texts), bool)
+                for d, key in enumerate(keys[row : row + len(texts)].tolist()):
+                    if key not in asked:
+                        if len(asked) >= ASKED:
+                            asked.clear()
+                        asked.add(key)
+                        new[d] = True
+                of = np.repeat(np.arange(len(texts)), np.diff(w.first))
+                some = new[of] & (tokens(w.hashes, shared.value) >= own)
+                word.append(w.hashes[some])
+                text.append(of[some] + row)
+                if sum(map(len, word)) >= 1 << 21:
+                    yield flush(word, text, keys)
+            if word:
+                yield flush(word, text, keys)
+
+    def flush(words: list, texts: list, keys: np.ndarray) -> pa.RecordBatch:
+        word, text = np.concatenate(words), np.concatenate(texts)
+        words.clear()
+        texts.clear()
+        order = np.lexsort((text, word))
+        word, text = word[order], text[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        return _blobs(word[first], np.diff(np.r_[first, len(word)]), text[first], keys, parts)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, told = None, []  # the counts of a range come before those who ask
+        word, log_n = np.zeros(0, "uint64"), np.zeros(0)
+        for batch in batches:
+            for part, asks, words, number, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, told, word, log_n = part, [], np.zeros(0, "uint64"), np.zeros(0)
+                if not asks:
+                    told.append((words, number))
+                    continue
+                if told:
+                    word, n = (np.concatenate([W.unpack(x[k]) for x in told]) for k in (0, 1))
+                    told, order = [], np.argsort(word)
+                    word, log_n = word[order], np.log(n[order])
+                of, n, at = W.unpack(words), W.unpack(number, 4).astype("int64"), W.unpack(text, 4).astype("int64")
+                value = np.zeros(len(of))
+                if len(word):
+                    spot = np.minimum(np.searchsorted(word, of), len(word) - 1)
+                    value = np.where(word[spot] == of, log_n[spot], 0.0)
+                key = np.frombuffer(keys, "int64")
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, n * value, len(key))), pa.array(np.bincount(at, n, len(key)).astype("int64"))], ["key", "total", "n"])
+
+    rare = model["counts"].where("n > 1")  # log 1 is 0, as for a word that was not counted
+    asks = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(ask, BLOBS)
+    met = rare.mapInArrow(tell, BLOBS).unionAll(asks).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    told = met.mapInArrow(answer, "key long, total double, n long")
+    return told.groupBy("key").agg((F.sum("total") / F.sum("n")).alias("mean"))  # several tasks may ask for one text
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs with n_tokens, log_likelihood (sum over tokens) and perplexity."""
-    shared: Broadcast = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = _sent(docs, model)
+    own = model["side"] ** 2 * FREQUENT // SIZE
 
     def run(texts: pa.Array) -> pa.Array:
-        n, total = [], []
+        n, rare, total = [], [], []
         for _, block in W.blocks(texts):
             w = W.words_of(block, lower=True)
-            line, at = _padded(tokens(w.hashes, shared.value), w.first)
-            sums = np.r_[0.0, np.cumsum(log_probabilities(line, at, shared.value))]
+            m = shared.value
+            ids = tokens(w.hashes, m)
+            line, at = _padded(ids, w.first, m["side"] ** 2)
+            few = ids >= own
+            each = log_probabilities(line, at, m) - np.where(few, np.log(m["total"] + 1)[ids], 0.0)
+            sums, fews = np.r_[0.0, np.cumsum(each)], np.r_[0, np.cumsum(few)]
             n += np.diff(w.first).tolist()
+            rare += (fews[w.first[1:]] - fews[w.first[:-1]]).tolist()
             total += (sums[w.first[1:]] - sums[w.first[:-1]]).tolist()
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["n", "total"])
-
-    got = docs.withColumn("_lm", F.arrow_udf(run, "struct<n:long,total:double>")("text"))
-    perplexity = F.when(F.col("_lm.n") > 0, F.exp(-F.col("_lm.total") / F.col("_lm.n")))
-    return got.withColumns({"n_tokens": F.col("_lm.n"), "log_likelihood": F.col("_lm.total"), "perplexity": perplexity}).drop("_lm")
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(total, pa.float64())], ["n", "rare", "total"])
+
+    got = docs.withColumns({"_lm": F.arrow_udf(run, "struct<n:long,rare:long,total:double>")("text"), "_lm_key": F.xxhash64("text")})
+    shares = word_shares(docs, model).select(F.col("key").alias("_lm_key"), F.col("mean").alias("_lm_mean"))
+    likely = F.col("_lm.total") + F.when(F.col("_lm.rare") > 0, F.col("_lm.rare") * F.col("_lm_mean")).otherwise(0.0)
+    done = got.join(shares, "_lm_key", "left").withColumn("_lm_sum", likely)
+    perplexity = F.when(F.col("_lm.n") > 0, F.exp(-F.col("_lm_sum") / F.col("_lm.n")))
+    done = done.withColumns({"n_tokens": F.col("_lm.n"), "log_likelihood": F.col("_lm_sum"), "perplexity": perplexity})
+    return done.drop("_lm", "_lm_key", "_lm_mean", "_lm_sum")

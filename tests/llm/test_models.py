@@ -1,6 +1,7 @@
 """Trained operators, URL filters and the pipeline on small tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -182,6 +183,50 @@ def test_language_model_learns_every_position_once(spark):
     assert masked_lm.share(together, 2)[3:5003].tolist() == masked_lm.share(alone, 2).tolist()  # whatever else is in the block
 
 
+def test_language_model_scores_the_word(spark):
+    """Words in shared slots: likelihoods of all words add up to one, and rarer words score lower."""
+    rng = random.Random(3)
+    words = [f"v{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(3000)], k=200)) for _ in range(300)]
+    # Copies in other tasks, words that occur once, a text of nothing but shared slots.
+    texts += [texts[0]] * 5 + ["once1", "once2 once3", "", None, "v2999 v2998 v2997"]
+    docs = plain.table(spark, [(k, t, "s") for k, t in enumerate(texts)], 4)
+    model = masked_lm.train(docs)
+    counts = Counter(w for t in texts for w in plain.words(t))
+    hashes = lambda t: W.words_of(next(iter(W.blocks(__import__("pyarrow").array([t]))))[1], lower=True)
+    slot = dict(zip(counts, masked_lm.tokens(hashes(" ".join(counts)).hashes, model).tolist(), strict=True))
+    by_slot = Counter()
+    for w, n in counts.items():
+        by_slot[slot[w]] += n
+    own = len(model["words"])
+    assert own < len(counts)
+    part = lambda w, n=None: 0.0 if slot[w] < own else np.log((n or counts[w]) / (by_slot[slot[w]] + 1))
+    assert all(np.isclose(sum(np.exp(part(w)) for w in counts if slot[w] == s) + 1 / (n + 1), 1) for s, n in by_slot.items() if s >= own)
+    got = masked_lm.score(docs, model).select("doc_id", "log_likelihood", "n_tokens").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        w = hashes(t)
+        line, at = masked_lm._padded(masked_lm.tokens(w.hashes, model), w.first, model["side"] ** 2)
+        want = masked_lm.log_probabilities(line, at, model).sum() + sum(part(x) for x in plain.words(t))
+        assert np.isclose(r["log_likelihood"], want, rtol=1e-5, atol=1e-6)
+    # A word that was never counted scores as one that was counted once, in the same slot.
+    other = plain.table(spark, [(1, "made-up", "s")], 1)
+    w = hashes("made-up")
+    ids = masked_lm.tokens(w.hashes, model)
+    line, at = masked_lm._padded(ids, w.first, model["side"] ** 2)
+    want = masked_lm.log_probabilities(line, at, model).sum() - np.log(by_slot[int(ids[0])] + 1)
+    assert np.isclose(masked_lm.score(other, model).first()["log_likelihood"], want, rtol=1e-5)
+
+
+def test_language_model_grows_with_the_vocabulary(spark):
+    few, many = (plain.table(spark, [(k, " ".join(f"u{n * k + j}" for j in range(n)), "s") for k in range(200)]) for n in (20, 2500))
+    assert masked_lm.start(few)["side"] == masked_lm.CLASS
+    model = masked_lm.train(many, 1)
+    assert model["side"] == 38 and model["left"].shape[0] == 38 * 38 + 1 and model["learnt"] == 500_000
+    assert masked_lm.score(many, model).where("log_likelihood < 0").count() == 200
+
+
 def test_language_model_slopes():
     """A step of the trainer goes against the slope of the mean log-probability."""
     rng = np.random.default_rng(2)

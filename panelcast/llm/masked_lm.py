@@ -9,7 +9,7 @@ have one each, all others share the rest by their hash, and the number of slots
 the vocabulary (SIZE at least). A word in a shared slot takes its share of the slot's words besides, by the
 counts of all words over all documents: log P(slot | neighbours) + log P(word | slot). A word that was not
 counted has the chance of one more occurrence of its slot. The counts stay a table; the words of each task's
-texts are sent to them, and what comes back is one sum for a text and range of hashes.
+texts are sent to them, and the sums come back task by task.
 
 Every position of every document is learnt once: training goes ROUNDS times over all documents, each round
 learns its own hash-chosen share of the positions, and the shares are disjoint and add up to all. In a round
@@ -247,21 +247,23 @@ def _cut(words: np.ndarray, parts: int) -> list[int]:
     return [0, *np.searchsorted(words, edges).tolist(), len(words)]
 
 
-BLOBS = "part int, asks int, words binary, number binary, text binary, keys binary"
+BLOBS = "part int, asks int, words binary, number binary, text binary, keys binary, home long"
+ANSWERS = "home long, keys binary, total binary, number binary"
 
 
 def _blobs(words: np.ndarray, number: np.ndarray, text: np.ndarray | None, keys: np.ndarray | None, parts: int) -> pa.RecordBatch:
     """Sorted words with a number each, and with the text each is asked for, a row for each range of hashes."""
     cuts, rows = _cut(words, parts), []
+    home = None if keys is None else int(np.bitwise_xor.reduce(keys))  # those who ask are told together
     for p in range(parts):
         a, b = cuts[p], cuts[p + 1]
         if b > a and text is None:
-            rows.append((p, 0, W.pack(words[a:b]), W.pack(number[a:b]), None, None))
+            rows.append((p, 0, W.pack(words[a:b]), W.pack(number[a:b]), None, None, None))
         elif b > a:
             used, at = np.unique(text[a:b], return_inverse=True)
-            rows.append((p, 1, W.pack(words[a:b]), W.pack(number[a:b], 4), W.pack(at, 4), keys[used].tobytes()))
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+            rows.append((p, 1, W.pack(words[a:b]), W.pack(number[a:b], 4), W.pack(at, 4), keys[used].tobytes(), home))
+    cols = list(zip(*rows, strict=True)) or [[]] * 7
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in BLOBS.split(", ")])
 
 
@@ -316,7 +318,7 @@ def word_shares(docs: DataFrame, model: dict) -> DataFrame:
         now, told = None, []  # the counts of a range come before those who ask
         word, log_n = np.zeros(0, "uint64"), np.zeros(0)
         for batch in batches:
-            for part, asks, words, number, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, asks, words, number, text, keys, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     now, told, word, log_n = part, [], np.zeros(0, "uint64"), np.zeros(0)
                 if not asks:
@@ -331,13 +333,34 @@ def word_shares(docs: DataFrame, model: dict) -> DataFrame:
                 if len(word):
                     spot = np.minimum(np.searchsorted(word, of), len(word) - 1)
                     value = np.where(word[spot] == of, log_n[spot], 0.0)
-                key = np.frombuffer(keys, "int64")
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, n * value, len(key))), pa.array(np.bincount(at, n, len(key)).astype("int64"))], ["key", "total", "n"])
+                size = len(keys) // 8
+                row = (home, keys, np.bincount(at, n * value, size).tobytes(), np.bincount(at, n, size).astype("int64").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] + [pa.binary()] * 3, strict=True)], [x.split()[0] for x in ANSWERS.split(", ")])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []  # the answers of one home lie together
+
+        def flush() -> pa.RecordBatch:
+            key, at = np.unique(np.frombuffer(b"".join(r[0] for r in rows), "int64"), return_inverse=True)
+            total = np.bincount(at, np.frombuffer(b"".join(r[1] for r in rows)), len(key))
+            n = np.bincount(at, np.frombuffer(b"".join(r[2] for r in rows), "int64"), len(key)).astype("int64")
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(total), pa.array(n)], ["key", "total", "n"])
+
+        for batch in batches:
+            for home, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and home != now:
+                    yield flush()
+                now = home
+                rows.append(row)
+        if rows:
+            yield flush()
 
     rare = model["counts"].where("n > 1")  # log 1 is 0, as for a word that was not counted
     asks = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(ask, BLOBS)
     met = rare.mapInArrow(tell, BLOBS).unionAll(asks).repartition(parts, "part").sortWithinPartitions("part", "asks")
-    told = met.mapInArrow(answer, "key long, total double, n long")
+    home = met.mapInArrow(answer, ANSWERS).repartition(parts, "home").sortWithinPartitions("home")
+    told = home.mapInArrow(gather, "key long, total double, n long")
     return told.groupBy("key").agg((F.sum("total") / F.sum("n")).alias("mean"))  # several tasks may ask for one text
 
 

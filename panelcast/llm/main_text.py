@@ -33,11 +33,16 @@ from panelcast.llm.words import Local
 SAMPLE, DRESSINGS, TOGETHER = 96, 7, 64
 #: What leaving an element open costs, in log probability.
 OPEN_COST = 0.5
+#: What scripts, styles and text fields hold is never text, to the end of the page if need be. Of the embedded
+#: elements only what is closed goes; unclosed ones are elements as others, self-closed ones are empty.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|object|head|textarea|select|canvas|audio|video|math)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(template|noscript|svg|iframe|object|select|canvas|audio|video)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>(?:(?!<\2[\s/>]).)*?</\2\s*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_EMBEDDED = frozenset("template noscript svg iframe object select canvas audio video math".split())
+_HEAD = frozenset("head html title meta link base basefont bgsound noframes template noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: An opening tag of the key ends open elements of these tags, up to the nearest of the stoppers.
@@ -103,6 +108,7 @@ def _names(attributes: str) -> tuple[int, bool]:
 def read_page(html: str) -> Page:
     p = Page([-1], [0], [0], [0], [0], [0], [0], [0], [0], [False], [], [], [])
     stack, names, block, at = [0], ["#"], 0, 0
+    head = title = False  # a head ends with its tag, or with the first text or element of the body
 
     def text(raw: str) -> None:
         if raw:
@@ -117,19 +123,30 @@ def read_page(html: str) -> Page:
             p.end[i], p.last[i] = len(p.texts), len(p.parent)
 
     for m in _TOKEN.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        name = m[3]
+        between, at = html[at : m.start()], m.end()
+        if head and not title and between.strip():
+            head = False
+        if not head:
+            text(between)
+        name = m[4]
         if name is None:
             continue
         name = name.lower()
+        if head:
+            title = name == "title" and not m[3]
+            head = name in _HEAD if not m[3] else name not in ("head", "body", "html")
+            if head or m[3]:
+                continue
+        elif name == "head" and not m[3] and len(p.parent) <= 2 and names[-1] in ("#", "html"):
+            head = True
+            continue
         if name not in _INLINE:
             block += 1
-        if m[2]:
+        if m[3]:
             if name in names:
                 close(len(names) - 1 - names[::-1].index(name))
             continue
-        if name in _VOID:
+        if name in _VOID or (name in _EMBEDDED and m[5].endswith("/")):
             continue
         ended = _ENDS.get(name)
         if ended:
@@ -140,7 +157,7 @@ def read_page(html: str) -> Page:
                 if names[k] in _STOPPERS:
                     break
         up = stack[-1]
-        bits, gold = _names(m[4]) if m[4] else (0, False)
+        bits, gold = _names(m[5]) if m[5] else (0, False)
         p.parent.append(up)
         p.tag.append(_TAG_BIT.get(name, 0))
         p.name.append(bits)
@@ -153,7 +170,8 @@ def read_page(html: str) -> Page:
         p.gold.append(gold or p.gold[up])
         stack.append(len(p.parent) - 1)
         names.append(name)
-    text(html[at:])
+    if not title:
+        text(html[at:])
     close(0)
     return p
 

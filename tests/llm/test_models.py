@@ -49,6 +49,29 @@ def test_main_text(spark):
     assert none.withColumn("text", main_text.main_text(none, main_text.fit_pages(none))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><head><title>no</title><body><p>one</p>", "one"),  # no </head>
+        ("<html><head><title>no</title><p>one</p><p>two</p>", "one two"),  # nor <body>
+        ("<head><title>no</title>one<p>two", "one two"),
+        ("<head><title>no <p>one", "one"),
+        ("<head><script>'<p>no</p>'</script><style>p{}</style><meta a=b></head><body>one", "one"),
+        ("<p>one<svg viewBox='0'/> two</p><p>three</p>", "one two three"),
+        ("<p>one<svg><text>no</text></svg> two</p>", "one two"),
+        ("<p>one</p><audio src=x><p>two</p>", "one two"),
+        ("<p>one</p><video src=x><p>two</p><video>no</video><p>three</p>", "one two three"),
+        ("<video-player></video-player><p>one</p><head-line>two</head-line><p>three</p>", "one two three"),
+        ("<p>one <math><mi>x</mi></math> two</p>", "one x two"),
+        ("<p>one<select><option>no</select><iframe>no</iframe> two", "one two"),
+        ("<p>one<style-guide>two</style-guide><textarea>no", "one two"),
+    ],
+)
+def test_no_text_is_lost_with_broken_or_odd_elements(html, want):
+    p = main_text.read_page(html)
+    assert main_text.kept_text(p, np.ones(len(p.texts), bool)) == want
+
+
 def test_main_text_of_unseen_layouts():
     made = pages(60)
     model = main_text.fit([r[2] for r in made[:40]])

@@ -65,6 +65,14 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed")
 
 
+@query
+def op5_suffix_array_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that go (start-end of each span, from 0, end exclusive) and what is left."""
+    done = suffix_array.cut_documents(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x.start, x.end)), ",")
+    return done.select("doc_id", "n_words", "n_removed", "copy_of", spans.alias("spans"), F.col("kept_sha").alias("kept_sha256"))
+
+
 @query
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -87,6 +87,23 @@ WITH {_repeats(50)}
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) AS n_removed
 FROM gone JOIN d USING (r) GROUP BY r, doc_id, len(w)"""
 
+SUFFIX_ARRAY_CUT = f"""
+WITH {_repeats(50)},
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+kept AS (
+  SELECT word.r, count(gone.i) AS n, string_agg(x, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS s
+  FROM word LEFT JOIN gone ON word.r = gone.r AND word.i = gone.i GROUP BY word.r),
+island AS (SELECT r, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM gone),
+span AS (SELECT r, min(i) - 1 AS a, max(i) AS b FROM island GROUP BY r, k),
+spans AS (SELECT r, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM span GROUP BY r),
+first AS (
+  SELECT r, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS first_id
+  FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       CASE WHEN first_id < doc_id THEN first_id END AS copy_of, coalesce(spans, '') AS spans,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN spans USING (r) LEFT JOIN first USING (r)"""
+
 PREFIX_JOIN = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -103,4 +120,4 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, b.v FROM reac
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(reach.v) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id, n"""
 
-ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING, "op10_prefix_join": PREFIX_JOIN}
+ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op5_suffix_array_cut": SUFFIX_ARRAY_CUT, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING, "op10_prefix_join": PREFIX_JOIN}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import repeats
+from panelcast.llm.stage import keep
 
 #: A passage is this many words or more.
 WINDOW, GRAM = 50, 8
@@ -72,6 +73,17 @@ def repeated_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     return out.select("doc_id", "n_words", removed.alias("n_removed"), "copy_of", "spans")
 
 
+def cut_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_removed, copy_of, spans and kept_sha (of the words that cut_words leaves, joined by one
+    space) of every document, each row of a doc_id with its own text."""
+    marks = keep(mark(docs, window, gram))
+    cut = repeats.cut_words(docs, marks).select("doc_id", "tag", "n_removed", "kept_sha")
+    done = marks.join(cut, ["doc_id", "tag"], "left")
+    merged = F.arrow_udf(_merge, "array<struct<start:int,end:int>>")
+    removed, sha = F.coalesce("n_removed", F.lit(0).cast("long")), F.coalesce("kept_sha", "sha")
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), "copy_of", merged("spans").alias("spans"), sha.alias("kept_sha"))
+
+
 def _merge(rows):
     import pyarrow as pa
 

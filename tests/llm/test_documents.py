@@ -73,6 +73,19 @@ def test_suffix_array(docs, rows, none, window):
     assert suffix_array.repeated_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("window", [8, 50])
+def test_suffix_array_cuts_every_document(docs, rows, none, window):
+    want = []
+    for (i, _, _), (w, g) in zip(rows, plain.repeats(rows, window), strict=True):
+        first = min((j for j, t, _ in rows if j is not None and plain.words(t) == w), default=None)
+        copy_of = first if i is not None and len(w) >= window and first < i else None
+        starts, ends = [k for k in sorted(g) if k - 1 not in g], [k + 1 for k in sorted(g) if k + 1 not in g]
+        want.append((i, len(w), len(g), copy_of, list(zip(starts, ends, strict=True)), plain.sha(" ".join(x for k, x in enumerate(w) if k not in g))))
+    got = [(*r[:4], [tuple(x) for x in r[4]], r[5]) for r in suffix_array.cut_documents(docs, window, 4).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert suffix_array.cut_documents(none).count() == 0
+
+
 def test_hot_minimisers_change_nothing(docs, rows, monkeypatch):
     """All minimisers are split by whole windows: the results stay."""
     from panelcast.llm import repeats

@@ -69,11 +69,14 @@ class _Links(HTMLParser):
     def __init__(self):
         super().__init__()
         self.found: list[str] = []
+        self.base = ""  # of the first base element with a link
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
         if tag == "link" and "canonical" in a.get("rel", "").lower().split() and a.get("href", "").strip():
             self.found.append(a["href"].strip())
+        elif tag == "base" and not self.base:
+            self.base = a.get("href", "").strip()
         elif tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh":
             _, mark, target = a.get("content", "").partition(";")
             name, _, url = target.strip().partition("=")
@@ -83,6 +86,13 @@ class _Links(HTMLParser):
     handle_startendtag = handle_starttag
 
 
+def _join(base: str, link: str) -> str | None:
+    try:
+        return urljoin(base, link)
+    except ValueError:  # a link that can't be read
+        return None
+
+
 def _targets(urls: pa.Array, pages: pa.Array) -> pa.Array:
     out = []
     for url, html in zip(urls.to_pylist(), pages, strict=True):
@@ -90,9 +100,10 @@ def _targets(urls: pa.Array, pages: pa.Array) -> pa.Array:
         try:
             parser.feed(html.as_py())
             parser.close()
-            out.append([urljoin(url, x) for x in parser.found])
-        except (AssertionError, ValueError):  # html or a link that can't be read
-            out.append([])
+        except (AssertionError, ValueError):  # html that can't be read from here on
+            pass
+        base = (_join(url, parser.base) if parser.base else None) or url
+        out.append([x for link in parser.found if (x := _join(base, link)) is not None])
     return pa.array(out, pa.list_(pa.string()))
 
 

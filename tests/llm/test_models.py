@@ -271,6 +271,14 @@ def test_language_model_slopes():
 RULES = [redirects.Rule("allow", "org", "/"), redirects.Rule("block", "bad.org", "/x/"), redirects.Rule("block", "net", "/ads")]
 
 
+def test_a_bad_link_leaves_the_others():
+    pa = __import__("pyarrow")
+    good, bad = '<link rel=canonical href="/a">', '<link rel=canonical href="http://[x">'
+    pages = [good + bad, bad + good, good + "<![bad[", '<base href="http://b.com/d/"><base href="http://no.com/"><link rel=canonical href="e">', '<base href="http://[x">' + good, bad]
+    got = redirects._targets(pa.array(["http://k.net/p"] * len(pages)), pa.array(pages)).to_pylist()
+    assert got == [["http://k.net/a"]] * 3 + [["http://b.com/d/e"], ["http://k.net/a"], []]
+
+
 def test_url_rules_and_aliases(spark):
     link = lambda to: f'<html><head><link href="{to}" rel="canonical"></head></html>'
     rows = [

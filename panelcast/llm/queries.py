@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelcast.llm import fm_index, host_rules, main_text, masked_lm, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
+from panelcast.llm import collocations, fm_index, host_rules, main_text, masked_lm, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
 from panelcast.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -119,4 +119,10 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.linked(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

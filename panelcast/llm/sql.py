@@ -120,4 +120,30 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, b.v FROM reac
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(reach.v) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id, n"""
 
-ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op5_suffix_array_cut": SUFFIX_ARRAY_CUT, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING, "op10_prefix_join": PREFIX_JOIN}
+COLLOCATIONS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p
+  FROM documents),
+piece AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS s FROM d)),
+run AS (SELECT lang, m, array_to_string(w[i:i+m-1], ' ') AS phrase
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM piece, range(1, 6) AS t(m) WHERE len(w) >= m)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM run GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+cut AS MATERIALIZED (
+  SELECT c.lang, c.phrase, c.m, c.a, k, x.f AS l, y.f AS r, n.n,
+         CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN (SELECT * FROM f WHERE f >= 100) x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN (SELECT * FROM f WHERE f >= 100) y ON y.lang = c.lang AND y.phrase = array_to_string(w[k+1:], ' ')
+  JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i+s-1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, w, a, m, s, unnest(range(1, m - s + 2)) AS i FROM c, range(2, 5) AS t(s) WHERE s < m) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ i ON i.lang = best.lang AND i.phrase = best.phrase WHERE i.most IS NULL OR 100 * i.most < 100 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000"""
+
+ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op5_suffix_array_cut": SUFFIX_ARRAY_CUT, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING, "op10_prefix_join": PREFIX_JOIN, "op11_collocations": COLLOCATIONS}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelcast.llm import collocations, conversations, fm_index, host_rules, main_text, masked_lm, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
+from panelcast.llm import collocations, conversations, fm_index, host_rules, licenses, main_text, masked_lm, pieces, prefix_join, redirects, suffix_array, toxic_crf, winnowing
 from panelcast.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -125,6 +125,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(joined)
+
+
 @query
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audited(table(spark, sf_dir, "conversations"), damage=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from panelcast.llm import licenses
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _RULES = {
@@ -146,4 +148,29 @@ kept AS (SELECT best.* FROM best LEFT JOIN inner_ i ON i.lang = best.lang AND i.
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM kept QUALIFY rank <= 2000"""
 
-ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op5_suffix_array_cut": SUFFIX_ARRAY_CUT, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING, "op10_prefix_join": PREFIX_JOIN, "op11_collocations": COLLOCATIONS}
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', {t.exact}, '{t.text}')" for k, t in enumerate(licenses.TEMPLATES))
+
+LICENSES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+t AS (SELECT k, label, exact, {_ITEM_WORDS} AS w FROM (VALUES {_TEMPLATES}) AS v(k, label, exact, text)),
+tg AS (SELECT k, i, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t)),
+dg AS (SELECT r, i, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+vote AS (SELECT r, k, dg.i - tg.i AS diagonal, tg.i AS p FROM dg JOIN tg USING (g)),
+step AS (
+  SELECT v.*, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, k ORDER BY diagonal, p) <= CASE WHEN exact THEN 0 ELSE {licenses.SLACK} END
+         THEN 0 ELSE 1 END AS new
+  FROM vote v JOIN t USING (k)),
+chain AS (SELECT *, sum(new) OVER (PARTITION BY r, k ORDER BY diagonal, p) AS c FROM step),
+cover AS (SELECT r, k, c, min(diagonal) AS start, count(DISTINCT j) AS n FROM (SELECT *, unnest([p, p + 1, p + 2]) AS j FROM chain) GROUP BY r, k, c),
+span AS (SELECT r, start, label, exact, n, len(w) AS size FROM cover JOIN t USING (k) WHERE NOT exact OR n = len(w)),
+doc AS (
+  SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (exact OR n >= {licenses.SHARE} * size)), ',') AS labels,
+         max(CASE WHEN exact THEN 1.0 ELSE CAST(n AS DOUBLE) / size END) AS score
+  FROM span GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN doc USING (r)"""
+
+ORACLE: dict[str, str] = {"op3_fm_index": FM_INDEX, "op5_suffix_array": SUFFIX_ARRAY, "op5_suffix_array_cut": SUFFIX_ARRAY_CUT, "op4_host_rules": HOST_RULES, "op6_winnowing": WINNOWING, "op10_prefix_join": PREFIX_JOIN, "op11_collocations": COLLOCATIONS, "op12_licenses": LICENSES}

@@ -36,7 +36,9 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Phrases that one trie holds.
 SHARD = 1 << 21
 #: Counters that a task gathers before it sends them.
-SEND = 1 << 20
+SEND = 1 << 19
+#: Bytes of text that are worked on at once.
+BLOCK = 1 << 19
 #: Parts of a lang that are ranked by themselves before the lang is.
 SALTS = 64
 
@@ -49,7 +51,7 @@ _WORD_BYTE[[0x20, 0x09]] = False
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[W.Words, np.ndarray, np.ndarray]]:
     """(words, document of each word, piece of each word), a block of texts at a time; documents count from the
     first row of the batch."""
-    for row, texts in W.blocks(batch.column("text")):
+    for row, texts in W.blocks(batch.column("text"), BLOCK):
         w = W.words_of(texts, True, _WORD_BYTE)
         doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
         breaks = np.zeros(len(w.raw) + 1, "int64")

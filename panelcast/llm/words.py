@@ -67,13 +67,13 @@ class Words:
         return self.data[self.start[a] : self.start[b] - 1] if b > a else b""
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(row, texts from there) with few rows at a time, so that memory follows BLOCK or one text."""
+def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, pa.Array]]:
+    """(row, texts from there) with few rows at a time, so that memory follows `size` bytes or one text."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     ends = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1]
     row = 0
     while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + BLOCK, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
         yield row, texts.slice(row, stop - row)
         row = stop
 

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelcast.operators.clean import convert_sizes, format_transactions, merge_repeated_stores
 from panelcast.operators.impute import impute
@@ -19,14 +18,8 @@ from panelcast.operators.panel import (
     missing_ratio_by_span,
 )
 from panelcast.operators.sampling import sample_series, sampled_rows
-from panelcast.sources.schemas import columns
-from panelcast.sources.tables import (
-    clean_names,
-    read_parquet,
-    rename_keys,
-    write_panel,
-    write_table,
-)
+from panelcast.sources.buckets import open_bucketed, write_bucketed
+from panelcast.sources.tables import clean_names, rename_keys, write_panel, write_table
 from panelcast.spec import WEEKLY, PanelSpec
 
 
@@ -90,28 +83,25 @@ def write_model_inputs(
     min_obs: int = 12,
     holdout: int = 4,
 ) -> None:
-    """Write the imputed sample and the filled panel, each once, with its split as folders.
+    """Write the imputed sample and the filled panel, each once, bucketed by series, its split as folders.
 
     `read_split` gives a half, `read_model_table` the whole.
     """
     ratio = missing_ratio_by_span(transactions, spec=spec)
     picked = sample_series(ratio, products, below, seed, spec)
     sample = label_calendar_split(impute(sampled_rows(picked, transactions, spec), spec), spec=spec)
-    write_panel(sample, f"{out}/sample.parquet", spec, split_by="split")
+    write_bucketed(sample, f"{out}/sample.parquet", spec, split_by="split")
     panel = label_holdout_split(filter_series(transactions, min_obs, spec), holdout, spec)
-    write_panel(panel, f"{out}/panel.parquet", spec, split_by="split")
+    write_bucketed(panel, f"{out}/panel.parquet", spec, split_by="split")
 
 
-def read_model_table(spark: SparkSession, out: str, name: str, like: DataFrame) -> DataFrame:
-    """`sample` or `panel` as written, under the schema of the transactions they come from."""
-    extra = "category string, missingness double" if name == "sample" else ""
-    known = T.StructType([f for f in like.schema.fields if f.name != "split"])
-    more = [f for f in columns(f"{extra}, split string" if extra else "split string").fields if f.name not in known.names]
-    return read_parquet(spark, f"{out}/{name}.parquet", T.StructType([*known.fields, *more]))
+def read_model_table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """`sample` or `panel` as written: windows, groupings and joins by series on it move no rows."""
+    return open_bucketed(spark, f"{out}/{name}.parquet")
 
 
-def read_split(spark: SparkSession, out: str, name: str, split: str, like: DataFrame) -> DataFrame:
-    """One half of `sample` (train, val) or `panel` (train, test): the scan opens its folder only."""
+def read_split(spark: SparkSession, out: str, name: str, split: str) -> DataFrame:
+    """One half of `sample` (train, val) or `panel` (train, test): the scan opens its folders only."""
     if split not in SPLITS[name]:
         raise ValueError(f"{name} has the splits {SPLITS[name]}")
-    return read_model_table(spark, out, name, like).where(F.col("split") == split).drop("split")
+    return read_model_table(spark, out, name).where(F.col("split") == split).drop("split")

@@ -1,19 +1,16 @@
-"""The fit table on disk: one row per (series, model), in Parquet."""
+"""The fit table on disk: one row per (series, model), bucketed by series like the panel it is joined to."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.operators.fit import FIT_COLUMNS
-from panelcast.sources.schemas import columns
-from panelcast.sources.tables import read_parquet, write_table
+from panelcast.sources.buckets import open_bucketed, write_bucketed
 from panelcast.spec import WEEKLY, PanelSpec
 
 
-def write_fits(fits: DataFrame, path: str) -> None:
-    write_table(fits, path)
+def write_fits(fits: DataFrame, path: str, spec: PanelSpec = WEEKLY, buckets: int | None = None) -> DataFrame:
+    return write_bucketed(fits, path, spec, buckets, order=("model",))
 
 
-def read_fits(spark: SparkSession, path: str, spec: PanelSpec = WEEKLY) -> DataFrame:
-    keys = ", ".join(f"{k} string" for k in spec.keys)
-    return read_parquet(spark, path, columns(f"{keys}, {FIT_COLUMNS}"))
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    return open_bucketed(spark, path)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import planted
-from panelcast.plans import batch, dashboard, prepare
+from panelcast.plans import batch, dashboard, prepare, training
+from panelcast.sources.fits import read_fits
 from panelcast.spec import FLAGS
 
 
@@ -39,8 +40,7 @@ def out(spark, landed, tmp_path_factory):
 
 
 def half(spark, out, name, split):
-    like = spark.read.parquet(f"{out}/transactions.parquet")
-    return prepare.read_split(spark, out, name, split, like)
+    return prepare.read_split(spark, out, name, split)
 
 
 def test_clean_tables(spark, out):
@@ -62,6 +62,19 @@ def test_model_inputs(spark, out):
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
+def test_stored_panels_and_fits_are_joined_in_place(spark, out):
+    panel = prepare.read_model_table(spark, out, "panel")
+    fits = read_fits(spark, f"{out}/fit_train.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        forecasts = training.holdout_forecast(fits, half(spark, out, "panel", "test"))
+        plan = forecasts._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert forecasts.count() == 14 * 4 * 2 and panel.count() == 14 * 130
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_training_and_forecasts(spark, out):
     holdout = spark.read.parquet(f"{out}/fc_train.parquet")
     scenarios = spark.read.parquet(f"{out}/fc_arima.parquet")
@@ -69,7 +82,7 @@ def test_training_and_forecasts(spark, out):
     assert (holdout.count(), scenarios.count(), seasonal.count()) == (14 * 4 * 2, 14 * 2 * 5, 14 * 2)
     for table in (holdout, scenarios, seasonal):
         assert table.where("p_units is null or low95 is null").count() == 0
-    final = spark.read.parquet(f"{out}/panel.parquet")
+    final = prepare.read_model_table(spark, out, "panel")
     wide = dashboard.holdout_rmse(final, holdout)
     assert wide.columns == ["store_id", "upc_id", "ARIMA", "STL"] and wide.count() == 14
     view = dashboard.scenario_view(final, scenarios, seasonal, display=1)
@@ -95,7 +108,7 @@ def test_validation(spark, landed, tmp_path):
 
 
 def test_measure_choices(spark, out):
-    final = spark.read.parquet(f"{out}/panel.parquet")
+    final = prepare.read_model_table(spark, out, "panel")
     assert dashboard.measure_choices(final.drop("split")) == ["units", *FLAGS]
     one = dashboard.series(final, "1", "1")
     assert one.count() == 130

@@ -6,7 +6,7 @@ import pytest
 
 from panelcast.operators import fit, forecast, impute, panel, profile, rollup, sampling, score
 from panelcast.plans.explore import explore
-from panelcast.sources import derive, fits, schemas, tables
+from panelcast.sources import buckets, derive, fits, schemas, tables
 from panelcast.sources.checkpoints import cut
 
 
@@ -32,6 +32,46 @@ def test_a_panel_chain_shuffles_once(tx):
     assert exchanges(featured) == 1
 
 
+@pytest.fixture(scope="module")
+def stored(spark, tx, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stored") / "panel")
+    return path, buckets.write_bucketed(tx, path, buckets=6)
+
+
+def test_a_stored_panel_needs_no_exchange(stored, tx):
+    """Gap filling, splits, lags, counts and joins by series start from the layout on disk."""
+    _, back = stored
+    assert back.columns == tx.columns and back.exceptAll(tx).count() == 0 and back.count() == tx.count()
+    filled = panel.filter_series(back)
+    for df in (panel.label_holdout_split(filled), panel.missing_ratio_by_span(back), impute.impute(filled)):
+        assert exchanges(df) == 0
+    assert exchanges(fit.design_matrix(panel.drop_last_rows(filled, 4), fit.SEASONAL)) == 0
+    counts = panel.missing_ratio_by_span(back)
+    assert exchanges(back.hint("merge").join(counts, ["store_id", "upc_id"])) == 0
+
+
+def test_one_series_opens_one_folder(spark, stored, tx):
+    path, _ = stored
+    one = buckets.one_series(spark, path, "1", "Brand#7")
+    assert one.count() == tx.where("store_id = '1' and upc_id = 'Brand#7'").count() > 0
+    assert len({f.rsplit("/", 2)[1] for f in one.inputFiles()}) <= 6
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull({buckets.BUCKET}" in text
+    assert "EqualTo(store_id,1)" in text and "EqualTo(upc_id,Brand#7)" in text
+    folders = one.select("_metadata.file_path").distinct() if "_metadata" in one.columns else None
+    assert folders is None or folders.count() == 1
+    assert buckets.one_series(spark, path, "1", "no such product").count() == 0
+
+
+def test_stored_panels_open_in_another_session(spark, stored, tx):
+    path, back = stored
+    other = spark.newSession()
+    other.sql(f"DROP TABLE IF EXISTS {buckets.table_name(path)}")
+    again = buckets.open_bucketed(other, path)
+    assert again.schema == back.schema and again.count() == tx.count()
+    assert exchanges(panel.fill_gaps(again)) == 0
+
+
 def test_fit_shuffles_the_panel_once_and_deals_rows(tx):
     train = panel.drop_last_rows(panel.filter_series(tx), 4)
     rows = fit.train_models(train, tasks=5)

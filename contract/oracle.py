@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from contract.model_sql import FOURIER, LAGGED, interpolated, regressions
+
 FLAGS = ("feature", "display", "tpr_only")
 MEASURES = ("units", "visits", "hhs", "spend", "price", "base_price")
 NUMBERS = ("units", "visits", "base_price")
@@ -423,6 +425,80 @@ RAW = PANEL + """,
 raw AS (SELECT week + 6 AS week_end_date, CAST(store_id AS BIGINT) AS store_id,
           CAST(substr(upc_id, 7) AS BIGINT) AS upc_id, units, feature FROM panel)"""
 
+
+# The compared models: regressors, and differences where they are fixed.
+REGRESSIONS = {
+    "arima_base": (FLAGS, None),
+    "arima_lagged": (FLAGS + LAGGED, None),
+    "arima_seasonal": (FLAGS + FOURIER, None),
+    "arima_seasonal_lagged": (FLAGS + LAGGED + FOURIER, 0),
+}
+
+
+def _fits(models: dict, design: tuple[str, ...], effects: bool = False) -> str:
+    """The fit table of the filled panel, without what forecasting keeps."""
+    fitted = "r.p IS NOT NULL"
+    beta = "".join(f", CASE WHEN {fitted} THEN round(coalesce(beta[{i}], 0), 4) END AS b_{c}" for i, c in enumerate(design, 1))
+    names = ", ".join(f"('{m}')" for m in models)
+    return (
+        "WITH RECURSIVE " + FILLED + "," + interpolated("filled", "ready") + "," + regressions("ready", models, design, "reg")
+        + f"""
+SELECT s.store_id, s.upc_id, m.model, CASE WHEN {fitted} THEN 'ok' ELSE 'not fitted' END AS status,
+       CASE WHEN {fitted} THEN CAST(n AS INTEGER) END AS n_obs, p, d, CASE WHEN {fitted} THEN 0 END AS q,
+       round(sigma2, 4) AS sigma2, round(aicc, 4) AS aicc{", round(const, 4) AS const" + beta if effects else ""}
+FROM (SELECT {K}, count(units) AS n FROM filled GROUP BY {K}) s CROSS JOIN (VALUES {names}) AS m(model)
+LEFT JOIN reg r ON r.store_id = s.store_id AND r.upc_id = s.upc_id AND r.model = m.model"""
+    )
+
+
+IMPUTED = FILLED + "," + interpolated("filled", "ready") + """,
+imputed AS (SELECT * REPLACE (coalesce(units, pow(greatest(z, 0), 2)) AS units) FROM ready)"""
+
+_LEVEL_GAINS = [round(0.05 + 0.1 * i, 2) for i in range(10)]
+_FORMS = [(a, 0.0, 0.0, 3) for a in _LEVEL_GAINS]
+_FORMS += [(a, a * s, 1.0, 5) for a in _LEVEL_GAINS for s in (0.02, 0.1, 0.3)]
+_FORMS += [(a, a * s, f, 6) for a in _LEVEL_GAINS for s in (0.02, 0.1, 0.3) for f in (0.8, 0.9, 0.98)]
+
+
+def _form_fold(name: str, cases: str) -> str:
+    """{name}: the case with the least criterion of every series; cases has the keys, a, g, f, k and i."""
+    return f"""
+{name}_fold AS (
+  SELECT {K}, c.i AS place, a, g, f, k, CAST(1 AS BIGINT) AS i, n, y AS level, CASE WHEN f > 0 THEN slope ELSE 0.0 END AS slope, CAST(0 AS DOUBLE) AS sse
+  FROM {cases} c JOIN opening USING ({K})
+  UNION ALL
+  SELECT s.store_id, s.upc_id, place, a, g, f, k, o.i, s.n, level + f * slope + a * (o.y - level - f * slope),
+         f * slope + g * (o.y - level - f * slope), sse + pow(o.y - level - f * slope, 2)
+  FROM {name}_fold s JOIN ordered o ON o.store_id = s.store_id AND o.upc_id = s.upc_id AND o.i = s.i + 1),
+{name} AS (
+  SELECT *, (n - 1) * ln(greatest(sse / (n - 1), 1e-12)) + 2 * k + 2 * k * (k + 1) / (n - 2 - k) AS aicc
+  FROM {name}_fold WHERE i = n AND n - 2 - k > 0
+  QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY aicc, place) = 1)"""
+
+
+def _forms() -> str:
+    rows = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({g!r} AS DOUBLE), CAST({f!r} AS DOUBLE), {k}.0)" for i, (a, g, f, k) in enumerate(_FORMS))
+    return (
+        "WITH RECURSIVE " + FILLED + f""",
+ordered AS (SELECT {K}, sqrt(units) AS y, row_number() OVER (PARTITION BY {K} ORDER BY week) AS i,
+              count(*) OVER (PARTITION BY {K}) AS n FROM filled WHERE units IS NOT NULL),
+opening AS (SELECT a.store_id, a.upc_id, a.y, a.n, (b.y - a.y) / greatest(least(a.n, 10) - 1, 1) AS slope
+            FROM ordered a JOIN ordered b ON a.store_id = b.store_id AND a.upc_id = b.upc_id AND b.i = least(a.n, 10) WHERE a.i = 1),
+grid AS (SELECT {K}, v.* FROM opening CROSS JOIN (VALUES {rows}) AS v(i, a, g, f, k)),"""
+        + _form_fold("coarse", "grid")
+        + f""",
+close AS (SELECT {K}, s AS i, greatest(least(round(a + (s - 5) * 0.01, 4), 0.995), 0.005) AS a, g AS g0, f, k
+          FROM coarse CROSS JOIN range(0, 11) AS t(s)),
+near AS (SELECT {K}, i, a, least(g0, a) AS g, f, k FROM close),"""
+        + _form_fold("fine", "near")
+        + f"""
+SELECT s.store_id, s.upc_id, CAST(s.n AS INTEGER) AS n_obs,
+       CASE WHEN f = 0 THEN 'level' WHEN f = 1 THEN 'trend' WHEN f IS NOT NULL THEN 'damped' END AS form,
+       {_r("fine.level, fine.slope, sse, aicc").replace("AS fine.", "AS ")}, round(a, 4) AS alpha, round(g, 4) AS slope_gain, f AS damping
+FROM opening s LEFT JOIN fine USING ({K})"""
+    )
+
+
 ORACLE: dict[str, str] = {
     "rename_keys": _q(
         RAW, f"SELECT CAST(week_end_date AS DATE) AS week_end_date, {K}, units, feature FROM raw"
@@ -460,6 +536,11 @@ ORACLE: dict[str, str] = {
         f"""SELECT {COLUMNS} FROM filled
   QUALIFY count(*) FILTER (WHERE units IS NULL) OVER (PARTITION BY {K}) > 0""",
     ),
+    "impute_model": _q(IMPUTED, f"SELECT {COLUMNS.replace('units', 'round(units, 4) AS units', 1)} FROM imputed"),
+    "fit_arima": _fits({"arima": ((), None)}, ()),
+    "fit_dynamic_regression": _fits({m: REGRESSIONS[m] for m in ("arima_base", "arima_lagged")}, FLAGS + LAGGED, True),
+    "fit_seasonal_regression": _fits({m: REGRESSIONS[m] for m in ("arima_seasonal", "arima_seasonal_lagged")}, FLAGS + LAGGED + FOURIER),
+    "smoothing_forms": _forms(),
     "locf_impute": _q(CARRIED, f"SELECT {COLUMNS} FROM carried"),
     "calendar_split": _q(
         GAPS,

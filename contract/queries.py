@@ -452,6 +452,11 @@ def q_ses_best_alpha(spark, sf):
     return rounded(smooth.best_smoothing(rows, "root"))
 
 
+def q_smoothing_forms(spark, sf):
+    rows = filled(spark, sf).withColumn("root", F.sqrt("units"))
+    return rounded(smooth.best_forms(rows, "root"))
+
+
 def q_interval_bounds(spark, sf):
     return rounded(standin_forecasts(spark, sf))
 
@@ -596,24 +601,25 @@ def q_aicc_fixed_fits(spark, sf):
     return rounded(validation.aicc_table(long.unionByName(other)))
 
 
-# Fitted models (no SQL form) --------------------------------------------------------------
+# Fitted models --------------------------------------------------------------
 
 FIT_SUMMARY = [*KEYS, "model", "status", "n_obs", "p", "d", "q", "sigma2", "aicc"]
 
 
 def q_fit_arima(spark, sf):
-    return fit.fit_models(filled(spark, sf), fit.PLAIN, ()).select(*FIT_SUMMARY)
+    return rounded(fit.fit_models(filled(spark, sf), fit.PLAIN, ()).select(*FIT_SUMMARY))
 
 
 def q_fit_dynamic_regression(spark, sf):
     models = {m: fit.VALIDATION_MODELS[m] for m in ("arima_base", "arima_lagged")}
     fits = fit.fit_models(filled(spark, sf), models, fit.PROMOTION)
-    return fits.select(*FIT_SUMMARY, "const", "beta")
+    effects = [F.get("beta", F.lit(i)).alias(f"b_{c}") for i, c in enumerate(fit.PROMOTION)]
+    return rounded(fits.select(*FIT_SUMMARY, "const", *effects))
 
 
 def q_fit_seasonal_regression(spark, sf):
     models = {m: fit.VALIDATION_MODELS[m] for m in ("arima_seasonal", "arima_seasonal_lagged")}
-    return fit.fit_models(filled(spark, sf), models, fit.SEASONAL).select(*FIT_SUMMARY, "beta")
+    return rounded(fit.fit_models(filled(spark, sf), models, fit.SEASONAL).select(*FIT_SUMMARY))
 
 
 def q_fit_stl_ets(spark, sf):
@@ -633,7 +639,7 @@ def q_residuals(spark, sf):
 
 
 def q_impute_model(spark, sf):
-    return impute.impute(filled(spark, sf))
+    return rounded(impute.impute(filled(spark, sf)))
 
 
 def q_forecast_holdout(spark, sf):

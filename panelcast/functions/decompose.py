@@ -1,4 +1,4 @@
-"""Seasonal-trend decomposition by loess, and exponential smoothing, for blocks of series.
+"""Seasonal-trend decomposition by loess.
 
 Without robustness weights the decomposition is linear in the data: for a given
 length it is one pair of matrices, shared by every series of that length.
@@ -63,76 +63,3 @@ def stl_matrices(n, period=PERIOD, season_window=SEASON_WINDOW, passes=2):
         seasonal = c[period : period + n] - low @ c
         trend = smooth @ (eye - seasonal)
     return trend, seasonal
-
-
-# alpha, beta / alpha and damping tried for each trend form; 1 is undamped (fixed grid).
-ALPHAS = np.arange(0.05, 1.0, 0.05)
-SHARES = (0.02, 0.1, 0.3)
-DAMPINGS = (0.8, 0.9, 0.98)
-
-
-def _candidates():
-    rows = [(a, 0.0, 0.0, 3) for a in ALPHAS]
-    rows += [(a, a * s, 1.0, 5) for a in ALPHAS for s in SHARES]
-    rows += [(a, a * s, f, 6) for a in ALPHAS for s in SHARES for f in DAMPINGS]
-    return np.array(rows)
-
-
-def smooth_block(y, candidates):
-    """Additive-error smoothing of `y` (steps x series) under every candidate row.
-
-    `candidates` is (series, c, 4) or (c, 4). Returns level, slope, sse and the
-    one-step predictions.
-    """
-    steps, lanes = y.shape
-    cand = np.broadcast_to(candidates, (lanes, *candidates.shape[-2:]))
-    a, b, f = cand[..., 0], cand[..., 1], cand[..., 2]
-    level = np.repeat(y[0][:, None], a.shape[1], 1)
-    first = min(steps, 10) - 1
-    slope = np.where(f > 0, ((y[first] - y[0]) / max(first, 1))[:, None], 0.0)
-    sse = np.zeros_like(level)
-    preds = np.empty((steps, *level.shape))
-    preds[0] = np.nan
-    for t in range(1, steps):
-        preds[t] = level + f * slope
-        err = y[t][:, None] - preds[t]
-        sse += err**2
-        level = preds[t] + a * err
-        slope = f * slope + b * err
-    return level, slope, sse, preds
-
-
-def fit_smoothing(y):
-    """Choose level, trend or damped trend by AICc on a grid, then sharpen alpha."""
-    steps, lanes = y.shape
-    used = steps - 1
-
-    def aicc(sse, params):
-        room = used - params - 1
-        fit = used * np.log(np.maximum(sse / max(used, 1), 1e-12))
-        return np.where(room > 0, fit + 2 * params + 2 * params * (params + 1) / np.maximum(room, 1), np.inf)
-
-    grid = _candidates()
-    sse = np.concatenate(
-        [smooth_block(y, grid[i : i + 64])[2] for i in range(0, len(grid), 64)], 1
-    )
-    pick = grid[np.argmin(aicc(sse, grid[:, 3]), 1)]
-    near = np.repeat(pick[:, None, :], 9, 1)
-    near[..., 0] = np.clip(near[..., 0] + np.arange(-4, 5) * 0.01, 0.005, 0.995)
-    near[..., 1] = np.minimum(near[..., 1], near[..., 0])
-    level, slope, sse, preds = smooth_block(y, near)
-    scores = aicc(sse, near[..., 3])
-    win = np.argmin(scores, 1)
-    lane = np.arange(lanes)
-    chosen = near[lane, win]
-    return {
-        "ok": np.isfinite(scores[lane, win]),
-        "alpha": chosen[:, 0],
-        "slope_gain": chosen[:, 1],
-        "damping": chosen[:, 2],
-        "level": level[lane, win],
-        "slope": slope[lane, win],
-        "sigma2": sse[lane, win] / np.maximum(used - chosen[:, 3] + 1, 1),
-        "aicc": scores[lane, win],
-        "pred": preds[:, lane, win],
-    }

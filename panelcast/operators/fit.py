@@ -1,23 +1,29 @@
 """Per-series models as one Spark job.
 
-A series becomes one row of arrays in a single shuffle; fits then run over
-Arrow batches of such rows, many series per block. The fit table keeps all that
-forecasting needs, so history is read once.
+A series becomes one row of arrays in a single shuffle. Regressions with autoregressive errors are read off the
+sums of products of a series (`functions/moments.py`): one additive matrix per series serves every model and
+order, and the order is chosen by AICc. Everything else is column expressions on the row: residuals, the state
+that forecasting starts from, smoothing. The fit table keeps all that forecasting needs, so history is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelcast.functions import arma, decompose
+from panelcast.functions import decompose, moments
 from panelcast.functions.intervals import square_bound
 from panelcast.operators.features import fill_flags, fourier_features, lag_features
+from panelcast.operators.gaps import with_interpolated
+from panelcast.operators.smooth import one_step_ahead, with_best_form
 from panelcast.spec import FLAGS, WEEKLY, PanelSpec, deal_series
 
 LAGS = tuple(f"lag_{f}" for f in FLAGS)
@@ -47,8 +53,10 @@ VALIDATION_MODELS = {
 PLAIN = {"arima": ModelSpec()}
 TRAINING_FALLBACK = (ModelSpec(uses=PROMOTION), ModelSpec())
 
-# Bytes the largest intermediate of a block of series may take in a Python worker.
-BLOCK_BYTES = 64 * 2**20
+# Bytes that the matrices of a block of series may take in a Python worker.
+BLOCK_BYTES = 32 * 2**20
+# Lengths of series whose decomposition a worker keeps at a time.
+KEPT_LENGTHS = 8
 
 FIT_COLUMNS = (
     "model string, kind string, design array<string>, status string, n_obs int, p int, d int, q int, const double,"
@@ -78,17 +86,18 @@ def series_rows(
     spec: PanelSpec = WEEKLY,
     tasks: int | None = None,
 ) -> DataFrame:
-    """One row per series: first and last week, units and regressors as arrays over time.
+    """One row per series: first and last week; units, their filled roots `z` and regressors `x` over time.
 
     The panel is unique per week, so an array is as long as the calendar at most.
     Windows and arrays share one exchange by key. The finished rows are then dealt
     out evenly: fits cost time per series, far more than moving the row.
     """
-    featured = design_matrix(panel, design, spec)
+    featured = with_interpolated(design_matrix(panel, design, spec), spec=spec)
     point = F.struct(
         F.col(spec.index).alias("t"),
         F.col("units").cast("double").alias("y"),
-        F.array(*[F.col(c).cast("double") for c in design]).alias("x")
+        F.col("filled_root").alias("z"),
+        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in design]).alias("x")
         if design
         else F.array().cast("array<double>").alias("x"),
     )
@@ -100,12 +109,85 @@ def series_rows(
             F.element_at("s", 1)["t"].alias("first_week"),
             F.element_at("s", -1)["t"].alias("last_week"),
             F.transform("s", lambda p: p["y"]).alias("units"),
+            F.transform("s", lambda p: p["z"]).alias("z"),
             F.flatten(F.transform("s", lambda p: p["x"])).alias("x"),
         )
     )
     return deal_series(rows, tasks)
 
 
+def series_moments(rows: DataFrame, regressors: int) -> DataFrame:
+    """Add `moments`, the sums of products of each series, to `series_rows`; see `functions/moments.py`."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sums(units: pd.Series, z: pd.Series, x: pd.Series) -> pd.Series:
+        def one(y, filled, flat):
+            filled = np.asarray(filled, float)
+            known = ~np.isnan(np.asarray(y, float)) & ~np.isnan(filled)
+            return moments.products(np.nan_to_num(filled), known, np.asarray(flat, float).reshape(len(filled), regressors)).ravel()
+
+        return pd.Series([one(*r) for r in zip(units, z, x, strict=True)])
+
+    return rows.withColumn("moments", sums("units", "z", "x"))
+
+
+def merge_moments(left: Column, right: Column) -> Column:
+    """Sums of products over the steps of both; a NULL side has no steps."""
+    both = F.zip_with(left, right, lambda a, b: a + b)
+    return F.coalesce(both, left, right)
+
+
+def candidate_orders(option: ModelSpec) -> list[tuple[int, int]]:
+    return [(p, d) for p, d in moments.ORDERS if option.d is None or d == option.d]
+
+
+CANDIDATE = "array<struct<aicc:double,at:int,p:int,d:int,const:double,beta:array<double>,phi:array<double>,sigma2:double>>"
+
+
+def with_candidates(rows: DataFrame, options: Sequence[ModelSpec], design: Sequence[str]) -> DataFrame:
+    """Add `candidates`: every order of every option, read off the sums of products of the series.
+
+    An order that can't be fitted has no aicc. The matrices of a block of series are stacked; each is
+    reduced by itself, so neither neighbours nor tasks matter.
+    """
+    columns, k = list(design), len(design)
+    lagged = [c not in FOURIER for c in columns]
+    cases = [([columns.index(c) for c in o.uses], p, d) for o in options for p, d in candidate_orders(o)]
+    size = moments.width(k)
+    block = max(1, BLOCK_BYTES // (8 * size * size * 4))
+
+    def fitted(m: np.ndarray) -> pa.Array:
+        n, count = len(m), len(cases)
+        results = [moments.fit(m, k, uses, lagged, p, d) for uses, p, d in cases]
+
+        def numbers(name: str) -> pa.Array:
+            return pa.array(np.stack([r[name] for r in results], 1).ravel(), from_pandas=True)
+
+        def lists(name: str) -> pa.Array:
+            values = np.stack([r[name] for r in results], 1)
+            offsets = np.arange(n * count + 1) * values.shape[2]
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel()))
+
+        def constant(values) -> pa.Array:
+            return pa.array(np.tile(np.array(values, "int32"), n))
+
+        fields = [numbers("aicc"), constant(range(count)), constant([c[1] for c in cases]), constant([c[2] for c in cases]), numbers("const"), lists("beta"), lists("phi"), numbers("sigma2")]
+        flat = pa.StructArray.from_arrays(fields, ["aicc", "at", "p", "d", "const", "beta", "phi", "sigma2"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * count, pa.int32()), flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [c for c in batch.schema.names if c != "moments"]
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                m = part.column("moments").flatten().to_numpy().reshape(part.num_rows, size, size)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), fitted(m)], [*rest, "candidates"])
+
+    kept = rows.drop("moments").schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+    return rows.mapInArrow(run, f"{ddl}, candidates {CANDIDATE}")
+
+
 def fit_models(
     panel: DataFrame,
     models: dict[str, ModelSpec],
@@ -114,8 +196,8 @@ def fit_models(
     tasks: int | None = None,
 ) -> DataFrame:
     """Every model on every series: one row per (series, model), `status` says how it went."""
-    plan = [(name, (m,), m.kind) for name, m in models.items()]
-    return _run(series_rows(panel, design, spec, tasks), plan, design, spec, interpolate=False)
+    plan = {name: (m,) for name, m in models.items()}
+    return _run(panel, plan, design, spec, tasks)
 
 
 def train_models(
@@ -127,12 +209,12 @@ def train_models(
 ) -> DataFrame:
     """The two training models of every series, from one pass.
 
-    `arima` is the first of `fallback` that can be fitted; `stl` is fitted on the
-    series with its missing weeks filled by `arima`. A series no ARIMA fits keeps
-    one row whose status says so, and is left out by `fitted_only`.
+    `arima` is the first of `fallback` that can be fitted; `stl` is fitted on the interpolated
+    series. A series no regression fits keeps one row whose status says so, has no
+    `stl`, and is left out by `fitted_only`.
     """
-    plan = [("arima", tuple(fallback), "arima"), ("stl", (ModelSpec("stl"),), "stl")]
-    return _run(series_rows(panel, design, spec, tasks), plan, design, spec, interpolate=True)
+    plan = {"arima": tuple(fallback), "stl": (ModelSpec("stl"),)}
+    return _run(panel, plan, design, spec, tasks, needs="arima")
 
 
 def fitted_only(fits: DataFrame) -> DataFrame:
@@ -221,156 +303,132 @@ def information_criteria(fits: DataFrame, spec: PanelSpec = WEEKLY) -> DataFrame
 
 
 def _run(
-    rows: DataFrame,
-    plan: list[tuple[str, tuple[ModelSpec, ...], str]],
+    panel: DataFrame,
+    plan: dict[str, tuple[ModelSpec, ...]],
     design: Sequence[str],
     spec: PanelSpec,
-    interpolate: bool,
+    tasks: int | None,
+    needs: str | None = None,
 ) -> DataFrame:
-    keys = spec.key_list
-    columns = list(design)
-    regressors = max(len(m.uses) for _, options, _ in plan for m in options)
-    key_ddl = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrices: dict[int, tuple] = {}
-        for batch in batches:
-            steps = int(np.diff(batch.column("units").offsets.to_numpy()).max(initial=1))
-            most = arma.lanes_within(BLOCK_BYTES, steps, regressors)
-            cuts = np.linspace(0, batch.num_rows, -(-batch.num_rows // most) + 1).astype(int)
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                block = batch.slice(start, end - start)
-                # Series of one length at a time: a fit must not depend on its neighbours.
-                lengths = np.diff(block.column("units").offsets.to_numpy())
-                for n in np.unique(lengths):
-                    alike = block.take(pa.array(np.flatnonzero(lengths == n)))
-                    yield from _fit_rows(alike, plan, columns, keys, interpolate, matrices)
-
-    return rows.mapInArrow(run, f"{key_ddl}, {FIT_COLUMNS}")
-
-
-def _fit_rows(block, plan, design, keys, interpolate, matrices) -> Iterator[pa.RecordBatch]:
-    """All models of one block of series. Arrays go in padded to the longest series."""
-    units, x_flat = block.column("units"), block.column("x")
-    lengths = np.diff(units.offsets.to_numpy())
-    steps, lanes, k = lengths.max(), block.num_rows, len(design)
-    y = np.full((steps, lanes), np.nan)
-    x = np.full((steps, lanes, k), np.nan)
-    ends = np.cumsum(lengths)
-    y_all, x_all = _numbers(units), _numbers(x_flat)
-    for i, (end, n) in enumerate(zip(ends, lengths, strict=True)):
-        y[steps - n :, i] = y_all[end - n : end]
-        x[steps - n :, i] = x_all[(end - n) * k : end * k].reshape(n, k)
-    root = np.sqrt(y)
-    source = root
-    alive = np.ones(lanes, bool)
-    for name, options, kind in plan:
-        if kind == "arima":
-            rows, filled = _arima_rows(root, x, lengths, options, design)
-            keep = np.ones(lanes, bool)
-            if interpolate:
-                source = filled
-                alive = np.array([r["status"] == "ok" for r in rows])
-        else:
-            rows = _stl_rows(source, lengths, alive, matrices)
-            keep = alive
-        yield _fit_batch(block, name, kind, design, rows, keep, keys)
-
-
-def _numbers(lists: pa.ListArray) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float)
-
-
-def _fit_batch(block, name, kind, design, rows, keep, keys) -> pa.RecordBatch:
-    """The fit-table rows of one model; NaN becomes NULL."""
-    at = pa.array(np.flatnonzero(keep))
-    same = [*keys, "first_week", "last_week", "units"]
-    fields = dict(zip(same, (block.column(c).take(at) for c in same), strict=True))
-    kept = [r for r, k in zip(rows, keep, strict=True) if k]
-    fields["model"] = pa.array([name] * len(kept), pa.string())
-    fields["kind"] = pa.array([kind] * len(kept), pa.string())
-    fields["design"] = pa.array([list(design)] * len(kept), pa.list_(pa.string()))
-    for column in FIT_COLUMNS.split(", "):
-        field, dtype = column.split()
-        if field in fields:
-            continue
-        values = [r.get(field) for r in kept]
-        if dtype == "array<double>":
-            lists = [None if v is None else pa.array(v, pa.float64(), from_pandas=True) for v in values]
-            fields[field] = pa.array(lists, pa.list_(pa.float64()))
-        else:
-            arrow = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[dtype]
-            fields[field] = pa.array(values, arrow, from_pandas=True)
-    order = [*keys, *[c.split()[0] for c in FIT_COLUMNS.split(", ")]]
-    return pa.RecordBatch.from_arrays([fields[c] for c in order], order)
-
-
-def _arima_rows(root, x, lengths, options, design):
-    steps, lanes = root.shape
-    rows: list[dict] = [{"status": "not fitted"} for _ in range(lanes)]
-    filled = root.copy()
-    left = np.arange(lanes)
-    for option in options:
-        cols = [design.index(c) for c in option.uses]
-        fit = arma.fit_block(root[:, left], x[:, left][..., cols], option.d)
-        for j in np.flatnonzero(fit["ok"]):
-            i, n = left[j], lengths[left[j]]
-            beta = np.zeros(len(design))
-            beta[cols] = fit["beta"][j]
-            filled[-n:, i] = fit["filled"][-n:, j]
-            rows[i] = {
-                "status": "ok",
-                "n_obs": int(fit["n_obs"][j]),
-                "p": int(fit["order"][j, 0]),
-                "d": int(fit["d"][j]),
-                "q": int(fit["order"][j, 1]),
-                "const": fit["const"][j],
-                "beta": beta,
-                "phi": fit["phi"][j],
-                "theta": fit["theta"][j],
-                "n_tail": fit["n_tail"][j],
-                "e_tail": fit["e_tail"][j],
-                "level": fit["level"][j],
-                "x_last": np.nan_to_num(x[-1, i]),
-                "sigma2": fit["sigma2"][j],
-                "aicc": fit["aicc"][j],
-                "fitted": fit["fitted"][-n:, j],
-                "innov": fit["innov"][-n:, j],
-                "filled": fit["filled"][-n:, j],
-            }
-        left = left[~fit["ok"]]
-        if not len(left):
-            break
-    return rows, filled
-
-
-def _stl_rows(source, lengths, alive, matrices):
-    rows: list[dict] = [{"status": "not fitted"} for _ in lengths]
-    for n in np.unique(lengths):
-        lanes = np.flatnonzero((lengths == n) & alive)
-        z = source[-n:, lanes]
-        lanes, z = lanes[~np.isnan(z).any(0)], z[:, ~np.isnan(z).any(0)]
-        if not len(lanes):
-            continue
-        if n not in matrices:
-            matrices[n] = decompose.stl_matrices(n)
-        seasonal = matrices[n][1] @ z
-        fit = decompose.fit_smoothing(z - seasonal)
-        for j in np.flatnonzero(fit["ok"]):
-            fitted = fit["pred"][:, j] + seasonal[:, j]
-            rows[lanes[j]] = {
-                "status": "ok",
-                "n_obs": int(n),
-                "level": fit["level"][j],
-                "alpha": fit["alpha"][j],
-                "slope_gain": fit["slope_gain"][j],
-                "damping": fit["damping"][j],
-                "slope": fit["slope"][j],
-                "season": seasonal[-decompose.PERIOD :, j] if n >= 2 * decompose.PERIOD else None,
-                "sigma2": fit["sigma2"][j],
-                "aicc": fit["aicc"][j],
-                "fitted": fitted,
-                "innov": z[:, j] - fitted,
-                "filled": z[:, j],
-            }
-    return rows
+    """The fit table. With `needs`, the other models are kept for series that this one fits."""
+    rows = series_rows(panel, design, spec, tasks)
+    regressions = {n: o for n, o in plan.items() if o[0].kind == "arima"}
+    options = [o for many in regressions.values() for o in many]
+    if options:
+        rows = with_candidates(series_moments(rows, len(design)), options, design)
+    fits, at = [], 0
+    for name, many in plan.items():
+        chosen = F.lit(None)
+        if name in regressions:
+            counts = [len(candidate_orders(o)) for o in many]
+            here = F.slice("candidates", at + 1, sum(counts))
+            at += sum(counts)
+            chosen = _first_of(here, counts)
+        fits.append(F.struct(F.lit(name).alias("model"), F.lit(many[0].kind).alias("kind"), chosen.cast(CANDIDATE[6:-1]).alias("c")))
+    if len(regressions) < len(plan):
+        rows = _with_smoothing(rows)
+    each = rows.withColumn("_m", F.explode_outer(F.array(*fits))).select("*", "_m.*")
+    if needs is not None:
+        lead = F.filter(F.array(*fits), lambda m: m["model"] == needs)[0]["c"].isNotNull()
+        each = rows.withColumns({"_m": F.explode_outer(F.array(*fits)), "_lead": lead}).select("*", "_m.*")
+        each = each.where((F.col("model") == needs) | F.col("_lead"))
+    return _fit_table(each, design, spec, smoothed=len(regressions) < len(plan))
+
+
+def _first_of(candidates: Column, counts: Sequence[int]) -> Column:
+    """Of candidates in groups of `counts`, the one with the least AICc in the first group that has any."""
+    best, at = [], 1
+    for count in counts:
+        best.append(F.array_min(F.filter(F.slice(candidates, at, count), lambda c: c["aicc"].isNotNull())))
+        at += count
+    return F.coalesce(*best)
+
+
+@lru_cache(KEPT_LENGTHS)
+def _seasonal_matrix(n: int) -> np.ndarray:
+    return decompose.stl_matrices(n)[1]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _seasonal(z: pd.Series) -> pd.Series:
+    """Seasonal part of each filled series; NULL where a value is missing."""
+
+    def one(v):
+        v = np.asarray(v, float)
+        return None if np.isnan(v).any() else _seasonal_matrix(len(v)) @ v
+
+    return z.map(one)
+
+
+def _with_smoothing(rows: DataFrame) -> DataFrame:
+    """Add the seasonal part, and the best smoothing of the rest, to `series_rows`."""
+    parted = rows.withColumn("seasonal", _seasonal("z"))
+    rest = F.zip_with("z", "seasonal", lambda v, s: v - s)
+    return with_best_form(parted.withColumn("rest", rest), "rest", "smooth")
+
+
+def _fit_table(each: DataFrame, design: Sequence[str], spec: PanelSpec, smoothed: bool) -> DataFrame:
+    """The rows of the fit table from the chosen candidate or smoothing of every series and model."""
+    k = len(design)
+    regression = F.col("kind") == "arima"
+    if smoothed:
+        expected = one_step_ahead("rest", F.col("smooth.alpha"), F.col("smooth.slope_gain"), F.col("smooth.damping"))
+        own = (F.col("kind") == "stl") & F.col("smooth").isNotNull()
+        each = each.withColumn("_ahead", F.when(own, F.zip_with(expected, "seasonal", lambda a, s: a + s)))
+    else:
+        own = F.lit(False)
+        empty = "struct<aicc:double,alpha:double,slope_gain:double,damping:double,params:double,level:double,slope:double,sse:double>"
+        each = each.withColumns({"smooth": F.lit(None).cast(empty), "seasonal": F.lit(None).cast("array<double>"), "_ahead": F.lit(None).cast("array<double>")})
+    done = (regression & F.col("c").isNotNull()) | own
+    n = F.size("z")
+
+    def effect(i: Column) -> Column:
+        here = F.slice("x", i * k + 1, k)
+        return F.aggregate(F.zip_with(here, F.col("c.beta"), lambda v, b: v * b), F.lit(0.0), lambda a, v: a + v)
+
+    noise = F.transform("z", lambda v, i: v - F.col("c.const") - effect(i)) if k else F.transform("z", lambda v: v - F.col("c.const"))
+    each = each.withColumn("_noise", F.when(regression & done, noise))
+    before = F.concat(F.array(F.lit(None).cast("double")), F.slice("_noise", F.lit(1), F.greatest(n - 1, F.lit(0))))
+    moved = F.when(F.col("c.d") == 1, F.zip_with("_noise", before, lambda a, b: a - b)).otherwise(F.col("_noise"))
+    each = each.withColumn("_w", moved)
+
+    def innovation(v: Column, i: Column) -> Column:
+        past = [F.get("_w", i - lag) for lag in (1, 2)]
+        weights = [F.get("c.phi", F.lit(lag)) for lag in (0, 1)]
+        seen = F.get("units", i).isNotNull() & (i >= moments.FIRST)
+        return F.when(seen, v - weights[0] * past[0] - weights[1] * past[1])
+
+    innov = F.when(regression, F.transform("_w", innovation)).otherwise(F.zip_with("z", "_ahead", lambda v, a: v - a))
+    each = each.withColumn("_innov", F.when(done, innov))
+    doubles = "array<double>"
+    used = (n - 1).cast("double")
+    period = decompose.PERIOD
+    values = {
+        "status": F.when(done, "ok").otherwise("not fitted"),
+        "design": F.array(*[F.lit(c) for c in design]).cast("array<string>"),
+        "n_obs": F.when(done, F.when(regression, F.size(F.filter("units", lambda v: v.isNotNull()))).otherwise(n)),
+        "p": F.col("c.p"),
+        "d": F.col("c.d"),
+        "q": F.when(F.col("c.p").isNotNull(), F.lit(0)),
+        "const": F.col("c.const"),
+        "beta": F.col("c.beta"),
+        "phi": F.col("c.phi"),
+        "theta": F.when(F.col("c.p").isNotNull(), F.array(F.lit(0.0), F.lit(0.0))),
+        "n_tail": F.when(F.col("_w").isNotNull(), F.array(F.get("_w", n - 1), F.get("_w", n - 2))),
+        "e_tail": F.when(F.col("_w").isNotNull(), F.array(F.lit(0.0), F.lit(0.0))),
+        "level": F.when(regression, F.when(F.col("c.d") == 1, F.get("_noise", n - 1)).when(F.col("c.d") == 0, 0.0)).when(own, F.col("smooth.level")),
+        "x_last": F.when(regression & done, F.slice("x", (n - 1) * k + 1, k) if k else F.array().cast(doubles)),
+        "alpha": F.when(own, F.col("smooth.alpha")),
+        "slope_gain": F.when(own, F.col("smooth.slope_gain")),
+        "damping": F.when(own, F.col("smooth.damping")),
+        "slope": F.when(own, F.col("smooth.slope")),
+        "season": F.when(own & (n >= 2 * period), F.slice("seasonal", n - period + 1, period)),
+        "sigma2": F.when(regression, F.col("c.sigma2")).when(own, F.col("smooth.sse") / F.greatest(used - F.col("smooth.params") + 1, F.lit(1.0))),
+        "aicc": F.when(regression, F.col("c.aicc")).when(own, F.col("smooth.aicc")),
+        "fitted": F.when(done, F.transform("z", lambda v, i: v - F.get("_innov", i))),
+        "innov": F.col("_innov"),
+        "filled": F.when(done, F.col("z")),
+    }
+    types = dict(c.rsplit(" ", 1) for c in FIT_COLUMNS.split(", "))
+    columns = [values.get(c, F.col(c)).cast(t).alias(c) for c, t in types.items()]
+    return each.select(*spec.keys, *columns)

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.intervals import square_bound
-from panelcast.operators.fit import PLAIN, fit_models, fitted_only
-from panelcast.spec import WEEKLY, PanelSpec
+from panelcast.operators.gaps import interpolate
+from panelcast.spec import WEEKLY, PanelSpec, by_series
 
 
 def carry_forward(
@@ -32,18 +31,11 @@ def incomplete_series(df: DataFrame, value: str = "units", spec: PanelSpec = WEE
 
 
 def impute(df: DataFrame, spec: PanelSpec = WEEKLY, tasks: int | None = None) -> DataFrame:
-    """Fill missing units by a per-series model, else by the last value.
+    """Fill missing units from both sides of their gap, by the memory of the series (`operators/gaps.py`).
 
-    Complete series pass by untouched. The fits of the others meet their rows by key,
-    on the partitioning that the gaps were counted on; observed values never change.
+    One pass of windows on the partitioning that filled the gaps, or on one of `tasks` parts by
+    series; observed values never change, a series without any value stays as it is, and no row
+    leaves the JVM.
     """
-    columns = [c for c in df.columns if c != "n_na"]
-    marked = mark_incomplete(df, spec=spec)
-    gappy = marked.where("incomplete")
-    fits = fitted_only(fit_models(gappy.select(*spec.row_id, "units"), PLAIN, (), spec, tasks))
-    state = fits.select(*spec.keys, F.col("first_week").alias("_first"), F.col("filled").alias("_filled"))
-    step = (F.datediff(spec.index, "_first") / spec.step_days).cast("int")
-    modelled = square_bound(F.get("_filled", step))
-    rows = gappy.join(state, on=spec.key_list, how="left").withColumn("units", F.coalesce("units", modelled))
-    filled = carry_forward(rows.select(*columns), ["units"], spec)
-    return marked.where(~F.col("incomplete")).select(*columns).unionByName(filled)
+    rows = df.select(*[c for c in df.columns if c != "n_na"])
+    return interpolate(by_series(rows, spec, tasks) if tasks else rows, "units", spec)

@@ -1,4 +1,4 @@
-"""Simple exponential smoothing as a fold over each series."""
+"""Exponential smoothing as folds over each series."""
 
 from __future__ import annotations
 
@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from panelcast.spec import WEEKLY, PanelSpec, deal_series
 
 ALPHA_GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
+# Level gains, slope gains as shares of them, and dampings that are tried; 1 is undamped (fixed grid).
+COARSE = tuple(round(0.05 + 0.1 * i, 2) for i in range(10))
+SHARES = (0.02, 0.1, 0.3)
+DAMPINGS = (0.8, 0.9, 0.98)
+#: Steps of the level gain around the best coarse one.
+FINE = tuple(round(0.01 * i, 2) for i in range(-5, 6))
+#: Values that give the first slope.
+OPENING = 10
+#: Parameters that each form estimates, its starting values and variance among them.
+PARAMS = {"level": 3, "trend": 5, "damped": 6}
 
 
 def _ordered(df: DataFrame, value: str, spec: PanelSpec) -> DataFrame:
@@ -61,3 +71,121 @@ def best_smoothing(
         .withColumn("_b", best)
         .select(*spec.keys, F.size("y").alias("n_obs"), "_b.alpha", "_b.level", "_b.sse")
     )
+
+
+def grid(forms: Sequence[str] = tuple(PARAMS)) -> list[tuple[float, float, float, int]]:
+    """(alpha, slope gain, damping, parameters) of every coarse candidate of the forms."""
+    rows = []
+    if "level" in forms:
+        rows += [(a, 0.0, 0.0, PARAMS["level"]) for a in COARSE]
+    if "trend" in forms:
+        rows += [(a, a * s, 1.0, PARAMS["trend"]) for a in COARSE for s in SHARES]
+    if "damped" in forms:
+        rows += [(a, a * s, f, PARAMS["damped"]) for a in COARSE for s in SHARES for f in DAMPINGS]
+    return rows
+
+
+def _first(y: str) -> tuple[Column, Column]:
+    """First level and first slope."""
+    level = F.get(y, F.lit(0))
+    span = F.least(F.size(y), F.lit(OPENING)) - 1
+    return level, (F.get(y, span) - level) / F.greatest(span, F.lit(1))
+
+
+def _rest(y: str) -> Column:
+    return F.slice(y, F.lit(2), F.greatest(F.size(y) - 1, F.lit(0)))
+
+
+def fold(y: str, alpha: Column, gain: Column, damping: Column) -> Column:
+    """(level, slope, sse) of an array without NULLs, all three carried in one fold."""
+    level, slope = _first(y)
+    start = F.struct(level.alias("level"), F.when(damping > 0, slope).otherwise(0.0).alias("slope"), F.lit(0.0).alias("sse"))
+
+    def step(s: Column, v: Column) -> Column:
+        ahead = s["level"] + damping * s["slope"]
+        error = v - ahead
+        return F.struct(
+            (ahead + alpha * error).alias("level"),
+            (damping * s["slope"] + gain * error).alias("slope"),
+            (s["sse"] + error * error).alias("sse"),
+        )
+
+    return F.aggregate(_rest(y), start, step)
+
+
+def one_step_ahead(y: str, alpha: Column, gain: Column, damping: Column) -> Column:
+    """What was expected of every value from those before it; NULL for the first."""
+    level, slope = _first(y)
+    start = F.struct(
+        level.alias("level"),
+        F.when(damping > 0, slope).otherwise(0.0).alias("slope"),
+        F.array(F.lit(None).cast("double")).alias("path"),
+    )
+
+    def step(s: Column, v: Column) -> Column:
+        ahead = s["level"] + damping * s["slope"]
+        error = v - ahead
+        return F.struct(
+            (ahead + alpha * error).alias("level"),
+            (damping * s["slope"] + gain * error).alias("slope"),
+            F.concat(s["path"], F.array(ahead)).alias("path"),
+        )
+
+    return F.aggregate(_rest(y), start, step, lambda s: s["path"])
+
+
+def _scored(y: str, alpha: Column, gain: Column, damping: Column, params: Column, at: Column) -> Column:
+    f = fold(y, alpha, gain, damping)
+    used = (F.size(y) - 1).cast("double")
+    room = used - params - 1
+    score = used * F.ln(F.greatest(f["sse"] / used, F.lit(1e-12))) + 2 * params + 2 * params * (params + 1) / room
+    return F.struct(
+        F.when(room > 0, score).alias("aicc"),
+        at.alias("at"),
+        alpha.alias("alpha"),
+        gain.alias("slope_gain"),
+        damping.alias("damping"),
+        params.alias("params"),
+        f["level"].alias("level"),
+        f["slope"].alias("slope"),
+        f["sse"].alias("sse"),
+    )
+
+
+def _least(trials: Column) -> Column:
+    """The trial with the least criterion, the first of equals; NULL if none has one."""
+    return F.array_min(F.filter(trials, lambda t: t["aicc"].isNotNull()))
+
+
+def with_best_form(rows: DataFrame, y: str, name: str = "form", forms: Sequence[str] = tuple(PARAMS)) -> DataFrame:
+    """Add the best of level, trend and damped trend for the array `y`, by AICc.
+
+    A coarse grid of gains and dampings is folded, then the level gain is refined around its best candidate.
+    `name` is a struct (aicc, at, alpha, slope_gain, damping, params, level, slope, sse), NULL where `y` is NULL or
+    too short for any form.
+    """
+    cases = F.array(
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(g).alias("g"), F.lit(f).alias("f"), F.lit(float(k)).alias("k"), F.lit(i).alias("i"))
+            for i, (a, g, f, k) in enumerate(grid(forms))
+        ]
+    )
+    coarse = _least(F.transform(cases, lambda c: _scored(y, c["a"], c["g"], c["f"], c["k"], c["i"])))
+    steps = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for i, s in enumerate(FINE)])
+    best = F.col("_coarse")
+
+    def near(s: Column) -> Column:
+        alpha = F.greatest(F.least(F.round(best["alpha"] + s["s"], 4), F.lit(0.995)), F.lit(0.005))
+        gain = F.least(best["slope_gain"], alpha)
+        return _scored(y, alpha, gain, best["damping"], best["params"], s["i"])
+
+    fine = F.when(best.isNotNull(), _least(F.transform(steps, near)))
+    return rows.withColumn("_coarse", coarse).withColumn(name, fine).drop("_coarse")
+
+
+def best_forms(df: DataFrame, value: str, forms: Sequence[str] = tuple(PARAMS), spec: PanelSpec = WEEKLY) -> DataFrame:
+    """Per series, the best form of smoothing and its state at the end; NULLs are skipped."""
+    rows = with_best_form(_ordered(df, value, spec), "y", "form", forms)
+    kind = F.when(F.col("form.damping") == 0, "level").when(F.col("form.damping") == 1, "trend").otherwise("damped")
+    picked = [F.col(f"form.{c}").alias(c) for c in ("alpha", "slope_gain", "damping", "level", "slope", "sse", "aicc")]
+    return rows.select(*spec.keys, F.size("y").alias("n_obs"), F.when(F.col("form").isNotNull(), kind).alias("form"), *picked)

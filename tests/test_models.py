@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import planted
-from panelcast.functions import arma, decompose
-from panelcast.operators import fit, forecast, impute, panel, regress, score, smooth
+from panelcast.functions import decompose, moments
+from panelcast.operators import fit, forecast, gaps, impute, panel, regress, score, smooth
 from panelcast.spec import FLAGS
 
 KEYS = ["store_id", "upc_id"]
@@ -114,10 +114,55 @@ def test_smoothing_parameter(spark):
     df = load(spark, planted.level_only()).withColumn("root", F.sqrt("units"))
     best = smooth.best_smoothing(df, "root")
     assert best.agg(F.median("alpha")).first()[0] == pytest.approx(0.3, abs=0.06)
-    level, slope, sse, _ = decompose.smooth_block(
-        np.array([[1.0], [2.0], [4.0]]), np.array([[0.5, 0.0, 0.0, 3]])
-    )
-    assert level[0, 0] == 2.75 and sse[0, 0] == 1 + 2.5**2 and slope[0, 0] == 0
+
+
+def plain_smoothing(y, alpha, gain, damping):
+    """Level, slope, squared error and what was expected of each value."""
+    first = min(len(y), smooth.OPENING) - 1
+    level, slope = y[0], (y[first] - y[0]) / max(first, 1) if damping else 0.0
+    sse, path = 0.0, [None]
+    for v in y[1:]:
+        ahead = level + damping * slope
+        path.append(ahead)
+        level, slope = ahead + alpha * (v - ahead), damping * slope + gain * (v - ahead)
+        sse += (v - ahead) ** 2
+    return level, slope, sse, path
+
+
+@pytest.mark.parametrize("case", [(0.5, 0.0, 0.0), (0.3, 0.06, 1.0), (0.7, 0.2, 0.9)])
+def test_smoothing_folds_equal_a_loop(spark, case):
+    y = np.random.default_rng(1).normal(size=30).cumsum().tolist()
+    df = spark.createDataFrame([(y,), ([4.0],), ([4.0, 5.0],)], "y array<double>")
+    args = [F.lit(v) for v in case]
+    got = df.select("y", smooth.fold("y", *args).alias("f"), smooth.one_step_ahead("y", *args).alias("p")).collect()
+    for r in got:
+        level, slope, sse, path = plain_smoothing(r.y, *case)
+        assert (r.f.level, r.f.slope, r.f.sse) == pytest.approx((level, slope, sse))
+        assert r.p[0] is None and r.p[1:] == pytest.approx(path[1:])
+
+
+def test_smoothing_picks_the_form(spark):
+    t = np.arange(120.0)
+    noise = np.random.default_rng(3).normal(0, 0.3, (3, 120))
+    level = plain_level(0.5, noise[0])
+    rows = {"level": level, "trend": 2 * t + noise[1], "damped": 40 * (1 - 0.9**t) + noise[2]}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in rows.items()], "k string, y array<double>")
+    best = {r.k: r.form for r in smooth.with_best_form(df, "y").collect()}
+    assert best["level"].damping == 0 and best["trend"].damping > 0 and best["damped"].damping > 0
+    assert best["trend"].slope == pytest.approx(2, abs=0.2) and abs(best["damped"].slope) < 0.2
+    for k, v in rows.items():
+        b = best[k]
+        assert plain_smoothing(v, b.alpha, b.slope_gain, b.damping)[2] == pytest.approx(b.sse)
+    short = spark.createDataFrame([([1.0, 2.0],), (None,)], "y array<double>")
+    assert [r.form for r in smooth.with_best_form(short, "y").collect()] == [None, None]
+
+
+def plain_level(alpha, shocks):
+    level, out = 10.0, []
+    for e in shocks:
+        out.append(level + e)
+        level += alpha * e
+    return np.array(out)
 
 
 def test_least_squares_equals_numpy(spark, promo):
@@ -176,32 +221,89 @@ def test_imputation_keeps_observed_values(spark):
     assert error.mean() < 0.75
 
 
-def test_interpolation_uses_both_sides_of_a_gap():
-    known = np.array([True, True, False, True, False, False, True, True, False])
-    n = np.where(known, [1.0, 2.0, 9, 4.0, 9, 9, 1.0, 3.0, 9], 0.0)
-    walk = arma.interpolate(n, known, np.zeros(4), 1)
-    assert np.allclose(walk, [1, 2, 3, 4, 3, 2, 1, 3, 3])
-    ar1 = arma.interpolate(n, known, np.array([0.6, 0, 0, 0]), 0)
-    assert ar1[2] == pytest.approx(0.6 / (1 + 0.36) * (2 + 4))
-    assert ar1[8] == pytest.approx(0.6 * 3)
-    white = arma.interpolate(n, known, np.zeros(4), 0)
-    assert np.allclose(white[~known], 0) and np.allclose(white[known], n[known])
-    late = np.array([False, False, True, True])
-    assert arma.interpolate(np.array([0, 0, 5.0, 6.0]), late, np.zeros(4), 1).tolist() == [5, 5, 5, 6]
-    # Moving average: brute force over the one missing value.
-    known = np.arange(12) != 5
-    n = np.random.default_rng(0).normal(size=12)
-    terms = np.array([0.0, 0.0, 0.5, 0.2])
-
-    def css(v):
-        z, e = n.copy(), np.zeros(14)
-        z[5] = v
-        for t in range(12):
-            e[t + 2] = z[t] - 0.5 * e[t + 1] - 0.2 * e[t]
-        return (e**2).sum()
-
-    got = arma.interpolate(n, known, terms, 0)[5]
-    assert css(got) <= min(css(got + h) for h in (-1e-3, 1e-3))
+def test_bridge_is_the_expected_value_of_an_autoregression(spark):
+    """Against the conditional mean of the joint normal distribution."""
+    phi, n = 0.7, 9
+    cov = phi ** np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    known = [1, 6]
+    values = np.array([2.0, -3.0])
+    weights = cov[:, known] @ np.linalg.inv(cov[np.ix_(known, known)])
+    want = weights @ values
+    rows = [(0, None, 2.0, None, 1.0)] + [(t, 2.0, -3.0, t - 1.0, 6.0 - t) for t in range(2, 6)] + [(t, -3.0, None, t - 6.0, None) for t in (7, 8)]
+    df = spark.createDataFrame(rows, "t int, before double, after double, back double, ahead double")
+    at = gaps.bridge(*(F.col(c) for c in ("before", "after", "back", "ahead")), F.lit(phi))
+    got = {r.t: r.v for r in df.select("t", at.alias("v")).collect()}
+    assert all(got[t] == pytest.approx(want[t]) for t in got)
+    line = gaps.bridge(*(F.col(c) for c in ("before", "after", "back", "ahead")), F.lit(1.0))
+    got = {r.t: r.v for r in df.select("t", line.alias("v")).collect()}
+    assert got[0] == 2 and got[8] == -3 and got[2] == pytest.approx(1.0)
+
+
+def test_gaps_are_filled_from_both_sides(spark):
+    units = {"walk": [1.0, 4.0, None, 16.0, None, None], "lead": [None, 9.0, 9.0, 9.0, None, 9.0], "none": [None] * 6}
+    rows = [(planted.weeks(6)[i], "1", k, v) for k, vs in units.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "week date, store_id string, upc_id string, units double").repartition(4)
+    got = impute.impute(df).orderBy("week").toPandas().groupby("upc_id").units.apply(list)
+    assert got["walk"] == pytest.approx([1, 4, 9, 16, 16, 16])  # too few pairs: straight, then carried
+    assert got["lead"] == pytest.approx([9] * 6) and np.isnan(got["none"]).all()
+
+
+def test_sums_of_products_add_up():
+    rng = np.random.default_rng(6)
+    y, x, known = rng.normal(size=40), rng.normal(size=(40, 2)), rng.random(40) < 0.8
+    early = np.arange(40) < 25
+    whole = moments.products(y, known, x)
+    assert np.allclose(whole, moments.products(y, known & early, x) + moments.products(y, known & ~early, x))
+    assert whole[0, 0] == known[moments.FIRST :].sum()
+
+
+@pytest.mark.parametrize("p,d", moments.ORDERS)
+def test_regressions_read_off_the_sums_equal_least_squares(p, d):
+    """Both steps of each order by lstsq on the written-out design."""
+    rng = np.random.default_rng(p + 3 * d)
+    n, k = 120, 3
+    x = rng.normal(size=(n, k))
+    noise = np.zeros(n)
+    for t in range(2, n):
+        noise[t] = 0.5 * noise[t - 1] - 0.2 * noise[t - 2] + rng.normal(0, 0.4)
+    y = 3 + x @ np.array([1.0, -2.0, 0.5]) + (noise.cumsum() if d else noise)
+    known = rng.random(n) < 0.9
+    known[:2] = False
+    got = moments.fit(moments.products(y, known, x)[None], k, [0, 2], [True, True, False], p, d)
+    at = np.array([t for t in range(moments.FIRST, n) if known[t]])
+
+    def back(v, lag):
+        w = v if not d else np.concatenate([np.zeros_like(v[:1]), np.diff(v, axis=0)])
+        return w[at - lag]
+
+    phi = np.zeros(0)
+    if p:
+        design = [back(y, i)[:, None] for i in range(1, p + 1)] + [back(x[:, [0, 2]], 0)] + [back(x[:, [0]], i) for i in range(1, p + 1)]
+        if not d:
+            design.insert(0, np.ones((len(at), 1)))
+        phi = np.linalg.lstsq(np.hstack(design), back(y, 0), rcond=None)[0][1 - d : 1 - d + p]
+    taps = np.r_[1.0, -phi]
+    response = sum(c * back(y, i) for i, c in enumerate(taps))
+    design = sum(c * back(x[:, [0, 2]], i) for i, c in enumerate(taps))
+    if not d:
+        design = np.hstack([np.full((len(at), 1), taps.sum()), design])
+    coef, rss, *_ = np.linalg.lstsq(design, response, rcond=None)
+    assert got["beta"][0] == pytest.approx([coef[1 - d], 0, coef[2 - d]])
+    assert got["const"][0] == pytest.approx(0 if d else coef[0])
+    assert got["phi"][0][:p] == pytest.approx(phi)
+    params = 2 + 1 + p + 1  # effects, constant or first level, autoregression, variance
+    m = len(at)
+    assert got["sigma2"][0] == pytest.approx(rss[0] / (m - 2 - (1 - d) - p))
+    assert got["aicc"][0] == pytest.approx(m * (np.log(2 * np.pi * rss[0] / m) + 1) + 2 * params + 2 * params * (params + 1) / (m - params - 1))
+
+
+def test_dead_regressors_are_dropped():
+    x = np.ones((60, 3))
+    x[:, 1] = np.random.default_rng(0).normal(size=60)
+    x[:, 2] = 2 * x[:, 1]
+    y = 5 + x[:, 1] * 0.5 + np.random.default_rng(1).normal(0, 0.1, 60)
+    got = moments.fit(moments.products(y, np.ones(60, bool), x)[None], 3, [0, 1, 2], [True] * 3, 1, 0)
+    assert got["beta"][0][0] == 0 and got["beta"][0][2] == 0 and got["beta"][0][1] == pytest.approx(0.5, abs=0.1)
 
 
 def test_complete_series_bypass_the_model(spark, promo):

@@ -81,27 +81,33 @@ def acf(
 ) -> DataFrame:
     """Autocorrelation of each series at lags 1..lag_max (fewer for short series).
 
-    A series becomes one array ordered by time; lags are folds over it, where a
-    window per lag would sort the table again and again. NULLs are left out of
-    the mean and of every product they touch.
+    A series becomes one array ordered by time, which is read once: the fold carries the last
+    `lag_max` values and, for each lag, the running sum of products with them. NULLs are left out
+    of the mean and of every product they touch.
     """
     rows = df.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct(F.col(index).alias("t"), F.col(value).cast("double").alias("x")))).alias("s"),
         F.avg(F.col(value).cast("double")).alias("mean"),
     )
-    centred = deal_series(rows).select(
+    # Too short a series goes before the rows are dealt: a filter on what the fold gives would fold twice.
+    centred = deal_series(rows.where(F.size("s") > 1)).select(
         *by,
         F.transform("s", lambda p: F.coalesce(p["x"] - F.col("mean"), F.lit(0.0))).alias("z"),
-    ).withColumn("power", F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))
+    )
+    zeros = F.array_repeat(F.lit(0.0), lag_max + 1)
+
+    def step(s: Column, v: Column) -> Column:
+        recent = F.concat(F.array(v), F.slice(s["recent"], 1, lag_max))
+        return F.struct(
+            recent.alias("recent"),
+            F.zip_with(s["sums"], recent, lambda total, r: total + r * v).alias("sums"),
+        )
+
+    sums = F.aggregate("z", F.struct(zeros.alias("recent"), zeros.alias("sums")), step, lambda s: s["sums"])
     lags = F.sequence(F.lit(1), F.least(F.lit(lag_max), F.size("z") - 1))
-    n = F.size("z")
 
     def at(lag: Column) -> Column:
-        head, tail = F.slice("z", F.lit(1), n - lag), F.slice("z", lag + 1, n - lag)
-        product = F.aggregate(
-            F.zip_with(head, tail, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
-        )
-        return F.struct(lag.alias("lag"), F.try_divide(product, F.col("power")).alias("acf"))
+        return F.struct(lag.alias("lag"), F.try_divide(F.get("sums", lag), F.get("sums", F.lit(0))).alias("acf"))
 
-    pairs = centred.where(n > 1).select(*by, F.transform(lags, at).alias("pairs"))
-    return pairs.select(*by, F.inline("pairs"))
+    folded = centred.withColumn("sums", sums)
+    return folded.select(*by, F.inline_outer(F.transform(lags, at)))

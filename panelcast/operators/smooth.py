@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ DAMPINGS = (0.8, 0.9, 0.98)
 FINE = tuple(round(0.01 * i, 2) for i in range(-5, 6))
 #: Values that give the first slope.
 OPENING = 10
+#: Series that are searched at once.
+LANES = 512
 #: Parameters that each form estimates, its starting values and variance among them.
 PARAMS = {"level": 3, "trend": 5, "damped": 6}
 
@@ -134,53 +138,67 @@ def one_step_ahead(y: str, alpha: Column, gain: Column, damping: Column) -> Colu
     return F.aggregate(_rest(y), start, step, lambda s: s["path"])
 
 
-def _scored(y: str, alpha: Column, gain: Column, damping: Column, params: Column, at: Column) -> Column:
-    f = fold(y, alpha, gain, damping)
-    used = (F.size(y) - 1).cast("double")
+def _criteria(y: np.ndarray, alpha, gain, damping, params) -> np.ndarray:
+    """AICc (series x candidates) of y (series x steps); the same recursion as `fold`, candidates side by side."""
+    used = y.shape[1] - 1
+    span = min(used + 1, OPENING) - 1
+    shape = np.broadcast_shapes((len(y), 1), np.shape(alpha))
+    level = np.broadcast_to(y[:, :1], shape).copy()
+    slope = np.where(damping > 0, (y[:, span] - y[:, 0])[:, None] / max(span, 1), 0.0) + np.zeros(shape)
+    sse = np.zeros(shape)
+    for t in range(1, used + 1):
+        ahead = level + damping * slope
+        error = y[:, t : t + 1] - ahead
+        level = ahead + alpha * error
+        slope = damping * slope + gain * error
+        sse += error * error
     room = used - params - 1
-    score = used * F.ln(F.greatest(f["sse"] / used, F.lit(1e-12))) + 2 * params + 2 * params * (params + 1) / room
-    return F.struct(
-        F.when(room > 0, score).alias("aicc"),
-        at.alias("at"),
-        alpha.alias("alpha"),
-        gain.alias("slope_gain"),
-        damping.alias("damping"),
-        params.alias("params"),
-        f["level"].alias("level"),
-        f["slope"].alias("slope"),
-        f["sse"].alias("sse"),
-    )
-
-
-def _least(trials: Column) -> Column:
-    """The trial with the least criterion, the first of equals; NULL if none has one."""
-    return F.array_min(F.filter(trials, lambda t: t["aicc"].isNotNull()))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = used * np.log(np.maximum(sse / max(used, 1), 1e-12)) + 2 * params + 2 * params * (params + 1) / room
+    return np.where(room > 0, score, np.inf)
+
+
+def _search(forms: Sequence[str]) -> Callable:
+    """The gains and the damping with the least criterion for each array, the first of equals."""
+    cases = np.array(grid(forms)).reshape(-1, 4).T
+
+    def block(y: np.ndarray) -> np.ndarray:
+        first = _criteria(y, *cases).argmin(1)
+        alpha, gain, damping, params = (c[first][:, None] for c in cases)
+        near = np.clip(np.round(alpha + np.array(FINE), 4), 0.005, 0.995)
+        gains = np.minimum(gain, near)
+        scores = _criteria(y, near, gains, damping, params)
+        best, lane = scores.argmin(1), np.arange(len(y))
+        return np.stack([scores[lane, best], near[lane, best], gains[lane, best], damping[:, 0], params[:, 0]], 1)
+
+    @F.pandas_udf("aicc double, alpha double, slope_gain double, damping double, params double")
+    def search(y: pd.Series) -> pd.DataFrame:
+        out = np.full((len(y), 5), np.inf)
+        sizes = y.map(lambda v: 0 if v is None else len(v)).to_numpy()
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            for lanes in np.array_split(at, -(-len(at) // LANES)):
+                out[lanes] = block(np.stack(y.iloc[lanes].to_numpy()).astype(float))
+        out[~np.isfinite(out[:, 0])] = np.nan
+        return pd.DataFrame(out, columns=["aicc", "alpha", "slope_gain", "damping", "params"])
+
+    return search
 
 
 def with_best_form(rows: DataFrame, y: str, name: str = "form", forms: Sequence[str] = tuple(PARAMS)) -> DataFrame:
     """Add the best of level, trend and damped trend for the array `y`, by AICc.
 
-    A coarse grid of gains and dampings is folded, then the level gain is refined around its best candidate.
-    `name` is a struct (aicc, at, alpha, slope_gain, damping, params, level, slope, sse), NULL where `y` is NULL or
+    A coarse grid of gains and dampings is searched, then the level gain is refined around its best
+    candidate, for blocks of series at once; the state comes from one fold with what was chosen.
+    `name` is a struct (aicc, alpha, slope_gain, damping, params, level, slope, sse), NULL where `y` is NULL or
     too short for any form.
     """
-    cases = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(g).alias("g"), F.lit(f).alias("f"), F.lit(float(k)).alias("k"), F.lit(i).alias("i"))
-            for i, (a, g, f, k) in enumerate(grid(forms))
-        ]
-    )
-    coarse = _least(F.transform(cases, lambda c: _scored(y, c["a"], c["g"], c["f"], c["k"], c["i"])))
-    steps = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for i, s in enumerate(FINE)])
-    best = F.col("_coarse")
-
-    def near(s: Column) -> Column:
-        alpha = F.greatest(F.least(F.round(best["alpha"] + s["s"], 4), F.lit(0.995)), F.lit(0.005))
-        gain = F.least(best["slope_gain"], alpha)
-        return _scored(y, alpha, gain, best["damping"], best["params"], s["i"])
-
-    fine = F.when(best.isNotNull(), _least(F.transform(steps, near)))
-    return rows.withColumn("_coarse", coarse).withColumn(name, fine).drop("_coarse")
+    found = rows.withColumn("_found", _search(forms)(y))
+    picked = [F.nanvl(f"_found.{c}", F.lit(None).cast("double")).alias(c) for c in ("aicc", "alpha", "slope_gain", "damping", "params")]
+    found = found.withColumn("_found", F.struct(*picked))
+    state = fold(y, F.col("_found.alpha"), F.col("_found.slope_gain"), F.col("_found.damping"))
+    found = found.withColumn("_state", F.when(F.col("_found.aicc").isNotNull(), state))
+    return found.withColumn(name, F.when(F.col("_state").isNotNull(), F.struct("_found.*", "_state.*"))).drop("_found", "_state")
 
 
 def best_forms(df: DataFrame, value: str, forms: Sequence[str] = tuple(PARAMS), spec: PanelSpec = WEEKLY) -> DataFrame:

@@ -125,9 +125,12 @@ def test_profiles_expand_and_join_nothing(tx):
     assert "Join" not in plan(by_product)
 
 
-def test_autocorrelation_copies_no_arrays(tx):
+def test_autocorrelation_folds_once(tx):
+    """The fold stands in one projection: in no filter, and not once for every use of its result."""
     text = plan(score.acf(panel.fill_gaps(tx), "units", ["store_id", "upc_id"]))
-    assert len(re.findall("Generate inline", text)) == 1 and "Generate explode(lag" not in text
+    assert len(re.findall("Generate inline_outer|Generate inline", text)) == 1
+    assert text.count("aggregate(") == 1
+    assert not any("aggregate(" in line for line in text.splitlines() if "Filter" in line)
 
 
 def test_imputation_counts_gaps_on_one_exchange_of_the_panel(tx):

@@ -90,7 +90,7 @@ def series_rows(
 
     The panel is unique per week, so an array is as long as the calendar at most.
     Windows and arrays share one exchange by key. The finished rows are then dealt
-    out evenly: fits cost time per series, far more than moving the row.
+    out by length: fits cost time per series and week, far more than moving the row.
     """
     featured = with_interpolated(design_matrix(panel, design, spec), spec=spec)
     point = F.struct(
@@ -113,7 +113,7 @@ def series_rows(
             F.flatten(F.transform("s", lambda p: p["x"])).alias("x"),
         )
     )
-    return deal_series(rows, tasks)
+    return deal_series(rows, tasks, F.size("z"), spec.keys)
 
 
 def series_moments(rows: DataFrame, regressors: int) -> DataFrame:

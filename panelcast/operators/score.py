@@ -90,7 +90,7 @@ def acf(
         F.avg(F.col(value).cast("double")).alias("mean"),
     )
     # Too short a series goes before the rows are dealt: a filter on what the fold gives would fold twice.
-    centred = deal_series(rows.where(F.size("s") > 1)).select(
+    centred = deal_series(rows.where(F.size("s") > 1), cost=F.size("s"), keys=by).select(
         *by,
         F.transform("s", lambda p: F.coalesce(p["x"] - F.col("mean"), F.lit(0.0))).alias("z"),
     )

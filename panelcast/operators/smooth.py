@@ -30,7 +30,8 @@ def _ordered(df: DataFrame, value: str, spec: PanelSpec) -> DataFrame:
     point = F.struct(F.col(spec.index).alias("t"), F.col(value).cast("double").alias("y"))
     known = df.where(F.col(value).isNotNull())
     rows = known.groupBy(*spec.keys).agg(F.array_sort(F.collect_list(point)).alias("s"))
-    return deal_series(rows.select(*spec.keys, F.transform("s", lambda p: p["y"]).alias("y")))
+    values = rows.select(*spec.keys, F.transform("s", lambda p: p["y"]).alias("y"))
+    return deal_series(values, cost=F.size("y"), keys=spec.keys)
 
 
 def _smooth(alpha: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FLAGS = ("feature", "display", "tpr_only")
@@ -53,13 +53,26 @@ def fit_tasks(spark: SparkSession) -> int:
     )
 
 
-def deal_series(df: DataFrame, tasks: int | None = None) -> DataFrame:
+def deal_series(
+    df: DataFrame, tasks: int | None = None, cost: Column | None = None, keys: tuple[str, ...] | list[str] = ()
+) -> DataFrame:
     """Spread one-row-per-series arrays evenly before costly work on each.
 
     Adaptive execution sizes partitions by bytes and would put a small panel's
-    series in one task.
+    series in one task. With `cost`, rows are dealt like cards, the dearest first and every
+    other lap backwards, so tasks get like sums of cost and not only like numbers of rows; each
+    part of the input starts with another task. `keys` settle the order among equal costs, so that a
+    part that is computed again deals the same cards.
     """
-    return df.repartition(tasks or fit_tasks(df.sparkSession))
+    n = tasks or fit_tasks(df.sparkSession)
+    if cost is None:
+        return df.repartition(n)
+    slot = F.monotonically_increasing_id()
+    card = df.withColumn("_cost", cost).sortWithinPartitions(F.col("_cost").desc(), *keys).withColumn("_slot", slot)
+    row, part = F.col("_slot").bitwiseAND(F.lit(2**33 - 1)), F.shiftright("_slot", 33)
+    at, lap = row % n, F.floor(row / n)
+    turn = F.when(lap % 2 == 0, at).otherwise(n - 1 - at)
+    return card.withColumn("_task", ((turn + part) % n).cast("int")).repartitionById(n, "_task").drop("_cost", "_slot", "_task")
 
 
 def by_series(df: DataFrame, spec: PanelSpec = WEEKLY, tasks: int | None = None) -> DataFrame:

@@ -3,11 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelcast.operators import fit, forecast, impute, panel, profile, rollup, sampling, score
 from panelcast.plans.explore import explore
 from panelcast.sources import buckets, derive, fits, schemas, tables
 from panelcast.sources.checkpoints import cut
+from panelcast.spec import deal_series
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def plan(df):
 
 
 def exchanges(df):
-    return len(re.findall(r"Exchange (?:hash|range|Round|Single)", plan(df)))
+    return len(re.findall(r"Exchange (?:hash|range|Round|Single|shuffle)", plan(df), re.IGNORECASE))
 
 
 def test_a_panel_chain_shuffles_once(tx):
@@ -75,7 +77,19 @@ def test_stored_panels_open_in_another_session(spark, stored, tx):
 def test_fit_shuffles_the_panel_once_and_deals_rows(tx):
     train = panel.drop_last_rows(panel.filter_series(tx), 4)
     rows = fit.train_models(train, tasks=5)
-    assert exchanges(rows) == 2 and "RoundRobinPartitioning(5)" in plan(rows)
+    assert exchanges(rows) == 2
+    assert len({r[0] for r in rows.select(F.spark_partition_id()).distinct().collect()}) == 5
+
+
+@pytest.mark.parametrize("tasks", [3, 8])
+def test_tasks_get_like_sums_of_cost(spark, tasks):
+    """Most series short, some long, and the long ones together in the input."""
+    rows = spark.range(2000).select("id", F.when(F.col("id") < 150, 156).when(F.col("id") < 700, 60).otherwise(13).alias("n"))
+    series = rows.select("id", F.sequence(F.lit(1), "n").alias("z")).repartitionByRange(6, "id")
+    dealt = deal_series(series, tasks, F.size("z"), ["id"])
+    per_task = dealt.groupBy(F.spark_partition_id().alias("t")).agg(F.sum(F.size("z")).alias("cost")).toPandas().cost
+    assert len(per_task) == tasks and per_task.max() < 1.2 * per_task.mean()
+    assert dealt.select("id").distinct().count() == 2000 and dealt.columns == ["id", "z"]
 
 
 def test_forecast_from_fits_does_not_shuffle(spark, tx, tmp_path):

@@ -15,8 +15,9 @@ ORDERS = [(p, d) for d in (0, 1) for p in (0, 1, 2)]
 LAGS = 3
 
 
-def interpolated(src: str, name: str) -> str:
-    """{name}: the rows of src with y (root of units) and z (y, interpolated)."""
+def interpolated(src: str, name: str, straight: bool = False) -> str:
+    """{name}: the rows of src with y (root of units) and z (y, interpolated; in a straight line if so wanted)."""
+    decay = "1.0" if straight else "CASE WHEN f >= 0.995 THEN 1.0 ELSE f END"
     w = f"PARTITION BY {K} ORDER BY week"
     past = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     coming = f"({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -28,7 +29,7 @@ def interpolated(src: str, name: str) -> str:
          first_value(y IGNORE NULLS) OVER {coming} AS ny, first_value({seen} IGNORE NULLS) OVER {coming} AS nw
   FROM (SELECT *, sqrt(units) AS y FROM {src})),
 {name}_decay AS (
-  SELECT {K}, mean, CASE WHEN f >= 0.995 THEN 1.0 ELSE f END AS f FROM (
+  SELECT {K}, mean, {decay} AS f FROM (
     SELECT {K}, avg(y) AS mean,
            CASE WHEN count(*) FILTER (y IS NOT NULL AND prior IS NOT NULL) >= 3
                 THEN greatest(0.0, least(covar_pop(y, prior) / nullif(var_pop(prior) FILTER (y IS NOT NULL), 0), 1.0)) ELSE 1.0 END AS f

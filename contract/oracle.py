@@ -441,7 +441,7 @@ def _fits(models: dict, design: tuple[str, ...], effects: bool = False) -> str:
     beta = "".join(f", CASE WHEN {fitted} THEN round(coalesce(beta[{i}], 0), 4) END AS b_{c}" for i, c in enumerate(design, 1))
     names = ", ".join(f"('{m}')" for m in models)
     return (
-        "WITH RECURSIVE " + FILLED + "," + interpolated("filled", "ready") + "," + regressions("ready", models, design, "reg")
+        "WITH RECURSIVE " + FILLED + "," + interpolated("filled", "ready", straight=True) + "," + regressions("ready", models, design, "reg")
         + f"""
 SELECT s.store_id, s.upc_id, m.model, CASE WHEN {fitted} THEN 'ok' ELSE 'not fitted' END AS status,
        CASE WHEN {fitted} THEN CAST(n AS INTEGER) END AS n_obs, p, d, CASE WHEN {fitted} THEN 0 END AS q,
@@ -538,6 +538,7 @@ ORACLE: dict[str, str] = {
     ),
     "impute_model": _q(IMPUTED, f"SELECT {COLUMNS.replace('units', 'round(units, 4) AS units', 1)} FROM imputed"),
     "fit_arima": _fits({"arima": ((), None)}, ()),
+    "fit_incremental": _fits({"arima": ((), None)}, ()),
     "fit_dynamic_regression": _fits({m: REGRESSIONS[m] for m in ("arima_base", "arima_lagged")}, FLAGS + LAGGED, True),
     "fit_seasonal_regression": _fits({m: REGRESSIONS[m] for m in ("arima_seasonal", "arima_seasonal_lagged")}, FLAGS + LAGGED + FOURIER),
     "smoothing_forms": _forms(),

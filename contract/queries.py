@@ -15,6 +15,7 @@ from panelcast.operators import (
     fit,
     forecast,
     impute,
+    increment,
     panel,
     profile,
     regress,
@@ -610,6 +611,17 @@ def q_fit_arima(spark, sf):
     return rounded(fit.fit_models(filled(spark, sf), fit.PLAIN, ()).select(*FIT_SUMMARY))
 
 
+def q_fit_incremental(spark, sf):
+    """The fits of `fit_arima` by a state of the weeks before 1998 and the later weeks added to it."""
+    rows, turn = filled(spark, sf), F.to_date(F.lit("1997-12-29"))
+    split = F.max(F.when((F.col("week") < turn) & F.col("units").isNotNull(), F.col("week"))).over(WEEKLY.over_series())
+    halves = rows.withColumn("_until", split)
+    early = increment.fit_state(halves.where(F.col("week") <= F.col("_until")).select(*rows.columns), ())
+    late = halves.where(F.col("_until").isNull() | (F.col("week") > F.col("_until"))).where(F.col("units").isNotNull())
+    state = increment.extend_state(cut(early), late.select(*rows.columns), ())
+    return rounded(increment.fits_of_state(state, fit.PLAIN, ()).select(*FIT_SUMMARY))
+
+
 def q_fit_dynamic_regression(spark, sf):
     models = {m: fit.VALIDATION_MODELS[m] for m in ("arima_base", "arima_lagged")}
     fits = fit.fit_models(filled(spark, sf), models, fit.PROMOTION)

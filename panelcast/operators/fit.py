@@ -55,6 +55,8 @@ TRAINING_FALLBACK = (ModelSpec(uses=PROMOTION), ModelSpec())
 
 # Bytes that the matrices of a block of series may take in a Python worker.
 BLOCK_BYTES = 32 * 2**20
+# Filled roots that come with the rows of an earlier state.
+STORED_ROOT = "stored_root"
 # Lengths of series whose decomposition a worker keeps at a time.
 KEPT_LENGTHS = 8
 
@@ -92,7 +94,9 @@ def series_rows(
     Windows and arrays share one exchange by key. The finished rows are then dealt
     out by length: fits cost time per series and week, far more than moving the row.
     """
-    featured = with_interpolated(design_matrix(panel, design, spec), spec=spec)
+    featured = with_interpolated(design_matrix(panel, design, spec), spec=spec, straight=True)
+    if STORED_ROOT in panel.columns:  # rows of an earlier state keep what they were filled with
+        featured = featured.withColumn("filled_root", F.coalesce(STORED_ROOT, "filled_root"))
     point = F.struct(
         F.col(spec.index).alias("t"),
         F.col("units").cast("double").alias("y"),
@@ -310,29 +314,44 @@ def _run(
     tasks: int | None,
     needs: str | None = None,
 ) -> DataFrame:
-    """The fit table. With `needs`, the other models are kept for series that this one fits."""
     rows = series_rows(panel, design, spec, tasks)
+    if any(o[0].kind == "arima" for o in plan.values()):
+        rows = series_moments(rows, len(design))
+    return fits_from(rows, plan, design, spec, needs)
+
+
+def fits_from(
+    rows: DataFrame,
+    plan: dict[str, tuple[ModelSpec, ...]],
+    design: Sequence[str],
+    spec: PanelSpec = WEEKLY,
+    needs: str | None = None,
+    n_obs: Column | None = None,
+) -> DataFrame:
+    """The fit table from `series_rows` with `moments`: of each name in `plan`, the first option that fits.
+
+    With `needs`, the other models are kept for series that this one fits. `n_obs` counts the observed weeks,
+    where the rows don't hold them all.
+    """
     regressions = {n: o for n, o in plan.items() if o[0].kind == "arima"}
     options = [o for many in regressions.values() for o in many]
+    smoothed = len(regressions) < len(plan)
     if options:
-        rows = with_candidates(series_moments(rows, len(design)), options, design)
+        rows = with_candidates(rows, options, design)
     fits, at = [], 0
     for name, many in plan.items():
         chosen = F.lit(None)
         if name in regressions:
             counts = [len(candidate_orders(o)) for o in many]
-            here = F.slice("candidates", at + 1, sum(counts))
+            chosen = _first_of(F.slice("candidates", at + 1, sum(counts)), counts)
             at += sum(counts)
-            chosen = _first_of(here, counts)
         fits.append(F.struct(F.lit(name).alias("model"), F.lit(many[0].kind).alias("kind"), chosen.cast(CANDIDATE[6:-1]).alias("c")))
-    if len(regressions) < len(plan):
+    if smoothed:
         rows = _with_smoothing(rows)
-    each = rows.withColumn("_m", F.explode_outer(F.array(*fits))).select("*", "_m.*")
-    if needs is not None:
-        lead = F.filter(F.array(*fits), lambda m: m["model"] == needs)[0]["c"].isNotNull()
-        each = rows.withColumns({"_m": F.explode_outer(F.array(*fits)), "_lead": lead}).select("*", "_m.*")
-        each = each.where((F.col("model") == needs) | F.col("_lead"))
-    return _fit_table(each, design, spec, smoothed=len(regressions) < len(plan))
+    each = rows.withColumn("_all", F.array(*fits))
+    lead = F.lit(True) if needs is None else F.exists("_all", lambda m: (m["model"] == needs) & m["c"].isNotNull())
+    each = each.withColumns({"_m": F.explode_outer("_all"), "_lead": lead}).select("*", "_m.*")
+    return _fit_table(each.where((F.col("model") == needs) | F.col("_lead")) if needs else each, design, spec, smoothed, n_obs)
 
 
 def _first_of(candidates: Column, counts: Sequence[int]) -> Column:
@@ -367,7 +386,9 @@ def _with_smoothing(rows: DataFrame) -> DataFrame:
     return with_best_form(parted.withColumn("rest", rest), "rest", "smooth")
 
 
-def _fit_table(each: DataFrame, design: Sequence[str], spec: PanelSpec, smoothed: bool) -> DataFrame:
+def _fit_table(
+    each: DataFrame, design: Sequence[str], spec: PanelSpec, smoothed: bool, n_obs: Column | None = None
+) -> DataFrame:
     """The rows of the fit table from the chosen candidate or smoothing of every series and model."""
     k = len(design)
     regression = F.col("kind") == "arima"
@@ -401,12 +422,13 @@ def _fit_table(each: DataFrame, design: Sequence[str], spec: PanelSpec, smoothed
     innov = F.when(regression, F.transform("_w", innovation)).otherwise(F.zip_with("z", "_ahead", lambda v, a: v - a))
     each = each.withColumn("_innov", F.when(done, innov))
     doubles = "array<double>"
+    seen = F.size(F.filter("units", lambda v: v.isNotNull())) if n_obs is None else n_obs
     used = (n - 1).cast("double")
     period = decompose.PERIOD
     values = {
         "status": F.when(done, "ok").otherwise("not fitted"),
         "design": F.array(*[F.lit(c) for c in design]).cast("array<string>"),
-        "n_obs": F.when(done, F.when(regression, F.size(F.filter("units", lambda v: v.isNotNull()))).otherwise(n)),
+        "n_obs": F.when(done, F.when(regression, seen).otherwise(n)),
         "p": F.col("c.p"),
         "d": F.col("c.d"),
         "q": F.when(F.col("c.p").isNotNull(), F.lit(0)),

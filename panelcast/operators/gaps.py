@@ -36,12 +36,15 @@ def bridge(before: Column, after: Column, back: Column, ahead: Column, decay: Co
     )
 
 
-def with_interpolated(df: DataFrame, value: str = "units", spec: PanelSpec = WEEKLY, name: str = "filled_root") -> DataFrame:
+def with_interpolated(
+    df: DataFrame, value: str = "units", spec: PanelSpec = WEEKLY, name: str = "filled_root", straight: bool = False
+) -> DataFrame:
     """Add the square root of `value`, interpolated where it is NULL; run on a gap-free panel.
 
     The decay of a series is the regression of neighbouring known weeks on each other, held to 0 and NO_DECAY;
     with fewer than LEAST_PAIRS of them, or without spread, gaps are filled in a straight line and ends are carried.
-    A series without any value stays NULL.
+    `straight` does that everywhere: then a gap depends on its two neighbours only, and weeks that are added later
+    change nothing before them. A series without any value stays NULL.
     """
     ordered, whole = spec.in_order(), spec.over_series()
     past = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -59,7 +62,7 @@ def with_interpolated(df: DataFrame, value: str = "units", spec: PanelSpec = WEE
         }
     )
     slope = F.try_divide(F.covar_pop(y, x).over(whole), F.var_pop(x).over(whole))
-    decay = F.when(F.count(x).over(whole) >= LEAST_PAIRS, F.greatest(F.lit(0.0), F.least(slope, F.lit(1.0))))
+    decay = F.lit(1.0) if straight else F.when(F.count(x).over(whole) >= LEAST_PAIRS, F.greatest(F.lit(0.0), F.least(slope, F.lit(1.0))))
     # Without an estimate the series keeps its level.
     rows = rows.withColumn("_decay", F.coalesce(F.when(decay >= NO_DECAY, F.lit(1.0)).otherwise(decay), F.lit(1.0)))
     back = (F.datediff(spec.index, F.col("_last.t")) / spec.step_days).cast("double")

@@ -454,6 +454,38 @@ LEFT JOIN reg r ON r.store_id = s.store_id AND r.upc_id = s.upc_id AND r.model =
 IMPUTED = FILLED + "," + interpolated("filled", "ready") + """,
 imputed AS (SELECT * REPLACE (coalesce(units, pow(greatest(z, 0), 2)) AS units) FROM ready)"""
 
+VALIDATED = SAMPLE + """,
+sampled AS (SELECT gaps.* FROM picked JOIN gaps USING (store_id, upc_id)),""" + interpolated("sampled", "bridged") + f""",
+sample AS (SELECT week, {K}, coalesce(units, pow(greatest(z, 0), 2)) AS units, {", ".join(FLAGS)} FROM bridged),
+sample_train AS (SELECT * FROM sample QUALIFY week <= date_trunc('week', max(week) OVER (PARTITION BY {K}) - INTERVAL 1 MONTH)),""" + interpolated(
+    "sample_train", "ready", straight=True
+) + "," + regressions("ready", REGRESSIONS, FLAGS + LAGGED + FOURIER, "reg")
+
+_EFFECT = " + ".join(f"coalesce(beta[{i}], 0) * coalesce({c}, 0)" for i, c in enumerate(FLAGS + LAGGED, 1))
+# The regression with promotions where it fits, else the plain one, and its errors of the last weeks.
+TRAINED = FILLED + "," + interpolated("filled", "ready", straight=True) + "," + regressions(
+    "ready", {"1": (FLAGS + LAGGED, None), "2": ((), None)}, FLAGS + LAGGED, "reg"
+) + f""",
+chosen AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY model) = 1),
+noise AS (
+  SELECT {K}, week, z - const - ({_EFFECT}) AS e, row_number() OVER (PARTITION BY {K} ORDER BY week DESC) AS back,
+         feature, display, tpr_only
+  FROM (SELECT *, {", ".join(f"lag({f}) OVER (PARTITION BY {K} ORDER BY week) AS lag_{f}" for f in FLAGS)} FROM ready) JOIN chosen USING ({K})),
+ends AS (
+  SELECT {K}, max(week) AS last, {", ".join(f"max(e) FILTER (back = {i}) AS e{i}" for i in (1, 2, 3))},
+         {", ".join(f"max(coalesce({f}, 0)) FILTER (back = 1) AS last_{f}" for f in FLAGS)}
+  FROM noise GROUP BY {K}),
+ahead AS (
+  SELECT *, w1 * f1 + w2 * f2 AS p1, (w1 * f1 + w2 * f2) * f1 + w1 * f2 AS p2 FROM (
+    SELECT *, CASE WHEN d = 1 THEN e1 - e2 ELSE e1 END AS w1, CASE WHEN d = 1 THEN e2 - e3 ELSE e2 END AS w2 FROM chosen JOIN ends USING ({K}))),
+cases AS (SELECT * FROM (VALUES (0, 0, 0, 1), (1, 0, 0, 2), (0, 1, 0, 3), (0, 0, 1, 4), (1, 1, 0, 5)) AS t(feature, display, tpr_only, fc_ind)),
+paths AS (
+  SELECT {K}, 'arima' AS model, fc_ind, CAST(last + 7 * h AS DATE) AS week, feature, display, tpr_only, const + ({_EFFECT})
+         + CASE WHEN d = 1 THEN e1 ELSE 0 END + CASE WHEN h = 1 THEN p1 WHEN d = 1 THEN p1 + p2 ELSE p2 END AS mu,
+         sqrt(sigma2 * (1 + CASE WHEN h = 1 THEN 0 WHEN d = 1 THEN pow(1 + f1, 2) ELSE f1 * f1 END)) AS sigma
+  FROM (SELECT *, {", ".join(f"CASE WHEN h = 1 THEN last_{f} ELSE {f} END AS lag_{f}" for f in FLAGS)}
+        FROM ahead CROSS JOIN cases CROSS JOIN (VALUES (1), (2)) AS t(h)))"""
+
 _LEVEL_GAINS = [round(0.05 + 0.1 * i, 2) for i in range(10)]
 _FORMS = [(a, 0.0, 0.0, 3) for a in _LEVEL_GAINS]
 _FORMS += [(a, a * s, 1.0, 5) for a in _LEVEL_GAINS for s in (0.02, 0.1, 0.3)]
@@ -542,6 +574,14 @@ ORACLE: dict[str, str] = {
     "fit_dynamic_regression": _fits({m: REGRESSIONS[m] for m in ("arima_base", "arima_lagged")}, FLAGS + LAGGED, True),
     "fit_seasonal_regression": _fits({m: REGRESSIONS[m] for m in ("arima_seasonal", "arima_seasonal_lagged")}, FLAGS + LAGGED + FOURIER),
     "smoothing_forms": _forms(),
+    "validation_aicc": "WITH RECURSIVE "
+    + VALIDATED
+    + f" SELECT {K}, {', '.join(f'round(max(aicc) FILTER (model = {m!r}), 4) AS {m}' for m in REGRESSIONS)}"
+    f" FROM (SELECT DISTINCT {K} FROM sample_train) LEFT JOIN reg USING ({K}) GROUP BY {K}",
+    "forecast_scenarios": "WITH RECURSIVE "
+    + TRAINED
+    + f" SELECT {K}, model, fc_ind, week, feature, display, tpr_only, {_r(BANDS)}"
+    f" FROM (SELECT {K}, model, fc_ind, week, feature, display, tpr_only, {_bands('mu', 'sigma')} FROM paths)",
     "locf_impute": _q(CARRIED, f"SELECT {COLUMNS} FROM carried"),
     "calendar_split": _q(
         GAPS,

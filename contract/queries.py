@@ -661,7 +661,7 @@ def q_forecast_holdout(spark, sf):
 
 def q_forecast_scenarios(spark, sf):
     fits = fit.train_models(filled(spark, sf)).where(F.col("model") == "arima")
-    return forecast.forecast_scenarios(fits)
+    return rounded(forecast.forecast_scenarios(fits))
 
 
 def q_forecast_stl(spark, sf):
@@ -679,7 +679,7 @@ def _sample(spark, sf):
 
 def q_validation_aicc(spark, sf):
     train, _ = _sample(spark, sf)
-    return validation.aicc_table(validation.validation_fits(train))
+    return rounded(validation.aicc_table(validation.validation_fits(train)))
 
 
 def q_validation_rmse(spark, sf):

@@ -728,6 +728,12 @@ base AS (SELECT {K}, sqrt(units) AS y, feature AS f, display AS d, tpr_only AS t
         """SELECT best_model, round(median(mean_rmse), 4) AS median_rmse, count(*) AS n_best_model
   FROM best GROUP BY best_model ORDER BY n_best_model DESC""",
     ),
+    "leaderboard_merged": _q(
+        SCORED + "," + _best("wide", ("arima", "stl"), "mean_rmse"),
+        """SELECT best_model, round(median(round(mean_rmse, 4)), 4) AS median_rmse, count(*) AS n_best_model
+  FROM best GROUP BY best_model ORDER BY n_best_model DESC""",
+    ),
+    "units_histogram_by_store": _q(PANEL + ",", _histogram("panel", "units", "store_id, upc_id")),
     "best_model_per_series": _q(
         SCORES + "," + _best("scores", MODELS, "mean_aicc"),
         f"SELECT {K}, round(mean_aicc, 4) AS mean_aicc, best_model FROM best",

@@ -496,6 +496,19 @@ def q_rmse_leaderboard(spark, sf):
     return rounded(score.rmse_leaderboard(wide, ["arima", "stl"]))
 
 
+def q_leaderboard_merged(spark, sf):
+    """The leaderboard of all stores from the states of each half."""
+    scored = score.with_actuals(standin_forecasts(spark, sf), filled(spark, sf))
+    wide = score.models_wide(score.rmse(scored), "rmse", ["arima", "stl"])
+    halves = [wide.where(F.col("store_id").isin("0", "1") == first) for first in (True, False)]
+    states = [score.leaderboard_state(half, ["arima", "stl"]) for half in halves]
+    return rounded(score.leaderboard(score.merge_leaderboards(states)))
+
+
+def q_units_histogram_by_store(spark, sf):
+    return rounded(profile.histogram(weekly(spark, sf), "units", ["store_id", "upc_id"]))
+
+
 def q_best_model_per_series(spark, sf):
     return rounded(
         score.with_best_model(standin_scores(spark, sf), SCORED, "mean_aicc").select(

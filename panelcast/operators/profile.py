@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.rows import strict
-from panelcast.operators.quantiles import exact_quantiles, quantiles_wide
+from panelcast.operators.quantiles import exact_quantiles, ordered_long, quantiles_wide
 from panelcast.spec import FLAGS, MEASURES
 
 FENCE = 3.0
@@ -238,45 +238,43 @@ def _flag_levels(
     return df.select(*by, *columns, levels.alias("l")).select(*by, *columns, "l.flag", "l.level")
 
 
-def histogram(
-    df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50, few_groups: bool = True
-) -> DataFrame:
+#: Bits of a value's image that a cell of the histogram's sketch leaves out: 4,096 cells between powers of two.
+CELL_BITS = 40
+
+
+def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50) -> DataFrame:
     """Equal-width bins between each group's minimum and maximum; empty bins are not listed.
 
-    The maximum falls in the last bin; a group of one value has one bin. The ends of
-    few groups (models, categories) enter as a one-row map, so that no group's rows
-    gather; those of many are joined.
+    The maximum falls in the last bin; a group of one value has one bin, and rows without a group
+    are a group. A first pass counts cells of neighbouring values, combined before they move: they
+    give the ends of every group, and all counts but those of the cells that a bin's edge cuts (fewer
+    than `bins` in a group). Only the rows of those are looked at again. So neither the number of
+    groups nor the size of one matters: no group is gathered and no table of groups is collected.
     """
-    x = F.col(value)
-    known = df.where(x.isNotNull()).select(*by, x.cast("double").alias("_x"))
-    ends = known.groupBy(*by).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    if by and few_groups:
-        # One row: a map from group to ends. NULL is a group like any other.
-        entry = F.struct(F.struct(*by).alias("key"), F.struct("lo", "hi").alias("value"))
-        one = ends.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select("m").scalar()
-        found = known.withColumn("_m", one).withColumn("_e", F.element_at("_m", F.struct(*by)))
-        joined = found.select(*by, "_x", "_e.lo", "_e.hi")
-    elif by:
-        named = ends.withColumnsRenamed({c: f"_of_{c}" for c in by})
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-        joined = known.join(named, same).select(*by, "_x", "lo", "hi")
-    else:
-        one = ends.select(F.struct("lo", "hi").alias("e")).scalar()
-        joined = known.withColumn("_e", one).select("_x", "_e.lo", "_e.hi")
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    known = known.withColumn("_cell", F.shiftright(ordered_long(F.col("_x")), CELL_BITS))
+    group = Window.partitionBy(*by)
+    cells = known.groupBy(*by, "_cell").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumns({"lo": F.min("_low").over(group), "hi": F.max("_high").over(group)})
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    index = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("lo")) / width).cast("int") + 1, F.lit(bins))
-    )
-    return (
-        joined.groupBy(*by, "lo", "hi", index.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            *by,
-            "bin",
-            (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_start"),
-            (F.col("lo") + F.col("bin") * width).alias("bin_end"),
-            "n",
+
+    def bin_of(x: Column) -> Column:
+        return F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
+            F.least(F.floor((x - F.col("lo")) / width).cast("int") + 1, F.lit(bins))
         )
+
+    first, last = bin_of(F.col("_low")), bin_of(F.col("_high"))
+    whole = cells.where(first == last).select(*by, "lo", "hi", first.alias("bin"), "n")
+    cut = cells.where(first != last).select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_cell").alias("_of_cell"), "lo", "hi")
+    same = F.col("_cell") == F.col("_of_cell")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    again = known.join(cut, same).select(*by, "lo", "hi", bin_of(F.col("_x")).alias("bin"), F.lit(1).cast("long").alias("n"))
+    counts = whole.unionByName(again).groupBy(*by, "lo", "hi", "bin").agg(F.sum("n").alias("n"))
+    return counts.select(
+        *by,
+        "bin",
+        (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_start"),
+        (F.col("lo") + F.col("bin") * width).alias("bin_end"),
+        "n",
     )

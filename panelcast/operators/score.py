@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.rows import row_argmin, row_mean, strict
@@ -72,6 +72,48 @@ def rmse_leaderboard(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     )
 
 
+def leaderboard_state(wide: DataFrame, models: Sequence[str], digits: int = 4) -> DataFrame:
+    """Additive counts behind a leaderboard: per winner and mean score, rounded to `digits` (`cell`), how many series.
+
+    States of disjoint series merge by `merge_leaderboards`, so a new batch is added and nothing is
+    scored again. A state is as large as the scores differ at that rounding.
+    """
+    best = with_best_model(wide, models, "mean_score")
+    cell = F.round(F.col("mean_score") * F.lit(float(10**digits))).cast("bigint")
+    counts = best.groupBy("best_model", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("digits", F.lit(digits))
+
+
+def merge_leaderboards(states: Sequence[DataFrame]) -> DataFrame:
+    """One state of several."""
+    every = states[0]
+    for other in states[1:]:
+        every = every.unionByName(other)
+    return every.groupBy("best_model", "cell", "digits").agg(F.sum("n").alias("n")).select("best_model", "cell", "n", "digits")
+
+
+def leaderboard(state: DataFrame) -> DataFrame:
+    """Per winner, the median of the mean scores and how often it wins, most wins first."""
+    own = Window.partitionBy("best_model")
+    scored = F.when(F.col("cell").isNotNull(), F.col("n"))
+    ranked = state.withColumns(
+        {
+            "upto": F.sum(scored).over(own.orderBy(F.col("cell").asc_nulls_last())),
+            "total": F.coalesce(F.sum(scored).over(own), F.lit(0)),
+        }
+    )
+    # The ranks, from 0, on both sides of the middle; a cell holds those below `upto` that no cell before it holds.
+    middle = [F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)]
+    holds = [scored.isNotNull() & (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")) for r in middle]
+    value = F.col("cell") / F.pow(F.lit(10.0), F.col("digits"))
+    low, high = (F.max(F.when(h, value)) for h in holds)
+    return (
+        ranked.groupBy("best_model")
+        .agg(((low + high) / 2).alias("median_rmse"), F.sum("n").alias("n_best_model"))
+        .orderBy(F.col("n_best_model").desc(), "best_model")
+    )
+
+
 def acf(
     df: DataFrame,
     value: str,

@@ -112,7 +112,38 @@ def test_acf_matches_numpy(spark):
 
 def test_histogram_keeps_rows_without_a_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)], "g string, x double")
-    for few in (True, False):
-        rows = profile.histogram(df, "x", ["g"], 2, few).collect()
-        assert sum(r.n for r in rows) == 4
-        assert {(r.g, r.bin, r.bin_end) for r in rows if r.g is None} == {(None, 1, 7.0), (None, 2, 9.0)}
+    rows = profile.histogram(df, "x", ["g"], 2).collect()
+    assert sum(r.n for r in rows) == 4
+    assert {(r.g, r.bin, r.bin_end) for r in rows if r.g is None} == {(None, 1, 7.0), (None, 2, 9.0)}
+
+
+def test_histogram_of_many_and_of_hot_groups(spark):
+    """Against numpy, with one group that holds most rows, values that share cells, and one-valued groups."""
+    rng = np.random.default_rng(4)
+    groups = {f"g{i}": rng.normal(5, 2, 40) for i in range(200)}
+    groups["hot"] = np.round(1000 + rng.random(20_000), 6)  # a few cells of the sketch
+    groups["flat"], groups["signs"] = np.full(9, 3.0), np.array([-1.5, 0.0, -0.0, 2.5, 1e-300])
+    rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {(r.g, r.bin): r.n for r in profile.histogram(df, "v", ["g"], 20).collect()}
+    want = {}
+    for g, values in groups.items():
+        lo, hi = values.min(), values.max()
+        for v in values:
+            b = 1 if hi == lo else min(int(np.floor((v - lo) / ((hi - lo) / 20))) + 1, 20)
+            want[g, b] = want.get((g, b), 0) + 1
+    assert got == want
+
+
+def test_merged_leaderboards_equal_the_whole(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{i}", *(None if rng.random() < 0.1 else round(float(v), 3) for v in rng.random(2))) for i in range(300)]
+    wide = spark.createDataFrame(rows, "id string, a double, b double").repartition(4)
+    parts = [score.leaderboard_state(wide.where(f"abs(hash(id)) % 3 = {k}"), ["a", "b"]) for k in range(3)]
+    merged = score.merge_leaderboards(parts)
+    whole = score.rmse_leaderboard(wide, ["a", "b"])
+    got, want = (sorted(map(tuple, x.collect()), key=str) for x in (score.leaderboard(merged), whole))
+    assert [r[::2] for r in got] == [r[::2] for r in want]
+    assert all(a[1] == pytest.approx(b[1], abs=1e-4) for a, b in zip(got, want, strict=True) if b[1] is not None)
+    again = score.merge_leaderboards([merged, score.leaderboard_state(wide.where("false"), ["a", "b"])])
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, merged.collect()), key=str)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from contract import seasonal_sql as seasonal
 from contract.model_sql import FOURIER, LAGGED, interpolated, regressions
 
 FLAGS = ("feature", "display", "tpr_only")
@@ -454,37 +455,27 @@ LEFT JOIN reg r ON r.store_id = s.store_id AND r.upc_id = s.upc_id AND r.model =
 IMPUTED = FILLED + "," + interpolated("filled", "ready") + """,
 imputed AS (SELECT * REPLACE (coalesce(units, pow(greatest(z, 0), 2)) AS units) FROM ready)"""
 
-VALIDATED = SAMPLE + """,
+VALIDATED_SAMPLE = SAMPLE + """,
 sampled AS (SELECT gaps.* FROM picked JOIN gaps USING (store_id, upc_id)),""" + interpolated("sampled", "bridged") + f""",
 sample AS (SELECT week, {K}, coalesce(units, pow(greatest(z, 0), 2)) AS units, {", ".join(FLAGS)} FROM bridged),
-sample_train AS (SELECT * FROM sample QUALIFY week <= date_trunc('week', max(week) OVER (PARTITION BY {K}) - INTERVAL 1 MONTH)),""" + interpolated(
-    "sample_train", "ready", straight=True
-) + "," + regressions("ready", REGRESSIONS, FLAGS + LAGGED + FOURIER, "reg")
-
-_EFFECT = " + ".join(f"coalesce(beta[{i}], 0) * coalesce({c}, 0)" for i, c in enumerate(FLAGS + LAGGED, 1))
-# The regression with promotions where it fits, else the plain one, and its errors of the last weeks.
-TRAINED = FILLED + "," + interpolated("filled", "ready", straight=True) + "," + regressions(
-    "ready", {"1": (FLAGS + LAGGED, None), "2": ((), None)}, FLAGS + LAGGED, "reg"
-) + f""",
-chosen AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY model) = 1),
-noise AS (
-  SELECT {K}, week, z - const - ({_EFFECT}) AS e, row_number() OVER (PARTITION BY {K} ORDER BY week DESC) AS back,
-         feature, display, tpr_only
-  FROM (SELECT *, {", ".join(f"lag({f}) OVER (PARTITION BY {K} ORDER BY week) AS lag_{f}" for f in FLAGS)} FROM ready) JOIN chosen USING ({K})),
-ends AS (
-  SELECT {K}, max(week) AS last, {", ".join(f"max(e) FILTER (back = {i}) AS e{i}" for i in (1, 2, 3))},
-         {", ".join(f"max(coalesce({f}, 0)) FILTER (back = 1) AS last_{f}" for f in FLAGS)}
-  FROM noise GROUP BY {K}),
-ahead AS (
-  SELECT *, w1 * f1 + w2 * f2 AS p1, (w1 * f1 + w2 * f2) * f1 + w1 * f2 AS p2 FROM (
-    SELECT *, CASE WHEN d = 1 THEN e1 - e2 ELSE e1 END AS w1, CASE WHEN d = 1 THEN e2 - e3 ELSE e2 END AS w2 FROM chosen JOIN ends USING ({K}))),
+sample_train AS (SELECT * FROM sample QUALIFY week <= date_trunc('week', max(week) OVER (PARTITION BY {K}) - INTERVAL 1 MONTH))"""
+VALIDATED = VALIDATED_SAMPLE + "," + interpolated("sample_train", "ready", straight=True) + "," + regressions("ready", REGRESSIONS, FLAGS + LAGGED + FOURIER, "reg")
+
+def _trained(source: str, models: dict, design: tuple[str, ...]) -> str:
+    """ready and chosen: the first of the models that fits every series of `source`, and what forecasts start from."""
+    return interpolated(source, "ready", straight=True) + "," + regressions("ready", models, design, "reg") + f""",
+chosen AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY model) = 1),""" + seasonal.regression_states("ready", "chosen")
+
+
+# The regression with promotions where it fits, else the plain one.
+TRAINING = {"1": (FLAGS + LAGGED, None), "2": ((), None)}
+TRAINED = FILLED + "," + _trained("filled", TRAINING, FLAGS + LAGGED)
+SCENARIO_PATHS = f""",
 cases AS (SELECT * FROM (VALUES (0, 0, 0, 1), (1, 0, 0, 2), (0, 1, 0, 3), (0, 0, 1, 4), (1, 1, 0, 5)) AS t(feature, display, tpr_only, fc_ind)),
-paths AS (
-  SELECT {K}, 'arima' AS model, fc_ind, CAST(last + 7 * h AS DATE) AS week, feature, display, tpr_only, const + ({_EFFECT})
-         + CASE WHEN d = 1 THEN e1 ELSE 0 END + CASE WHEN h = 1 THEN p1 WHEN d = 1 THEN p1 + p2 ELSE p2 END AS mu,
-         sqrt(sigma2 * (1 + CASE WHEN h = 1 THEN 0 WHEN d = 1 THEN pow(1 + f1, 2) ELSE f1 * f1 END)) AS sigma
-  FROM (SELECT *, {", ".join(f"CASE WHEN h = 1 THEN last_{f} ELSE {f} END AS lag_{f}" for f in FLAGS)}
-        FROM ahead CROSS JOIN cases CROSS JOIN (VALUES (1), (2)) AS t(h)))"""
+rows_ AS (SELECT {K}, CAST(last + 7 * h AS DATE) AS week, h, feature, display, tpr_only, fc_ind,
+                 {", ".join(f"CASE WHEN h = 1 THEN last_{f} ELSE {f} END AS lag_{f}" for f in FLAGS)}
+          FROM ends CROSS JOIN cases CROSS JOIN (VALUES (1), (2)) AS t(h)),
+paths AS ({seasonal.regression_points("rows_", "arima")})"""
 
 _LEVEL_GAINS = [round(0.05 + 0.1 * i, 2) for i in range(10)]
 _FORMS = [(a, 0.0, 0.0, 3) for a in _LEVEL_GAINS]
@@ -531,6 +522,63 @@ FROM opening s LEFT JOIN fine USING ({K})"""
     )
 
 
+_GRID = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({g!r} AS DOUBLE), CAST({f!r} AS DOUBLE), {k}.0)" for i, (a, g, f, k) in enumerate(_FORMS))
+
+
+def _smoothing(source: str) -> str:
+    """smoothed (and parts, ordered, opening, fine): the seasonal model of every series of `source` (week, z)."""
+    return (
+        seasonal.decomposed(source) + "," + seasonal.rest() + f""",
+grid AS (SELECT {K}, v.* FROM opening CROSS JOIN (VALUES {_GRID}) AS v(i, a, g, f, k)),"""
+        + _form_fold("coarse", "grid")
+        + f""",
+close AS (SELECT {K}, s AS i, greatest(least(round(a + (s - 5) * 0.01, 4), 0.995), 0.005) AS a, g AS g0, f, k
+          FROM coarse CROSS JOIN range(0, 11) AS t(s)),
+near AS (SELECT {K}, i, a, least(g0, a) AS g, f, k FROM close),"""
+        + _form_fold("fine", "near") + "," + seasonal.smoothed_states()
+    )
+
+
+def _points(rows: str, model: str) -> str:
+    """Forecast rows of both models with their bands; rows has the keys, week, h and flags."""
+    return f"""
+points AS ({seasonal.regression_points(rows, model)} UNION ALL BY NAME {seasonal.smoothing_points(rows)}),
+forecasts AS (SELECT {K}, model, week, {_bands('mu', 'sigma')} FROM points)"""
+
+
+HELD_OUT = NUMBERED + f""",
+train_rows AS (SELECT * FROM numbered WHERE back > 4 AND size > 4),
+test_rows AS (SELECT {K}, week, feature, display, tpr_only, 5 - back AS h FROM numbered WHERE back <= 4 AND size > 4),""" + _trained(
+    "train_rows", TRAINING, FLAGS + LAGGED
+) + "," + _smoothing("ready") + "," + _points("test_rows", "arima")
+
+FINAL_RMSE = VALIDATED_SAMPLE + "," + _trained("sample_train", {"arima_lagged": (FLAGS + LAGGED, None)}, FLAGS + LAGGED) + "," + _smoothing(
+    "ready"
+) + f""",
+val_rows AS (
+  SELECT {K}, s.week, feature, display, tpr_only, datediff('day', last, s.week) // 7 AS h
+  FROM sample s JOIN (SELECT {K}, max(week) AS last FROM sample_train GROUP BY {K}) l USING ({K}) WHERE s.week > last),""" + _points(
+    "val_rows", "arima_lagged"
+) + f""",
+errors AS (SELECT {K}, model, sqrt(avg(pow(units - p_units, 2))) AS rmse FROM forecasts JOIN sample USING ({K}, week) GROUP BY {K}, model),
+finals AS (SELECT {K}, max(rmse) FILTER (model = 'arima_lagged') AS arima_lagged, max(rmse) FILTER (model = 'stl') AS stl FROM errors GROUP BY {K})"""
+
+_RESIDUALS = f"""
+moved AS (SELECT *, CASE WHEN d = 1 THEN e - lag(e) OVER w ELSE e END AS m FROM noise WINDOW w AS (PARTITION BY {K} ORDER BY week)),
+innovations AS (
+  SELECT {K}, 'arima' AS model, week, units, z,
+         CASE WHEN units IS NOT NULL AND t >= 4 THEN m - f1 * lag(m, 1) OVER w - f2 * lag(m, 2) OVER w END AS innov
+  FROM moved WINDOW w AS (PARTITION BY {K} ORDER BY week)
+  UNION ALL
+  SELECT p.store_id, p.upc_id, 'stl', p.week, r.units, p.z, p.z - (e.ahead + p.s)
+  FROM parts p JOIN expected e ON e.store_id = p.store_id AND e.upc_id = p.upc_id AND e.i = p.i + 1
+  JOIN chosen c ON c.store_id = p.store_id AND c.upc_id = p.upc_id
+  JOIN ready r ON r.store_id = p.store_id AND r.upc_id = p.upc_id AND r.week = p.week)
+SELECT {K}, model, week, units, round(CASE WHEN innov IS NOT NULL THEN pow(greatest(z - innov, 0), 2) END, 4) AS fitted,
+       round(units - CASE WHEN innov IS NOT NULL THEN pow(greatest(z - innov, 0), 2) END, 4) AS resid, round(innov, 4) AS innov
+FROM innovations"""
+
+
 ORACLE: dict[str, str] = {
     "rename_keys": _q(
         RAW, f"SELECT CAST(week_end_date AS DATE) AS week_end_date, {K}, units, feature FROM raw"
@@ -574,12 +622,46 @@ ORACLE: dict[str, str] = {
     "fit_dynamic_regression": _fits({m: REGRESSIONS[m] for m in ("arima_base", "arima_lagged")}, FLAGS + LAGGED, True),
     "fit_seasonal_regression": _fits({m: REGRESSIONS[m] for m in ("arima_seasonal", "arima_seasonal_lagged")}, FLAGS + LAGGED + FOURIER),
     "smoothing_forms": _forms(),
+    "fit_stl_ets": "WITH RECURSIVE "
+    + CARRIED
+    + ", ready AS (SELECT *, sqrt(units) AS z FROM carried),"
+    + _smoothing("ready")
+    + f""" SELECT o.store_id, o.upc_id, 'stl' AS model, CASE WHEN m.f IS NULL THEN 'not fitted' ELSE 'ok' END AS status,
+  CASE WHEN m.f IS NOT NULL THEN CAST(o.n AS INTEGER) END AS n_obs, round(a, 4) AS alpha, round(g, 4) AS slope_gain, f AS damping,
+  {_r("level, sigma2").replace("round(level", "round(m.level")} FROM opening o LEFT JOIN smoothed m USING ({K})""",
+    "train_models": "WITH RECURSIVE "
+    + TRAINED
+    + ","
+    + _smoothing("ready")
+    + f""" SELECT s.store_id, s.upc_id, 'arima' AS model, CASE WHEN p IS NULL THEN 'not fitted' ELSE 'ok' END AS status,
+  CASE WHEN p IS NOT NULL THEN CAST(n AS INTEGER) END AS n_obs, p, d, CASE WHEN p IS NOT NULL THEN 0 END AS q, {_r("sigma2, aicc")}
+  FROM (SELECT {K}, count(units) AS n FROM filled GROUP BY {K}) s LEFT JOIN chosen USING ({K})
+  UNION ALL SELECT c.store_id, c.upc_id, 'stl', CASE WHEN m.f IS NULL THEN 'not fitted' ELSE 'ok' END, CAST(m.n AS INTEGER), NULL, NULL, NULL,
+  round(m.sigma2, 4), round(m.aicc, 4) FROM chosen c LEFT JOIN smoothed m USING ({K})""",
+    "residuals": "WITH RECURSIVE " + TRAINED + "," + _smoothing("ready") + "," + seasonal.one_ahead() + "," + _RESIDUALS,
+    "forecast_holdout": "WITH RECURSIVE " + HELD_OUT + f" SELECT {K}, model, week, {_r(BANDS)} FROM forecasts",
+    "forecast_stl": "WITH RECURSIVE "
+    + TRAINED
+    + ","
+    + _smoothing("ready")
+    + f""",
+next_ AS (SELECT {K}, CAST(m.last + 7 * h AS DATE) AS week, h FROM smoothed m JOIN chosen USING ({K}) CROSS JOIN (VALUES (1), (2)) AS t(h)),
+points AS ({seasonal.smoothing_points("next_")})
+SELECT {K}, model, week, {_r(BANDS)} FROM (SELECT {K}, model, week, {_bands('mu', 'sigma')} FROM points)""",
+    "validation_rmse": "WITH RECURSIVE " + FINAL_RMSE + f" SELECT {K}, {_r('arima_lagged, stl')} FROM finals",
+    "validation_leaderboard": "WITH RECURSIVE "
+    + FINAL_RMSE
+    + ","
+    + _best("finals", ("arima_lagged", "stl"), "mean_rmse")
+    + """ SELECT best_model, round(median(mean_rmse), 4) AS median_rmse, count(*) AS n_best_model
+  FROM best GROUP BY best_model ORDER BY n_best_model DESC""",
     "validation_aicc": "WITH RECURSIVE "
     + VALIDATED
     + f" SELECT {K}, {', '.join(f'round(max(aicc) FILTER (model = {m!r}), 4) AS {m}' for m in REGRESSIONS)}"
     f" FROM (SELECT DISTINCT {K} FROM sample_train) LEFT JOIN reg USING ({K}) GROUP BY {K}",
     "forecast_scenarios": "WITH RECURSIVE "
     + TRAINED
+    + SCENARIO_PATHS
     + f" SELECT {K}, model, fc_ind, week, feature, display, tpr_only, {_r(BANDS)}"
     f" FROM (SELECT {K}, model, fc_ind, week, feature, display, tpr_only, {_bands('mu', 'sigma')} FROM paths)",
     "locf_impute": _q(CARRIED, f"SELECT {COLUMNS} FROM carried"),

@@ -650,17 +650,19 @@ def q_fit_seasonal_regression(spark, sf):
 def q_fit_stl_ets(spark, sf):
     complete = impute.carry_forward(filled(spark, sf))
     models = {"stl": fit.VALIDATION_MODELS["stl"]}
-    return fit.fit_models(complete, models, ()).select(
-        *KEYS, "model", "status", "n_obs", "alpha", "slope_gain", "damping", "level", "sigma2"
+    return rounded(
+        fit.fit_models(complete, models, ()).select(
+            *KEYS, "model", "status", "n_obs", "alpha", "slope_gain", "damping", "level", "sigma2"
+        )
     )
 
 
 def q_train_models(spark, sf):
-    return fit.train_models(filled(spark, sf)).select(*FIT_SUMMARY)
+    return rounded(fit.train_models(filled(spark, sf)).select(*FIT_SUMMARY))
 
 
 def q_residuals(spark, sf):
-    return fit.residuals(fit.train_models(filled(spark, sf)))
+    return rounded(fit.residuals(fit.train_models(filled(spark, sf))))
 
 
 def q_impute_model(spark, sf):
@@ -669,7 +671,7 @@ def q_impute_model(spark, sf):
 
 def q_forecast_holdout(spark, sf):
     train, test = panel.holdout_split(filled(spark, sf))
-    return training.holdout_forecast(fit.train_models(train), test)
+    return rounded(training.holdout_forecast(fit.train_models(train), test))
 
 
 def q_forecast_scenarios(spark, sf):
@@ -679,7 +681,7 @@ def q_forecast_scenarios(spark, sf):
 
 def q_forecast_stl(spark, sf):
     fits = fit.train_models(filled(spark, sf)).where(F.col("model") == "stl")
-    return forecast.forecast_next(fits).drop(*FLAGS)
+    return rounded(forecast.forecast_next(fits).drop(*FLAGS))
 
 
 def _sample(spark, sf):
@@ -698,14 +700,14 @@ def q_validation_aicc(spark, sf):
 def q_validation_rmse(spark, sf):
     train, val = _sample(spark, sf)
     finalists = {m: fit.VALIDATION_MODELS[m] for m in validation.FINALISTS}
-    return validation.rmse_table(fit.fit_models(train, finalists), val)
+    return rounded(validation.rmse_table(fit.fit_models(train, finalists), val))
 
 
 def q_validation_leaderboard(spark, sf):
     train, val = _sample(spark, sf)
     finalists = {m: fit.VALIDATION_MODELS[m] for m in validation.FINALISTS}
     wide = cut(validation.rmse_table(fit.fit_models(train, finalists), val))
-    return score.rmse_leaderboard(wide, validation.FINALISTS)
+    return rounded(score.rmse_leaderboard(wide, validation.FINALISTS))
 
 
 QUERIES: dict[str, Query] = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import planted
 from panelcast.functions import decompose, moments
-from panelcast.operators import fit, forecast, gaps, impute, panel, regress, score, smooth
+from panelcast.operators import fit, forecast, gaps, impute, increment, panel, regress, score, smooth
 from panelcast.spec import FLAGS
 
 KEYS = ["store_id", "upc_id"]
@@ -350,3 +350,29 @@ def test_residuals_match_units(promo, promo_fits):
     assert res.where("abs(units - fitted - resid) > 1e-9").count() == 0
     joined = res.where("model = 'stl'").join(promo.select("week", *KEYS, F.col("units").alias("u")), ["week", *KEYS])
     assert joined.where("units <> u").count() == 0 and joined.count() == 60 * 156
+
+
+def test_states_that_take_new_weeks_equal_full_fits(spark):
+    """Gaps on both sides of the seam, a series that starts later, and two additions one after the other."""
+    table = planted.punch_gaps(planted.ar1_promo(8, n=90, lag_effect=-0.4), 0.15)
+    late = table[table.upc_id == "U003"].assign(upc_id="late")
+    df = load(spark, pd.concat([table, late[late.week >= planted.weeks(60)[59]]]))
+    models = {"arima": fit.ModelSpec(uses=fit.PROMOTION)}
+    whole = fit.fit_models(panel.fill_gaps(df), models, fit.PROMOTION).toPandas().set_index("upc_id")
+    turns = [F.lit(planted.weeks(90)[i]) for i in (40, 70)]
+    parts = [df.where(F.col("week") < turns[0]), df.where((F.col("week") >= turns[0]) & (F.col("week") < turns[1])), df.where(F.col("week") >= turns[1])]
+    state = increment.fit_state(panel.fill_gaps(parts[0]))
+    for part in parts[1:]:
+        state = increment.extend_state(state, part)
+    fits = increment.fits_of_state(state, models)
+    got = fits.toPandas().set_index("upc_id")
+    assert set(got.index) == set(whole.index) and len(got) == 9
+    for upc in whole.index:
+        a, b = whole.loc[upc], got.loc[upc]
+        assert (a.status, a.p, a.d, a.n_obs) == ("ok", b.p, b.d, b.n_obs)
+        assert [a.const, a.sigma2, a.aicc, a.level, *a.beta, *a.phi, *a.n_tail, *a.x_last] == pytest.approx([b.const, b.sigma2, b.aicc, b.level, *b.beta, *b.phi, *b.n_tail, *b.x_last])
+    ahead = [forecast.forecast_scenarios(f.where("status = 'ok'")) for f in (fits, fit.fit_models(panel.fill_gaps(df), models, fit.PROMOTION))]
+    a, b = (sorted(map(tuple, x.select("upc_id", "fc_ind", "week", F.round("p_units", 6)).collect())) for x in ahead)
+    assert a == b and len(a) == 9 * 10
+    with pytest.raises(Exception, match="not later"):
+        increment.extend_state(state, parts[1]).collect()

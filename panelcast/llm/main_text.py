@@ -35,10 +35,12 @@ SAMPLE, DRESSINGS, TOGETHER = 96, 7, 64
 OPEN_COST = 0.5
 #: What scripts, styles and text fields hold is never text, to the end of the page if need be. Of the embedded
 #: elements only what is closed goes; unclosed ones are elements as others, self-closed ones are empty.
+#: No part of a tag is tried twice: an unquoted `<` ends what can be its attributes, and the rest is read possessively.
+_ATTRIBUTES = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(template|noscript|svg|iframe|object|select|canvas|audio|video)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>(?:(?!<\2[\s/>]).)*?</\2\s*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
+    rf"|<(template|noscript|svg|iframe|object|select|canvas|audio|video)(?=[\s/>]){_ATTRIBUTES}(?<!/)>(?:(?!<\2[\s/>]).)*?</\2\s*>"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRIBUTES})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _EMBEDDED = frozenset("template noscript svg iframe object select canvas audio video math".split())

@@ -1,6 +1,7 @@
 """Trained operators, URL filters and the pipeline on small tables."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -348,3 +349,23 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+HARD = ["<" + "a" * 64, "<a", "<a '", "<a '>'", '<a ">"', "<svg '>'", "<svg>x", "<svg><audio>", "<!--", "<script", "</", "<a x=1 ", "<p>x ", "<ul><li>x", "<div>", "&amp"]
+
+
+@pytest.mark.parametrize("part", HARD)
+def test_pages_of_a_megabyte_take_linear_time(part):
+    html = part * ((1 << 20) // len(part))
+    for page in (html, "<a " + html, html[:-1] + '"'):
+        start = time.perf_counter()
+        main_text.read_page(page)
+        assert time.perf_counter() - start < 10  # quadratic ones take hours
+    start = time.perf_counter()
+    main_text.read_page("<" + "a" * (1 << 20))
+    assert time.perf_counter() - start < 1
+
+
+def test_attributes_keep_their_elements():
+    page = main_text.read_page("<div title='a > b \"c\" < d'><p data-x=\"1>0\">Text</p></div><br/>more")
+    assert page.texts == ["Text", "more"] and len(page.parent) == 3  # the root, div and p

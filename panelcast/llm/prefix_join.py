@@ -10,10 +10,12 @@ of PERCENT or more. The steps:
 3. Documents with the same size and the same shared part of the prefix are one group. Members are verified
    against the group's least document.
 4. Groups meet over the shingles of their prefixes. In rounds, each document is verified against one
-   likely partner of another component, chosen by the number of prefix shingles in common.
-5. What is left is exact: every pair of documents that have a prefix shingle in common, pass the filters by
-   size and by place and are still in different components is verified. Documents that are already linked
-   by others are never paired, so a group of copies isn't expanded into its pairs.
+   likely partner of another component, chosen by the number of prefix shingles in common, as long as that
+   links a fair share of those that asked.
+5. What is left is exact: every pair of groups that have a prefix shingle in common, pass the filters by
+   size and by place and have members in different components is expanded into its members, and these are
+   verified. Documents that are already linked by others are never paired, so a group of copies isn't
+   expanded into its pairs.
 
 Null texts and texts without words have empty sets and link with nothing. Rows with a null doc_id keep a
 null component. Rows that share a doc_id are one document: if their texts differ, each counts its own
@@ -35,17 +37,17 @@ from panelcast.llm.components import components
 from panelcast.llm.stage import keep
 
 SHINGLE, PERCENT = 5, 75
-#: Rounds of step 4 before step 5.
-ROUNDS = 1
-#: Shingles that a task gathers before it sends them.
-SEND = 1 << 20
+#: Step 4 goes on while one in so many documents that asked finds a link.
+ROUNDS_SHARE = 10
+#: Shingles that a task gathers before it sends them, and bytes of text that it works on at once.
+SEND, BLOCK = 1 << 19, 1 << 19
 #: Bytes of a shingle's hash that are sent.
 SENT_BYTES = 7
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every text."""
-    for row, part in W.blocks(texts):
+    for row, part in W.blocks(texts, BLOCK):
         w = W.words_of(part, lower=True)
         g = W.grams(w.hashes, SHINGLE)
         for d in range(len(part)):
@@ -215,10 +217,10 @@ def _place_fits(x: str, y: str) -> Column:
     return (100 + PERCENT) * left >= PERCENT * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def _labelled(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = components(links)
-    named = postings.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return found, named.withColumn("component", F.coalesce("component", "doc_id"))
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the component of their doc_id; a document without links is one by itself."""
+    found = components(links).select(F.col("node").alias("doc_id"), "component")
+    return rows.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
 def _mixed(postings: DataFrame) -> DataFrame:
@@ -229,6 +231,28 @@ def _mixed(postings: DataFrame) -> DataFrame:
     return postings.join(main, "token")
 
 
+def _apart(sets: DataFrame, grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (u, v) of documents in different components whose groups pass all filters.
+
+    Members of a group that are in one component are a unit: they have one size and one prefix, so units are
+    joined and filtered, and only the pairs of units that pass are expanded into pairs of members.
+    """
+    named = keep(_labelled(grouped, links))
+    units = named.groupBy("g", "component").agg(F.min("doc_id").alias("unit"))
+    members = named.join(units, ["g", "component"])
+    alone = members.join(sets.select("doc_id", "alone"), "doc_id").groupBy("unit", "component").agg(F.min("alone").alias("alone"))
+    heads = alone.join(sets.select(F.col("doc_id").alias("unit"), "n", "prefix"), "unit")
+    places = heads.select(F.col("unit").alias("doc_id"), "component", "n", "alone", F.posexplode("prefix").alias("i", "token"))
+    mixed = keep(_mixed(places.select("token", "doc_id", "component", "n", (F.col("alone") + F.col("i")).alias("place"))))
+    x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
+    apart = F.col("x.component") != F.col("y.component")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & once & _size_fits(F.col("x.n"), F.col("y.n")) & _place_fits("x", "y"))
+    pairs = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    left, right = (members.select(F.col("unit").alias(k), F.col("doc_id").alias(v)) for k, v in (("a", "u"), ("b", "v")))
+    return pairs.join(left, "a").join(right, "b").select("u", "v")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -244,22 +268,17 @@ def linked(docs: DataFrame) -> DataFrame:
 
     places = sets.select("doc_id", "n", "alone", F.posexplode("prefix").alias("i", "token"))
     postings = places.select("token", "doc_id", "n", (F.col("alone") + F.col("i")).alias("place"))
-    for _ in range(ROUNDS):
-        _, named = _labelled(postings, links)
-        mixed = _mixed(named).where("component <> main").select(F.col("doc_id").alias("u"), F.col("least").alias("v"), "n")
-        size = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"))
+    size = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"))
+    asked, answered = 1, 1
+    while asked and answered * ROUNDS_SHARE >= asked:
+        mixed = _mixed(_labelled(postings, links)).where("component <> main").select(F.col("doc_id").alias("u"), F.col("least").alias("v"), "n")
         votes = mixed.groupBy("u", "v", "n").count().join(size, "v").where(_size_fits(F.col("n"), F.col("n_v")))
-        chosen = votes.groupBy("u").agg(F.max(F.struct("count", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
-        links = keep(links.union(_verified(chosen, sets)))
+        chosen = keep(votes.groupBy("u").agg(F.max(F.struct("count", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
+        more = keep(_verified(chosen, sets))
+        asked, answered = chosen.count(), more.count()
+        links = links.union(more)
 
-    _, named = _labelled(postings, links)
-    mixed = keep(_mixed(named))
-    x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
-    apart = F.col("x.component") != F.col("y.component")
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & once & _size_fits(F.col("x.n"), F.col("y.n")) & _place_fits("x", "y"))
-    pairs = rest.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct()
-    links = links.union(_verified(pairs, sets))
+    links = links.union(_verified(_apart(sets, grouped, links), sets))
 
     found = components(links).select(F.col("node").alias("rep"), "component")
     reps = classes.select("digest", F.col("doc_id").alias("rep")).join(found, "rep", "left")

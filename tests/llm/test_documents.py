@@ -184,3 +184,26 @@ def test_native_plans_have_no_python(docs):
     for df in (host_rules.judge(docs), winnowing.decontaminate(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(3))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_near_copies_are_not_paired_with_each_other(spark, monkeypatch):
+    """500 near copies of one text and 60 texts that share half of it: few candidates are left to the last join."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{k}" for k in rng.integers(0, 5000, n)]
+    base, rows = word(200), []
+    for i in range(500):
+        own = list(base)
+        own[rng.integers(0, 200)] = f"x{i}"
+        rows.append((i, " ".join(own), "a"))
+    rows += [(1000 + i, " ".join(base[:100] + word(100)), "b") for i in range(60)]
+    found, apart = [], prefix_join._apart
+
+    def counted(*args):
+        pairs = apart(*args)
+        found.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(prefix_join, "_apart", counted)
+    got = {r.doc_id: r.component_id for r in prefix_join.linked(plain.table(spark, rows, 6)).collect()}
+    assert got == plain.linked(rows)
+    assert found[0] < 2 * len(rows)

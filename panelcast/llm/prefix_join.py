@@ -41,6 +41,8 @@ SHINGLE, PERCENT = 5, 75
 ROUNDS_SHARE = 10
 #: Shingles that a task gathers before it sends them, and bytes of text that it works on at once.
 SEND, BLOCK = 1 << 19, 1 << 19
+#: Shingles, each as often as classes have it, that a range of hashes holds on average.
+RANGE = 1 << 20
 #: Bytes of a shingle's hash that are sent.
 SENT_BYTES = 7
 
@@ -69,7 +71,9 @@ def _digests(docs: DataFrame) -> DataFrame:
 def _shared_shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, n, shared (its shingles that others have, sorted) and prefix (the shared ones of its prefix,
     rarest first) of every class representative with a prefix that another document can match."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of hashes follow what is counted, so a task gathers a bounded part whatever the session's setting.
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     width = 8 * SENT_BYTES
 
     def batch_of(kind: np.ndarray, **blobs: list) -> pa.RecordBatch:

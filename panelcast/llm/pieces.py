@@ -6,6 +6,10 @@ by an Aho-Corasick automaton), keeps it if it is compatible with the piece befor
 ones, and steps back when none fits. A bitfield of failed positions keeps a position from being tried
 twice, so the work is linear in the text.
 
+Words recur, so each of the most frequent words of the corpus is encoded once for the whole job: words are
+counted over all texts, the first TABLE of them are encoded by the tasks that share them out, and the table goes
+to every task. What is not in it is encoded where it occurs, and remembered for a while.
+
 A null text counts as empty. Empty texts give only the begin and end ids and decode to ''.
 """
 
@@ -15,7 +19,8 @@ import re
 import sys
 from array import array
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -25,10 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
+from panelcast.llm import words as W
+from panelcast.llm.stage import keep
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a generation of each memo table; forgetting costs time and changes nothing.
-MEMO = 200_000
+MEMO = 100_000
+#: Words that are encoded once for all, and the longest of them in bytes; others are encoded where they occur.
+TABLE, TABLE_BYTES = 1_000_000, 24
+#: Different words that a task counts before it sends them.
+SEND = 1 << 19
 
 
 def read_model(path: str) -> dict:
@@ -104,7 +116,8 @@ class PieceCodec:
         self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes())
         self.parts = self._part_pattern()
         self.by_word = bool(self.parts and model["prefix"] and not any("\n" in p for p in self.ids))
-        self.words = Memo(lambda w: self._encode_parts(w if w[:1] == "\n" else SPACE + w))
+        self.words = Memo(self._encode_word)
+        self.table: Table | None = None
         self.surface = [self._surface(p, k) for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.is_control = np.array([k == CONTROL for k in kinds], bool)
@@ -228,6 +241,13 @@ class PieceCodec:
         parts = self.parts.findall(text) if self.parts else [text] if text else []
         return b"".join(map(self.encoded.__getitem__, parts))
 
+    def _encode_word(self, word: str) -> bytes:
+        """Ids of a word behind a space, or of one that a line end begins."""
+        if word[:1] == "\n":
+            return self._encode_parts(word)
+        found = self.table.get(word) if self.table is not None else None
+        return self._encode_parts(SPACE + word) if found is None else found
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers, with begin and end."""
         text = text or ""
@@ -275,11 +295,91 @@ def _utf8(data: bytes) -> Iterable[str]:
             at += 1
 
 
-def _codec(shared: Broadcast) -> PieceCodec:
+@dataclass
+class Table:
+    """Ids of words: sorted words of at most TABLE_BYTES bytes, and the ids of each, one after another."""
+
+    words: np.ndarray
+    ends: np.ndarray
+    ids: bytes
+
+    @staticmethod
+    def of(words: list[bytes], ids: list[bytes]) -> Table:
+        keys = np.array(words, f"S{TABLE_BYTES}") if words else np.zeros(0, f"S{TABLE_BYTES}")
+        order = np.argsort(keys, kind="stable")
+        ends = np.cumsum([0, *(len(ids[i]) for i in order)])
+        return Table(keys[order], ends, b"".join(ids[i] for i in order))
+
+    def get(self, word: str) -> bytes | None:
+        key = word.encode()
+        if not 0 < len(key) <= TABLE_BYTES or not len(self.words):
+            return None
+        at = int(self.words.searchsorted(key))
+        if at == len(self.words) or self.words[at] != key:
+            return None
+        return self.ids[self.ends[at] : self.ends[at + 1]]
+
+
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[[0x20, 0x0A]] = False
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short words of a task's texts with their counts."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        hashes, at, back = np.unique(np.concatenate([h for h, _, _ in held]), return_index=True, return_inverse=True)
+        counts = np.bincount(back, np.concatenate([c for _, c, _ in held]), len(hashes)).astype("int64")
+        return hashes, counts, pa.concat_arrays([t for _, _, t in held]).take(pa.array(at))
+
+    def rows(_: np.ndarray, counts: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(counts)], ["word", "n"])
+
+    for batch in batches:
+        for _, texts in W.blocks(batch.column(0), SEND):
+            w = W.words_of(texts, word_byte=_WORD_BYTE)
+            short = np.flatnonzero(np.diff(w.start) <= TABLE_BYTES + 1)  # with the space that ends it
+            hashes, at, counts = np.unique(w.hashes[short], return_index=True, return_counts=True)
+            spaced = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.hashes), [None, pa.py_buffer(w.start), pa.py_buffer(w.data)])
+            held.append((hashes, counts, spaced.take(pa.array(short[at]))))
+            if sum(len(h) for h, _, _ in held) > 2 * SEND:
+                held = [merged()]
+                if len(held[0][0]) > SEND:
+                    yield rows(*held.pop())
+    if held:
+        yield rows(*merged())
+
+
+def frequent_words(docs: DataFrame, text: str = "text", most: int = TABLE) -> DataFrame:
+    """The `most` most frequent words of at most TABLE_BYTES bytes that occur more than once; words lie between
+    spaces and line ends."""
+    counts = docs.select(text).mapInArrow(_counted, "word binary, n long")
+    word = F.rtrim(F.col("word").cast("string")).alias("word")  # they come with the space that ends them
+    summed = counts.groupBy(word).agg(F.sum("n").alias("n")).where((F.col("n") > 1) & ~F.contains("word", F.lit("\0")))
+    return summed.orderBy(F.desc("n"), "word").limit(most).select("word")
+
+
+def word_table(docs: DataFrame, model: Broadcast, text: str = "text") -> Table:
+    """The table of the most frequent words, encoded by tasks; at most TABLE short rows come to the driver."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codec = _codec(model)
+            ids = [codec._encode_parts(SPACE + w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
+
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    found = keep(frequent_words(docs, text)).repartition(parts).mapInArrow(encode, "word binary, ids binary").toArrow()
+    return Table.of(found["word"].to_pylist(), found["ids"].to_pylist())
+
+
+def _codec(shared: Broadcast, table: Broadcast | None = None) -> PieceCodec:
     """One codec for each Python worker: it stays with the broadcast value, and so do its memos from task to task."""
     model = shared.value
     if "codec" not in model:
         model["codec"] = PieceCodec(model)
+    model["codec"].table = None if table is None else table.value
     return model["codec"]
 
 
@@ -288,12 +388,13 @@ def _shared(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_model(path))
 
 
-def encode_column(spark: SparkSession, text: Column, path: str) -> Column:
+def encode_column(spark: SparkSession, text: Column, path: str, table: Table | None = None) -> Column:
     """array<int> of ids of a text column, with begin and end ids."""
     model = _shared(spark, path)
+    known = None if table is None else spark.sparkContext.broadcast(table)
 
     def encode(texts: pa.Array) -> pa.Array:
-        codec = _codec(model)
+        codec = _codec(model, known)
         ids = [codec.encode(t.as_py()) for t in texts]
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -315,7 +416,10 @@ def decode_column(spark: SparkSession, ids: Column, path: str) -> Column:
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids` (array<int>) and `decoded` (string); columns of these names are replaced."""
     spark = docs.sparkSession
-    with_ids = docs.withColumn("ids", encode_column(spark, F.col("text"), path))
+    shared = _shared(spark, path)
+    # Where words can't be told by spaces alone, there is no table to fill.
+    table = word_table(docs, shared) if PieceCodec(shared.value).by_word else None
+    with_ids = docs.withColumn("ids", encode_column(spark, F.col("text"), path, table))
     return with_ids.withColumn("decoded", decode_column(spark, F.col("ids"), path))
 
 

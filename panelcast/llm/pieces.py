@@ -36,9 +36,9 @@ from panelcast.llm.stage import keep
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a generation of each memo table; forgetting costs time and changes nothing.
-MEMO = 100_000
+MEMO = 50_000
 #: Words that are encoded once for all, and the longest of them in bytes; others are encoded where they occur.
-TABLE, TABLE_BYTES = 1_000_000, 24
+TABLE, TABLE_BYTES = 500_000, 24
 #: Different words that a task counts before it sends them.
 SEND = 1 << 19
 
@@ -116,8 +116,7 @@ class PieceCodec:
         self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes())
         self.parts = self._part_pattern()
         self.by_word = bool(self.parts and model["prefix"] and not any("\n" in p for p in self.ids))
-        self.words = Memo(self._encode_word)
-        self.table: Table | None = None
+        self.words = Memo(lambda w: self._encode_parts(w if w[:1] == "\n" else SPACE + w))
         self.surface = [self._surface(p, k) for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.is_control = np.array([k == CONTROL for k in kinds], bool)
@@ -241,13 +240,6 @@ class PieceCodec:
         parts = self.parts.findall(text) if self.parts else [text] if text else []
         return b"".join(map(self.encoded.__getitem__, parts))
 
-    def _encode_word(self, word: str) -> bytes:
-        """Ids of a word behind a space, or of one that a line end begins."""
-        if word[:1] == "\n":
-            return self._encode_parts(word)
-        found = self.table.get(word) if self.table is not None else None
-        return self._encode_parts(SPACE + word) if found is None else found
-
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers, with begin and end."""
         text = text or ""
@@ -297,29 +289,90 @@ def _utf8(data: bytes) -> Iterable[str]:
 
 @dataclass
 class Table:
-    """Ids of words: sorted words of at most TABLE_BYTES bytes, and the ids of each, one after another."""
+    """Ids of words behind a space: sorted hashes of the words, where the ids of each begin and end, and the ids."""
 
-    words: np.ndarray
+    hashes: np.ndarray
     ends: np.ndarray
-    ids: bytes
+    ids: np.ndarray
 
     @staticmethod
     def of(words: list[bytes], ids: list[bytes]) -> Table:
-        keys = np.array(words, f"S{TABLE_BYTES}") if words else np.zeros(0, f"S{TABLE_BYTES}")
-        order = np.argsort(keys, kind="stable")
-        ends = np.cumsum([0, *(len(ids[i]) for i in order)])
-        return Table(keys[order], ends, b"".join(ids[i] for i in order))
-
-    def get(self, word: str) -> bytes | None:
-        key = word.encode()
-        if not 0 < len(key) <= TABLE_BYTES or not len(self.words):
-            return None
-        at = int(self.words.searchsorted(key))
-        if at == len(self.words) or self.words[at] != key:
-            return None
-        return self.ids[self.ends[at] : self.ends[at + 1]]
+        hashes = W.words_of(pa.array(words, pa.large_binary()), word_byte=_WORD_BYTE).hashes
+        order = np.argsort(hashes)
+        ends = np.cumsum([0, *(len(ids[i]) // 4 for i in order)])
+        return Table(hashes[order], ends, np.frombuffer(b"".join(ids[i] for i in order), "<u4"))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 if it isn't here."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+
+def encode_block(codec: PieceCodec, table: Table, texts: pa.Array) -> list[bytes]:
+    """Ids of a block of texts (large_binary), those of all words in the table taken from it at once.
+
+    What stands in a text, in order: words behind a space (the first word counts as one), words behind a line
+    end, line ends, and spaces with no word behind them. Texts that words don't part are encoded one by one.
+    """
+    w = W.words_of(texts, word_byte=_WORD_BYTE)
+    raw, ends, n = w.raw, w.ends, len(w.raw)
+    begins = ends[:-1][np.diff(ends) > 0]
+    before = np.full(n, 32, "uint8")  # a text begins behind a space that isn't written
+    before[1:] = raw[:-1]
+    before[begins] = 32
+    after = np.full(n, 10, "uint8")  # as before a line end, nothing follows a space at the end
+    after[:-1] = raw[1:]
+    after[ends[1:][np.diff(ends) > 0] - 1] = 10
+    spaced = before[w.begin] == 32
+    words, lined = np.flatnonzero(spaced), np.flatnonzero(~spaced)
+    lines, bare = np.flatnonzero(raw == 10), np.flatnonzero((raw == 32) & (after == 10))
+    first = begins[raw[begins] == 10]
+    # Ids that aren't in the table follow it: of a line end, of a bare space, of other words.
+    known, size = table.find(w.hashes[words]), len(table.hashes)
+    own: list[bytes] = [codec._encode_parts("\n"), codec._encode_parts(SPACE)]
+    for some, places in ((words[known < 0], known), (lined, None)):
+        _, at, back = np.unique(w.hashes[some], return_index=True, return_inverse=True)
+        texts_of = [w.body(k, k + 1).decode() for k in some[at].tolist()]
+        refs = size + len(own) + back
+        own += [codec.words[x] for x in texts_of] if places is not None else [codec._encode_parts(x) for x in texts_of]
+        if places is not None:
+            known[known < 0] = refs
+        else:
+            behind_line = refs
+    key = np.concatenate([2 * w.begin[words] + 1, 2 * w.begin[lined] + 1, 2 * lines + 1, 2 * bare + 1, 2 * first])
+    ref = np.concatenate([known, behind_line, np.full(len(lines), size), np.full(len(bare) + len(first), size + 1)])
+    order = np.argsort(key, kind="stable")
+    key, ref = key[order], ref[order]
+    own_ends = np.cumsum([0, *(len(x) // 4 for x in own)])
+    own_ids = np.frombuffer(b"".join(own), "<u4")
+    length = np.empty(len(ref), "int64")
+    out_of = {}
+    for name, some, base, stops in (("table", ref < size, 0, table.ends), ("own", ref >= size, size, own_ends)):
+        r = ref[some] - base
+        length[some] = stops[r + 1] - stops[r]
+        out_of[name] = (some, stops[r])
+    stop = np.cumsum(length)
+    out = np.empty(int(stop[-1]) if len(stop) else 0, "<u4")
+    for name, ids in (("table", table.ids), ("own", own_ids)):
+        some, source = out_of[name]
+        size_of = length[some]
+        inside = np.arange(int(size_of.sum())) - np.repeat(np.cumsum(size_of) - size_of, size_of)
+        out[np.repeat((stop - length)[some], size_of) + inside] = ids[np.repeat(source, size_of) + inside]
+    cuts = np.r_[0, stop][np.searchsorted(key, 2 * ends)]
+    bos, eos = (np.array([codec.model[k]], "<u4").tobytes() for k in ("bos", "eos"))
+    done = []
+    for d, text in enumerate(texts):
+        data = text.as_buffer().to_pybytes()
+        if data and (data[0] == 32 or b"  " in data or _MARK in data):
+            done.append(codec.encode(data.decode()))
+        else:
+            done.append(bos + out[cuts[d] : cuts[d + 1]].tobytes() + eos)
+    return done
 
 
+_MARK = SPACE.encode()
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[0x20, 0x0A]] = False
 
@@ -374,12 +427,11 @@ def word_table(docs: DataFrame, model: Broadcast, text: str = "text") -> Table:
     return Table.of(found["word"].to_pylist(), found["ids"].to_pylist())
 
 
-def _codec(shared: Broadcast, table: Broadcast | None = None) -> PieceCodec:
+def _codec(shared: Broadcast) -> PieceCodec:
     """One codec for each Python worker: it stays with the broadcast value, and so do its memos from task to task."""
     model = shared.value
     if "codec" not in model:
         model["codec"] = PieceCodec(model)
-    model["codec"].table = None if table is None else table.value
     return model["codec"]
 
 
@@ -394,8 +446,11 @@ def encode_column(spark: SparkSession, text: Column, path: str, table: Table | N
     known = None if table is None else spark.sparkContext.broadcast(table)
 
     def encode(texts: pa.Array) -> pa.Array:
-        codec = _codec(model, known)
-        ids = [codec.encode(t.as_py()) for t in texts]
+        codec = _codec(model)
+        if known is None:
+            ids = [codec.encode(t.as_py()) for t in texts]
+        else:
+            ids = [x for _, part in W.blocks(texts, SEND) for x in encode_block(codec, known.value, part)]
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 

@@ -2,11 +2,13 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from panelcast.llm import fm_index, host_rules, pieces, prefix_join, suffix_array, winnowing
+from panelcast.llm import words as W
 from tests.llm import plain
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,6 +55,13 @@ def test_pieces_on_hard_texts():
         own = np.frombuffer(codec.encode(t), "<u4")
         assert own.tolist() == ids
         assert codec.decode(own) == lib.decode(ids)
+    # By a table that holds some of the words, in blocks of many texts.
+    some = sorted({w for t in texts for w in t.replace("\n", " ").split(" ") if w and hash(w) % 3})
+    table = pieces.Table.of([w.encode() for w in some], [codec._encode_parts(pieces.SPACE + w) for w in some])
+    lines = ["\na", "a\n\nb", "a\n b", "a \nb", "a\n", "\n\n", "a b  c", "é 日本\n日本 ▁", "a\tb c"]
+    block = pa.array(texts + lines, pa.large_string()).cast(pa.large_binary())
+    got = [x for _, part in W.blocks(block, 1 << 12) for x in pieces.encode_block(codec, table, part)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t, add_bos=True, add_eos=True) for t in texts + lines]
     for _ in range(300):
         ids = rng.integers(0, 32000, 40)
         assert codec.decode(ids) == lib.decode(ids.tolist())

@@ -273,30 +273,70 @@ def _judge(rows: list[tuple], window: int, kernel: Kernel) -> list[tuple]:
     return out
 
 
+MARKS = "home int, docs binary, tags binary, starts binary, ends binary"
+
+
 def _marks(segments: DataFrame, window: int, kernel: Kernel) -> DataFrame:
+    """doc_id, tag and spans (merged) of all marked words.
+
+    Hot passages give a mark for every window of every copy, so a task's marks travel as blobs to the home of
+    their document, and meet there.
+    """
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
 
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*_judge(rows, window, kernel), strict=True)) or [[]] * 4
+        def flush() -> Iterator[pa.RecordBatch]:
+            marks = np.array(_judge(rows, window, kernel), "int64").reshape(-1, 4)
             rows.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "tag", "start", "end"])
+            home = marks[:, 0] % parts
+            order = np.argsort(home, kind="stable")
+            marks, cuts = marks[order], np.searchsorted(home[order], np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            blobs = [[W.pack(marks[cuts[p] : cuts[p + 1], i].view("uint64"), 8 if i < 2 else 4) for p in full] for i in range(4)]
+            columns = [pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)]
+            if len(full):
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in MARKS.split(", ")])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= SHARD_WORDS and row[0] != last:
-                    yield flush()
+                    yield from flush()
                     size = 0
                 rows.append(row)
                 last = row[0]
                 size += row[4] + window - 1 if row[7] is not None else 1
         if rows:
+            yield from flush()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []  # the marks of a home lie together
+
+        def flush() -> pa.RecordBatch:
+            doc, tag, start, end = (np.concatenate(x).view("int64") for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((start, tag, doc))
+            doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+            spans = [merge_spans(list(zip(start[a:b].tolist(), end[a:b].tolist(), strict=True))) for a, b in zip(new, np.r_[new[1:], len(doc)], strict=True)]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            listed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
+            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), listed], ["doc_id", "tag", "spans"])
+
+        for batch in batches:
+            for home, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and home != now:
+                    yield flush()
+                now = home
+                held.append([W.unpack(x, 8 if i < 2 else 4) for i, x in enumerate(blobs)])
+        if held:
             yield flush()
 
     # Equal minimisers lie together in a task; sorting lets a shard end between two of them.
     ready = segments.repartition("key").sortWithinPartitions("key")
-    return ready.mapInArrow(run, "doc_id long, tag long, start int, end int")
+    sent = ready.mapInArrow(run, MARKS).repartition(parts, "home").sortWithinPartitions("home")
+    return sent.mapInArrow(gather, "doc_id long, tag long, spans array<struct<start:int,end:int>>")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -311,7 +351,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def mark_repeats(docs: DataFrame, window: int, gram: int, kernel: Kernel) -> DataFrame:
     """doc_id, n_words, sha, tag, copy_of (smallest id with the same words, if it is smaller and the document
-    is marked whole for it) and spans (array of start and end words, unmerged) of every document."""
+    is marked whole for it) and spans (array of start and end words, merged) of every document."""
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = keep(word_digests(work))
     known = F.col("doc_id").isNotNull() & (F.col("n_words") >= window)
@@ -320,8 +360,7 @@ def mark_repeats(docs: DataFrame, window: int, gram: int, kernel: Kernel) -> Dat
     first = classes.select(F.col("first_id").alias("doc_id")).distinct()
     keys = keys.join(first, "doc_id", "left_semi")
     texts = work.join(keys, "doc_id").select("doc_id", "text", "keys", "hot")
-    marks = _marks(_segments(texts, window, gram), window, kernel)
-    spans = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = _marks(_segments(texts, window, gram), window, kernel)
     out = rows.join(classes, "sha", "left").join(spans, ["doc_id", "tag"], "left")
     whole = F.col("first_id") < F.col("doc_id")
     return out.select(

@@ -125,16 +125,18 @@ def series_moments(rows: DataFrame, regressors: int) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def sums(units: pd.Series, z: pd.Series, x: pd.Series) -> pd.Series:
-        def one(y, filled, flat):
-            filled = np.asarray(filled, float)
-            known = ~np.isnan(np.asarray(y, float)) & ~np.isnan(filled)
-            return moments.products(np.nan_to_num(filled), known, np.asarray(flat, float).reshape(len(filled), regressors)).ravel()
-
-        return pd.Series([one(*r) for r in zip(units, z, x, strict=True)])
+        return pd.Series([_products(*r, regressors).ravel() for r in zip(units, z, x, strict=True)])
 
     return rows.withColumn("moments", sums("units", "z", "x"))
 
 
+def _products(units, z, x, regressors: int) -> np.ndarray:
+    """The matrix of one row of `series_rows`."""
+    filled = np.asarray(z, float)
+    known = ~np.isnan(np.asarray(units, float)) & ~np.isnan(filled)
+    return moments.products(np.nan_to_num(filled), known, np.asarray(x, float).reshape(len(filled), regressors))
+
+
 def merge_moments(left: Column, right: Column) -> Column:
     """Sums of products over the steps of both; a NULL side has no steps."""
     both = F.zip_with(left, right, lambda a, b: a + b)
@@ -151,8 +153,9 @@ CANDIDATE = "array<struct<aicc:double,at:int,p:int,d:int,const:double,beta:array
 def with_candidates(rows: DataFrame, options: Sequence[ModelSpec], design: Sequence[str]) -> DataFrame:
     """Add `candidates`: every order of every option, read off the sums of products of the series.
 
-    An order that can't be fitted has no aicc. The matrices of a block of series are stacked; each is
-    reduced by itself, so neither neighbours nor tasks matter.
+    An order that can't be fitted has no aicc. The sums come with the rows (`moments`), else they are
+    made from the series and stay in the task. The matrices of a block of series are stacked; each
+    is reduced by itself, so neither neighbours nor tasks matter.
     """
     columns, k = list(design), len(design)
     lagged = [c not in FOURIER for c in columns]
@@ -184,7 +187,11 @@ def with_candidates(rows: DataFrame, options: Sequence[ModelSpec], design: Seque
             rest = [c for c in batch.schema.names if c != "moments"]
             for start in range(0, batch.num_rows, block):
                 part = batch.slice(start, block)
-                m = part.column("moments").flatten().to_numpy().reshape(part.num_rows, size, size)
+                if "moments" in batch.schema.names:
+                    m = part.column("moments").flatten().to_numpy().reshape(part.num_rows, size, size)
+                else:
+                    series = zip(*(part.column(c).to_pylist() for c in ("units", "z", "x")), strict=True)
+                    m = np.stack([_products(*r, k) for r in series])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), fitted(m)], [*rest, "candidates"])
 
     kept = rows.drop("moments").schema
@@ -314,10 +321,7 @@ def _run(
     tasks: int | None,
     needs: str | None = None,
 ) -> DataFrame:
-    rows = series_rows(panel, design, spec, tasks)
-    if any(o[0].kind == "arima" for o in plan.values()):
-        rows = series_moments(rows, len(design))
-    return fits_from(rows, plan, design, spec, needs)
+    return fits_from(series_rows(panel, design, spec, tasks), plan, design, spec, needs)
 
 
 def fits_from(
@@ -328,7 +332,7 @@ def fits_from(
     needs: str | None = None,
     n_obs: Column | None = None,
 ) -> DataFrame:
-    """The fit table from `series_rows` with `moments`: of each name in `plan`, the first option that fits.
+    """The fit table from `series_rows`, with or without `moments`: of each name in `plan`, the first option that fits.
 
     With `needs`, the other models are kept for series that this one fits. `n_obs` counts the observed weeks,
     where the rows don't hold them all.

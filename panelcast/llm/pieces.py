@@ -15,6 +15,7 @@ A null text counts as empty. Empty texts give only the begin and end ids and dec
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 from array import array
@@ -440,19 +441,23 @@ def _shared(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_model(path))
 
 
-def encode_column(spark: SparkSession, text: Column, path: str, table: Table | None = None) -> Column:
+def _encoded(codec: PieceCodec, table: Table | None, texts: pa.Array) -> list[bytes]:
+    if table is None:
+        return [codec.encode(t.as_py()) for t in texts]
+    return [x for _, part in W.blocks(texts, SEND) for x in encode_block(codec, table, part)]
+
+
+def _listed(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def encode_column(spark: SparkSession, text: Column, path: str) -> Column:
     """array<int> of ids of a text column, with begin and end ids."""
     model = _shared(spark, path)
-    known = None if table is None else spark.sparkContext.broadcast(table)
 
     def encode(texts: pa.Array) -> pa.Array:
-        codec = _codec(model)
-        if known is None:
-            ids = [codec.encode(t.as_py()) for t in texts]
-        else:
-            ids = [x for _, part in W.blocks(texts, SEND) for x in encode_block(codec, known.value, part)]
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("int32")
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        return _listed(_encoded(_codec(model), None, texts))
 
     return F.arrow_udf(encode, "array<int>")(text)
 
@@ -469,13 +474,23 @@ def decode_column(spark: SparkSession, ids: Column, path: str) -> Column:
 
 
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """docs with `ids` (array<int>) and `decoded` (string); columns of these names are replaced."""
+    """docs with `ids` (array<int>), `ids_sha256` (see `ids_digest`) and `decoded` (string); columns of these
+    names are replaced. A text is encoded once for all three."""
     spark = docs.sparkSession
-    shared = _shared(spark, path)
+    model = _shared(spark, path)
     # Where words can't be told by spaces alone, there is no table to fill.
-    table = word_table(docs, shared) if PieceCodec(shared.value).by_word else None
-    with_ids = docs.withColumn("ids", encode_column(spark, F.col("text"), path, table))
-    return with_ids.withColumn("decoded", decode_column(spark, F.col("ids"), path))
+    known = spark.sparkContext.broadcast(word_table(docs, model)) if PieceCodec(model.value).by_word else None
+
+    def run(texts: pa.Array) -> pa.Array:
+        codec = _codec(model)
+        ids = _encoded(codec, None if known is None else known.value, texts)
+        digests = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+        decoded = pa.array([codec.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())
+        return pa.StructArray.from_arrays([_listed(ids), digests, decoded], ["ids", "ids_sha256", "decoded"])
+
+    kind = "struct<ids:array<int>,ids_sha256:string,decoded:string>"
+    done = docs.withColumn("_pieces", F.arrow_udf(run, kind)(F.col("text")))
+    return done.withColumns({c: F.col(f"_pieces.{c}") for c in ("ids", "ids_sha256", "decoded")}).drop("_pieces")
 
 
 def ids_digest(ids: Column) -> Column:

@@ -33,7 +33,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        pieces.ids_digest(F.col("ids")).alias("ids_sha256"),
+        "ids_sha256",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

@@ -37,7 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
-        pieces.ids_digest(F.col("ids")).alias("ids_sha256"),
+        "ids_sha256",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

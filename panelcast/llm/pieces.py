@@ -68,6 +68,12 @@ def read_model(path: str) -> dict:
     }
 
 
+def words_part(model: dict) -> bool:
+    """Whether no piece spans a space or a line end, so that texts can be encoded word by word."""
+    normal = (p for p, k in zip(model["pieces"], model["kinds"], strict=True) if k == NORMAL)
+    return bool(model["prefix"]) and not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in normal)
+
+
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are packed as the machine holds them"
 
 
@@ -116,7 +122,7 @@ class PieceCodec:
         self.shorter, self.pair, self.halves = Memo(self._shorter), Memo(self._pair_stays), Memo(self._halves)
         self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes())
         self.parts = self._part_pattern()
-        self.by_word = bool(self.parts and model["prefix"] and not any("\n" in p for p in self.ids))
+        self.by_word = words_part(model)
         self.words = Memo(lambda w: self._encode_parts(w if w[:1] == "\n" else SPACE + w))
         self.surface = [self._surface(p, k) for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
@@ -297,11 +303,14 @@ class Table:
     ids: np.ndarray
 
     @staticmethod
-    def of(words: list[bytes], ids: list[bytes]) -> Table:
-        hashes = W.words_of(pa.array(words, pa.large_binary()), word_byte=_WORD_BYTE).hashes
+    def of(words: pa.Array, ids: pa.Array) -> Table:
+        """From large_binary arrays; no word becomes an object of its own."""
+        hashes = W.words_of(words, word_byte=_WORD_BYTE).hashes
         order = np.argsort(hashes)
-        ends = np.cumsum([0, *(len(ids[i]) // 4 for i in order)])
-        return Table(hashes[order], ends, np.frombuffer(b"".join(ids[i] for i in order), "<u4"))
+        ids = ids.take(pa.array(order))
+        ends = np.frombuffer(ids.buffers()[1], "int64")[ids.offset : ids.offset + len(ids) + 1] // 4
+        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        return Table(hashes[order], ends - ends[0], flat[ends[0] : ends[-1]].copy())
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each word, -1 if it isn't here."""
@@ -425,7 +434,8 @@ def word_table(docs: DataFrame, model: Broadcast, text: str = "text") -> Table:
 
     parts = docs.sparkSession.sparkContext.defaultParallelism
     found = keep(frequent_words(docs, text)).repartition(parts).mapInArrow(encode, "word binary, ids binary").toArrow()
-    return Table.of(found["word"].to_pylist(), found["ids"].to_pylist())
+    columns = (found[c].cast(pa.large_binary()).combine_chunks() for c in ("word", "ids"))
+    return Table.of(*(c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.large_binary()) for c in columns))
 
 
 def _codec(shared: Broadcast) -> PieceCodec:
@@ -479,7 +489,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     model = _shared(spark, path)
     # Where words can't be told by spaces alone, there is no table to fill.
-    known = spark.sparkContext.broadcast(word_table(docs, model)) if PieceCodec(model.value).by_word else None
+    known = spark.sparkContext.broadcast(word_table(docs, model)) if words_part(model.value) else None
 
     def run(texts: pa.Array) -> pa.Array:
         codec = _codec(model)

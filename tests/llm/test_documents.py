@@ -57,7 +57,9 @@ def test_pieces_on_hard_texts():
         assert codec.decode(own) == lib.decode(ids)
     # By a table that holds some of the words, in blocks of many texts.
     some = sorted({w for t in texts for w in t.replace("\n", " ").split(" ") if w and hash(w) % 3})
-    table = pieces.Table.of([w.encode() for w in some], [codec._encode_parts(pieces.SPACE + w) for w in some])
+    columns = [w.encode() for w in some], [codec._encode_parts(pieces.SPACE + w) for w in some]
+    table = pieces.Table.of(*(pa.array(c, pa.large_binary()) for c in columns))
+    assert pieces.words_part(codec.model) and codec.parts is not None
     lines = ["\na", "a\n\nb", "a\n b", "a \nb", "a\n", "\n\n", "a b  c", "é 日本\n日本 ▁", "a\tb c"]
     block = pa.array(texts + lines, pa.large_string()).cast(pa.large_binary())
     got = [x for _, part in W.blocks(block, 1 << 12) for x in pieces.encode_block(codec, table, part)]

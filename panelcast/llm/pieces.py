@@ -417,7 +417,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_words(docs: DataFrame, text: str = "text", most: int = TABLE) -> DataFrame:
     """The `most` most frequent words of at most TABLE_BYTES bytes that occur more than once; words lie between
     spaces and line ends."""
-    counts = docs.select(text).mapInArrow(_counted, "word binary, n long")
+    counts = docs.select(text).mapInArrow(W.tidy(_counted), "word binary, n long")
     word = F.rtrim(F.col("word").cast("string")).alias("word")  # they come with the space that ends them
     summed = counts.groupBy(word).agg(F.sum("n").alias("n")).where((F.col("n") > 1) & ~F.contains("word", F.lit("\0")))
     return summed.orderBy(F.desc("n"), "word").limit(most).select("word")
@@ -433,7 +433,7 @@ def word_table(docs: DataFrame, model: Broadcast, text: str = "text") -> Table:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
 
     parts = docs.sparkSession.sparkContext.defaultParallelism
-    found = keep(frequent_words(docs, text)).repartition(parts).mapInArrow(encode, "word binary, ids binary").toArrow()
+    found = keep(frequent_words(docs, text)).repartition(parts).mapInArrow(W.tidy(encode), "word binary, ids binary").toArrow()
     columns = (found[c].cast(pa.large_binary()).combine_chunks() for c in ("word", "ids"))
     return Table.of(*(c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.large_binary()) for c in columns))
 
@@ -496,6 +496,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         ids = _encoded(codec, None if known is None else known.value, texts)
         digests = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
         decoded = pa.array([codec.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())
+        W.give_back()
         return pa.StructArray.from_arrays([_listed(ids), digests, decoded], ["ids", "ids_sha256", "decoded"])
 
     kind = "struct<ids:array<int>,ids_sha256:string,decoded:string>"

@@ -65,7 +65,7 @@ def _digests(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary")
+    return docs.mapInArrow(W.tidy(run), "doc_id long, n long, digest binary")
 
 
 def _shared_shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -191,10 +191,10 @@ def _shared_shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     ["doc_id", "n", "shared", "prefix", "alone"],
                 )
 
-    asked = docs.mapInArrow(ask, "part int, tokens binary, docs binary").repartition(parts, "part")
+    asked = docs.mapInArrow(W.tidy(ask), "part int, tokens binary, docs binary").repartition(parts, "part")
     kind = "part int, tokens binary, docs binary, extra binary"
-    met = asked.mapInArrow(answer, kind).union(classes.select("doc_id", "n").mapInArrow(stand, kind))
-    return met.repartition(parts, "part").mapInArrow(gather, "doc_id long, n long, shared binary, prefix array<long>, alone long")
+    met = asked.mapInArrow(W.tidy(answer), kind).union(classes.select("doc_id", "n").mapInArrow(stand, kind))
+    return met.repartition(parts, "part").mapInArrow(W.tidy(gather), "doc_id long, n long, shared binary, prefix array<long>, alone long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

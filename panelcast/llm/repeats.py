@@ -65,7 +65,7 @@ def word_digests(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(tag, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "sha", "tag"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, sha string, tag long")
+    return docs.select("doc_id", "text").mapInArrow(W.tidy(run), "doc_id long, n_words long, sha string, tag long")
 
 
 class Minimisers:
@@ -178,7 +178,7 @@ def _shared_keys(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     asked = docs.mapInArrow(ask, "part int, keys binary, docs binary").repartition(parts, "part")
     met = asked.mapInArrow(answer, "part int, keys binary, docs binary, hot binary").repartition(parts, "part")
-    return met.mapInArrow(gather, "doc_id long, keys binary, hot binary")
+    return met.mapInArrow(W.tidy(gather), "doc_id long, keys binary, hot binary")
 
 
 #: n windows from word `at` on; times: how often the segment follows itself, a word further each time.
@@ -235,7 +235,7 @@ def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SEGMENT.split(", ")])
 
-    return texts.mapInArrow(run, SEGMENT)
+    return texts.mapInArrow(W.tidy(run), SEGMENT)
 
 
 def _judge(rows: list[tuple], window: int, kernel: Kernel) -> list[tuple]:
@@ -335,8 +335,8 @@ def _marks(segments: DataFrame, window: int, kernel: Kernel) -> DataFrame:
 
     # Equal minimisers lie together in a task; sorting lets a shard end between two of them.
     ready = segments.repartition("key").sortWithinPartitions("key")
-    sent = ready.mapInArrow(run, MARKS).repartition(parts, "home").sortWithinPartitions("home")
-    return sent.mapInArrow(gather, "doc_id long, tag long, spans array<struct<start:int,end:int>>")
+    sent = ready.mapInArrow(W.tidy(run), MARKS).repartition(parts, "home").sortWithinPartitions("home")
+    return sent.mapInArrow(W.tidy(gather), "doc_id long, tag long, spans array<struct<start:int,end:int>>")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -414,4 +414,4 @@ def cut_words(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     some = marks.where(F.size("spans") > 0).dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "spans")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id")
-    return texts.select("doc_id", "text", "tag", "spans").mapInArrow(run, KEPT).dropDuplicates(["doc_id", "tag"])
+    return texts.select("doc_id", "text", "tag", "spans").mapInArrow(W.tidy(run), KEPT).dropDuplicates(["doc_id", "tag"])

@@ -38,6 +38,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a generation of each memo table; forgetting costs time and changes nothing.
 MEMO = 50_000
+#: The same for words and parts, which the table of frequent words leaves few of.
+MEMO_WORDS = 5_000
 #: Words that are encoded once for all, and the longest of them in bytes; others are encoded where they occur.
 TABLE, TABLE_BYTES = 500_000, 24
 #: Different words that a task counts before it sends them.
@@ -80,11 +82,11 @@ assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are packed a
 class Memo(dict):
     """Values of a function by argument. Two generations: what is asked for again outlives a full table."""
 
-    def __init__(self, function):
-        self.function, self.old = function, {}
+    def __init__(self, function, most: int = MEMO):
+        self.function, self.most, self.old = function, most, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -120,10 +122,10 @@ class PieceCodec:
         # The automaton's path through a text ends with a prefix of some piece; fit has the longest piece in it.
         self.fit = Memo(lambda s: next(self.ids[s[:n]] for n in range(len(s), 0, -1) if s[:n] in self.ids))
         self.shorter, self.pair, self.halves = Memo(self._shorter), Memo(self._pair_stays), Memo(self._halves)
-        self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes())
+        self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes(), MEMO_WORDS)
         self.parts = self._part_pattern()
         self.by_word = words_part(model)
-        self.words = Memo(lambda w: self._encode_parts(w if w[:1] == "\n" else SPACE + w))
+        self.words = Memo(lambda w: self._encode_parts(w if w[:1] == "\n" else SPACE + w), MEMO_WORDS)
         self.surface = [self._surface(p, k) for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.is_control = np.array([k == CONTROL for k in kinds], bool)

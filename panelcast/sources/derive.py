@@ -19,6 +19,9 @@ SIZE_UNIT = {
     "MEDIUM": "ML",
 }
 
+# Tasks of the join with orders for each split of the lines.
+TASKS_A_SPLIT = 16
+
 
 def _hundredths(name: str) -> Column:
     """Whole hundredths of a value with two decimals; built-in round goes through BigDecimal."""
@@ -30,7 +33,8 @@ def sale_lines(spark: SparkSession, sf_dir: str, store_level: str = "region") ->
 
     Dimension sides carry no broadcast hint: Spark broadcasts those it measures
     under its own threshold and sort-merges the rest, where adaptive execution
-    splits skewed partitions.
+    splits skewed partitions. Lines meet their orders in a number of tasks that
+    follows the input, so what a task sorts and groups doesn't grow with it.
     """
     store = {"region": "n_regionkey", "nation": "s_nationkey"}[store_level]
     supplier = read_star(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -44,11 +48,13 @@ def sale_lines(spark: SparkSession, sf_dir: str, store_level: str = "region") ->
     buyers = read_star(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey"
     )
+    lines = read_star(spark, sf_dir, "lineitem")
+    tasks = TASKS_A_SPLIT * max(1, lines.rdd.getNumPartitions())
     return (
-        read_star(spark, sf_dir, "lineitem")
-        .join(stores, "l_suppkey")
+        lines.join(stores, "l_suppkey")
         .join(products, "l_partkey")
-        .join(buyers, "l_orderkey")
+        .repartition(tasks, "l_orderkey")
+        .join(buyers.repartition(tasks, "l_orderkey"), "l_orderkey")
         .select(
             "store_id",
             "upc_id",

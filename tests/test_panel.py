@@ -224,3 +224,36 @@ def test_lagged_flags_go_by_week(spark):
     beta = fits.first().beta
     assert part[weeks[1]] == pytest.approx(whole[weeks[1]])
     assert part[weeks[3]] == pytest.approx(whole[weeks[3]] - beta[3])
+
+
+def test_tasks_of_the_order_join_follow_the_lines(spark, tmp_path):
+    lines = spark.range(4000).select(
+        F.expr("id div 4").alias("l_orderkey"), (F.col("id") % 3).alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
+        F.lit(1).alias("l_linenumber"), F.lit(2.0).alias("l_quantity"), F.lit(10.5).alias("l_extendedprice"),
+        F.lit(0.05).alias("l_discount"), F.lit(0.02).alias("l_tax"), F.lit("N").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.lit("1997-03-05 00:00:00").cast("timestamp_ntz").alias("l_shipdate"),
+    )
+    rows = {
+        "lineitem": lines.repartition(8),
+        "orders": spark.range(1000).selectExpr("id as o_orderkey", "if(id % 10 = 0, null, id % 7) as o_custkey"),
+        "supplier": spark.sql("select 1L as s_suppkey, 3 as s_nationkey"),
+        "nation": spark.sql("select 3 as n_nationkey, 'X' as n_name, 2 as n_regionkey"),
+        "part": spark.range(3).selectExpr("id as p_partkey", "concat('Brand#', id % 2) as p_brand"),
+    }
+    for name, df in rows.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    settings = {"spark.sql.shuffle.partitions": "2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = derive.sale_lines(spark, str(tmp_path))
+        assert joined.count() == 4000
+        most = joined.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+        got = {(r.store_id, r.upc_id): (r.units, r.visits, r.hhs) for r in derive.transactions(spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert most <= 400  # two tasks would hold 2,000 lines each
+    # An order has lines of both products; customers are 0 to 6 and none.
+    assert got == {("2", "Brand#0"): (2 * 2667.0, 1000, 8), ("2", "Brand#1"): (2 * 1333.0, 1000, 8)}

@@ -39,6 +39,8 @@ SIZE = FREQUENT + SHARED
 WIDTH, SPAN, ROUNDS, BATCH, RATE = 16, 4, 2, 4096, 0.1
 #: Texts that a task remembers as asked for; forgetting costs time and changes nothing.
 ASKED = 200_000
+#: Exponents up to this, either way, fit into single precision as they are.
+REACH = 40.0
 
 
 def shapes(side: int) -> dict[str, tuple[int, ...]]:
@@ -118,40 +120,79 @@ def _padded(ids: np.ndarray, first: np.ndarray, pad: int = SIZE) -> tuple[np.nda
     return out, at
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+def _reach(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest exponent, either way, that hidden values (-1 to 1) can give."""
+    return (np.abs(w).sum(axis=-1) + np.abs(b)).max(axis=-1)
+
+
+def _softmax(z: np.ndarray, reach: float, n: int = 1) -> np.ndarray:
+    """The softmax of every row over n; it takes the place of z."""
+    if not reach < REACH:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (n * (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    return z
+
+
+def _log_softmax(z: np.ndarray, reach: float, goal: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of every row at its goal; z is used up."""
+    if not reach < REACH:
+        z -= z.max(axis=1, keepdims=True)
+    value = z[np.arange(len(z)), goal]
+    return value - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def _groups(classes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(classes.astype("int16") if side < 1 << 15 else classes, kind="stable")
     return order, np.searchsorted(classes[order], np.arange(side + 1))
 
 
 def hidden(line: np.ndarray, at: np.ndarray, m: dict) -> np.ndarray:
-    total = np.repeat(m["bend"][None], len(at), axis=0)
+    if not len(at):
+        return np.zeros((0, WIDTH), "float32")
+    lo, n = int(at.min()), int(at.max() - at.min()) + 1
+    if n > 3 * len(at):  # places far apart
+        lo, n, line, at = SPAN, len(at) * (2 * SPAN + 1) - 2 * SPAN, line[(at[:, None] + np.arange(-SPAN, SPAN + 1)).ravel()], np.arange(len(at)) * (2 * SPAN + 1) + SPAN
+    near = line[lo - SPAN : lo + n + SPAN]
+    left, right = np.take(m["left"], near, axis=0), np.take(m["right"], near, axis=0)
+    total = np.repeat(m["bend"][None], n, axis=0)
     for k in range(1, SPAN + 1):
-        total += m["left"][line[at - k]]
-        total += m["right"][line[at + k]]
-    return np.tanh(total)
+        total += left[SPAN - k : SPAN - k + n]
+        total += right[SPAN + k : SPAN + k + n]
+    total = total if len(at) == n else total[at - lo]
+    return np.tanh(total, out=total)
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """Rows with a last column of ones, which a bias goes with."""
+    x = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    x[:, :-1] = h
+    return x
+
+
+def _with_bias(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of words, with their bias as the last column."""
+    return tuple(np.concatenate([m[f"{k}_w"], m[f"{k}_b"][..., None]], axis=-1) for k in ("class", "word"))
 
 
 def log_probabilities(line: np.ndarray, at: np.ndarray, m: dict) -> np.ndarray:
     """Log-probability of the token at each place given its neighbours."""
     out, side = np.empty(len(at)), len(m["class_b"])
+    reach, reaches = _reach(m["class_w"], m["class_b"]), _reach(m["word_w"], m["word_b"])
+    by_class, by_word = _with_bias(m)
     for lo in range(0, len(at), 1 << 15):
         some = at[lo : lo + (1 << 15)]
-        h, goal = hidden(line, some, m), line[some]
-        z = h @ m["class_w"].T + m["class_b"]
-        z -= z.max(axis=1, keepdims=True)
-        value = z[np.arange(len(some)), goal // side] - np.log(np.exp(z).sum(axis=1))
-        order, cuts = _groups(goal // side, side)
+        x, goal = _with_one(hidden(line, some, m)), line[some]
+        classes, value = goal // side, np.empty(len(some))
+        for a in range(0, len(some), BATCH):
+            value[a : a + BATCH] = _log_softmax(x[a : a + BATCH] @ by_class.T, reach, classes[a : a + BATCH])
+        order, cuts = _groups(classes, side)
+        x, goal, within = x[order], goal[order] - classes[order] * side, np.empty(len(some))
         for c in range(side):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h[rows] @ m["word_w"][c].T + m["word_b"][c]
-                z -= z.max(axis=1, keepdims=True)
-                value[rows] += z[np.arange(len(rows)), goal[rows] % side] - np.log(np.exp(z).sum(axis=1))
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                within[a:b] = _log_softmax(x[a:b] @ by_word[c].T, reaches[c], goal[a:b])
+        value[order] += within
         out[lo : lo + len(some)] = value
     return out
 
@@ -169,32 +210,38 @@ class Trainer:
         m, n, side = self.m, len(at), len(self.m["class_b"])
         h, goal = hidden(line, at, m), line[at]
         classes = goal // side
-        p = _softmax(h @ m["class_w"].T + m["class_b"])
-        p[np.arange(n), classes] -= 1
-        p /= n
+        x, (by_class, by_word) = _with_one(h), _with_bias(m)
+        p = _softmax(x @ by_class.T, _reach(m["class_w"], m["class_b"]), n)
+        p[np.arange(n), classes] -= 1 / n
         back = p @ m["class_w"]
-        word_w, word_b = np.zeros_like(m["word_w"]), np.zeros_like(m["word_b"])
+        class_slope, word_slope, reaches = p.T @ x, np.zeros_like(by_word), _reach(m["word_w"], m["word_b"])
         order, cuts = _groups(classes, side)
+        x, word, within = x[order], (goal - classes * side)[order], np.empty_like(h)
         for c in range(side):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                q = _softmax(h[rows] @ m["word_w"][c].T + m["word_b"][c])
-                q[np.arange(len(rows)), goal[rows] % side] -= 1
-                q /= n
-                back[rows] += q @ m["word_w"][c]
-                word_w[c], word_b[c] = q.T @ h[rows], q.sum(axis=0)
+            i, j = cuts[c], cuts[c + 1]
+            if j > i:
+                q = _softmax(x[i:j] @ by_word[c].T, reaches[c], n)
+                q[np.arange(j - i), word[i:j]] -= 1 / n
+                np.matmul(q, m["word_w"][c], out=within[i:j])
+                np.matmul(q.T, x[i:j], out=word_slope[c])
+        back[order] += within
         back = back * (1 - h * h)
         lo, hi = at[0] - SPAN, at[-1] + SPAN + 1
         near, spread = line[lo:hi], np.zeros((hi - lo + 2 * SPAN, WIDTH), "float32")
         spread[at - lo + SPAN] = back  # what each place of the line hears from the SPAN places on one side of it
+        order = np.argsort(near, kind="stable")
+        met, first = np.unique(near[order], return_index=True)
         sides = {}
         for name, sign in (("left", 1), ("right", -1)):
-            heard = sum(spread[SPAN + sign * k : SPAN + sign * k + hi - lo] for k in range(1, SPAN + 1)).T.copy()
-            sides[name] = np.stack([np.bincount(near, row, side * side + 1) for row in heard], axis=1).astype("float32")
-        self._move("class_w", p.T @ h)
-        self._move("class_b", p.sum(axis=0))
-        self._move("word_w", word_w)
-        self._move("word_b", word_b)
+            heard = np.zeros((hi - lo, WIDTH), "float32")
+            for k in range(1, SPAN + 1):
+                heard += spread[SPAN + sign * k : SPAN + sign * k + hi - lo]
+            sides[name] = np.zeros_like(m[name])
+            sides[name][met] = np.add.reduceat(heard[order], first, axis=0)
+        self._move("class_w", class_slope[:, :WIDTH])
+        self._move("class_b", class_slope[:, WIDTH])
+        self._move("word_w", word_slope[..., :WIDTH])
+        self._move("word_b", word_slope[..., WIDTH])
         self._move("bend", back.sum(axis=0))
         for name, slope in sides.items():
             self._move(name, slope)

@@ -202,6 +202,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def common(a: pa.Array, b: pa.Array) -> pa.Array:
         out = [len(np.intersect1d(W.unpack(x.as_py(), SENT_BYTES), W.unpack(y.as_py(), SENT_BYTES), assume_unique=True)) for x, y in zip(a, b, strict=True)]
+        W.give_back()
         return pa.array(out, pa.int64())
 
     left = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("shared").alias("s_u"))

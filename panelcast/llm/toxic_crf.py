@@ -30,6 +30,8 @@ from panelcast.llm import words as W
 SAMPLE, CHAIN, SIZE, EPOCHS = 3000, 64, 1 << 18, 5
 #: A form is telling if at least so many documents have it and its log odds are at least this.
 SEEN, ODDS = 4, 2.5
+#: Bytes of text that a task scores at once.
+SCORED = 1 << 19
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -186,7 +188,10 @@ def fit_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict
     few = spark.createDataFrame([(r[0], int(r[1])) for r in chosen], "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")  # at most `sample` rows
     got = sorted({r[0]: (r[0], r[1], r[2]) for r in rows.select("doc_id", F.coalesce("text", F.lit("")), "toxic").collect()}.values())
-    return fit([r[1] for r in got], np.array([r[2] for r in got], int))
+    try:
+        return fit([r[1] for r in got], np.array([r[2] for r in got], int))
+    finally:
+        W.give_back()  # the driver goes on with other jobs
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -198,7 +203,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         m = shared.value
         scores, spans = [], []
-        for _, block in W.blocks(texts):
+        for _, block in W.blocks(texts, SCORED):
             w = W.words_of(block, lower=True, word_byte=_LETTER)
             tag, _ = marginals(m["weights"][features(w)].sum(axis=1).astype(float), chains(w), m["move"])
             p = 1 / (1 + np.exp(-(evidence(tag, w.first) @ m["curve"] + m["bias"])))
@@ -211,6 +216,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 base = place[w.ends[d]]
                 found[d].append({"start": int(place[w.begin[i]] - base), "end": int(place[w.end[i]] - base), "probability": float(tag[i])})
             spans += found
+        W.give_back()  # workers outlive their tasks
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], ["score", "spans"])
 
     return docs.withColumn("_toxic", F.arrow_udf(run, kind)("text")).withColumns({"score": F.col("_toxic.score"), "spans": F.col("_toxic.spans")}).drop("_toxic")

@@ -269,6 +269,34 @@ def test_language_model_slopes():
         assert np.isclose(slopes[name][spot], -(value(moved[0]) - value(moved[1])) / 2e-4, rtol=1e-2, atol=1e-5), name
 
 
+@pytest.mark.parametrize("scale", [0.3, 30.0])  # exponents that fit as they are, and such that rows must be lowered
+def test_language_model_reads_dense_and_sparse_places_alike(scale):
+    rng = np.random.default_rng(4)
+    m = {k: (rng.normal(size=s) * scale).astype("float32") for k, s in masked_lm.SHAPES.items()}
+    line, at = masked_lm._padded(rng.integers(0, masked_lm.SIZE, 400).astype("int32"), np.array([0, 3, 3, 250, 400]))
+    assert (masked_lm._reach(m["class_w"], m["class_b"]) < masked_lm.REACH) == (scale < 1)
+    side = len(m["class_b"])
+    want = []
+    for i in at:
+        total = m["bend"].astype(float)
+        for k in range(1, masked_lm.SPAN + 1):
+            total = total + m["left"][line[i - k]] + m["right"][line[i + k]]
+        h, (c, w) = np.tanh(total), divmod(int(line[i]), side)
+        z, y = m["class_w"] @ h + m["class_b"], m["word_w"][c] @ h + m["word_b"][c]
+        want.append(z[c] - np.logaddexp.reduce(z.astype(float)) + y[w] - np.logaddexp.reduce(y.astype(float)))
+    for some in (slice(None), slice(None, None, 2), slice(None, None, 7), slice(5, 6), slice(0, 0)):
+        got = masked_lm.log_probabilities(line, at[some], m)
+        assert np.allclose(got, np.array(want)[some], rtol=1e-3, atol=1e-4)
+
+
+def test_the_fit_of_the_tagger_gives_its_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(W, "give_back", lambda: given.append(1))
+    docs = plain.table(spark, [(k, f"word{k % 3} other{k}", "s") for k in range(40)])
+    toxic_crf.fit_labels(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
+    assert given
+
+
 RULES = [redirects.Rule("allow", "org", "/"), redirects.Rule("block", "bad.org", "/x/"), redirects.Rule("block", "net", "/ads")]
 
 

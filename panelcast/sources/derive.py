@@ -19,7 +19,7 @@ SIZE_UNIT = {
     "MEDIUM": "ML",
 }
 
-# Tasks of the join with orders for each split of the lines.
+# Tasks of the join with orders, and of the grouping to customers, for each split of the lines.
 TASKS_A_SPLIT = 16
 
 
@@ -28,20 +28,25 @@ def _hundredths(name: str) -> Column:
     return F.floor(F.col(name) * 100 + 0.5)
 
 
+def _tasks(lines: DataFrame) -> int:
+    return TASKS_A_SPLIT * max(1, lines.rdd.getNumPartitions())
+
+
 def sale_lines(spark: SparkSession, sf_dir: str, store_level: str = "region") -> DataFrame:
     """One row per order line with its (store, product, week).
 
     Dimension sides carry no broadcast hint: Spark broadcasts those it measures
     under its own threshold and sort-merges the rest, where adaptive execution
-    splits skewed partitions. Lines meet their orders in a number of tasks that
-    follows the input, so what a task sorts and groups doesn't grow with it.
+    splits skewed partitions. Suppliers and nations join the lines one by one: of the
+    two joined first, Spark knows no size and would sort the lines for them. Lines meet
+    their orders in a number of tasks that follows the input, so what a task sorts and
+    groups doesn't grow with it.
     """
     store = {"region": "n_regionkey", "nation": "s_nationkey"}[store_level]
-    supplier = read_star(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation = read_star(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    stores = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("l_suppkey"), F.col(store).cast("string").alias("store_id")
+    supplier = read_star(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"
     )
+    nation = read_star(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     products = read_star(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("upc_id")
     )
@@ -49,9 +54,11 @@ def sale_lines(spark: SparkSession, sf_dir: str, store_level: str = "region") ->
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey"
     )
     lines = read_star(spark, sf_dir, "lineitem")
-    tasks = TASKS_A_SPLIT * max(1, lines.rdd.getNumPartitions())
+    tasks = _tasks(lines)
     return (
-        lines.join(stores, "l_suppkey")
+        lines.join(supplier, "l_suppkey")
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumn("store_id", F.col(store).cast("string"))
         .join(products, "l_partkey")
         .repartition(tasks, "l_orderkey")
         .join(buyers.repartition(tasks, "l_orderkey"), "l_orderkey")
@@ -75,7 +82,9 @@ def transactions(spark: SparkSession, sf_dir: str, store_level: str = "region")
     The two distinct counts are taken by grouping first to orders, then to
     customers, then to the cell. Each step combines map-side and only narrows,
     where two count-distincts in one aggregate would triple the rows. Money is
-    summed in whole cents: exact, and cheaper than wide decimals.
+    summed in whole cents: exact, and cheaper than wide decimals. Hardly two orders share
+    a customer and a cell, so that grouping takes its own number of tasks, which follows
+    the input; a size in bytes lets many narrow rows into one task.
     """
     cell = ["store_id", "upc_id", "week"]
     sums = ["quantity", "cents", "discount", "tax", "lines"]
@@ -87,7 +96,8 @@ def transactions(spark: SparkSession, sf_dir: str, store_level: str = "region")
             F.count(F.lit(1)).alias("lines"),
         )
     )
-    buyers = orders.groupBy(*cell, "o_custkey").agg(
+    tasks = _tasks(read_star(spark, sf_dir, "lineitem"))
+    buyers = orders.repartition(tasks, *cell, "o_custkey").groupBy(*cell, "o_custkey").agg(
         *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("orders")
     )
     cells = buyers.groupBy(*cell).agg(

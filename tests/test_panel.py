@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -257,3 +258,30 @@ def test_tasks_of_the_order_join_follow_the_lines(spark, tmp_path):
     assert most <= 400  # two tasks would hold 2,000 lines each
     # An order has lines of both products; customers are 0 to 6 and none.
     assert got == {("2", "Brand#0"): (2 * 2667.0, 1000, 8), ("2", "Brand#1"): (2 * 1333.0, 1000, 8)}
+
+
+def test_grouping_to_customers_follows_the_lines(spark, tmp_path):
+    lines = spark.range(800).selectExpr(
+        "id div 2 as l_orderkey", "id % 2 as l_partkey", "if(id % 5 = 4, 9L, 1L) as l_suppkey", "1 as l_linenumber",
+        "1D as l_quantity", "2.5D as l_extendedprice", "0D as l_discount", "0D as l_tax", "'N' as l_returnflag",
+        "'O' as l_linestatus", "timestamp_ntz'1997-03-05 00:00:00' as l_shipdate",
+    )
+    rows = {
+        "lineitem": lines.repartition(8),
+        "orders": spark.range(400).selectExpr("id as o_orderkey", "if(id < 200, null, id div 2) as o_custkey"),
+        "supplier": spark.sql("select 1L as s_suppkey, 3 as s_nationkey union all select 9L, null"),
+        "nation": spark.sql("select 3 as n_nationkey, 'X' as n_name, 2 as n_regionkey"),
+        "part": spark.range(2).selectExpr("id as p_partkey", "concat('Brand#', id) as p_brand"),
+    }
+    for name, df in rows.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    weekly = derive.transactions(spark, str(tmp_path))
+    plan = weekly._jdf.queryExecution().executedPlan().toString()
+    tasks = re.findall(r"Exchange hashpartitioning\(store_id#\d+, upc_id#\d+, week#\d+, o_custkey#\d+L, (\d+)\)", plan)
+    assert tasks == ["128"]  # 16 for each of 8 files, with any number of shuffle partitions
+    assert "hashpartitioning(l_suppkey" not in plan  # lines are not sorted for a few suppliers
+    got = {r.upc_id: (r.units, r.visits, r.hhs) for r in weekly.collect()}
+    left = [(i // 2, i % 2) for i in range(800) if i % 5 != 4]  # a supplier without a nation has no store
+    for part in (0, 1):
+        orders = [o for o, p in left if p == part]
+        assert got[f"Brand#{part}"] == (len(orders), len(orders), len({o // 2 if o >= 200 else None for o in orders}))

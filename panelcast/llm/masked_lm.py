@@ -57,7 +57,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(W.words_of(t, lower=True).hashes, return_counts=True) for _, t in W.blocks(batch.column(0))]
+            found = [np.unique(W.words_of(t, lower=True, bodies=False).hashes, return_counts=True) for _, t in W.blocks(batch.column(0))]
             if found:
                 word, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
                 count = np.bincount(at, np.concatenate([c for _, c in found]), len(word)).astype("int64")
@@ -100,13 +100,34 @@ def _sent(docs: DataFrame, model: dict) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
 
 
+_spots: dict[bytes, tuple[int, np.ndarray]] = W.Local()
+
+
+def _spot(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many low bits of a hash stay out, and for each value of the others the first of the sorted words
+    that could have it."""
+    key = words.tobytes()
+    if key not in _spots:
+        bits = min(20, len(words).bit_length() + 4)
+        edges = np.arange(1 << bits, dtype="uint64") << np.uint64(64 - bits)
+        _spots.clear()
+        _spots[key] = 64 - bits, np.searchsorted(words, edges).astype("int32")
+    return _spots[key]
+
+
 def tokens(hashes: np.ndarray, model: dict) -> np.ndarray:
     slots = model["side"] ** 2
     own = slots * FREQUENT // SIZE
     out = (own + (hashes.view("int64") % (slots - own))).astype("int32")
-    if len(model["words"]):
-        spot = np.minimum(np.searchsorted(model["words"], hashes), len(model["words"]) - 1)
-        known = model["words"][spot] == hashes
+    if len(words := model["words"]):
+        low, first = _spot(words)
+        spot = np.minimum(first[hashes >> np.uint64(low)], len(words) - 1)
+        later = np.flatnonzero(words[spot] < hashes)  # few words share the high bits of their hash
+        while len(later):
+            later = later[spot[later] < len(words) - 1]
+            spot[later] += 1
+            later = later[words[spot[later]] < hashes[later]]
+        known = words[spot] == hashes
         out[known] = model["slots"][spot[known]]
     return out
 
@@ -264,7 +285,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> dict:
             trainer, seen = Trainer(model), 0
             for batch in batches:
                 for _, texts in W.blocks(batch.column(0)):
-                    w = W.words_of(texts, lower=True)
+                    w = W.words_of(texts, lower=True, bodies=False)
                     line, at = _padded(tokens(w.hashes, model), w.first, model["side"] ** 2)
                     chosen = at[share(w, rounds) == turn]
                     for lo in range(0, len(chosen), BATCH):
@@ -333,7 +354,7 @@ def word_shares(docs: DataFrame, model: dict) -> DataFrame:
             keys = batch.column(0).to_numpy()
             word, text = [], []
             for row, texts in W.blocks(batch.column(1)):
-                w = W.words_of(texts, lower=True)
+                w = W.words_of(texts, lower=True, bodies=False)
                 new = np.zeros(len(texts), bool)
                 for d, key in enumerate(keys[row : row + len(texts)].tolist()):
                     if key not in asked:
@@ -419,7 +440,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         n, rare, total = [], [], []
         for _, block in W.blocks(texts):
-            w = W.words_of(block, lower=True)
+            w = W.words_of(block, lower=True, bodies=False)
             m = shared.value
             ids = tokens(w.hashes, m)
             line, at = _padded(ids, w.first, m["side"] ** 2)

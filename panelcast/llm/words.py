@@ -15,6 +15,7 @@ _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype="uint8")
 _LOWER[65:91] += 32
+_LOWER_TABLE = _LOWER.tobytes()
 _ODD = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
 
 
@@ -74,8 +75,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    data: bytes  # each word followed by one space
-    start: np.ndarray  # of each word in data, and the end of data
+    data: bytes  # each word followed by one space; empty without bodies
+    start: np.ndarray  # of each word in data, and the end of data; empty without bodies
     first: np.ndarray  # word that begins each text, and the number of words
     hashes: np.ndarray
     raw: np.ndarray  # bytes of the texts, one after another
@@ -99,17 +100,32 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, pa.Array]]
         row = stop
 
 
-def words_of(texts: pa.Array, lower: bool = False, word_byte: np.ndarray = _WORD_BYTE) -> Words:
+def _word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every word, which begin at s and end before e."""
+    n, step = len(data), 1 << 15
+    up, down = _power("byte", n + 1)
+    up = up[:n]
+    total = np.empty(n + 1, "uint64")
+    total[0] = 0
+    for a in range(0, n, step):  # sums that stay in the processor's cache
+        some = total[a : a + step + 1]
+        np.add(data[a : a + step], 1, out=some[1:], dtype="uint64")
+        some[1:] *= up[a : a + step]
+        np.cumsum(some, out=some)
+    return mix((total[e] - total[s]) * down[s])
+
+
+def words_of(texts: pa.Array, lower: bool = False, word_byte: np.ndarray = _WORD_BYTE, bodies: bool = True) -> Words:
     """Words (runs of word_byte, else [^\\x20\\x09-\\x0D]+) of a large_binary array without nulls;
-    lower: A-Z to a-z."""
+    lower: A-Z to a-z; bodies: whether the bytes of words are wanted besides their hashes."""
     ends = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, "uint8")[ends[0] : ends[-1]] if raw is not None else np.zeros(0, "uint8")
     ends = ends - ends[0]
     if lower:
-        data = _LOWER[data]
+        data = np.frombuffer(data.tobytes().translate(_LOWER_TABLE), "uint8")
     n = len(data)
-    word = word_byte[data]
+    word = np.frombuffer(data.tobytes().translate(word_byte.astype("uint8").tobytes()), bool)
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
     begin, end = word.copy(), word.copy()
@@ -117,16 +133,15 @@ def words_of(texts: pa.Array, lower: bool = False, word_byte: np.ndarray = _WORD
         begin[1:] &= ~word[:-1] | edge[1:-1]
         end[:-1] &= ~word[1:] | edge[1:-1]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    size = e - s
-    start = np.zeros(len(s) + 1, "int64")
-    np.cumsum(size + 1, out=start[1:])
-    flat = np.full(start[-1], 32, "uint8")
-    flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(s)), size)] = data[word]
-    up, down = _power("byte", n + 1)
-    total = np.zeros(n + 1, "uint64")
-    np.cumsum((data.astype("uint64") + np.uint64(1)) * up[:n], out=total[1:])
-    hashes = mix((total[e] - total[s]) * down[s])
-    return Words(flat.tobytes(), start, np.searchsorted(s, ends), hashes, data, ends, s, e)
+    flat, start = b"", np.zeros(0, "int64")
+    if bodies:
+        size = e - s
+        start = np.zeros(len(s) + 1, "int64")
+        np.cumsum(size + 1, out=start[1:])
+        spaced = np.full(start[-1], 32, "uint8")
+        spaced[np.arange(int(size.sum())) + np.repeat(np.arange(len(s)), size)] = data[word]
+        flat = spaced.tobytes()
+    return Words(flat, start, np.searchsorted(s, ends), _word_hashes(data, s, e), data, ends, s, e)
 
 
 def piece_hashes(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,22 @@ def test_language_model_grows_with_the_vocabulary(spark):
     assert masked_lm.score(many, model).where("log_likelihood < 0").count() == 200
 
 
+def test_language_model_reads_hashes_without_bodies_and_finds_slots():
+    texts = pa.array([b"One two", b"", b"  three\tTWO ", "é Zwei".encode()], pa.large_binary())
+    whole, bare = (W.words_of(texts, lower=True, bodies=b) for b in (True, False))
+    assert whole.data and not bare.data and not len(bare.start)
+    assert np.array_equal(whole.hashes, bare.hashes) and np.array_equal(whole.first, bare.first)
+    near = (np.uint64(77) << np.uint64(50)) + np.arange(40, dtype="uint64")  # alike in their high bits
+    ends = np.array([0, 1, (1 << 64) - 2, (1 << 64) - 1], "uint64")
+    words = np.unique(np.r_[near[::2], ends[[0, 3]], np.random.default_rng(1).integers(0, 1 << 64, 500, "uint64")])
+    model = {"words": words, "slots": np.arange(len(words), dtype="int32")[::-1], "side": 32}
+    asked = np.r_[words, near, ends, words + np.uint64(1)]
+    slot = {int(h): i for h, i in zip(words, model["slots"], strict=True)}
+    want = [slot.get(int(h), 768 + int(h.view("int64")) % 256) for h in asked]
+    assert masked_lm.tokens(asked, model).tolist() == want
+    assert masked_lm.tokens(asked, model | {"words": words[:0], "slots": model["slots"][:0]}).min() >= 768
+
+
 def test_language_model_slopes():
     """A step of the trainer goes against the slope of the mean log-probability."""
     rng = np.random.default_rng(2)

@@ -8,7 +8,8 @@ with a smaller doc_id. The steps:
 2. Windows are grouped by their least `gram`-word hash (minimiser), which equal windows share. Minimisers
    seen in one document only are dropped: they hold no repeat.
 3. For each run of windows with one minimiser, its words (a segment) go to the task of that minimiser.
-   A segment whose words the same task has already sent for a smaller id is marked at once.
+   A segment whose words the same task has already sent for a smaller id is marked at once, together
+   with the marked ones that it meets.
 4. There a kernel (an FM-index or a sparse suffix array) finds, for every window of every distinct
    segment, the smallest document that holds it.
 
@@ -185,6 +186,26 @@ def _shared_keys(docs: DataFrame, window: int, gram: int) -> DataFrame:
 SEGMENT = "key long, doc_id long, tag long, at int, n int, anchor int, times int, body binary"
 
 
+def _joined(out: list[tuple], window: int) -> list[tuple]:
+    """Segments in which those marked at once (without a body) that meet or touch in a text are one.
+
+    A line over and over in a text, and passages of many documents, mark nearly every segment of a text.
+    """
+    done: list[tuple] = []
+    open_, end = -1, 0  # the last marked segment, and where its words end
+    for x in out:
+        if x[7] is None:
+            stop = x[3] + x[4] + x[6] - 2 + window
+            if open_ >= 0 and done[open_][1:3] == x[1:3] and done[open_][3] <= x[3] <= end:
+                end = max(end, stop)
+                at = done[open_][3]
+                done[open_] = (*done[open_][:4], end - at + 1 - window, x[5], 1, None)
+                continue
+            open_, end = len(done), stop
+        done.append(x)
+    return done
+
+
 def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """Segments of shared minimisers; texts: doc_id, text, keys, hot (as _shared_keys gives them)."""
 
@@ -230,6 +251,7 @@ def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
                         if len(sent) >= SENT:
                             sent.clear()
                         sent[x[7]] = x[1]
+                out = _joined(out, window)
                 if out:
                     cols = list(zip(*out, strict=True))
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]

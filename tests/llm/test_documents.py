@@ -107,6 +107,24 @@ def test_hot_minimisers_change_nothing(docs, rows, monkeypatch):
     assert as_rows(got) == sorted(want, key=str)
 
 
+def test_a_line_over_and_over_is_marked_as_one(spark):
+    """A task that has sent a repeating passage marks its copies a span at a time, not a window at a time."""
+    from panelcast.llm import repeats
+
+    line = "one two three four five six seven eight nine ten eleven"
+    table = [(i, f"w{i} " + " ".join([line] * 30) + f" x{i} y{i} " + " ".join([line] * 9), "en") for i in range(6)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string").coalesce(1)
+    keys = repeats._shared_keys(docs, 13, 4)
+    texts = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "text", "keys", "hot")
+    at_once = repeats._segments(texts.coalesce(1).sortWithinPartitions("doc_id"), 13, 4).where("body is null")
+    per_text = {r["doc_id"]: r["count"] for r in at_once.groupBy("doc_id").count().collect()}
+    assert set(per_text) == {1, 2, 3, 4, 5} and max(per_text.values()) <= 2
+    for window in (8, 13):
+        want = [(i, len(w), len(g)) for (i, _, _), (w, g) in zip(table, plain.repeats(table, window), strict=True) if g]
+        got = suffix_array.repeated_documents(docs, window, 4).select("doc_id", "n_words", "n_removed")
+        assert as_rows(got) == sorted(want, key=str)
+
+
 def test_small_shards_change_nothing(docs, rows, monkeypatch):
     from panelcast.llm import repeats
 

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,9 +117,9 @@ class Trie:
     base: np.ndarray
     check: np.ndarray
     term: np.ndarray  # phrase that ends in a state
-    lang_of: list[bytes]  # of each phrase
-    phrases: list[bytes]
-    last: list[bytes]  # word of each phrase
+    lang_of: pa.Array  # of each phrase
+    phrases: pa.Array
+    last: pa.Array  # word of each phrase
 
     @staticmethod
     def build(lang_of: list[bytes], phrases: list[bytes]) -> Trie:
@@ -136,10 +137,12 @@ class Trie:
             slots = room.place(state[edge], c[edge])
             state = slots[np.cumsum(new) - 1]
         base, check = room.arrays()
-        term = np.full(len(base), -1, "int64")
+        term = np.full(len(base), -1, base.dtype)
         term[state] = order
         last = [p.rsplit(b" ", 1)[-1] for p in phrases]
-        return Trie(alphabet, langs, codes.shape[1], base, check, term, lang_of, phrases, last)
+        # Every worker holds a copy: no phrase is an object of its own.
+        names = (pa.array(x, pa.large_binary()) for x in (lang_of, phrases, last))
+        return Trie(alphabet, langs, codes.shape[1], base, check, term, *names)
 
     def accepted(self, lang: np.ndarray, hashes: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """The phrase that begins at each word, else -1; lang: the state of its lang, else -1."""
@@ -213,9 +216,11 @@ class _Slots:
             low += self.TRIES
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        self._reach(len(self.check) + self.codes + 1)
-        # No state is its own parent: unused slots answer to nobody.
-        return self.base, self.check
+        # No state is its own parent: unused slots answer to nobody. What no base reaches is left out.
+        size = int(self.base.max(initial=0)) + self.codes
+        self._reach(size)
+        kind = "int32" if size < 1 << 31 else "int64"
+        return self.base[:size].astype(kind), self.check[:size].astype(kind)
 
 
 def _pair_counts(left, right) -> Callable:
@@ -263,11 +268,10 @@ def _named(left, right) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = left.value, right.value
         for batch in batches:
-            pairs = batch.column("pair").to_pylist()
-            both = [divmod(p, len(b.phrases)) for p in pairs]
-            lang = pa.array([a.lang_of[i] for i, _ in both], pa.binary())
-            phrase = pa.array([a.phrases[i] + b" " + b.last[j] for i, j in both], pa.binary())
-            yield pa.RecordBatch.from_arrays([lang, phrase, batch.column("c")], ["lang", "phrase", "f"])
+            i, j = (pa.array(x) for x in np.divmod(batch.column("pair").to_numpy(), len(b.phrases)))
+            space = pa.scalar(b" ", pa.large_binary())
+            phrase = pc.binary_join_element_wise(a.phrases.take(i), b.last.take(j), space).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([a.lang_of.take(i).cast(pa.binary()), phrase, batch.column("c")], ["lang", "phrase", "f"])
 
     return run
 
@@ -278,7 +282,7 @@ def _text(name: str) -> Column:
 
 def frequent_words(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """lang, phrase (one word), f; the row of an empty phrase holds the number of all words of its lang."""
-    counts = docs.mapInArrow(_word_counts, "lang binary, word binary, c long")
+    counts = docs.mapInArrow(W.tidy(_word_counts), "lang binary, word binary, c long")
     # The words come with the space that ends them; words hold none.
     word = F.rtrim(F.col("word").cast("string"))
     summed = counts.groupBy(_text("lang"), word.alias("phrase")).agg(F.sum("c").alias("f"))
@@ -304,8 +308,8 @@ def longer_phrases(docs: DataFrame, frequent: DataFrame, min_count: int = MIN_CO
     out = frequent.where("false").select("lang", "phrase", "f")
     for a in tries:
         for b in tries:
-            pairs = docs.mapInArrow(_pair_counts(a, b), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-            named = pairs.where(F.col("c") >= min_count).mapInArrow(_named(a, b), "lang binary, phrase binary, f long")
+            pairs = docs.mapInArrow(W.tidy(_pair_counts(a, b)), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+            named = pairs.where(F.col("c") >= min_count).mapInArrow(W.tidy(_named(a, b)), "lang binary, phrase binary, f long")
             out = out.unionByName(named.select(_text("lang"), _text("phrase"), "f"))
     done = keep(out)
     for t in tries:

@@ -16,6 +16,8 @@ _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype="uint8")
 _LOWER[65:91] += 32
 _LOWER_TABLE = _LOWER.tobytes()
+#: Powers are kept for a multiple of so many places.
+STEP = 1 << 16
 _ODD = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
 
 
@@ -53,7 +55,7 @@ def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     have = _powers.get(kind)
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK + 1)
+        size = -(-n // STEP) * STEP
         odd = _ODD[kind]
         both = []
         for base in (odd, pow(odd, -1, 1 << 64)):

@@ -102,6 +102,15 @@ def test_trie_walks_like_a_set():
         assert got.tolist() == [own.get(b" ".join(text[i : i + 3]), -1) if i + 3 <= len(text) else -1 for i in range(len(text))]
 
 
+def test_a_trie_takes_few_bytes_a_phrase():
+    import pickle
+
+    phrases = [f"word{k}".encode() for k in range(20_000)]
+    trie = collocations.Trie.build([b"x"] * len(phrases), phrases)
+    assert len(pickle.dumps(trie, protocol=5)) < 100 * len(phrases)  # a copy goes to every worker
+    assert sorted(trie.term[trie.term >= 0].tolist()) == list(range(len(phrases)))
+
+
 # Licenses ----------------------------------------------------------------------------------
 
 

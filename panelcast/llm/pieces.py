@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import weakref
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -99,7 +100,8 @@ class Memo(dict):
 class PieceCodec:
     def __init__(self, model: dict):
         pieces, kinds = model["pieces"], model["kinds"]
-        self.model, self.pieces = model, pieces
+        # Nothing here leads back to the encoder or to a model that holds it: it goes with its broadcast.
+        self.model, self.pieces, me = dict(model), pieces, weakref.proxy(self)
         self.ids = {p: i for i, p in enumerate(pieces) if kinds[i] == NORMAL}
         if any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("each character of a piece must be a piece")
@@ -120,12 +122,12 @@ class PieceCodec:
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == BYTE}
         self.known, self.most = set("".join(self.ids)), max(map(len, self.ids), default=1)
         # The automaton's path through a text ends with a prefix of some piece; fit has the longest piece in it.
-        self.fit = Memo(lambda s: next(self.ids[s[:n]] for n in range(len(s), 0, -1) if s[:n] in self.ids))
-        self.shorter, self.pair, self.halves = Memo(self._shorter), Memo(self._pair_stays), Memo(self._halves)
-        self.encoded = Memo(lambda part: array("I", self.encode_part(part)).tobytes(), MEMO_WORDS)
+        self.fit = Memo(lambda s: next(me.ids[s[:n]] for n in range(len(s), 0, -1) if s[:n] in me.ids))
+        self.shorter, self.pair, self.halves = Memo(lambda p: me._shorter(p)), Memo(lambda k: me._pair_stays(k)), Memo(lambda p: me._halves(p))
+        self.encoded = Memo(lambda part: array("I", me.encode_part(part)).tobytes(), MEMO_WORDS)
         self.parts = self._part_pattern()
         self.by_word = words_part(model)
-        self.words = Memo(lambda w: self._encode_parts(w if w[:1] == "\n" else SPACE + w), MEMO_WORDS)
+        self.words = Memo(lambda w: me._encode_parts(w if w[:1] == "\n" else SPACE + w), MEMO_WORDS)
         self.surface = [self._surface(p, k) for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.is_control = np.array([k == CONTROL for k in kinds], bool)
@@ -437,7 +439,10 @@ def word_table(docs: DataFrame, model: Broadcast, text: str = "text") -> Table:
     parts = docs.sparkSession.sparkContext.defaultParallelism
     found = keep(frequent_words(docs, text)).repartition(parts).mapInArrow(W.tidy(encode), "word binary, ids binary").toArrow()
     columns = (found[c].cast(pa.large_binary()).combine_chunks() for c in ("word", "ids"))
-    return Table.of(*(c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.large_binary()) for c in columns))
+    table = Table.of(*(c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.large_binary()) for c in columns))
+    del found
+    W.give_back()  # the driver goes on with other jobs
+    return table
 
 
 def _codec(shared: Broadcast) -> PieceCodec:

@@ -236,3 +236,22 @@ def test_near_copies_are_not_paired_with_each_other(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in prefix_join.linked(plain.table(spark, rows, 6)).collect()}
     assert got == {i: component for i, (_, component) in plain.linked(rows).items()}
     assert found[0] < 2 * len(rows)
+
+
+def test_an_encoder_goes_with_its_model():
+    import gc
+    import weakref
+
+    class Shared:
+        value = pieces.read_model(MODEL)
+
+    codec = pieces._codec(Shared)
+    text = "Größe  der Wörter\nund so"
+    assert codec.decode(np.frombuffer(codec.encode(text), "<u4")) == text
+    gone = weakref.ref(codec)
+    gc.disable()
+    try:
+        del codec, Shared.value
+        assert gone() is None  # without a collection, which a worker may never come to
+    finally:
+        gc.enable()

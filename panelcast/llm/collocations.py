@@ -40,24 +40,29 @@ SHARD = 1 << 21
 SEND = 1 << 19
 #: Bytes of text that are worked on at once.
 BLOCK = 1 << 19
+#: Children of a state that share a base on average, and draws of bases until a double array grows.
+PART, ROUNDS = 4, 64
 #: Parts of a lang that are ranked by themselves before the lang is.
 SALTS = 64
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\v\f\r")] = True
+_BREAK_TABLE = _BREAK.tobytes()
 _WORD_BYTE = ~_BREAK
 _WORD_BYTE[[0x20, 0x09]] = False
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[W.Words, np.ndarray, np.ndarray]]:
-    """(words, document of each word, piece of each word), a block of texts at a time; documents count from the
-    first row of the batch."""
+def _blocks(batch: pa.RecordBatch, bodies: bool) -> Iterator[tuple[W.Words, np.ndarray]]:
+    """(words, document of each word), a block of texts at a time; documents count from the first row of the batch."""
     for row, texts in W.blocks(batch.column("text"), BLOCK):
-        w = W.words_of(texts, True, _WORD_BYTE)
-        doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
-        breaks = np.zeros(len(w.raw) + 1, "int64")
-        np.cumsum(_BREAK[w.raw], out=breaks[1:])
-        yield w, row + doc, breaks[w.begin] + doc
+        w = W.words_of(texts, True, _WORD_BYTE, bodies)
+        yield w, row + np.repeat(np.arange(len(texts)), np.diff(w.first))
+
+
+def _pieces(w: W.Words, doc: np.ndarray) -> np.ndarray:
+    """The piece of each word."""
+    breaks = np.frombuffer(w.raw.tobytes().translate(_BREAK_TABLE), bool)
+    return np.searchsorted(np.flatnonzero(breaks), w.begin) + doc
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +92,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = [langs.setdefault(x, len(langs)) for x in batch.column("lang").cast(pa.binary()).to_pylist()]
         of_doc = np.array(own, "int64")
-        for w, doc, _ in _blocks(batch):
+        for w, doc in _blocks(batch, True):
             if not len(doc):
                 continue
             lang = of_doc[doc]
@@ -108,119 +113,132 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Trie:
-    """Phrases of equally many words as a double array: the child of state s by code c is at base[s] + c if
-    check there says s. States 0, 1, ... are the langs; code len(alphabet) is any unknown word."""
+    """Phrases of equally many words as a double array. The children of a state are dealt to parts by their codes,
+    about PART to each; the child by code c of a part is at place base[part] + c if check there says part. States
+    0, 1, ... are the langs; code len(alphabet) is any unknown word."""
 
     alphabet: np.ndarray  # sorted hashes of the words
     langs: dict[bytes, int]
     depth: int
+    first: np.ndarray  # part that begins each state with children, and the number of parts
     base: np.ndarray
     check: np.ndarray
+    child: np.ndarray  # state at each place
     term: np.ndarray  # phrase that ends in a state
     lang_of: pa.Array  # of each phrase
     phrases: pa.Array
     last: pa.Array  # word of each phrase
+    spots: np.ndarray | None = None  # place in the alphabet of the least hash with given high bits; made in the tasks
 
     @staticmethod
-    def build(lang_of: list[bytes], phrases: list[bytes]) -> Trie:
-        w = W.words_of(pa.array(phrases, pa.large_binary()), word_byte=_WORD_BYTE)
-        alphabet, codes = np.unique(w.hashes, return_inverse=True)
+    def build(lang_of: list[bytes] | pa.Array, phrases: list[bytes] | pa.Array) -> Trie:
+        # Every worker holds a copy: no phrase is an object of its own.
+        lang_of, phrases = (pa.array(x, pa.large_binary()) if isinstance(x, list) else x.cast(pa.large_binary()) for x in (lang_of, phrases))
+        hashes, last = zip(*(_hashes_and_last(texts) for _, texts in W.blocks(phrases, BLOCK)), strict=True)
+        alphabet, codes = np.unique(np.concatenate(hashes), return_inverse=True)
         codes = codes.reshape(len(phrases), -1)
-        langs = {x: i for i, x in enumerate(dict.fromkeys(lang_of))}
-        state = np.array([langs[x] for x in lang_of])
+        named = lang_of.dictionary_encode()
+        langs = {x: i for i, x in enumerate(named.dictionary.to_pylist())}
+        state = named.indices.to_numpy().astype("int64")
         order = np.lexsort([*codes.T[::-1], state])
         codes, state = codes[order], state[order]
-        room = _Slots(len(langs), len(alphabet) + 1)
+        states, edges = len(langs), []
         for c in codes.T:
             new = np.r_[True, (state[1:] != state[:-1]) | (c[1:] != c[:-1])]
-            edge = np.flatnonzero(new)
-            slots = room.place(state[edge], c[edge])
-            state = slots[np.cumsum(new) - 1]
-        base, check = room.arrays()
-        term = np.full(len(base), -1, base.dtype)
+            edges.append((state[new], c[new]))
+            state = states + np.cumsum(new) - 1
+            states = int(state[-1]) + 1
+        parent, code = (np.concatenate(x) for x in zip(*edges, strict=True))
+        parts = -(-np.bincount(parent) // PART)
+        first = np.r_[0, np.cumsum(parts)].astype("int32")
+        base, check, child = _placed(first[parent] + code % parts[parent], code, int(first[-1]), len(alphabet) + 1)
+        term = np.full(states, -1, "int32")
         term[state] = order
-        last = [p.rsplit(b" ", 1)[-1] for p in phrases]
-        # Every worker holds a copy: no phrase is an object of its own.
-        names = (pa.array(x, pa.large_binary()) for x in (lang_of, phrases, last))
-        return Trie(alphabet, langs, codes.shape[1], base, check, term, *names)
+        return Trie(alphabet, langs, codes.shape[1], first, base, check, child + np.int32(len(langs)), term, lang_of, phrases, pa.concat_arrays(last))
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of each word."""
+        size = len(self.alphabet)
+        bits = size.bit_length() + 1
+        low = np.uint64(64 - bits)
+        if self.spots is None:
+            self.spots = np.searchsorted(self.alphabet, np.arange(1 << bits, dtype="uint64") << low).astype("int32")
+        code = np.minimum(self.spots[hashes >> low], size - 1)
+        later = np.flatnonzero(self.alphabet[code] < hashes)  # few words share the high bits of their hash
+        while len(later):
+            later = later[code[later] < size - 1]
+            code[later] += 1
+            later = later[self.alphabet[code[later]] < hashes[later]]
+        code[self.alphabet[code] != hashes] = size
+        return code
 
     def accepted(self, lang: np.ndarray, hashes: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """The phrase that begins at each word, else -1; lang: the state of its lang, else -1."""
-        at = np.searchsorted(self.alphabet, hashes)
-        at[at == len(self.alphabet)] = 0
-        code = np.where(self.alphabet[at] == hashes, at, len(self.alphabet))
-        here = np.flatnonzero(lang >= 0)
+        code = self.codes(hashes)
+        here = np.flatnonzero((lang >= 0) & (code < len(self.alphabet)))
         state = lang[here]
         for j in range(self.depth):
             if j:
                 ok = here + j < len(hashes)
                 ok[ok] = piece[here[ok] + j] == piece[here[ok]]
                 here, state = here[ok], state[ok]
-            to = self.base[state] + code[here + j]
-            ok = self.check[to] == state
-            here, state = here[ok], to[ok]
+            c, part = code[here + j], self.first[state]
+            part = part + c % (self.first[state + 1] - part)
+            place = self.base[part] + c
+            ok = self.check[place] == part
+            here, state = here[ok], self.child[place[ok]]
         found = np.full(len(hashes), -1, "int64")
         found[here] = self.term[state]
         return found
 
 
-class _Slots:
-    """Free places of a double array, filled parent by parent, those with most children first."""
-
-    TRIES = 256
-
-    def __init__(self, roots: int, codes: int):
-        self.codes = codes
-        self.base, self.check = np.zeros(roots, "int64"), np.full(roots, -1, "int64")
-        self.low = roots
-
-    def _reach(self, size: int) -> None:
-        if size > len(self.check):
-            more = max(size, 2 * len(self.check)) - len(self.check)
-            self.base = np.r_[self.base, np.zeros(more, "int64")]
-            self.check = np.r_[self.check, np.full(more, -1, "int64")]
-
-    def place(self, parent: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Slots of the edges (parent, code), which come parent by parent."""
-        begin = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
-        size = np.diff(np.r_[begin, len(parent)])
-        slots = np.zeros(len(parent), "int64")
-        for k in np.argsort(-size, kind="stable"):
-            if size[k] == 1:
-                break
-            edges = slice(begin[k], begin[k] + size[k])
-            start = self._fit(code[edges])
-            self.base[parent[begin[k]]] = start
-            slots[edges] = start + code[edges]
-            self.check[slots[edges]] = parent[begin[k]]
-        single = begin[size == 1]  # fit anywhere
-        self._reach(len(self.check) + len(single) + 2 * self.codes)
-        free = np.flatnonzero(self.check[self.codes :] < 0)[: len(single)] + self.codes
-        slots[single] = free
-        self.base[parent[single]] = free - code[single]
-        self.check[free] = parent[single]
-        return slots
-
-    def _fit(self, code: np.ndarray) -> int:
-        """The first base from `low` on at which all codes fall on free slots."""
-        low = max(self.low, int(code[0]) + 1)
-        while True:
-            self._reach(low + self.TRIES + 2 * self.codes + 1)
-            first = low + np.flatnonzero(self.check[low : low + self.TRIES] < 0)
-            start = first - code[0]
-            ok = (self.check[start[:, None] + code] < 0).all(1)
-            if ok.any():
-                if len(first) * 8 < self.TRIES:
-                    self.low = max(self.low, low)
-                return int(start[ok.argmax()])
-            low += self.TRIES
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        # No state is its own parent: unused slots answer to nobody. What no base reaches is left out.
-        size = int(self.base.max(initial=0)) + self.codes
-        self._reach(size)
-        kind = "int32" if size < 1 << 31 else "int64"
-        return self.base[:size].astype(kind), self.check[:size].astype(kind)
+def _hashes_and_last(phrases: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Hashes of the words of phrases of equally many words, and the last word of each."""
+    w = W.words_of(phrases, word_byte=_WORD_BYTE)
+    spaced = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.hashes), [None, pa.py_buffer(w.start), pa.py_buffer(w.data)])
+    depth = len(w.hashes) // len(phrases)
+    return w.hashes, pc.binary_slice(spaced.take(pa.array(np.arange(depth - 1, len(w.hashes), depth))), 0, -1)
+
+
+def _placed(part: np.ndarray, code: np.ndarray, parts: int, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base of each part, and check and edge of each place, for the edges (part, code) of a double array.
+
+    Parts of one size draw their bases together; those that fall on free places stay and the others draw again,
+    so the work follows the number of edges. The largest go first, while most places are free. A part of one edge
+    takes any place that is left.
+    """
+    room = 2 * len(part)
+    base = np.zeros(parts, "int32")
+    check = np.full(room + codes, -1, "int32")
+    edge = np.zeros(room + codes, "int32")
+    draw = np.random.default_rng(len(part))
+    order = np.argsort(part, kind="stable")
+    size = np.bincount(part, minlength=parts)
+    begin = np.cumsum(size) - size
+    for k in np.unique(size[size > 1])[::-1]:
+        left = np.flatnonzero(size == k)
+        rounds = 0
+        while len(left):
+            rounds += 1
+            if rounds % ROUNDS == 0:  # too dense for parts of this size
+                more = room // 2
+                check, edge = np.r_[check, np.full(more, -1, "int32")], np.r_[edge, np.zeros(more, "int32")]
+                room += more
+            of = order[begin[left][:, None] + np.arange(k)]
+            start = draw.integers(0, room, len(left))
+            at = start[:, None] + code[of]
+            ok = (check[at] < 0).all(1)
+            check[at[ok]] = left[ok, None]
+            won = (check[at] == left[:, None]).all(1)
+            lost = at[ok & ~won]  # two drew the same place: it stays with one of them, or is free again
+            check[lost[check[lost] == left[ok & ~won][:, None]]] = -1
+            base[left[won]], edge[at[won]] = start[won], of[won]
+            left = left[~won]
+    single = np.flatnonzero(size == 1)
+    of = order[begin[single]]
+    free = np.flatnonzero(check[:room] < 0)[: len(single)]
+    base[single], check[free], edge[free] = free - code[of], single, of
+    return base, check, edge
 
 
 def _pair_counts(left, right) -> Callable:
@@ -232,9 +250,8 @@ def _pair_counts(left, right) -> Callable:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def gather() -> None:
-            keys = np.concatenate(raw)
+            held.append(np.unique(np.concatenate(raw), return_counts=True))
             raw.clear()
-            held.append(_sums(keys, np.ones(len(keys), "int64"))[::2])
             if len(held) > 1:
                 both = [np.concatenate(x) for x in zip(*held, strict=True)]
                 held[:] = [_sums(*both)[::2]]
@@ -245,7 +262,8 @@ def _pair_counts(left, right) -> Callable:
         for batch in batches:
             names = batch.column("lang").cast(pa.binary()).to_pylist()
             of_doc = [np.array([t.langs.get(x, -1) for x in names], "int64") for t in (a, b)]
-            for w, doc, piece in _blocks(batch):
+            for w, doc in _blocks(batch, False):
+                piece = _pieces(w, doc)
                 first = a.accepted(of_doc[0][doc], w.hashes, piece)
                 second = first if a is b else b.accepted(of_doc[1][doc], w.hashes, piece)
                 here = np.flatnonzero((first[:-1] >= 0) & (second[1:] >= 0) & (piece[:-1] == piece[1:]))
@@ -298,7 +316,7 @@ def _tries(frequent: DataFrame, shard: int) -> list:
     for k in range(parts):
         rows = frequent.where(part == k).select(F.col("lang").cast("binary"), F.col("phrase").cast("binary")).toArrow()
         if rows.num_rows:
-            tries.append(spark.sparkContext.broadcast(Trie.build(rows["lang"].to_pylist(), rows["phrase"].to_pylist())))
+            tries.append(spark.sparkContext.broadcast(Trie.build(*(rows[c].combine_chunks() for c in ("lang", "phrase")))))
     return tries
 
 

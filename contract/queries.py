@@ -626,7 +626,8 @@ def q_fit_arima(spark, sf):
 
 def q_fit_incremental(spark, sf):
     """The fits of `fit_arima` by a state of the weeks before 1998 and the later weeks added to it."""
-    rows, turn = filled(spark, sf), F.to_date(F.lit("1997-12-29"))
+    # Both halves read the panel: it is computed once, with what a state keeps.
+    rows, turn = cut(filled(spark, sf).select(*WEEKLY.row_id, "units")), F.to_date(F.lit("1997-12-29"))
     split = F.max(F.when((F.col("week") < turn) & F.col("units").isNotNull(), F.col("week"))).over(WEEKLY.over_series())
     halves = rows.withColumn("_until", split)
     early = increment.fit_state(halves.where(F.col("week") <= F.col("_until")).select(*rows.columns), ())

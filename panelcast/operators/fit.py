@@ -87,8 +87,10 @@ def series_rows(
     design: Sequence[str] = PROMOTION,
     spec: PanelSpec = WEEKLY,
     tasks: int | None = None,
+    along: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per series: first and last week; units, their filled roots `z` and regressors `x` over time.
+    """One row per series: first and last week; units, their filled roots `z` and regressors `x` over time;
+    and the aggregates `along` of its rows, which come with a `filled_root`.
 
     The panel is unique per week, so an array is as long as the calendar at most.
     Windows and arrays share one exchange by key. The finished rows are then dealt
@@ -107,9 +109,10 @@ def series_rows(
     )
     rows = (
         featured.groupBy(*spec.keys)
-        .agg(F.array_sort(F.collect_list(point)).alias("s"))
+        .agg(F.array_sort(F.collect_list(point)).alias("s"), *[c.alias(n) for n, c in (along or {}).items()])
         .select(
             *spec.keys,
+            *(along or {}),
             F.element_at("s", 1)["t"].alias("first_week"),
             F.element_at("s", -1)["t"].alias("last_week"),
             F.transform("s", lambda p: p["y"]).alias("units"),

@@ -14,31 +14,39 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import moments
 from panelcast.operators import fit
-from panelcast.operators.gaps import with_interpolated
-from panelcast.operators.panel import fill_gaps, last_rows
+from panelcast.operators.panel import fill_gaps
 from panelcast.spec import FLAGS, WEEKLY, PanelSpec
 
 
+def _flags(design: Sequence[str]) -> tuple[str, ...]:
+    """The flags that a state keeps: without regressors it needs none."""
+    return FLAGS if design else ()
+
+
 def fit_state(
     panel: DataFrame, design: Sequence[str] = fit.PROMOTION, spec: PanelSpec = WEEKLY, tasks: int | None = None
 ) -> DataFrame:
-    """keys, n_obs, moments and tail (week, units, filled root, flags) of every series of a gap-free panel.
+    """keys, n_obs, moments and tail (week, units, filled root, flags if any regressor needs them) of every series
+    of a gap-free panel.
 
+    The panel is read once: all three come from one grouping. A series without one of its keys has no state.
     `design` may hold flags and lagged flags; seasonal terms would need the calendar of the tail.
     """
     if any(c not in fit.PROMOTION for c in design):
         raise ValueError(f"a state keeps the regressors {fit.PROMOTION}")
-    rows = fit.series_moments(fit.series_rows(panel, design, spec, tasks), len(design))
     fresh = F.col("units").isNotNull()
     if fit.STORED_ROOT in panel.columns:
         fresh = fresh & F.col(fit.STORED_ROOT).isNull()
-    seen = panel.groupBy(*spec.keys).agg(F.count_if(fresh).alias("n_obs"))
-    rooted = with_interpolated(panel, spec=spec, straight=True)
-    if fit.STORED_ROOT in panel.columns:
-        rooted = rooted.withColumn("filled_root", F.coalesce(fit.STORED_ROOT, "filled_root"))
-    point = F.struct(spec.index, F.col("units").cast("double").alias("units"), F.col("filled_root").alias(fit.STORED_ROOT), *FLAGS)
-    tails = last_rows(rooted, moments.FIRST, spec).groupBy(*spec.keys).agg(F.array_sort(F.collect_list(point)).alias("tail"))
-    return rows.select(*spec.keys, "moments").join(seen, spec.key_list).join(tails, spec.key_list)
+    # Regressors read a flag that is unknown as 0; the tail keeps it unknown.
+    raw = [F.col(f"_raw_{f}").alias(f) for f in _flags(design)]
+    point = F.struct(spec.index, F.col("units").cast("double").alias("units"), F.col("filled_root").alias(fit.STORED_ROOT), *raw)
+    points = F.array_sort(F.collect_list(point))
+    tail = F.slice(points, F.greatest(F.size(points) - moments.FIRST + 1, F.lit(1)), F.lit(moments.FIRST))
+    keyed = panel.withColumns({f"_raw_{f}": F.col(f) for f in _flags(design)})
+    for key in spec.keys:
+        keyed = keyed.where(F.col(key).isNotNull())
+    rows = fit.series_rows(keyed, design, spec, tasks, {"n_obs": F.count_if(fresh), "tail": tail})
+    return fit.series_moments(rows, len(design)).select(*spec.keys, "moments", "n_obs", "tail")
 
 
 def extend_state(
@@ -54,7 +62,7 @@ def extend_state(
     the sums already, or its gap has been filled.
     """
     tail = state.select(*spec.keys, F.inline("tail")).withColumn("_old", F.lit(True))
-    later = new.select(*spec.row_id, F.col("units").cast("double").alias("units"), *FLAGS).withColumn("_old", F.lit(False))
+    later = new.select(*spec.row_id, F.col("units").cast("double").alias("units"), *_flags(design)).withColumn("_old", F.lit(False))
     both = tail.unionByName(later, allowMissingColumns=True)
     until = F.max(F.when(F.col("_old"), F.col(spec.index))).over(spec.over_series())
     message = F.concat_ws(" ", F.lit("a row is not later than the state of its series:"), *spec.row_id)
@@ -83,8 +91,8 @@ def fits_of_state(
     lagged = F.transform("tail", lambda t, i: F.get("tail", i - 1))
 
     def regressors(t, before):
-        known = {c: F.coalesce(t[c].cast("double"), F.lit(0.0)) for c in FLAGS}
-        earlier = {f"lag_{c}": F.coalesce(before[c].cast("double"), F.lit(0.0)) for c in FLAGS}
+        known = {c: F.coalesce(t[c].cast("double"), F.lit(0.0)) for c in _flags(design)}
+        earlier = {f"lag_{c}": F.coalesce(before[c].cast("double"), F.lit(0.0)) for c in _flags(design)}
         return F.array(*[(known | earlier)[c] for c in design]).cast("array<double>")
 
     rows = state.select(
